@@ -1 +1,363 @@
-"""Placeholder."""
+"""Change detection, merges, ingest runs, notes, the store and the ingest stream."""
+
+from datetime import datetime, timezone
+
+from pyspark.sql import functions as F
+
+from checks.scan import _KEPT
+from checks.tables import query
+from sparkdocs import schemas as S
+from sparkdocs.functions.text import iso_time
+from sparkdocs.operators.changes import (
+    NOTE_COLUMNS, detect_changes, latest_per_path, merge_documents, merge_state,
+)
+from sparkdocs.operators.events import ingest_summary
+from sparkdocs.plans.ingest import IngestOptions, ingest
+from sparkdocs.plans.notes_import import import_notes
+from sparkdocs.plans.reprocess import reprocess_html, retry_failed
+from sparkdocs.plans.store import DocumentStore
+from sparkdocs.session import fresh_dir
+from sparkdocs.streaming.ingest_stream import start_ingest_stream
+
+RUN_TS = datetime(2024, 6, 1, tzinfo=timezone.utc)
+_RUN = "'2024-06-01T00:00:00Z'"
+_ISO = "'%Y-%m-%dT%H:%M:%SZ'"
+
+_FOUND = f"""
+    found AS (
+        SELECT * FROM (
+            SELECT *, row_number() OVER (PARTITION BY lower(file_path)
+                                         ORDER BY file_modified_time DESC, file_path DESC, file_size DESC) AS r
+            FROM {{listing}} WHERE {_KEPT}
+        ) x WHERE r = 1
+    )"""
+
+_HTML = "trim(regexp_replace(replace(replace(replace(c.text, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+# Converted rows of a run, with the stored document each one belongs to.
+_CONVERTED = f"""
+    conv AS (
+        SELECT f.*, d.id AS doc_id, d.file_modified_time AS stored, lower(f.file_type) <> 'pdf' AS ok,
+               CASE lower(f.file_type) WHEN 'md' THEN c.text WHEN 'html' THEN {_HTML}
+                    WHEN 'txt' THEN '# ' || f.file_name || chr(10) || chr(10) || c.text
+                    WHEN 'py' THEN '# ' || f.file_name || chr(10) || chr(10) || '```py' || chr(10) || c.text || chr(10) || '```' END AS md,
+               CASE lower(f.file_type) WHEN 'md' THEN 0 WHEN 'txt' THEN 1 WHEN 'py' THEN 2 WHEN 'html' THEN 8 END AS code,
+               CASE WHEN lower(f.file_type) = 'pdf' THEN 'Unsupported file type: ' || f.file_type END AS error,
+               CASE WHEN s.text LIKE '%broken' THEN NULL ELSE regexp_extract(s.text, '"source_url": "([^"]*)"', 1) END AS url
+        FROM found f
+        LEFT JOIN {{docs}} d ON lower(d.file_path) = lower(f.file_path)
+        LEFT JOIN {{contents}} c ON c.file_path = f.file_path
+        LEFT JOIN {{sidecars}} s ON s.file_path = f.file_path || '.meta.json'
+    )"""
+
+_SHOWN = [
+    "file_path", "file_name", "file_size", "mtime", "markdown_content", "conversion_type", "status", "error_message",
+    "source", "source_url", "updated",
+]
+
+
+def _show(docs):
+    return docs.withColumns({
+        "mtime": iso_time(F.col("file_modified_time")), "updated": iso_time(F.col("updated_at"))
+    }).select(_SHOWN)
+
+
+@query(
+    "dedup_paths",
+    """
+    SELECT file_path, file_name, file_size, strftime(file_modified_time, '%Y-%m-%dT%H:%M:%SZ') AS mtime FROM (
+        SELECT *, row_number() OVER (PARTITION BY lower(file_path) ORDER BY file_modified_time DESC, file_path DESC, file_size DESC) AS r
+        FROM {listing}) x WHERE r = 1
+    """,
+)
+def _(t):
+    kept = latest_per_path(t.listing)
+    return kept.select("file_path", "file_name", "file_size", iso_time(F.col("file_modified_time")).alias("mtime"))
+
+
+@query(
+    "detect_changes",
+    "SELECT l.file_path, d.id, CASE WHEN d.id IS NULL THEN 'new' WHEN d.file_modified_time = l.file_modified_time THEN 'unchanged' "
+    "ELSE 'changed' END AS action FROM {listing} l LEFT JOIN {docs} d ON lower(d.file_path) = lower(l.file_path)",
+)
+def _(t):
+    return detect_changes(t.listing, t.docs).select("file_path", "id", "action")
+
+
+_MERGED = f"""
+    SELECT d.file_path, d.file_name,
+           CASE WHEN b.success THEN b.file_size ELSE d.file_size END AS file_size,
+           strftime(CASE WHEN b.success THEN b.file_modified_time ELSE d.file_modified_time END, {_ISO}) AS mtime,
+           CASE WHEN b.success THEN b.markdown_content ELSE d.markdown_content END AS markdown_content,
+           CASE WHEN b.success THEN b.conversion_type ELSE d.conversion_type END AS conversion_type,
+           CASE WHEN b.success THEN 'completed' WHEN b.success IS NOT NULL THEN 'failed' ELSE d.status END AS status,
+           CASE WHEN b.success THEN NULL WHEN b.success IS NOT NULL THEN b.error_message ELSE d.error_message END AS error_message,
+           CASE WHEN b.success IS NOT NULL THEN b.source ELSE d.source END AS source,
+           CASE WHEN b.success IS NOT NULL THEN b.source_url ELSE d.source_url END AS source_url,
+           CASE WHEN b.success IS NOT NULL THEN {_RUN} ELSE strftime(d.updated_at, {_ISO}) END AS updated
+    FROM {{docs}} d LEFT JOIN {{batch}} b ON lower(b.file_path) = lower(d.file_path)
+    UNION ALL
+    SELECT b.file_path, b.file_name, b.file_size, strftime(b.file_modified_time, {_ISO}),
+           CASE WHEN b.success THEN b.markdown_content END, CASE WHEN b.success THEN b.conversion_type END,
+           CASE WHEN b.success THEN 'completed' ELSE 'failed' END, CASE WHEN NOT b.success THEN b.error_message END,
+           b.source, b.source_url, {_RUN}
+    FROM {{batch}} b WHERE NOT EXISTS (SELECT 1 FROM {{docs}} d WHERE lower(d.file_path) = lower(b.file_path))
+"""
+
+
+@query("merge_documents", _MERGED)
+def _(t):
+    return _show(merge_documents(t.docs, t.batch, RUN_TS))
+
+
+def _new_store(t, name):
+    return DocumentStore(t.spark, fresh_dir(t.spark, name), buckets=8)
+
+
+@query("store_merge", _MERGED)
+def _(t):
+    # The same merge through a bucketed store: existing documents first, then the batch.
+    store = _new_store(t, "store")
+    store.replace(t.docs, RUN_TS)
+    store.merge(t.batch, RUN_TS)
+    return _show(store.documents())
+
+
+@query(
+    "merge_state",
+    """
+    SELECT coalesce(o.source, n.source) AS source, coalesce(o.scope_key, n.scope_key) AS scope_key,
+           coalesce(n.n, o.n) AS processed, coalesce(n.cursor_at, o.cursor_at) AS cursor_at
+    FROM (SELECT 'local_fs' AS source, lang AS scope_key, count(*) AS n, '2024-01-01T00:00:00Z' AS cursor_at FROM {documents} GROUP BY lang
+          UNION ALL SELECT 'local_fs', source, count(*), '2024-01-01T00:00:00Z' FROM {documents} GROUP BY source) o
+    FULL JOIN (SELECT 'local_fs' AS source, source AS scope_key, sum(n_chars)::BIGINT AS n,
+                      CASE WHEN source <> 'src1' THEN '2024-06-01T00:00:00Z' END AS cursor_at FROM {documents} GROUP BY source
+               UNION ALL SELECT 'Joplin', source, sum(n_chars)::BIGINT, '2024-06-01T00:00:00Z' FROM {documents} GROUP BY source) n
+    ON o.source = n.source AND o.scope_key = n.scope_key
+    """,
+)
+def _(t):
+    def rows(source, key, n, cursor):
+        counted = t.documents.groupBy(F.col(key).alias("scope_key")).agg(n.alias("processed"))
+        row = {f.name: F.lit(None).cast(f.dataType) for f in S.INGEST_STATE}
+        row |= {"source": F.lit(source), "scope_key": F.col("scope_key"), "processed": F.col("processed"),
+                "cursor_updated_at": F.lit(cursor).cast("timestamp")}
+        return counted.select(*[c.alias(k) for k, c in row.items()])
+
+    state = rows("local_fs", "lang", F.count("*"), "2024-01-01").unionByName(
+        rows("local_fs", "source", F.count("*"), "2024-01-01")
+    )
+    run = rows("local_fs", "source", F.sum("n_chars"), "2024-06-01").unionByName(
+        rows("Joplin", "source", F.sum("n_chars"), "2024-06-01")
+    )
+    run = run.withColumn(
+        "cursor_updated_at",
+        F.when(~((F.col("source") == "local_fs") & (F.col("scope_key") == "src1")), F.col("cursor_updated_at")),
+    )
+    made = merge_state(state, run)
+    return made.select("source", "scope_key", "processed", iso_time(F.col("cursor_updated_at")).alias("cursor_at"))
+
+
+def _run(t, docs, roots=("/corpus",), **options):
+    state = t.spark.createDataFrame([], S.INGEST_STATE)
+    contents = t.contents
+    return ingest(
+        t.listing, contents, docs, state, list(roots), RUN_TS, IngestOptions(**options), sidecars=t.sidecars
+    )
+
+
+@query(
+    "ingest_full",
+    f"""
+    WITH {_FOUND}, {_CONVERTED}
+    SELECT file_path, file_name, file_size, strftime(file_modified_time, {_ISO}) AS mtime, md AS markdown_content,
+           code AS conversion_type, CASE WHEN ok THEN 'completed' ELSE 'failed' END AS status, error AS error_message,
+           'local_fs' AS source, url AS source_url, {_RUN} AS updated
+    FROM conv
+    """,
+)
+def _(t):
+    empty = t.spark.createDataFrame([], S.DOCUMENTS)
+    return _show(merge_documents(empty, _run(t, empty).converted, RUN_TS))
+
+
+_INCREMENTAL = f"""
+    WITH {_FOUND}, {_CONVERTED}, todo AS (SELECT * FROM conv WHERE doc_id IS NULL OR stored <> file_modified_time)
+    SELECT d.file_path, d.file_name, CASE WHEN b.ok THEN b.file_size ELSE d.file_size END AS file_size,
+           strftime(CASE WHEN b.ok THEN b.file_modified_time ELSE d.file_modified_time END, {_ISO}) AS mtime,
+           CASE WHEN b.ok THEN b.md ELSE d.markdown_content END AS markdown_content,
+           CASE WHEN b.ok THEN b.code ELSE d.conversion_type END AS conversion_type,
+           CASE WHEN b.ok THEN 'completed' WHEN b.ok IS NOT NULL THEN 'failed' ELSE d.status END AS status,
+           CASE WHEN b.ok IS NULL THEN d.error_message ELSE b.error END AS error_message,
+           CASE WHEN b.ok IS NULL THEN d.source ELSE 'local_fs' END AS source,
+           CASE WHEN b.ok IS NULL THEN d.source_url ELSE b.url END AS source_url,
+           CASE WHEN b.ok IS NULL THEN strftime(d.updated_at, {_ISO}) ELSE {_RUN} END AS updated
+    FROM {{docs}} d LEFT JOIN todo b ON b.doc_id = d.id
+    UNION ALL
+    SELECT file_path, file_name, file_size, strftime(file_modified_time, {_ISO}), md, code,
+           CASE WHEN ok THEN 'completed' ELSE 'failed' END, error, 'local_fs', url, {_RUN}
+    FROM todo WHERE doc_id IS NULL
+"""
+
+
+@query("ingest_incremental", _INCREMENTAL)
+def _(t):
+    return _show(merge_documents(t.docs, _run(t, t.docs).converted, RUN_TS))
+
+
+@query("ingest_stream", _INCREMENTAL)
+def _(t):
+    # The listing as a stream of rows, merged batch by batch into a store that holds the documents.
+    store = _new_store(t, "stream-store")
+    store.replace(t.docs, RUN_TS)
+    rows = f"{store.root}/listing"
+    t.listing.write.parquet(rows)
+    stream = t.spark.readStream.schema(t.listing.schema).parquet(rows)
+    contents, sidecars = t.contents, t.sidecars
+    query = start_ingest_stream(
+        stream, lambda batch: contents, store, ["/corpus"], "listing", f"{store.root}/offsets",
+        clock=lambda: RUN_TS, sidecars_of=lambda batch: sidecars,
+    )
+    query.awaitTermination()
+    return _show(store.documents())
+
+
+_ROOTS = ["/corpus/new", "/corpus/src1", "/corpus/src3", "/corpus/src9", "/corpus"]
+_SCOPE = (
+    "CASE WHEN starts_with({0}, '/corpus/new/') THEN '/corpus/new' WHEN starts_with({0}, '/corpus/src1/') THEN '/corpus/src1' "
+    "WHEN starts_with({0}, '/corpus/src3/') THEN '/corpus/src3' WHEN starts_with({0}, '/corpus/src9/') THEN '/corpus/src9' ELSE '/corpus' END"
+)
+
+
+@query(
+    "ingest_many",
+    f"""
+    WITH {_FOUND}, {_CONVERTED},
+    o AS (SELECT {_SCOPE.format('file_path')} AS scope_key,
+                 CASE WHEN doc_id IS NOT NULL AND stored = file_modified_time THEN 's' WHEN ok THEN 'p' ELSE 'e' END AS x FROM conv),
+    n AS (SELECT scope_key, count(*) AS total_files, count(*) FILTER (WHERE x = 'p') AS processed,
+                 count(*) FILTER (WHERE x = 's') AS skipped, count(*) FILTER (WHERE x = 'e') AS errors FROM o GROUP BY scope_key),
+    r AS (SELECT unnest({_ROOTS}) AS scope_key)
+    SELECT scope_key, coalesce(total_files, 0) AS total_files, coalesce(processed, 0) AS processed, coalesce(skipped, 0) AS skipped,
+           coalesce(errors, 0) AS errors, CASE WHEN scope_key = '/corpus/src3' THEN 'invalid_directory' END AS error
+    FROM r LEFT JOIN n USING (scope_key)
+    """,
+)
+def _(t):
+    runs = _run(t, t.docs, _ROOTS).runs
+    return runs.select(
+        "scope_key", "total_files", "processed", "skipped", "errors", F.col("last_error_message").alias("error")
+    )
+
+
+@query(
+    "ingest_run_events",
+    f"""
+    WITH {_FOUND}, {_CONVERTED},
+    o AS (SELECT CASE WHEN doc_id IS NOT NULL AND stored = file_modified_time THEN 'file_skip' WHEN ok THEN 'file_success' ELSE 'file_error' END AS stage,
+                 file_path, file_name, row_number() OVER (ORDER BY file_path) AS i, count(*) OVER () AS n, error,
+                 doc_id IS NOT NULL AND stored = file_modified_time AS same FROM conv)
+    SELECT 2 * i AS event_no, 'file_processing' AS stage, file_path AS message, file_name AS current_file,
+           CAST(floor(i / n * 100) AS INTEGER) AS progress FROM o
+    UNION ALL SELECT 2 * i + 1, stage, CASE WHEN stage = 'file_error' THEN error ELSE file_path END, file_name, NULL FROM o
+    UNION ALL SELECT 0, 'scan_start', '/corpus', NULL, NULL
+    UNION ALL SELECT 1, 'scan_complete', CAST(count(*) AS VARCHAR), NULL, NULL FROM o
+    UNION ALL SELECT 2 * count(*) + 2, 'done', '{{{{"total_files":' || count(*) || ',"processed":' || count(*) FILTER (WHERE stage = 'file_success')
+              || ',"skipped":' || count(*) FILTER (WHERE same) || ',"errors":' || count(*) FILTER (WHERE stage = 'file_error') || '}}}}', NULL, NULL FROM o
+    """,
+)
+def _(t):
+    return _run(t, t.docs).events(RUN_TS).select("event_no", "stage", "message", "current_file", "progress")
+
+
+_CURSOR = datetime(2024, 1, 2, 12, tzinfo=timezone.utc)
+_PATH = "'joplin://' || coalesce(w.p, '') || '/' || n.title || '__' || n.id"
+_NOTES = f"""
+    WITH RECURSIVE walk AS (
+        SELECT id, title AS p FROM {{folders}} WHERE parent_id = ''
+        UNION ALL SELECT f.id, w.p || '/' || f.title FROM {{folders}} f JOIN walk w ON f.parent_id = w.id
+    )
+    SELECT {_PATH} AS file_path, n.title AS file_name, CASE WHEN n.markup_language = 2 THEN 'md' ELSE 'html' END AS file_type,
+           octet_length(encode(n.body)) AS file_size, strftime(make_timestamp(n.created_time * 1000), {_ISO}) AS created,
+           strftime(make_timestamp(n.updated_time * 1000), {_ISO}) AS mtime, 'Joplin' AS source, coalesce(n.source_url, '') AS source_url,
+           CASE WHEN n.body = '' THEN 0 ELSE 3 END AS conversion_type,
+           trim(regexp_replace(n.body, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS markdown_content
+    FROM {{notes}} n LEFT JOIN walk w ON w.id = n.parent_id
+"""
+
+
+def _note_rows(df):
+    return df.select(
+        "file_path", "file_name", "file_type", "file_size", iso_time(F.col("file_created_at")).alias("created"),
+        iso_time(F.col("file_modified_time")).alias("mtime"), "source", "source_url", "conversion_type", "markdown_content",
+    )
+
+
+@query("notes_import", _NOTES)
+def _(t):
+    empty = t.spark.createDataFrame([], S.DOCUMENTS)
+    run = import_notes(t.notes, t.folders, empty)
+    return _note_rows(merge_documents(empty, run.converted, RUN_TS, NOTE_COLUMNS))
+
+
+@query(
+    "notes_incremental",
+    _NOTES + " WHERE n.updated_time >= 1704196800000",
+)
+def _(t):
+    empty = t.spark.createDataFrame([], S.DOCUMENTS)
+    return _note_rows(import_notes(t.notes, t.folders, empty, cursor=_CURSOR).converted)
+
+
+@query(
+    "notes_summary",
+    "SELECT 'Joplin' AS scope_key, count(*) AS total_files, count(*) FILTER (WHERE updated_time >= 1704196800000) AS processed, "
+    "count(*) FILTER (WHERE updated_time < 1704196800000) AS skipped, 0 AS errors FROM {notes}",
+)
+def _(t):
+    empty = t.spark.createDataFrame([], S.DOCUMENTS)
+    return ingest_summary(import_notes(t.notes, t.folders, empty, cursor=_CURSOR).outcomes)
+
+
+@query(
+    "all_sources",
+    "SELECT source, count(*) AS n, sum(file_size)::BIGINT AS bytes FROM (SELECT source, file_size FROM {docs} UNION ALL "
+    "SELECT 'Joplin', octet_length(encode(body)) FROM {notes}) u GROUP BY source",
+)
+def _(t):
+    run = import_notes(t.notes, t.folders, t.docs)
+    both = merge_documents(t.docs, run.converted, RUN_TS, NOTE_COLUMNS)
+    return both.groupBy("source").agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes"))
+
+
+@query(
+    "retry_failed",
+    """
+    SELECT id, CASE WHEN status = 'failed' AND file_type NOT IN ('pdf', 'PDF') THEN 'completed' ELSE status END AS status,
+           CASE WHEN status = 'failed' AND file_type = 'md' THEN 'again ' || markdown_content
+                WHEN status = 'failed' AND file_type = 'txt' THEN '# ' || file_name || chr(10) || chr(10) || 'again ' || markdown_content
+                WHEN status = 'failed' AND file_type = 'py' THEN '# ' || file_name || chr(10) || chr(10) || '```py' || chr(10) || 'again ' || markdown_content || chr(10) || '```'
+                WHEN status = 'failed' AND file_type = 'html' THEN trim(regexp_replace('again ' || markdown_content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))
+                ELSE markdown_content END AS markdown_content,
+           CASE WHEN status = 'failed' AND lower(file_type) = 'pdf' THEN 'Unsupported file type: ' || file_type END AS error_message
+    FROM {docs}
+    """,
+)
+def _(t):
+    contents = t.docs.select("file_path", F.concat(F.lit("again "), "markdown_content").alias("text"))
+    after, _ = retry_failed(t.docs, t.docs.select("id"), contents, RUN_TS)
+    return after.select("id", "status", "markdown_content", "error_message")
+
+
+@query(
+    "reprocess_html_run",
+    """
+    SELECT id, CASE WHEN file_type = 'html' THEN 'completed' ELSE status END AS status,
+           CASE WHEN file_type = 'html' THEN '**bold** ' || trim(regexp_replace(markdown_content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))
+                ELSE markdown_content END AS markdown_content
+    FROM {docs}
+    """,
+)
+def _(t):
+    contents = t.docs.select("file_path", F.concat(F.lit("<b>bold</b> "), "markdown_content").alias("text"))
+    return reprocess_html(t.docs, contents, RUN_TS).select("id", "status", "markdown_content")

@@ -1 +1,256 @@
-"""Placeholder."""
+"""Full text, trigram and substring search; scores, snippets, highlights; batches over postings."""
+
+from pyspark.sql import functions as F
+
+from checks.tables import query
+from sparkdocs.functions import present, tokens
+from sparkdocs.operators.fulltext import build_postings, search_batch, search_postings
+from sparkdocs.operators.search import SearchParams, matches, search, search_info
+
+_TOK = (
+    "CASE WHEN trim(regexp_replace(lower({0}), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+', '  ', 'g')) = '' THEN '' "
+    "ELSE ' ' || trim(regexp_replace(lower({0}), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+', '  ', 'g')) || ' ' END"
+).format("markdown_content")
+
+# Searchable documents with their token string.
+_T = f"(SELECT *, {_TOK} AS tok FROM {{docs}} WHERE status = 'completed') t"
+
+
+def _occ(term: str) -> str:
+    return f"((length(tok) - length(replace(tok, '{term}', ''))) // {len(term)})"
+
+
+def _mark(text: str, words: list[str]) -> str:
+    longest = sorted(words, key=len, reverse=True)
+    return f"regexp_replace({text}, '({'|'.join(longest)})', '<mark>\\1</mark>', 'gi')"
+
+
+def _snippet(words: list[str], text: str = "markdown_content") -> str:
+    """Select expression over a table with that text column."""
+    at = "coalesce(" + ", ".join(f"nullif(strpos(lower({text}), '{w}'), 0)" for w in words) + ") - 1"
+    n = f"length({text})"
+    start0 = f"greatest(0, {at} - 100)"
+    end = f"CASE WHEN {start0} = 0 THEN least({n}, 200) ELSE least({n}, {at} + {len(words[0])} + 100) END"
+    start = f"CASE WHEN ({end}) = {n} THEN greatest(0, {n} - 200) ELSE {start0} END"
+    cut = (
+        f"CASE WHEN ({start}) > 0 THEN '...' ELSE '' END || substr({text}, ({start}) + 1, ({end}) - ({start})) "
+        f"|| CASE WHEN ({end}) < {n} THEN '...' ELSE '' END"
+    )
+    plain = f"substr({text}, 1, 200) || CASE WHEN {n} > 200 THEN '...' ELSE '' END"
+    return f"CASE WHEN ({at}) IS NULL THEN {plain} ELSE {_mark('(' + cut + ')', words)} END"
+
+
+def _result(source: str, words: list[str], score: str, order: str, page: str) -> str:
+    return f"""
+        SELECT id, {_mark('file_name', words)} AS filename, file_path AS filepath, file_type AS filetype,
+               file_size AS filesize, strftime(file_modified_time, '%Y-%m-%dT%H:%M:%SZ') AS file_modified_time,
+               {_snippet(words)} AS snippet, source, source_url, round(score, 3) AS relevance
+        FROM (SELECT *, ({score})::DOUBLE AS score FROM {source}) s
+        ORDER BY {order} {page}
+    """
+
+
+@query(
+    "search_fulltext",
+    _result(
+        f"(SELECT * FROM {_T} WHERE contains(tok, ' the ') AND contains(tok, ' with ')) m",
+        ["the", "with"], f"{_occ(' the ')} + {_occ(' with ')}", "score DESC, id", "LIMIT 20",
+    ),
+)
+def _(t):
+    return search(t.docs, SearchParams(keyword="the with"))
+
+
+@query(
+    "search_page",
+    _result(
+        f"(SELECT * FROM {_T} WHERE contains(tok, ' que ')) m",
+        ["que"], _occ(" que "), "file_name ASC NULLS LAST, id", "LIMIT 10 OFFSET 20",
+    ),
+)
+def _(t):
+    return search(t.docs, SearchParams(keyword="que", sort_by="filename", sort_order="asc", page=3, per_page=10))
+
+
+@query(
+    "search_page_info",
+    "SELECT 3 AS page, 10 AS per_page, ceil(count(*) / 10.0)::BIGINT AS total_pages, 3 < ceil(count(*) / 10.0) AS has_next, "
+    f"true AS has_prev, count(*) AS total_results FROM {_T} WHERE contains(tok, ' que ')",
+)
+def _(t):
+    return search_info(t.docs, SearchParams(keyword="que", page=3, per_page=10))
+
+
+@query(
+    "search_filtered",
+    _result(
+        f"(SELECT * FROM {_T} WHERE contains(tok, ' the ') AND source = 'src7' AND conversion_type IN (1, 3, 8)) m",
+        ["the"], _occ(" the "), "file_modified_time ASC NULLS LAST, id", "LIMIT 20",
+    ),
+)
+def _(t):
+    p = SearchParams(keyword="the", source="src7", conversion_types=[1, 3, 8], sort_by="mtime", sort_order="asc")
+    return search(t.docs, p)
+
+
+_BOOL = f"SELECT id, ({{score}})::DOUBLE AS score FROM {_T} WHERE "
+
+
+def _bool(where: str, *terms: str) -> str:
+    score = " + ".join(_occ(x) for x in terms) or "0"
+    return f"SELECT id, ({score})::DOUBLE AS score FROM {_T} WHERE {where}"
+
+
+def _found(t, keyword):
+    return matches(t.docs, SearchParams(keyword=keyword)).select("id", "score")
+
+
+@query("search_bool_and", _bool("contains(tok, ' the ') AND contains(tok, ' with ')", " the ", " with "))
+def _(t):
+    return _found(t, "the with")
+
+
+@query("search_bool_or", _bool("contains(tok, ' und ') OR contains(tok, ' que ')", " und ", " que "))
+def _(t):
+    return _found(t, "und OR que")
+
+
+@query("search_bool_not", _bool("contains(tok, ' the ') AND NOT contains(tok, ' with ')", " the "))
+def _(t):
+    return _found(t, "The -with")
+
+
+@query(
+    "search_phrase",
+    f"SELECT id, count(*)::DOUBLE AS score FROM (SELECT id, w[i] AS a, w[i + 1] AS b FROM "
+    f"(SELECT id, w, unnest(range(1, len(w))) AS i FROM (SELECT id, string_split(trim(tok), '  ') AS w FROM {_T}) x) y) z "
+    "WHERE a = 'of' AND b = 'the' GROUP BY id",
+)
+def _(t):
+    return _found(t, '"of the"')
+
+
+@query("search_prefix", _bool("contains(tok, ' thi')", " thi"))
+def _(t):
+    return _found(t, "thi*")
+
+
+@query(
+    "search_mixed",
+    _bool(
+        "(contains(tok, ' of  the ') OR contains(tok, ' und ')) AND NOT contains(tok, ' with ') AND contains(tok, ' e')",
+        " of  the ", " und ", " e",
+    ),
+)
+def _(t):
+    return _found(t, '"of the" OR und -with e*')
+
+
+@query(
+    "search_substring",
+    "SELECT id FROM {docs} WHERE status = 'completed' AND (contains(lower(markdown_content), 'in it') OR contains(lower(file_name), 'in it'))",
+)
+def _(t):
+    return matches(t.docs, SearchParams(keyword="In It", search_type="trigram")).select("id")
+
+
+@query(
+    "search_highlight",
+    "SELECT id, " + _mark("markdown_content", ["the", "then", "und"]) + " AS marked FROM {docs}",
+)
+def _(t):
+    return t.docs.select("id", present.highlight(F.col("markdown_content"), "the+then und").alias("marked"))
+
+
+@query("search_snippet", "SELECT id, " + _snippet(["with", "que"]) + " AS snippet FROM {docs}")
+def _(t):
+    return t.docs.select("id", present.snippet(F.col("markdown_content"), "with que").alias("snippet"))
+
+
+def _grams(keyword: str) -> str:
+    return "(" + ", ".join(f"'{g}'" for g in tokens.keyword_trigrams(keyword)) + ")"
+
+
+def _similar(keyword: str, text: str) -> str:
+    """Trigram similarity by words: (id, sim)."""
+    n = len(tokens.keyword_trigrams(keyword))
+    return f"""
+        SELECT id, CASE WHEN own + {n} - shared = 0 THEN 0 ELSE shared / (own + {n} - shared) END AS sim FROM (
+            SELECT d.id, count(DISTINCT g) AS own, count(DISTINCT g) FILTER (WHERE g IN {_grams(keyword)}) AS shared
+            FROM {{docs}} d LEFT JOIN (
+                SELECT id, unnest(list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))) AS g
+                FROM (SELECT id, unnest(string_split_regex(lower({text}), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+')) AS w FROM {{docs}}) x
+                WHERE w <> ''
+            ) y ON y.id = d.id
+            GROUP BY d.id
+        ) z
+    """
+
+
+def _trigram(keyword: str) -> str:
+    return (
+        f"(SELECT d.*, greatest(a.sim, b.sim) AS sim FROM {{docs}} d JOIN ({_similar(keyword, 'markdown_content')}) a ON a.id = d.id "
+        f"JOIN ({_similar(keyword, 'file_name')}) b ON b.id = d.id WHERE d.status = 'completed' "
+        f"AND (contains(lower(d.markdown_content), '{keyword}') OR contains(lower(d.file_name), '{keyword}'))) g"
+    )
+
+
+@query("search_trigram", _result(_trigram("ation"), ["ation"], "sim", "round(score, 9) DESC, id", "LIMIT 20"))
+def _(t):
+    return search(t.docs, SearchParams(keyword="ation", search_type="trigram"))
+
+
+@query("trigram_scores", f"SELECT id, round(sim, 6) AS score FROM {_trigram('hand')}")
+def _(t):
+    found = matches(t.docs, SearchParams(keyword="hand", search_type="trigram"))
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+_WORDS = f"(SELECT id, unnest(string_split(trim(tok), '  ')) AS term FROM {_T} WHERE tok <> '') w"
+
+
+@query(
+    "postings",
+    f"SELECT term, count(DISTINCT id) AS df, count(*) AS total, max(n) AS top_tf FROM "
+    f"(SELECT term, id, count(*) OVER (PARTITION BY term, id) AS n FROM {_WORDS}) c GROUP BY term",
+)
+def _(t):
+    made = build_postings(t.docs)
+    return made.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum(F.size("positions")).alias("total"), F.max("tf").alias("top_tf")
+    )
+
+
+@query(
+    "postings_boolean",
+    _bool(
+        "(contains(tok, ' of  the ') OR contains(tok, ' und ')) AND NOT contains(tok, ' with ') AND contains(tok, ' e')",
+        " of  the ", " und ", " e",
+    ),
+)
+def _(t):
+    return search_postings(build_postings(t.docs), '"of the" OR und -with e*')
+
+
+@query("postings_not", _bool("NOT contains(tok, ' the ')"))
+def _(t):
+    done = t.docs.filter("status = 'completed'")
+    return search_postings(build_postings(t.docs), "-the", ids=done)
+
+
+_BTOK = "string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')"
+
+
+@query(
+    "search_batch",
+    f"""
+    WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({_BTOK}) AS term FROM {{benchmark}}),
+         qt AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n FROM q WHERE term <> ''),
+         tf AS (SELECT id, term, count(*) AS tf FROM {_WORDS} GROUP BY id, term)
+    SELECT query_id, id, sum(tf)::DOUBLE AS score FROM qt JOIN tf USING (term)
+    GROUP BY query_id, id, n HAVING count(*) = n
+    """,
+)
+def _(t):
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    return search_batch(build_postings(t.docs), queries)

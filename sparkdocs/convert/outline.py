@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdocs.operators.hierarchy import outline_markdown
+from sparkdocs.operators.hierarchy import dotted_path, render_outlines
 
 NODES = (
     "file string, sheet int, node_id string, parent_id string, ordinal int, title string, error_message string"
@@ -83,7 +83,8 @@ def outline_nodes(files: DataFrame) -> DataFrame:
 def outline_frame(rows: DataFrame) -> DataFrame:
     """Frame converter for mind-map files."""
     nodes = outline_nodes(rows)
-    texts = outline_markdown(nodes.filter(F.col("error_message").isNull()).drop("error_message"))
+    topics = nodes.filter(F.col("error_message").isNull())
+    texts = render_outlines(topics.select("file", "sheet", dotted_path(F.col("node_id")).alias("path"), "title"))
     failed = nodes.filter(F.col("error_message").isNotNull()).select(
         F.col("file").alias("file_path"), F.lit(None).cast("string").alias("markdown_content"), "error_message"
     )

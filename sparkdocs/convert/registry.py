@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdocs.functions.text import strip_nul
+from sparkdocs.functions.text import decode_utf8, strip_nul
 
 # Builds the Markdown from the row's columns; null means failure.
 ColumnConverter = Callable[[], Column]
@@ -18,9 +18,9 @@ FrameConverter = Callable[[DataFrame], DataFrame]
 class ConverterRegistry:
     """Converters by extension, looked up without regard to case.
 
-    Input rows carry file_path, file_name, file_type, and the text (`text`) or bytes (`content`) that
-    their converter reads. Column converters share one `when` chain in a single pass; a frame
-    converter gets the rows of its types.
+    Input rows carry file_path, file_name, file_type, and text (`text`), bytes (`content`) or both.
+    Column converters share one `when` chain in a single pass; a frame converter gets the rows of its
+    types.
     """
 
     def __init__(self) -> None:
@@ -82,6 +82,10 @@ class ConverterRegistry:
         Rows staged with a partition column `converter` (see `converter_of`) are read once, branch by
         branch; otherwise every branch filters the rows by type.
         """
+        if "content" not in rows.columns:
+            rows = rows.withColumn("content", F.encode("text", "UTF-8"))
+        if "text" not in rows.columns:
+            rows = rows.withColumn("text", decode_utf8(F.col("content")))
         if "converter" not in rows.columns:
             rows = rows.withColumn("converter", self.converter_of(F.col("file_type")))
         out = self._by_columns(rows.filter(F.col("converter") == "columns").drop("converter"))

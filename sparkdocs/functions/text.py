@@ -50,7 +50,7 @@ def human_bytes(size: Column, style: str = "units") -> Column:
         return F.format_string(f"%.2f {SIZE_UNITS[power]}", F.bround(size / 1024.0**power, 2))
 
     if style == "list":
-        return F.when(size > 1024 * 1024, shown_as(2)).otherwise(shown_as(1))
+        return F.when(size > 1024 * 1024, shown_as(2)).when(size.isNotNull(), shown_as(1))
     shown = shown_as(4)
     for power in range(3, -1, -1):
         shown = F.when(size < 1024.0 ** (power + 1), shown_as(power)).otherwise(shown)

@@ -52,6 +52,10 @@ def _fold(tests: list, clauses: list[tuple[str, bool, str]]):
     return found
 
 
+def _shifted(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: p - by)
+
+
 def search_postings(postings: DataFrame, keyword: str, ids: DataFrame | None = None) -> DataFrame:
     """(id, score) of the documents a keyword line selects; see `query_clauses` for its form.
 
@@ -78,7 +82,7 @@ def search_postings(postings: DataFrame, keyword: str, ids: DataFrame | None = N
         starts = None
         for k, h in enumerate(hits):
             found = F.flatten(F.collect_list(F.when(h, F.col("positions"))))
-            moved = F.transform(found, lambda p, k=k: p - F.lit(k))
+            moved = _shifted(found, k)
             starts = moved if starts is None else F.array_intersect(starts, moved)
         aggregates.append(F.size(starts).cast("long").alias(f"n{i}"))
     per_doc = postings.filter(wanted).groupBy("id").agg(*aggregates)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdocs.operators.sizes import keyed_join
@@ -68,8 +68,7 @@ def folder_paths(folders: DataFrame) -> DataFrame:
 def outline_markdown(nodes: DataFrame) -> DataFrame:
     """(file, markdown_content) of outline nodes (file, sheet, node_id, parent_id, ordinal, title).
 
-    `# root`, then one `- ` line per topic in reading order, two blanks per level; sheets are parted
-    by an empty line. Depth and order come from the root path of zero-padded ordinals.
+    Depth and reading order come from the root path of zero-padded ordinals.
     """
 
     def key(node: str):
@@ -78,21 +77,35 @@ def outline_markdown(nodes: DataFrame) -> DataFrame:
     keyed = nodes.withColumn("id", key("node_id"))
     parent = F.when(F.col("parent_id").isNotNull(), key("parent_id"))
     paths = root_paths(
-        keyed.select("id", parent.alias("parent"), F.lpad(F.col("ordinal").cast("string"), 10, "0").alias("label"))
+        keyed.select("id", parent.alias("parent"), _padded(F.col("ordinal")).alias("label"))
     )
+    return render_outlines(keyed.join(paths, "id").select("file", "sheet", "path", "title"))
+
+
+def _padded(ordinal: Column) -> Column:
+    return F.lpad(ordinal.cast("string"), 10, "0")
+
+
+def dotted_path(place: Column) -> Column:
+    """Path of a node that carries its ordinals as `0.2.1`."""
+    return F.transform(F.split(place, "[.]"), _padded)
+
+
+def render_outlines(nodes: DataFrame) -> DataFrame:
+    """(file, markdown_content) of (file, sheet, path, title).
+
+    `# root`, then one `- ` line per topic in reading order, two blanks per level; sheets are parted
+    by an empty line.
+    """
     title = F.replace(F.replace(F.coalesce("title", F.lit("")), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(" "))
     depth = F.size("path")
     line = F.when(depth == 1, F.concat(F.lit("# "), title, F.lit("\n"))).otherwise(
         F.concat(F.repeat(F.lit("  "), depth - 2), F.lit("- "), title)
     )
-    lines = keyed.join(paths, "id").select("file", "sheet", "path", line.alias("line"))
-    sheets = lines.groupBy("file", "sheet").agg(
+    lines = F.array_sort(F.collect_list(F.struct("path", line.alias("line"))))
+    sheets = nodes.groupBy("file", "sheet").agg(
         F.regexp_replace(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda n: n["line"]), "\n"
-            ),
-            r"\s+$",
-            "",
+            F.array_join(F.transform(lines, lambda n: n["line"]), "\n"), r"\s+$", ""
         ).alias("text")
     )
     ordered = F.array_sort(F.collect_list(F.struct("sheet", "text")))

@@ -21,7 +21,7 @@ from sparkdocs.schemas import DOCUMENTS, INGEST_STATE
 
 _COMMITS = (
     "version long, committed_at timestamp, stream string, batch_id long, state_version long, "
-    "buckets map<int, long>"
+    "buckets array<struct<bucket: int, version: long>>"
 )
 
 
@@ -44,6 +44,11 @@ class DocumentStore:
         commits = self._commits()
         return None if commits is None else commits.orderBy(F.desc("version")).first()
 
+    @staticmethod
+    def _places(head) -> dict[int, int]:
+        """Version that holds each bucket."""
+        return {b["bucket"]: b["version"] for b in head["buckets"]} if head else {}
+
     def version(self) -> int:
         head = self._head()
         return head["version"] if head else 0
@@ -57,8 +62,7 @@ class DocumentStore:
 
     def documents(self, touched: list[int] | None = None) -> DataFrame:
         """Current documents, or those of some buckets."""
-        head = self._head()
-        places = sorted((head["buckets"] if head else {}).items())
+        places = sorted(self._places(self._head()).items())
         paths = [
             f"{self.root}/documents/v={version}/bucket={bucket}"
             for bucket, version in places
@@ -96,7 +100,7 @@ class DocumentStore:
     def _commit(self, documents, touched, run_ts, state, stream, batch_id) -> int:
         head = self._head()
         version = (head["version"] if head else 0) + 1
-        places = dict(head["buckets"]) if head else {}
+        places = self._places(head)
         state_version = head["state_version"] if head else None
         if documents is not None:
             target = f"{self.root}/documents/v={version}"
@@ -112,6 +116,6 @@ class DocumentStore:
         if state is not None:
             state.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/state/v={version}")
             state_version = version
-        row = [(version, run_ts, stream, batch_id, state_version, places)]
+        row = [(version, run_ts, stream, batch_id, state_version, sorted(places.items()))]
         self.spark.createDataFrame(row, _COMMITS).coalesce(1).write.mode("append").json(f"{self.root}/commits")
         return version

@@ -48,6 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """Path of a new folder in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and go on from the files, so that lost executors cost no rerun."""
     shared_dir(df.sparkSession)
@@ -56,7 +61,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def stage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """`df` written as a Parquet table in the shared folder: read again by column, not recomputed."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/sparkdocs-stage/{uuid.uuid4().hex}"
+    path = fresh_dir(df.sparkSession, "stage")
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

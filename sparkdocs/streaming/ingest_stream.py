@@ -25,11 +25,13 @@ def start_ingest_stream(
     checkpoint: str,
     options: IngestOptions = IngestOptions(),
     registry: ConverterRegistry | None = None,
+    sidecars_of: Callable[[DataFrame], DataFrame] | None = None,
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
 ) -> StreamingQuery:
     """Merge each micro-batch of listing rows into the store; stops when the input is used up.
 
-    `contents_of` gives (file_path, content, text) for the rows of a batch. A batch may be delivered
+    `contents_of` gives (file_path, content, text), and `sidecars_of` (file_path, text), for the rows of
+    a batch. A batch may be delivered
     again after a failure: the commit records its number, and a recorded batch is passed over. The
     state is part of that same commit, so a stream stopped between batches leaves it whole.
     """
@@ -42,7 +44,7 @@ def start_ingest_stream(
         # The stream itself says what is new; the cursor is for whole listings.
         run = ingest(
             batch, contents_of(batch), store.documents(), state, roots, run_ts,
-            replace(options, full=True), registry=registry,
+            replace(options, full=True), sidecars_of and sidecars_of(batch), registry,
         )
         store.merge(
             run.converted, run_ts, state=merge_state(state, stage(run.runs)), stream=name, batch_id=batch_id
