@@ -66,7 +66,7 @@ _BLANK = "'[ \\t\\n\\x0B\\f\\r]+'"
     e AS (SELECT page_id, regexp_replace(regexp_replace(h, '</li><li>', chr(10) || '* ', 'g'), '<li>', '* ', 'g') AS h FROM d),
     f AS (SELECT page_id, regexp_replace(h, '<h1>', chr(10) || chr(10) || '# ', 'g') AS h FROM e),
     g AS (SELECT page_id, regexp_replace(h, '<[^>]+>', chr(10) || chr(10), 'g') AS h FROM f),
-    i AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(h, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&amp;', '&') AS h FROM g),
+    i AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(h, '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&amp;?', '&', 'g') AS h FROM g),
     j AS (SELECT page_id, regexp_replace(h, ' *\\n *', chr(10), 'g') AS h FROM i)
     SELECT page_id, trim(regexp_replace(h, '\\n\\n+', chr(10) || chr(10), 'g'), chr(10) || ' ') AS markdown_content FROM j
     """,

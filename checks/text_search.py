@@ -217,7 +217,7 @@ _WORDS = f"(SELECT id, unnest(string_split(trim(tok), '  ')) AS term FROM {_T} W
 def _(t):
     made = build_postings(t.docs)
     return made.groupBy("term").agg(
-        F.count("*").alias("df"), F.sum(F.size("positions")).alias("total"), F.max("tf").alias("top_tf")
+        F.count("*").alias("df"), F.sum("tf").alias("total"), F.max("tf").alias("top_tf")
     )
 
 
@@ -229,13 +229,12 @@ def _(t):
     ),
 )
 def _(t):
-    return search_postings(build_postings(t.docs), '"of the" OR und -with e*')
+    return search_postings(build_postings(t.docs), '"of the" OR und -with e*', t.docs)
 
 
 @query("postings_not", _bool("NOT contains(tok, ' the ')"))
 def _(t):
-    done = t.docs.filter("status = 'completed'")
-    return search_postings(build_postings(t.docs), "-the", ids=done)
+    return search_postings(build_postings(t.docs), "-the", t.docs)
 
 
 _BTOK = "string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')"

@@ -1,9 +1,9 @@
-"""Token strings and trigrams.
+"""Token strings, term patterns and trigrams.
 
-A text is lower-cased and cut into runs of letters and digits. Runs of CJK characters become
-character bigrams. The token string holds every token with a blank on both sides of its own
-(`" a  b  c "`), so a term is a substring test, an occurrence count is a length difference and a
-phrase is a longer substring.
+A text is lower-cased and cut into runs of letters and digits; runs of CJK characters become character
+bigrams. The token string holds every token with a blank on both sides of its own (`"  a  b  "`), so a
+term is a substring test and a phrase a longer substring: the form to store and to build postings from.
+A single search reads the text itself instead, with one pattern per term that accepts the same tokens.
 """
 
 from __future__ import annotations
@@ -13,8 +13,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: kana, ideographs and Hangul syllables.
-_CJK = r"\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uAC00-\uD7AF\x{20000}-\x{2FA1F}"
+# Kana, ideographs, compatibility ideographs, Hangul syllables, supplementary ideographs.
+_CJK_RANGES = [(0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xAC00, 0xD7AF), (0x20000, 0x2FA1F)]
+
+_CJK = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _CJK_RANGES)
+_CJK_PYTHON = "".join(f"{chr(a)}-{chr(b)}" for a, b in _CJK_RANGES)
+_WORD = rf"[\p{{L}}\p{{N}}&&[^{_CJK}]]"
+_GAP = r"[^\p{L}\p{N}]"
 _BIGRAMS = (
     rf"([{_CJK}])(?=([{_CJK}]))"  # a character and its successor
     rf"|(?<=[{_CJK}])[{_CJK}]"  # the last one of a run adds nothing
@@ -25,8 +30,7 @@ _WINDOWS = r"(?=([ \p{L}\p{N}](?:[ \p{L}\p{N}][\p{L}\p{N}]|[\p{L}\p{N}] )))"
 
 
 def _padded(words: Column) -> Column:
-    spaced = F.trim(F.regexp_replace(words, r"[^\p{L}\p{N}]+", "  "))
-    return F.when(spaced == "", F.lit("")).otherwise(F.concat(F.lit(" "), spaced, F.lit(" ")))
+    return F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), f"{_GAP}+", "  ")
 
 
 def word_string(text: Column) -> Column:
@@ -41,10 +45,44 @@ def token_string(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    padded = token_string(text)
-    return F.when(padded == "", F.array().cast("array<string>")).otherwise(
-        F.split(F.trim(padded), "  ")
-    )
+    return F.array_remove(F.split(F.trim(token_string(text)), "  "), "")
+
+
+def term_pattern(term: str) -> tuple[str, str]:
+    """Pattern of a word, phrase or `prefix*` in lower-cased text, and a substring every match holds.
+
+    A word ends where another kind of character follows. Bigrams of one CJK run stand for the run
+    itself; a single CJK character is a token only if it is alone.
+    """
+    open_end = term.endswith("*")
+    runs = re.findall(rf"[{_CJK_PYTHON}]+|[^\W_{_CJK_PYTHON}]+", term.lower())
+    parts = []
+    for i, run in enumerate(runs):
+        first, last = i == 0, i == len(runs) - 1
+        if re.match(f"[{_CJK_PYTHON}]", run):
+            lead = "" if first and len(run) > 1 else f"(?<![{_CJK}])"
+            tail = "" if last and len(run) > 1 else f"(?![{_CJK}])"
+            if last and open_end and len(run) == 1:
+                parts.append(f"(?:(?<![{_CJK}]){run}(?![{_CJK}])|{run}(?=[{_CJK}]))" if first else lead + run)
+                continue
+        else:
+            lead = f"(?={run[0]})(?<!{_WORD})"  # the first character is the cheapest test
+            tail = "" if last and open_end else f"(?!{_WORD})"
+        parts.append(lead + run + tail)
+    return f"{_GAP}*".join(parts), max(runs, key=len)
+
+
+def matches_term(text: Column, term: str) -> Column:
+    """True if a text holds a term. The substring test spares most texts the pattern."""
+    pattern, part = term_pattern(term)
+    low = F.lower(text)
+    return F.contains(low, F.lit(part)) & low.rlike(pattern)
+
+
+def count_term(text: Column, term: str) -> Column:
+    """Occurrences of a term in a text; they may overlap."""
+    pattern, _ = term_pattern(term)
+    return F.regexp_count(F.lower(text), F.lit(f"(?={pattern})")).cast("long")
 
 
 def has_tokens(text: str) -> bool:
@@ -64,8 +102,7 @@ def phrase_occurrences(token_str: Column, needle: Column) -> Column:
 
 def trigram_count(text: Column) -> Column:
     """Number of distinct trigrams of a text."""
-    padded = F.concat(F.lit(" "), word_string(text))
-    windows = F.regexp_extract_all(padded, F.lit(_WINDOWS), F.lit(1))
+    windows = F.regexp_extract_all(word_string(text), F.lit(_WINDOWS), F.lit(1))
     return F.size(F.array_distinct(windows))
 
 
@@ -85,7 +122,7 @@ def trigram_similarity(text: Column, keyword: str, n_trigrams: Column | None = N
     needs the windows; pass it as `n_trigrams` where it is stored.
     """
     grams = keyword_trigrams(keyword)
-    padded = F.concat(F.lit(" "), word_string(text))
+    padded = word_string(text)
     shared = F.lit(0)
     for gram in grams:
         shared = shared + F.contains(padded, F.lit(gram)).cast("int")

@@ -6,23 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdocs.functions import tokens
-from sparkdocs.operators.search import query_clauses
+from sparkdocs.operators.search import fold_clauses, query_clauses
 from sparkdocs.operators.sizes import keyed_join
 from sparkdocs.session import cut_lineage
 
 
 def build_postings(docs: DataFrame) -> DataFrame:
-    """(term, id, tf, positions) of completed documents.
+    """(term, id, tf) of completed documents.
 
-    A document's tokens leave its row in one task, so the map-side half of the aggregation already
-    brings them together and the shuffle moves one row per document and term.
+    A document's tokens leave its row in one task, so the map-side half of the count already brings
+    them together and the shuffle moves one row per document and term.
     """
     words = docs.filter(F.col("status") == "completed").select(
-        "id", F.posexplode(tokens.tokens(F.col("markdown_content"))).alias("pos", "term")
-    )
-    return words.groupBy("term", "id").agg(
-        F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")
+        "id", F.explode(tokens.tokens(F.col("markdown_content"))).alias("term")
     )
+    return words.groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
 def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -41,32 +39,21 @@ def _token_lists(spark: SparkSession, terms: list[str]) -> list[list[str]]:
     return [list(cell) for cell in row.first()]
 
 
-def _fold(tests: list, clauses: list[tuple[str, bool, str]]):
-    found = None
-    for (joiner, negated, _), test in zip(clauses, tests):
-        test = (not test if isinstance(test, bool) else ~test) if negated else test
-        if found is None:
-            found = test
-        else:
-            found = (found | test) if joiner == "or" else (found & test)
-    return found
-
-
-def _shifted(positions: Column, by: int) -> Column:
-    return F.transform(positions, lambda p: p - by)
-
-
-def search_postings(postings: DataFrame, keyword: str, ids: DataFrame | None = None) -> DataFrame:
+def search_postings(postings: DataFrame, keyword: str, docs: DataFrame | None = None) -> DataFrame:
     """(id, score) of the documents a keyword line selects; see `query_clauses` for its form.
 
-    Only postings of the line's terms are read. A line that also accepts documents without any of
-    them, such as `-term`, needs all document `ids`.
+    Only postings of the line's terms are read. A term of several tokens is checked in the texts of
+    those documents that hold all of them, and a line that accepts documents without any of its terms
+    needs all ids: both need `docs`, the documents the postings were built from.
     """
     clauses = query_clauses(keyword)
-    spark = postings.sparkSession
     if not clauses:
         return postings.select("id", F.lit(0.0).alias("score")).limit(0)
-    lists = _token_lists(spark, [term for _, _, term in clauses])
+    lists = _token_lists(postings.sparkSession, [term for _, _, term in clauses])
+    phrases = {i for i, words in enumerate(lists) if len(words) > 1}
+    negative = fold_clauses([False] * len(clauses), clauses)
+    if docs is None and (phrases or negative):
+        raise ValueError("phrases, and lines that accept documents without their terms, need the documents")
 
     def hit(word: str, prefix: bool) -> Column:
         return F.col("term").startswith(word) if prefix else F.col("term") == word
@@ -76,26 +63,32 @@ def search_postings(postings: DataFrame, keyword: str, ids: DataFrame | None = N
         hits = [hit(w, term.endswith("*") and k == len(words) - 1) for k, w in enumerate(words)]
         for h in hits:
             wanted = wanted | h
-        if len(words) == 1:
-            aggregates.append(F.coalesce(F.sum(F.when(hits[0], F.col("tf"))), F.lit(0)).alias(f"n{i}"))
-            continue
-        starts = None
-        for k, h in enumerate(hits):
-            found = F.flatten(F.collect_list(F.when(h, F.col("positions"))))
-            moved = _shifted(found, k)
-            starts = moved if starts is None else F.array_intersect(starts, moved)
-        aggregates.append(F.size(starts).cast("long").alias(f"n{i}"))
+        # For a phrase: the least count of its tokens, an upper bound.
+        sums = [F.coalesce(F.sum(F.when(h, F.col("tf"))), F.lit(0)) for h in hits]
+        aggregates.append((sums[0] if len(sums) == 1 else F.least(*sums)).alias(f"n{i}"))
     per_doc = postings.filter(wanted).groupBy("id").agg(*aggregates)
-    if _fold([False] * len(clauses), clauses):
-        if ids is None:
-            raise ValueError("this query accepts documents without any of its terms: pass their ids")
-        per_doc = ids.select("id").join(per_doc, "id", "left").fillna(0)
+    if docs is not None:
+        docs = docs.filter(F.col("status") == "completed")
+    if negative:
+        per_doc = docs.select("id").join(per_doc, "id", "left").fillna(0)
+    counts = [F.col(f"n{i}") for i in range(len(clauses))]
+    if phrases:
+        # A phrase that must be absent cannot rule out a document yet.
+        bounds = [F.lit(False) if i in phrases and clauses[i][1] else n > 0 for i, n in enumerate(counts)]
+        per_doc = cut_lineage(per_doc.filter(fold_clauses(bounds, clauses)))
+        held = per_doc.filter(F.greatest(F.lit(0), *[counts[i] for i in phrases]) > 0).select("id")
+        texts = keyed_join(docs.select("id", "markdown_content"), held, ["id"])
+        exact = texts.select(
+            "id", *[tokens.count_term(F.col("markdown_content"), clauses[i][2]).alias(f"p{i}") for i in phrases]
+        )
+        per_doc = per_doc.join(exact, "id", "left")
+        counts = [F.coalesce(f"p{i}", F.lit(0)) if i in phrases else n for i, n in enumerate(counts)]
     score = F.lit(0).cast("long")
-    for i, (_, negated, _) in enumerate(clauses):
+    for (_, negated, _), n in zip(clauses, counts):
         if not negated:
-            score = score + F.col(f"n{i}")
-    matched = per_doc.filter(_fold([F.col(f"n{i}") > 0 for i in range(len(clauses))], clauses))
-    return matched.select("id", score.cast("double").alias("score"))
+            score = score + n
+    found = per_doc.filter(fold_clauses([n > 0 for n in counts], clauses))
+    return found.select("id", score.cast("double").alias("score"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

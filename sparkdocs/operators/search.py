@@ -86,18 +86,11 @@ def substring_match(text: Column, keyword: str, like_wildcards: bool = False) ->
     return F.contains(F.lower(text), F.lower(F.lit(keyword)))
 
 
-def term_needle(term: str) -> Column:
-    """Blank-padded form of a word or phrase. A trailing `*` leaves the end open."""
-    if term.endswith("*"):
-        return F.rtrim(tokens.token_string(F.lit(term[:-1])))
-    return tokens.token_string(F.lit(term))
-
-
 def query_clauses(keyword: str) -> list[tuple[str, bool, str]]:
     """(`and`/`or`, negated, term) in reading order; terms without a letter or digit are left out.
 
     Words are joined by AND, `OR` joins its two neighbours, `-` negates, quotes make a phrase, `*`
-    a prefix. For groups in parentheses combine `term_match` columns with & and |.
+    a prefix. For groups in parentheses combine `tokens.matches_term` columns with & and |.
     """
     clauses, joiner = [], "and"
     for quoted_sign, phrase, word in re.findall(r'(-?)"([^"]*)"|(\S+)', keyword):
@@ -112,33 +105,55 @@ def query_clauses(keyword: str) -> list[tuple[str, bool, str]]:
     return clauses
 
 
-def term_match(token_str: Column, term: str) -> Column:
-    return F.contains(token_str, term_needle(term))
+def _needle(term: str) -> Column:
+    """Form of a term inside a token string; a prefix has an open end."""
+    words = F.trim(tokens.token_string(F.lit(term)))
+    tail = "" if term.endswith("*") else " "
+    return F.concat(F.lit(" "), words, F.lit(tail))
+
+
+def _holds(text: Column, token_str: Column | None, term: str) -> Column:
+    if token_str is None:
+        return tokens.matches_term(text, term)
+    return F.contains(token_str, _needle(term))
 
 
-def boolean_match(token_str: Column, keyword: str) -> Column:
-    """Full-text predicate of a web-style keyword line, folded left to right."""
+def _count(text: Column, token_str: Column | None, term: str) -> Column:
+    if token_str is None:
+        return tokens.count_term(text, term)
+    needle = _needle(term)
+    return F.when(
+        F.contains(needle, F.lit("  ")), tokens.phrase_occurrences(token_str, needle)
+    ).otherwise(tokens.occurrences(token_str, needle))
+
+
+def fold_clauses(tests: list, clauses: list[tuple[str, bool, str]]):
+    """Join the tests of all clauses from left to right; columns or plain truth values."""
     found = None
-    for joiner, negated, term in query_clauses(keyword):
-        test = term_match(token_str, term)
-        test = ~test if negated else test
+    for (joiner, negated, _), test in zip(clauses, tests):
+        if negated:
+            test = (not test) if isinstance(test, bool) else ~test
         if found is None:
             found = test
         else:
             found = (found | test) if joiner == "or" else (found & test)
-    return F.lit(False) if found is None else found
+    return found
+
+
+def boolean_match(text: Column, keyword: str, token_str: Column | None = None) -> Column:
+    """Full-text predicate of a web-style keyword line; `token_str` is used where it is stored."""
+    clauses = query_clauses(keyword)
+    if not clauses:
+        return F.lit(False)
+    return fold_clauses([_holds(text, token_str, term) for _, _, term in clauses], clauses)
 
 
-def term_score(token_str: Column, keyword: str) -> Column:
+def term_score(text: Column, keyword: str, token_str: Column | None = None) -> Column:
     """Occurrences of all terms that are not negated."""
     score = F.lit(0).cast("long")
     for _, negated, term in query_clauses(keyword):
         if not negated:
-            needle = term_needle(term)
-            count = F.when(
-                F.contains(needle, F.lit("  ")), tokens.phrase_occurrences(token_str, needle)
-            ).otherwise(tokens.occurrences(token_str, needle))
-            score = score + count
+            score = score + _count(text, token_str, term)
     return score.cast("double")
 
 
@@ -174,10 +189,9 @@ def matches(docs: DataFrame, p: SearchParams) -> DataFrame:
     if not p.keyword:
         return out.withColumn("score", F.lit(None).cast("double"))
     if p.search_type == "full_text":
-        if "token_str" not in stored:
-            out = out.withColumn("token_str", tokens.token_string(content))
-        found = out.filter(boolean_match(F.col("token_str"), p.keyword))
-        return found.withColumn("score", term_score(F.col("token_str"), p.keyword))
+        token_str = F.col("token_str") if "token_str" in stored else None
+        found = out.filter(boolean_match(content, p.keyword, token_str))
+        return found.withColumn("score", term_score(content, p.keyword, token_str))
     found = out.filter(
         substring_match(content, p.keyword, p.like_wildcards)
         | substring_match(name, p.keyword, p.like_wildcards)
