@@ -98,7 +98,10 @@ class _Markdown(HTMLParser):
         elif tag == "table":
             self.rows = []
         elif tag == "tr":
+            self._end_row()
             self.row = []
+        elif tag in ("td", "th") and self.row is not None and self.line:
+            self._end_cell()
         elif (tag in _MARKS and not self.pre) or tag == "a":
             self.open.append((tag, len(self.line), attrs.get("href") or ""))
 
@@ -122,12 +125,9 @@ class _Markdown(HTMLParser):
                 self._close(self.open[-1][0])
             self._close(tag)
         elif tag in ("td", "th") and self.row is not None:
-            self.row.append(re.sub(r"\s+", " ", self._text()).replace("|", "\\|"))
-        elif tag == "tr" and self.row is not None:
-            if self.line:
-                self.row.append(re.sub(r"\s+", " ", self._text()))
-            self.rows.append(self.row)
-            self.row = None
+            self._end_cell()
+        elif tag == "tr":
+            self._end_row()
         elif tag == "table":
             self._table()
         elif tag in _BLOCKS and self.row is None:
@@ -142,10 +142,18 @@ class _Markdown(HTMLParser):
             elif tag == "li" or tag[0] == "h":
                 self.lead = ""
 
-    def _table(self) -> None:
-        if self.row:
+    def _end_cell(self) -> None:
+        self.row.append(re.sub(r"\s+", " ", self._text()).replace("|", "\\|"))
+
+    def _end_row(self) -> None:
+        if self.row is not None:
+            if self.line:
+                self._end_cell()
             self.rows.append(self.row)
         self.row = None
+
+    def _table(self) -> None:
+        self._end_row()
         width = max((len(r) for r in self.rows), default=0)
         if width:
             lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in self.rows]

@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from sparkdocs import schemas as S
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfc(paths: pd.Series) -> pd.Series:
     return paths.map(lambda p: None if p is None else unicodedata.normalize("NFC", p))
 
