@@ -72,7 +72,7 @@ _BLANK = "'[ \\t\\n\\x0B\\f\\r]+'"
     """,
 )
 def _(t):
-    return html.convert_html(t.pages, "page_id", "html").select("page_id", "markdown_content")
+    return html.convert_html(t.pages, "html").select("page_id", "markdown_content")
 
 
 @query("html_title", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM {pages}")
@@ -253,7 +253,7 @@ def _(t):
         F.col("ts").cast("timestamp").alias("file_modified_time"),
         X.content_hash(F.col("event_id").cast("string")).alias("sha256"),
     )
-    return media.media_markdown(flat)
+    return flat.select("file_path", media.media_text(flat).alias("markdown_content"))
 
 
 # EXIF maps from orders: wanted and unwanted keys, short and long bytes, a long list.

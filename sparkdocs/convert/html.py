@@ -10,9 +10,13 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+EMPTY = "HTML conversion gave empty content"
+FAILED = "HTML to Markdown conversion failed"
 
 _BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "dd", "div", "dl", "dt", "fieldset", "figure",
@@ -176,31 +180,39 @@ def html_to_markdown(html: str) -> str:
     return "\n\n".join(parser.blocks)
 
 
-def _convert_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _convert_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, errors = [], []
-        for html in batch["html"]:
+        for html in batch.column(batch.num_columns - 1).to_pylist():
             try:
                 text = html_to_markdown(html or "")
                 texts.append(text if text.strip() else None)
-                errors.append(None if text.strip() else "HTML conversion gave empty content")
+                errors.append(None if text.strip() else EMPTY)
             except Exception as e:  # a bad page is a failed row, never a failed job
                 texts.append(None)
-                errors.append(f"HTML to Markdown conversion failed: {e}")
-        yield pd.DataFrame({"key": batch["key"], "markdown_content": texts, "error_message": errors})
+                errors.append(f"{FAILED}: {e}")
+        made = [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(errors, pa.string())]
+        names = [*batch.schema.names[:-1], "markdown_content", "error_message"]
+        yield pa.RecordBatch.from_arrays(made, names)
+
 
+def convert_html(pages: DataFrame, html: str) -> DataFrame:
+    """Rows with markdown_content and error_message in place of a column of HTML.
 
-def convert_html(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, markdown_content, error_message) of a column of HTML."""
-    made = pages.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html")).mapInPandas(
-        _convert_batches, "key string, markdown_content string, error_message string"
-    )
-    return made.select(F.col("key").cast(pages.schema[key].dataType).alias(key), "markdown_content", "error_message")
+    The other columns ride along in the Arrow batches, so no join is needed to put them back.
+    """
+    others = [c for c in pages.columns if c != html]
+    schema = T.StructType([
+        *[pages.schema[c] for c in others],
+        T.StructField("markdown_content", T.StringType()),
+        T.StructField("error_message", T.StringType()),
+    ])
+    return pages.select(*others, html).mapInArrow(_convert_batches, schema)
 
 
 def html_frame(rows: DataFrame) -> DataFrame:
     """Frame converter for files whose `text` is HTML."""
-    return convert_html(rows, "file_path", "text")
+    return convert_html(rows.drop("content"), "text")
 
 
 def html_title(html: Column) -> Column:

@@ -49,9 +49,9 @@ def _iso(ts: Column) -> Column:
     return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(micro)
 
 
-def media_markdown(flat: DataFrame, model: str | None = None) -> DataFrame:
-    """(file_path, markdown_content) of flattened probes with file_name, file_size,
-    file_modified_time, sha256 and, where transcription ran, `transcript`."""
+def media_text(flat: DataFrame, model: str | None = None) -> Column:
+    """Markdown of flattened probes with file_name, file_size, file_modified_time, sha256 and, where
+    transcription ran, `transcript`."""
     fields = [
         "format_name", "duration_seconds", "bit_rate", "video_codec", "audio_codec", "width", "height",
         "avg_frame_rate", "nb_streams",
@@ -74,15 +74,14 @@ def media_markdown(flat: DataFrame, model: str | None = None) -> DataFrame:
     transcript = F.lit(NO_TRANSCRIPT)
     if "transcript" in flat.columns:
         transcript = F.coalesce("transcript", transcript)
-    text = F.concat(header, F.lit("\n\n# "), "file_name", F.lit("\n\n"), transcript, F.lit("\n"))
-    return flat.select("file_path", text.alias("markdown_content"))
+    return F.concat(header, F.lit("\n\n# "), "file_name", F.lit("\n\n"), transcript, F.lit("\n"))
 
 
 def media_frame(rows: DataFrame) -> DataFrame:
     """Frame converter for media rows that carry `probe_json` and `content`; no probe is a failure."""
     flat = flatten_probe(rows.withColumn("sha256", content_hash(F.col("content"))))
-    made = media_markdown(flat.filter(F.col("probe_json").isNotNull()))
-    return made.withColumn("error_message", F.lit(None).cast("string"))
+    text = F.when(F.col("probe_json").isNotNull(), media_text(flat))
+    return flat.select(*rows.columns, text.alias("markdown_content"), F.lit("no media probe").alias("error_message"))
 
 
 def exif_keep(

@@ -11,7 +11,8 @@ from sparkdocs.functions.text import decode_utf8, strip_nul
 
 # Builds the Markdown from the row's columns; null means failure.
 ColumnConverter = Callable[[], Column]
-# Takes the rows of its types, returns (file_path, markdown_content, error_message).
+# Takes the rows of its types, returns (file_path, markdown_content, error_message), with the other
+# columns of the rows if it can keep them.
 FrameConverter = Callable[[DataFrame], DataFrame]
 
 
@@ -92,20 +93,19 @@ class ConverterRegistry:
         branches = {group: (frame, code) for group, frame, code in self._frames.values()}
         for group, (frame, conversion_type) in branches.items():
             mine = rows.filter(F.col("converter") == group).drop("converter")
-            made = frame(mine).select(
-                F.col("file_path").alias("_path"),
-                strip_nul(F.col("markdown_content")).alias("markdown_content"),
-                F.col("error_message").alias("_error"),
-            )
-            kept = mine.select(*[c for c in mine.columns if c not in ("text", "content")])
+            kept = [c for c in mine.columns if c not in ("text", "content")]
+            made = frame(mine)
+            if not set(kept) <= set(made.columns):
+                made = made.select("file_path", "markdown_content", "error_message")
+                made = mine.select(*kept).join(made, "file_path", "left")
             done = F.col("markdown_content").isNotNull()
             out = out.unionByName(
-                kept.join(made, kept["file_path"] == made["_path"], "left").select(
-                    *kept.columns,
+                made.select(
+                    *kept,
                     done.alias("success"),
-                    "markdown_content",
+                    strip_nul(F.col("markdown_content")).alias("markdown_content"),
                     F.when(done, conversion_type).alias("conversion_type"),
-                    F.when(~done, F.coalesce("_error", F.lit("conversion gave no content"))).alias("error_message"),
+                    F.when(~done, F.coalesce("error_message", F.lit("conversion gave no content"))).alias("error_message"),
                 )
             )
         return out

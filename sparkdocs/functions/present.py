@@ -36,7 +36,9 @@ def snippet(text: Column, keyword: str | None, length: int = SNIPPET_LENGTH) ->
         return head
     size = F.length(text)
     low = F.lower(text)
-    found = F.coalesce(*[F.nullif(F.locate(w.lower(), low), F.lit(0)) for w in words])
+    # Plain `when`: nullif would add a projection that keeps Spark from planning the page as a top-k.
+    places = [F.locate(w.lower(), low) for w in words]
+    found = F.coalesce(*[F.when(place > 0, place) for place in places])
     at = found - 1
     half = length // 2
     start0 = F.greatest(F.lit(0), at - half)

@@ -122,10 +122,13 @@ def trigram_similarity(text: Column, keyword: str, n_trigrams: Column | None = N
     needs the windows; pass it as `n_trigrams` where it is stored.
     """
     grams = keyword_trigrams(keyword)
+    if not grams:
+        return F.when(text.isNotNull(), F.lit(0.0))
     padded = word_string(text)
     shared = F.lit(0)
     for gram in grams:
         shared = shared + F.contains(padded, F.lit(gram)).cast("int")
     own = trigram_count(text) if n_trigrams is None else n_trigrams
-    union = own + F.lit(len(grams)) - shared
-    return F.when(text.isNotNull(), F.coalesce(F.try_divide(shared, union), F.lit(0.0)))
+    # No condition around this: Spark shares the padded string between the tests only if all of them
+    # are always evaluated. A null text gives null by itself.
+    return shared / (own + F.lit(len(grams)) - shared)

@@ -101,8 +101,10 @@ def merge_documents(
     kept = docs.join(fresh, path_key(docs["file_path"]) == F.col("_key"), "left").select(
         *[merged(f.name).cast(f.dataType).alias(f.name) for f in DOCUMENTS]
     )
-    known = docs.select(key)
-    added = batch.join(known, path_key(batch["file_path"]) == F.col("_key"), "left_anti")
+    if "action" in batch.columns:  # from detect_changes against these documents
+        added = batch.filter(F.col("action") == "new")
+    else:
+        added = batch.join(docs.select(key), path_key(batch["file_path"]) == F.col("_key"), "left_anti")
     return kept.unionByName(_insert(added, now))
 
 

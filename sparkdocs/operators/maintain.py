@@ -21,8 +21,7 @@ def orphans(
 ) -> DataFrame:
     """Documents under `folder` whose file is not in the unfiltered listing of it.
 
-    The anti join runs on paths alone. An unlisted folder gives no orphans, not all of them: the
-    second semi join asks whether the listing has any row below the folder.
+    The anti join runs on paths alone. An unlisted folder gives no orphans, not all of them.
     """
     columns = [c for c in docs.columns if c != "markdown_content"]
     stored = docs.select(columns).filter(under(F.col("file_path"), folder))
@@ -31,10 +30,9 @@ def orphans(
     if path_keyword:
         stored = stored.filter(substring_match(F.col("file_path"), path_keyword))
     disk = listing.select("file_path").filter(under(F.col("file_path"), folder))
-    listed = disk.limit(1).select(F.lit(True).alias("_listed"))
-    gone = stored.join(disk, "file_path", "left_anti")
-    # At most one row on the right: a flag, not a product.
-    return gone.withColumn("_listed", F.lit(True)).join(F.broadcast(listed), "_listed", "left_semi").select(columns)
+    if disk.isEmpty():
+        return stored.limit(0)
+    return stored.join(disk, "file_path", "left_anti").select(columns)
 
 
 def delete_documents(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

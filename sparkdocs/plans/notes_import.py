@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdocs import schemas as S
-from sparkdocs.convert.html import convert_html
+from sparkdocs.convert.html import FAILED, convert_html
 from sparkdocs.functions.text import from_epoch_ms, strip_nul
 from sparkdocs.operators.changes import detect_changes
 from sparkdocs.operators.hierarchy import folder_paths
@@ -68,10 +68,9 @@ def import_notes(
         F.lit(True).alias("success"), F.lit(None).cast("string").alias("error_message"),
     )
     bodies = todo.filter(F.col("body") != "")
-    made = convert_html(bodies, "file_path", "body")
     # An all-markup body is an empty document here, not a failure.
-    failed = F.col("error_message").startswith("HTML to Markdown conversion failed")
-    full = bodies.select(*_OUT).join(made, "file_path").select(
+    failed = F.col("error_message").startswith(FAILED)
+    full = convert_html(bodies.select(*_OUT, "body"), "body").select(
         *_OUT, strip_nul(F.coalesce("markdown_content", F.lit(""))).alias("markdown_content"),
         F.lit(S.STRUCTURED).alias("conversion_type"),
         F.coalesce(~failed, F.lit(True)).alias("success"), "error_message",

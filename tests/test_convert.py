@@ -1,8 +1,10 @@
 import base64
+import hashlib
 import io
 import json
 import zipfile
 import zlib
+from datetime import datetime, timezone
 from urllib.parse import quote
 
 import pytest
@@ -166,3 +168,19 @@ def test_human_formats(spark):
 def test_clean_label_order(spark):
     df = spark.createDataFrame([("&amp;nbsp;a &lt;b&gt;x&lt;/b&gt;\n&#39;q&quot; <br/>",)], "t string")
     assert df.select(X.clean_label(F.col("t"))).first()[0] == "a x 'q\""
+
+
+def test_media_files(spark):
+    t = datetime(2025, 1, 2, 3, 4, 5, tzinfo=timezone.utc)
+    probe = '{"format": {"duration": "61.5"}, "streams": []}'
+    df = spark.createDataFrame(
+        [("/m/a.mp4", "a.mp4", "MP4", b"abc", 3, t, probe), ("/m/b.mp3", "b.mp3", "mp3", b"", 0, t, None)],
+        "file_path string, file_name string, file_type string, content binary, file_size long, file_modified_time timestamp, probe_json string",
+    )
+    got = {r.file_name: r for r in default_registry(with_probes=True).convert(df).collect()}
+    text = got["a.mp4"].markdown_content
+    assert got["a.mp4"].conversion_type == S.MEDIA and not got["b.mp3"].success
+    for line in ("source_file: a.mp4", f"hash_sha256: {hashlib.sha256(b'abc').hexdigest()}", "modified_time: 2025-01-02T03:04:05",
+                 "  duration_seconds: 61.5", "  duration_human: 01:01.500", "  width: None", "file_size_human: 3.00 B"):
+        assert f"\n{line}\n" in text
+    assert text.endswith("---\n\n# a.mp4\n\n(音视频转录功能未启用)\n")
