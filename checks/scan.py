@@ -38,7 +38,7 @@ def _(t):
 
 @query("scan_excluded", f"{_LISTED} WHERE starts_with(file_path, '/corpus/') AND NOT ({_KEPT})")
 def _(t):
-    return _listed(t.listing.filter(P.under(F.col("file_path"), "/corpus") & P.excluded(F.col("file_path"), "/corpus")))
+    return _listed(t.listing.filter(P.under(F.col("file_path"), "/corpus") & P.excluded(P.relative(F.col("file_path"), "/corpus"))))
 
 
 @query(

@@ -9,13 +9,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdocs.session import prepare
+from sparkdocs.session import prepare, stage
 
 BASE = {
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 }
 
+# Views that stand for stored tables and are costly to derive again for each branch of a plan.
+STAGED = {"listing", "contents"}
+
 _START = "TIMESTAMP '2024-01-01 00:00:00'"
 
 VIEWS = {
@@ -169,7 +172,8 @@ class Tables:
                 self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             else:
                 inputs = {n: getattr(self, n) for n in _names(VIEWS[name])}
-                self._made[name] = self.spark.sql(VIEWS[name], **inputs)
+                made = self.spark.sql(VIEWS[name], **inputs)
+                self._made[name] = stage(made) if name in STAGED else made
         return self._made[name]
 
 

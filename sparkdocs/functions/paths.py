@@ -92,14 +92,12 @@ def derive_source(path: Column, download_root: str | None) -> Column:
 
 
 def excluded(
-    path: Column,
-    root: str,
+    rel: Column,
     dirs: list[str] = S.EXCLUDED_DIRS,
     dir_suffixes: list[str] = S.EXCLUDED_DIR_SUFFIXES,
     extensions: list[str] = S.EXCLUDED_EXTENSIONS,
 ) -> Column:
-    """Files in a shut-out folder below the root, or with a shut-out extension."""
-    rel = relative(path, root)
+    """Files in a shut-out folder, or with a shut-out extension; the path is relative to the root."""
     tests = []
     if dirs:
         tests.append(rel.rlike("(?:^|/)(?:" + "|".join(re.escape(d) for d in dirs) + ")/"))
@@ -107,7 +105,7 @@ def excluded(
         tests.append(
             F.lower(rel).rlike("(?:" + "|".join(re.escape(s.lower()) for s in dir_suffixes) + ")/")
         )
-    tests.extend(F.lower(path).endswith("." + e.lower()) for e in extensions)
+    tests.extend(F.lower(rel).endswith("." + e.lower()) for e in extensions)
     found = F.lit(False)
     for test in tests:
         found = found | test
@@ -124,8 +122,8 @@ def has_type(path: Column, types: str | None) -> Column:
     return found
 
 
-def at_top(path: Column, root: str) -> Column:
-    return ~relative(path, root).contains("/")
+def at_top(rel: Column) -> Column:
+    return ~rel.contains("/")
 
 
 def _utc(text: str) -> datetime:

@@ -17,7 +17,7 @@ def select_for_export(
     """Files of the wanted types below `root`; folder exclusions of a scan do not apply."""
     wanted = [e.strip().lower().lstrip(".") for e in (extensions or S.EXTENSIONS)]
     found = listing.filter(P.under(F.col("file_path"), root) & F.lower(P.extension(F.col("file_path"))).isin(wanted))
-    return found if recursive else found.filter(P.at_top(F.col("file_path"), root))
+    return found if recursive else found.filter(P.at_top(P.relative(F.col("file_path"), root)))
 
 
 def export_paths(files: DataFrame, root: str) -> DataFrame:

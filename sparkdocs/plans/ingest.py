@@ -57,20 +57,16 @@ def scan_scopes(listing: DataFrame, roots: list[str], options: IngestOptions, si
     holds it. One pass over the listing for all folders."""
     path, mtime = F.col("file_path"), F.col("file_modified_time")
     scope: Column = F.lit(None).cast("string")
-    taken: Column = F.lit(False)
+    recent: Column = F.lit(True)
     for root in reversed(roots):
         date_from = options.date_from or (None if options.full else since.get(root))
-        test = (
-            ~P.excluded(path, root)
-            & P.has_type(path, options.file_types)
-            & P.modified_within(mtime, date_from, options.date_to)
-        )
-        if not options.recursive:
-            test = test & P.at_top(path, root)
         inside = P.under(path, root)
         scope = F.when(inside, root).otherwise(scope)
-        taken = F.when(inside, test).otherwise(taken)
-    return listing.filter(taken).withColumn("scope_key", scope)
+        recent = F.when(inside, P.modified_within(mtime, date_from, options.date_to)).otherwise(recent)
+    scoped = listing.filter(recent).withColumn("scope_key", scope).filter(F.col("scope_key").isNotNull())
+    rel = path.substr(F.length(F.regexp_replace("scope_key", "/$", "")) + 2, F.length(path))
+    taken = scoped.filter(~P.excluded(rel) & P.has_type(path, options.file_types))
+    return taken if options.recursive else taken.filter(P.at_top(rel))
 
 
 def ingest(
@@ -87,8 +83,9 @@ def ingest(
 ) -> IngestRun:
     """Plan one run over one or more folders.
 
-    Sidecars are joined before the change test, contents after it. With `staged` the changed files are
-    written once, parted by converter, and so is the outcome, because the merge and the reports read it.
+    Sidecars are joined before the change test, contents after it. With `staged` three steps are written
+    once because later ones read them more than once: the change test, the changed files (parted by
+    converter), and the outcome.
     """
     registry = registry or default_registry()
     found = latest_per_path(scan_scopes(listing, roots, options, cursors(state, roots)))
@@ -98,6 +95,8 @@ def ingest(
         found = join_sidecars(found, sidecars)
     found = found.withColumn("source", P.derive_source(F.col("file_path"), options.download_root))
     actions = detect_changes(found, docs)
+    if staged:
+        actions = stage(actions)
     todo = actions.filter(F.col("action") != "unchanged").join(contents, "file_path", "left")
     todo = todo.withColumn("converter", registry.converter_of(F.col("file_type")))
     converted = registry.convert(stage(todo, "converter") if staged else todo)

@@ -58,9 +58,10 @@ def scan_listing(
 ) -> DataFrame:
     """Files of a listing that a scan of `root` takes."""
     path = F.col("file_path")
-    found = listing.filter(P.under(path, root) & ~P.excluded(path, root))
+    rel = P.relative(path, root)
+    found = listing.filter(P.under(path, root) & ~P.excluded(rel))
     if not recursive:
-        found = found.filter(P.at_top(path, root))
+        found = found.filter(P.at_top(rel))
     return found.filter(
         P.has_type(path, file_types) & P.modified_within(F.col("file_modified_time"), date_from, date_to)
     )
