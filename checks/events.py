@@ -83,5 +83,5 @@ def _(t):
 @query("event_history_stream", _HISTORY + "10")
 def _(t):
     base, stream = _event_stream(t)
-    start_history(stream, f"{base}/feed", f"{base}/offsets", keep=10).awaitTermination()
-    return current_history(t.spark, f"{base}/feed").select("session_id", "event_no", "stage", "message")
+    start_history(stream, f"{base}/feed", f"{base}/offsets", keep=10, whole_every=2).awaitTermination()
+    return current_history(t.spark, f"{base}/feed", whole_every=2).select("session_id", "event_no", "stage", "message")

@@ -6,6 +6,7 @@ from checks.tables import query
 from sparkdocs.functions import present, tokens
 from sparkdocs.operators.fulltext import build_postings, search_batch, search_postings
 from sparkdocs.operators.search import SearchParams, matches, search, search_info
+from sparkdocs.session import stage
 
 _TOK = (
     "CASE WHEN trim(regexp_replace(lower({0}), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+', '  ', 'g')) = '' THEN '' "
@@ -252,4 +253,4 @@ _BTOK = "string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')"
 )
 def _(t):
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    return search_batch(build_postings(t.docs), queries)
+    return search_batch(stage(build_postings(t.docs)), queries)

@@ -105,7 +105,8 @@ class DocumentStore:
         if documents is not None:
             target = f"{self.root}/documents/v={version}"
             spread = documents.withColumn("bucket", self._bucket(F.col("file_path")))
-            spread.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+            # Brings a bucket's rows together, and splits a large bucket over several tasks and files.
+            spread.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(target)
             written = self.spark.read.schema("file_path string, bucket int").parquet(target)
             present = {r["bucket"] for r in written.select("bucket").distinct().collect()}
             for bucket in touched:

@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from sparkdocs import schemas as S
 from sparkdocs.operators.events import event_history, stage_counts
 
+WHOLE_EVERY = 50
+
 _EVENT = "session_id string, event_no long, ts timestamp, level string, stage string, message string"
 
 
@@ -45,32 +47,47 @@ def _kept(spark: SparkSession, feed: str) -> DataFrame | None:
         return None
 
 
-def current_history(spark: SparkSession, feed: str, before: int | None = None) -> DataFrame:
-    """Kept events of every session, as of the last batch or of the last one before `before`."""
+def current_history(
+    spark: SparkSession, feed: str, before: int | None = None, whole_every: int = WHOLE_EVERY
+) -> DataFrame:
+    """Kept events of every session, as of the last batch or of the last one before `before`.
+
+    Reads from the last batch folder that holds all sessions.
+    """
     kept = _kept(spark, feed)
     if kept is None:
         return spark.createDataFrame([], _EVENT)
     if before is not None:
         kept = kept.filter(F.col("batch") < before)
+        newest = before - 1
+    else:
+        newest = kept.agg(F.max("batch")).first()[0] or 0
+    kept = kept.filter(F.col("batch") >= newest - newest % whole_every)
     last = kept.groupBy("session_id").agg(F.max("batch").alias("batch"))
     return kept.join(last, ["session_id", "batch"]).drop("batch")
 
 
 def start_history(
-    events: DataFrame, feed: str, checkpoint: str, keep: int = S.EVENTS_KEPT_PER_SESSION
+    events: DataFrame,
+    feed: str,
+    checkpoint: str,
+    keep: int = S.EVENTS_KEPT_PER_SESSION,
+    whole_every: int = WHOLE_EVERY,
 ) -> StreamingQuery:
     """Keep the latest events per session in `feed`.
 
     The latest of old and new events are the latest of those kept so far and the new ones, so a batch
-    reads what is kept of the sessions it touches. The salted ranking of `event_history` keeps a busy
-    session off a single task.
+    reads what is kept of the sessions it touches, and writes those. Every `whole_every`-th batch writes
+    all sessions, which bounds what readers have to read. The salted ranking of `event_history` keeps a
+    busy session off a single task.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.select("session_id", "event_no", "ts", "level", "stage", "message")
-        touched = new.select("session_id").distinct()
-        old = current_history(spark, feed, before=batch_id).join(touched, "session_id", "left_semi")
+        old = current_history(spark, feed, batch_id, whole_every)
+        if batch_id % whole_every:
+            old = old.join(new.select("session_id").distinct(), "session_id", "left_semi")
         event_history(old.unionByName(new), keep).write.mode("overwrite").parquet(f"{feed}/batch={batch_id}")
 
     return (
