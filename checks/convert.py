@@ -90,38 +90,38 @@ def _(t):
     return t.pages.select("page_id", X.clean_label(F.col("html")).alias("label"))
 
 
-# Two-page diagrams built from events: per user, clicks on one page, errors on the other.
+# Diagrams of fifty events each: clicks on one page, errors on another, and an empty page.
 def _diagrams(t):
     cells = t.events.filter(F.col("event_type").isin("click", "error")).select(
-        "user_id", "event_type", "event_id",
+        F.floor(F.col("event_id") / 50).alias("no"), "event_type", "event_id",
         F.concat(
             F.lit('<mxCell id="c'), "event_id", F.lit('" value="&lt;b&gt;'), "event_type", F.lit("&lt;/b&gt;&amp;nbsp;"),
             "event_id", F.lit('" vertex="1"/>'),
         ).alias("cell"),
     )
-    pages = cells.groupBy("user_id", "event_type").agg(
+    pages = cells.groupBy("no", "event_type").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "cell"))), lambda c: c["cell"]), "").alias("x")
     )
     shown = pages.select(
-        "user_id", "event_type",
+        "no", "event_type",
         F.concat(
             F.lit('<diagram name="'), "event_type",
             F.lit('"><mxGraphModel><root><mxCell id="0"/><mxCell id="1" value="base"/>'), "x",
             F.lit("</root></mxGraphModel></diagram>"),
         ).alias("page"),
     )
-    files = shown.groupBy("user_id").agg(
+    files = shown.groupBy("no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_type", "page"))), lambda p: p["page"]), "").alias("x")
     )
     xml = F.concat(F.lit("<mxfile>"), "x", F.lit('<diagram name="empty"/></mxfile>'))
     return files.select(
-        F.concat(F.lit("/d/u"), "user_id", F.lit(".drawio")).alias("file_path"), F.encode(xml, "UTF-8").alias("content")
+        F.concat(F.lit("/d/u"), "no", F.lit(".drawio")).alias("file_path"), F.encode(xml, "UTF-8").alias("content")
     )
 
 
 @query(
     "diagram_labels",
-    "SELECT '/d/u' || user_id || '.drawio' AS file, event_type AS page_name, event_type || ' ' || event_id AS label "
+    "SELECT '/d/u' || event_id // 50 || '.drawio' AS file, event_type AS page_name, event_type || ' ' || event_id AS label "
     "FROM {events} WHERE event_type IN ('click', 'error')",
 )
 def _(t):
@@ -133,16 +133,16 @@ def _(t):
     "diagram_markdown",
     """
     WITH p AS (
-        SELECT user_id, event_type, count(*) AS n,
+        SELECT event_id // 50 AS no, event_type, count(*) AS n,
                '## ' || event_type || chr(10) || chr(10)
                || string_agg('- ' || event_type || ' ' || event_id, chr(10) || chr(10) ORDER BY event_id) AS block
-        FROM {events} WHERE event_type IN ('click', 'error') GROUP BY user_id, event_type
+        FROM {events} WHERE event_type IN ('click', 'error') GROUP BY event_id // 50, event_type
     )
-    SELECT '/d/u' || user_id || '.drawio' AS file, count(*) + 1 AS pages, sum(n)::BIGINT AS items,
-           '# u' || user_id || '.drawio' || chr(10) || chr(10) || '总共 ' || (count(*) + 1) || ' 个页面，' || sum(n)::BIGINT || ' 个文本项目'
+    SELECT '/d/u' || no || '.drawio' AS file, count(*) + 1 AS pages, sum(n)::BIGINT AS items,
+           '# u' || no || '.drawio' || chr(10) || chr(10) || '总共 ' || (count(*) + 1) || ' 个页面，' || sum(n)::BIGINT || ' 个文本项目'
            || chr(10) || chr(10) || '---' || chr(10) || chr(10) || string_agg(block, repeat(chr(10), 4) ORDER BY event_type)
            || repeat(chr(10), 4) || '## empty' || chr(10) || chr(10) || '*此页面没有找到文本内容*' || chr(10) AS markdown_content
-    FROM p GROUP BY user_id
+    FROM p GROUP BY no
     """,
 )
 def _(t):
