@@ -54,16 +54,17 @@ def groups_of(batches, keys: list[str]):
 def block_pairs(df: DataFrame, blocks: str, member: str) -> DataFrame:
     """Rows of a group dealt to pairs of its `blocks` blocks, so that any two members meet in one.
 
-    Adds `blk_i` <= `blk_j`. A group of one block is not repeated; one of b blocks is repeated b times.
+    Adds `blk_i` <= `blk_j` and the member's `own` block. A group of one block is not repeated; one of b
+    blocks is repeated b times.
     """
     own = F.pmod(F.xxhash64(member, F.lit(7)), F.col(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")))
     return (
-        df.withColumn("_own", own)
+        df.withColumn("own", own)
         .withColumn("_other", other)
-        .withColumn("blk_i", F.least("_own", "_other"))
-        .withColumn("blk_j", F.greatest("_own", "_other"))
-        .drop("_own", "_other")
+        .withColumn("blk_i", F.least("own", "_other"))
+        .withColumn("blk_j", F.greatest("own", "_other"))
+        .drop("_other")
     )
 
 
