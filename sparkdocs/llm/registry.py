@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkdocs.llm.embed_dedup import near_vectors
 from sparkdocs.llm.minhash import near_duplicates
+from sparkdocs.llm.quality import judged
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,12 +19,18 @@ def op3_hyperplanes(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op6_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return judged(docs.select("doc_id", "text"), "q").select("doc_id", "q.*")
+
+
 def op9_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hyperplanes": op3_hyperplanes,
+    "op6_weak_supervision": op6_weak_supervision,
     "op9_bbit_minhash": op9_bbit_minhash,
 }
 
