@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkdocs.llm.embed_dedup import near_vectors
+from sparkdocs.llm.langid import identify, learn
 from sparkdocs.llm.minhash import near_duplicates
 from sparkdocs.llm.quality import judged
 
@@ -28,10 +30,24 @@ def op9_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def crc32_rest(column: str, modulus: int):
+    """crc32 of a number as text, modulo `modulus`; null for a null number."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc32_rest("doc_id", 4) == 2, F.lit(False))
+    model = learn(docs, held_out)
+    found = identify(docs.select("doc_id", "text"), model, "found")
+    return found.select("doc_id", held_out.alias("held_out"), "found.lang_pred", "found.score", "found.rejected", "found.cross_entropy")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hyperplanes": op3_hyperplanes,
     "op6_weak_supervision": op6_weak_supervision,
     "op9_bbit_minhash": op9_bbit_minhash,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 ORACLES: dict[str, str] = {}
