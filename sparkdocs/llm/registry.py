@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdocs.llm.embed_dedup import near_vectors
 from sparkdocs.llm.langid import identify, learn
 from sparkdocs.llm.minhash import near_duplicates
+from sparkdocs.llm.packing import pack_documents, tokenizer_text
 from sparkdocs.llm.quality import judged
 
 
@@ -21,6 +23,11 @@ def op3_hyperplanes(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op5_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    model = tokenizer_text(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(_table(spark, folder, "documents"), model)
+
+
 def op6_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return judged(docs.select("doc_id", "text"), "q").select("doc_id", "q.*")
@@ -45,6 +52,7 @@ def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hyperplanes": op3_hyperplanes,
+    "op5_best_fit": op5_best_fit,
     "op6_weak_supervision": op6_weak_supervision,
     "op9_bbit_minhash": op9_bbit_minhash,
     "op10_kneser_ney": op10_kneser_ney,
