@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkdocs.llm.langid import identify, learn
 from sparkdocs.llm.minhash import near_duplicates
+from sparkdocs.llm.packing import pack_documents, tokenizer_text
+from sparkdocs.llm.quality import free_name, judged
 from sparkdocs.session import fresh_dir
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules' posterior, or the length and repetition floor, rejects go."""
+    name = free_name(docs, "quality")
+    return judged(docs, name).filter(F.col(name).getField("kept")).select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, above their language's calibrated cross-entropy or of unsure language go.
+
+    The models are learned from labelled rows that are still there.
+    """
+    name = free_name(docs, "language")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = identify(docs, learn(docs, held_out), name)
+    return found.filter(~F.col(name).getField("rejected")).select(*docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id.
@@ -23,7 +46,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents left, each with its sequence and place in it."""
+    return pack_documents(docs, tokenizer_text(TOKENIZER))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("packing", packing),
+]
 
 # Trained models, unions of links and packing have no SQL form; tests/llm compares with brute force.
 ORACLE_SQL = None
