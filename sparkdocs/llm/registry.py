@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkdocs.llm.bpe import decode, encode
 from sparkdocs.llm.embed_dedup import near_vectors
 from sparkdocs.llm.langid import identify, learn
 from sparkdocs.llm.minhash import near_duplicates
@@ -33,6 +34,14 @@ def op6_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     return judged(docs.select("doc_id", "text"), "q").select("doc_id", "q.*")
 
 
+def op8_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    model = tokenizer_text(public_tokenizers.path("word_bpe_49k.json"))
+    encoded = encode(_table(spark, folder, "documents").select("doc_id", "text"), model).drop("text")
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    numbered = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
+    return decode(numbered, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
@@ -54,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hyperplanes": op3_hyperplanes,
     "op5_best_fit": op5_best_fit,
     "op6_weak_supervision": op6_weak_supervision,
+    "op8_automaton": op8_automaton,
     "op9_bbit_minhash": op9_bbit_minhash,
     "op10_kneser_ney": op10_kneser_ney,
 }
