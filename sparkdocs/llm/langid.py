@@ -17,13 +17,15 @@ from sparkdocs.session import stage
 
 ORDER = 5
 # Labelled rows a language is learned from, and further ones that calibrate; both bounds are expected counts.
-TRAIN_ROWS = 5_000
+TRAIN_ROWS = 3_000
 CALIBRATION_ROWS = 1_000
 # Calibration texts of a language whose cross-entropy may lie above its limit, and the room added beyond.
 LIMIT_QUANTILE = 0.995
 LIMIT_ROOM = 1.5
 LIMIT_SHORT = 4.0
 LEAST_SCORE = 0.5
+# Texts whose words a task holds at a time.
+SLICE_ROWS = 500
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -294,7 +296,7 @@ def _entropies(shared, columns: list[str]):
     def run(batches):
         model = shared.value
         scorer = Scorer(model.models, model.alphabet)
-        for batch in batches:
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
             entropy, n = scorer.texts(batch.column(batch.schema.get_field_index("text")).to_pylist())
             lang, score, rejected = model.judge(entropy, n)
             low = entropy.min(axis=1) if entropy.shape[1] else np.zeros(len(n))
@@ -339,8 +341,8 @@ def _calibrate(spark, model: LanguageModel, rows: DataFrame) -> None:
         model.limits[str(lang)] = float(high + LIMIT_ROOM * max(high - mid, 0.1))
 
 
-def identify(docs: DataFrame, model: LanguageModel, name: str = "language") -> DataFrame:
-    """`docs` with a struct `name`: lang_pred, score, rejected, cross_entropy, n_letters.
+def identify(docs: DataFrame, model: LanguageModel, name: str = "language", keep: list[str] | None = None) -> DataFrame:
+    """Columns `keep` (all) of `docs` with a struct `name`: lang_pred, score, rejected, cross_entropy, n_letters.
 
     lang_pred is the language of the lowest cross-entropy per character over the whole text, or `und`
     for a null text and for one without a letter (score 0). Only the text is looked at. `rejected` holds
@@ -351,12 +353,13 @@ def identify(docs: DataFrame, model: LanguageModel, name: str = "language") -> D
     name = free_name(docs, name)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    keep = docs.columns if keep is None else keep
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text"))
     kept = StructType([StructField("row", rows.schema["row"].dataType)])
     for field in spark.createDataFrame([], _ADDED).schema:
         kept.add(field)
     out = rows.mapInArrow(_entropies(shared, ["row"]), kept)
     return out.select(
-        *[F.col("row").getField(c).alias(c) for c in docs.columns],
+        *[F.col("row").getField(c).alias(c) for c in keep],
         F.struct("lang_pred", "score", "rejected", "cross_entropy", "n_letters").alias(name),
     )

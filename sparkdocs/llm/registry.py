@@ -13,6 +13,7 @@ from sparkdocs.llm.embed_dedup import near_vectors
 from sparkdocs.llm.langid import identify, learn
 from sparkdocs.llm.minhash import near_duplicates
 from sparkdocs.llm.packing import pack_documents, tokenizer_text
+from sparkdocs.llm.ppm import score_texts
 from sparkdocs.llm.quality import judged
 
 
@@ -20,10 +21,22 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def crc32_rest(column: str, modulus: int):
+    """crc32 of a number as text, modulo `modulus`; null for a null number."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
 def op3_hyperplanes(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op4_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc32_rest("doc_id", 7) == 2, F.lit(False))
+    docs = docs.withColumn("held_out", held_out)
+    return score_texts(docs, F.col("held_out"), ["doc_id", "held_out"])
+
+
 def op5_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     model = tokenizer_text(public_tokenizers.path("byte_bpe_50k.json"))
     return pack_documents(_table(spark, folder, "documents"), model)
@@ -46,21 +59,17 @@ def op9_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
-def crc32_rest(column: str, modulus: int):
-    """crc32 of a number as text, modulo `modulus`; null for a null number."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
-
-
 def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(crc32_rest("doc_id", 4) == 2, F.lit(False))
     model = learn(docs, held_out)
-    found = identify(docs.select("doc_id", "text"), model, "found")
+    found = identify(docs, model, "found", keep=["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "found.lang_pred", "found.score", "found.rejected", "found.cross_entropy")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hyperplanes": op3_hyperplanes,
+    "op4_ppm": op4_ppm,
     "op5_best_fit": op5_best_fit,
     "op6_weak_supervision": op6_weak_supervision,
     "op8_automaton": op8_automaton,
