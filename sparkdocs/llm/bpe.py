@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from sparkdocs.llm.common import CACHE_WORDS
-from sparkdocs.llm.packing import _L, _N, _S
+from sparkdocs.llm.packing import _L, _N, _S, byte_letters
 from sparkdocs.llm.quality import free_name
 
 SUFFIX = "</w>"
@@ -24,13 +24,6 @@ _BEYOND = re.compile("[^\\u0000-\\u052f]")
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
-def byte_letters() -> list[str]:
-    """The printable letter that byte-level tokenizers write for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    moved = [b for b in range(256) if b not in plain]
-    return [chr(b) if b in plain else chr(256 + moved.index(b)) for b in range(256)]
-
-
 class Automaton:
     """Deterministic automaton over tokens. A state is the token read last; `allows` is the arc table.
 

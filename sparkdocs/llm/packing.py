@@ -22,6 +22,7 @@ END_ID = 2
 # Pieces one task packs together, and the emptiest sequences it hands on to the next, smaller round.
 GROUP_PIECES = 20_000
 HANDED_ON = 64
+SLICE_ROWS = 500
 
 
 def _char_class(kind: str) -> str:
@@ -44,8 +45,30 @@ WORD = re.compile(
 _BEYOND = re.compile("[^\\u0000-\\u052f]")
 
 
+def byte_letters() -> list[str]:
+    """The printable letter that byte-level tokenizers write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + moved.index(b)) for b in range(256)]
+
+
+class WordIds(dict):
+    """Ids of a word as little-endian uint32 bytes, remembered up to a bound."""
+
+    def __init__(self, tokenizer):
+        self.model = tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
+
+    def __missing__(self, word: str) -> bytes:
+        spelled = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        value = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        if len(self) < CACHE_WORDS:
+            self[word] = value
+        return value
+
+
 class ByteEncoder:
-    """Token ids as little-endian uint32 bytes, word by word, remembered up to a bound.
+    """Token ids of a text as little-endian uint32 bytes, word by word.
 
     Texts with other scripts, or with a special token's own string, go to the tokenizer whole.
     """
@@ -53,27 +76,13 @@ class ByteEncoder:
     def __init__(self, model: str):
         self.tokenizer = tokenizers.Tokenizer.from_str(model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, texts: list) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        split: list = []
-        for text in texts:
-            text = text or ""
-            whole = _BEYOND.search(text) or any(s in text for s in self.special)
-            split.append(None if whole else WORD.findall(text))
-        new = list({w for words in split if words for w in words if w not in self.known})
-        for i in range(0, len(new), 20_000):
-            self.known.update(zip(new[i : i + 20_000], self._ids(new[i : i + 20_000])))
-        get = self.known.__getitem__
-        return [
-            b"".join(map(get, words)) if words is not None else self._ids([text])[0] for words, text in zip(split, texts)
-        ]
+        self.known = WordIds(self.tokenizer)
+
+    def encode(self, text: str | None) -> bytes:
+        text = text or ""
+        if _BEYOND.search(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.known.__getitem__, WORD.findall(text)))
 
 
 def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -90,11 +99,10 @@ def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, end_id: int =
     def run(batches):
         encoder = ByteEncoder(shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for first in range(0, len(texts), 500):
+            for first in range(0, batch.num_rows, SLICE_ROWS):
                 rows, no, start, ids = [], [], [], []
-                for i, raw in enumerate(encoder.encode(texts[first : first + 500]), first):
-                    raw += tail
+                for i, text in enumerate(batch.column(1).slice(first, SLICE_ROWS).to_pylist(), first):
+                    raw = encoder.encode(text) + tail
                     n = len(raw) // 4
                     cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
