@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdocs.llm.bpe import decode, encode
+from sparkdocs.llm.chat import ROTATION_SQL, rotate
 from sparkdocs.llm.embed_dedup import near_vectors
 from sparkdocs.llm.langid import identify, learn
+from sparkdocs.llm.license import recognise
 from sparkdocs.llm.minhash import near_duplicates
 from sparkdocs.llm.packing import pack_documents, tokenizer_text
 from sparkdocs.llm.ppm import score_texts
 from sparkdocs.llm.quality import judged
+from sparkdocs.llm.warc import MERKLE_SQL, archive, audit, damaged, leaves
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +29,17 @@ def crc32_rest(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def op1_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    found = rotate(_table(spark, folder, "conversations"))
+    runs = F.transform("mask", lambda r: F.concat(r["length"].cast("string"), F.when(r["trained"], ":1").otherwise(":0")))
+    return found.select("conv_id", "viewer", "part", "n_turns", "text", F.array_join(runs, " ").alias("mask_runs"), "n_trained")
+
+
+def op2_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    records = archive(_table(spark, folder, "pages"))
+    return audit(leaves(records), leaves(damaged(records)))
+
+
 def op3_hyperplanes(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
@@ -47,6 +61,10 @@ def op6_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     return judged(docs.select("doc_id", "text"), "q").select("doc_id", "q.*")
 
 
+def op7_sentence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return recognise(_table(spark, folder, "documents"))
+
+
 def op8_automaton(spark: SparkSession, folder: str) -> DataFrame:
     model = tokenizer_text(public_tokenizers.path("word_bpe_49k.json"))
     encoded = encode(_table(spark, folder, "documents").select("doc_id", "text"), model).drop("text")
@@ -68,13 +86,16 @@ def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rotation": op1_rotation,
+    "op2_merkle": op2_merkle,
     "op3_hyperplanes": op3_hyperplanes,
     "op4_ppm": op4_ppm,
     "op5_best_fit": op5_best_fit,
     "op6_weak_supervision": op6_weak_supervision,
+    "op7_sentence_rules": op7_sentence_rules,
     "op8_automaton": op8_automaton,
     "op9_bbit_minhash": op9_bbit_minhash,
     "op10_kneser_ney": op10_kneser_ney,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_rotation": ROTATION_SQL, "op2_merkle": MERKLE_SQL}
