@@ -53,7 +53,7 @@ def gram_hashes(codes: np.ndarray, lengths: np.ndarray, order: int = ORDER) -> l
     power = np.uint64(1)
     with np.errstate(over="ignore"):
         for n in range(1, order + 1):
-            shifted = np.concatenate((np.zeros(n - 1, np.uint64), wide[: len(wide) - n + 1]))
+            shifted = np.concatenate((np.zeros(n - 1, np.uint64), wide))[: len(wide)]
             acc = acc + (shifted + np.uint64(7)) * power
             power = power * _MUL
             h = acc ^ (acc >> np.uint64(29))
@@ -204,7 +204,7 @@ def _count_words(batches):
 
 
 def _fit(alphabet: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[rows["word"].map(lambda w: any(c.isalpha() for c in w))]
         parts = []
         for n, h, p, ctx, rest in kneser_ney(rows["word"].tolist(), rows["n"].to_numpy(), alphabet) if len(rows) else []:
