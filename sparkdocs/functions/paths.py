@@ -32,11 +32,44 @@ def _resolve_dots(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(parts, "/"))
 
 
+# Scheme and authority of a URI; one letter and a colon is a drive, not a scheme.
+_STORE = r"^([A-Za-z][A-Za-z0-9+.\-]+:(?://[^/\\]*)?)(?=[/\\])"
+
+
+def store_of(path: str) -> str:
+    """Scheme and authority as the user wrote them; none for a plain path and for a local file URI."""
+    found = re.match(_STORE, path)
+    return "" if not found or found.group(1).lower() in ("file:", "file://") else found.group(1)
+
+
+def normalize_root(root: str) -> str:
+    """A folder as its files are named: store, then its path without empty, `.` and `..` segments."""
+    kept: list[str] = []
+    plain = unicodedata.normalize("NFC", re.sub(_STORE, "", root))
+    for part in plain.replace("\\", "/").split("/"):
+        if part == "..":
+            kept = kept[:-1]
+        elif part not in ("", "."):
+            kept.append(part)
+    return store_of(root) + "/" + "/".join(kept)
+
+
+def named_below(path: Column, root: str) -> Column:
+    """A path that storage lists below `root`, with the store as `root` names it."""
+    return F.concat(F.lit(store_of(root)), F.regexp_replace(path, _STORE, ""))
+
+
 def normalize_path(path: Column, base: str = "/") -> Column:
-    """Absolute path in Unicode NFC with '/' separators.
+    """Absolute path in Unicode NFC with '/' separators; scheme and authority of a URI stay as they are.
 
-    NFC has no built-in expression; ASCII rows reach the Arrow function as nulls.
+    A local file URI becomes its path. NFC has no built-in expression; ASCII rows reach the Arrow
+    function as nulls.
     """
+    store = F.regexp_replace(F.regexp_extract(path, _STORE, 1), r"(?i)^file:(?://)?$", "")
+    return F.concat(store, _normal(F.regexp_replace(path, _STORE, ""), base))
+
+
+def _normal(path: Column, base: str) -> Column:
     absolute = F.when(path.startswith("/"), path).otherwise(
         F.concat(F.lit(base.rstrip("/") + "/"), path)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdocs import schemas as S
-from sparkdocs.functions.paths import under
+from sparkdocs.functions.paths import normalize_root, under
 from sparkdocs.operators.search import substring_match
 
 
@@ -18,11 +18,15 @@ def orphans(
     folder: str,
     file_type: str | None = None,
     path_keyword: str | None = None,
+    folder_exists: bool | None = None,
 ) -> DataFrame:
     """Documents under `folder` whose file is not in the unfiltered listing of it.
 
-    The anti join runs on paths alone. An unlisted folder gives no orphans, not all of them.
+    The anti join runs on paths alone. `folder_exists` says whether the folder is there: all documents of
+    an emptied one are orphans, none of a missing one. Unknown, a folder without listed files is taken to
+    be missing.
     """
+    folder = normalize_root(folder)
     columns = [c for c in docs.columns if c != "markdown_content"]
     stored = docs.select(columns).filter(under(F.col("file_path"), folder))
     if file_type:
@@ -30,7 +34,7 @@ def orphans(
     if path_keyword:
         stored = stored.filter(substring_match(F.col("file_path"), path_keyword))
     disk = listing.select("file_path").filter(under(F.col("file_path"), folder))
-    if disk.isEmpty():
+    if folder_exists is False or (folder_exists is None and disk.isEmpty()):
         return stored.limit(0)
     return stored.join(disk, "file_path", "left_anti").select(columns)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from sparkdocs.operators.changes import detect_changes, latest_per_path, merge_d
 from sparkdocs.operators.events import ingest_summary, progress
 from sparkdocs.plans.store import DocumentStore
 from sparkdocs.session import stage
-from sparkdocs.sources.files import as_listing, join_sidecars, list_files, read_contents
+from sparkdocs.sources.files import as_listing, join_sidecars, list_files, read_contents, read_sidecars
 
 
 @dataclass
@@ -80,14 +81,21 @@ def ingest(
     sidecars: DataFrame | None = None,
     registry: ConverterRegistry | None = None,
     staged: bool = True,
+    existing: list[str] | None = None,
+    only_seen: bool = False,
 ) -> IngestRun:
     """Plan one run over one or more folders.
 
+    Folders may be URIs. `existing` names those known to be there: one without files is then done, not
+    invalid. With `only_seen` folders without a listed file get no state row, as in a micro-batch.
+
     Sidecars are joined before the change test, contents after it. With `staged` three steps are written
     once because later ones read them more than once: the change test, the changed files (parted by
     converter), and the outcome.
     """
     registry = registry or default_registry()
+    roots = [P.normalize_root(r) for r in roots]
+    existing = [P.normalize_root(r) for r in existing or []]
     found = latest_per_path(scan_scopes(listing, roots, options, cursors(state, roots)))
     if sidecars is None:
         found = found.withColumn("source_url", F.lit(None).cast("string"))
@@ -97,7 +105,10 @@ def ingest(
     actions = detect_changes(found, docs)
     if staged:
         actions = stage(actions)
-    todo = actions.filter(F.col("action") != "unchanged").join(contents, "file_path", "left")
+    changed = actions.filter(F.col("action") != "unchanged")
+    # Contents of unchanged files end here, before they are moved.
+    wanted = contents.join(changed.select("file_path"), "file_path", "left_semi")
+    todo = changed.join(wanted, "file_path", "left")
     todo = todo.withColumn("converter", registry.converter_of(F.col("file_type")))
     converted = registry.convert(stage(todo, "converter") if staged else todo)
     if staged:
@@ -112,21 +123,23 @@ def ingest(
             F.when(F.col("success"), "processed").otherwise("error").alias("outcome"), "error_message",
         )
     )
-    return IngestRun(converted, outcomes, _runs(listing, outcomes, roots, run_ts))
+    return IngestRun(converted, outcomes, _runs(listing, outcomes, roots, run_ts, existing, only_seen))
 
 
-def _runs(listing: DataFrame, outcomes: DataFrame, roots: list[str], run_ts: datetime) -> DataFrame:
-    """One state row per folder. A folder without any listed file is reported, and keeps its cursor."""
+def _runs(
+    listing: DataFrame, outcomes: DataFrame, roots: list[str], run_ts: datetime, existing: list[str], only_seen: bool
+) -> DataFrame:
+    """One state row per folder. A folder neither listed nor existing is reported, and keeps its cursor."""
     spark = listing.sparkSession
     asked = spark.createDataFrame([(r,) for r in roots], "scope_key string")
     scope = F.coalesce(*[F.when(P.under(F.col("file_path"), r), r) for r in roots])
     listed = listing.groupBy(scope.alias("scope_key")).agg(F.lit(True).alias("listed"))
     counts = ingest_summary(outcomes)
     now = F.lit(run_ts).cast("timestamp")
-    bad = F.col("listed").isNull()
+    bad = F.col("listed").isNull() & ~F.col("scope_key").isin(existing)
     # Both sides have one row per requested folder.
     return (
-        asked.join(listed, "scope_key", "left").join(counts, "scope_key", "left").select(
+        asked.join(listed, "scope_key", "inner" if only_seen else "left").join(counts, "scope_key", "left").select(
             F.lit(S.SOURCE_FILES).alias("source"),
             "scope_key",
             now.alias("last_started_at"),
@@ -198,31 +211,36 @@ def ingest_folders(
     options: IngestOptions = IngestOptions(),
     registry: ConverterRegistry | None = None,
 ) -> IngestRun:
-    """Ingest folders from storage into a store: the state is committed with the documents.
+    """Ingest folders (paths or URIs) from storage into a store: the state is committed with the documents.
 
-    Only files changed since the oldest cursor are read.
+    Of each folder only files of the wanted types that changed at its cursor or later are opened;
+    sidecars are read whatever their age. A file above the reader's size limit becomes a failed row. A
+    folder that is not there is reported, any other error is raised.
     """
-    present, listing, contents = [], None, None
-    since = cursors(store.state(), folders)
-    oldest = None
-    if folders and not options.full and not options.date_from and all(f in since for f in folders):
-        oldest = min(since.values())
+    present, listing, contents, sidecars = [], None, None, None
+    since = cursors(store.state(), [P.normalize_root(f) for f in folders])
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
     for folder in folders:
+        start = None if options.full or options.date_from else since.get(P.normalize_root(folder))
         try:
             listed = list_files(spark, folder, options.recursive)
-            read = read_contents(spark, folder, options.recursive, oldest and oldest[:19])
-        except Exception:
-            continue  # reported by the run as a folder without files
+            read = read_contents(spark, folder, options.recursive, start, options.file_types, most)
+            beside = read_sidecars(spark, folder, options.recursive)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue  # reported by the run
         present.append(folder)
         listing = listed if listing is None else listing.unionByName(listed)
         contents = read if contents is None else contents.unionByName(read)
+        sidecars = beside if sidecars is None else sidecars.unionByName(beside)
     if listing is None:
         none = "file_path string, file_size long, file_created_at timestamp, file_modified_time timestamp"
         listing = as_listing(spark.createDataFrame([], none))
         contents = spark.createDataFrame([], "file_path string, content binary, text string")
-    sidecars = contents.filter(F.col("file_path").endswith(S.SIDECAR_SUFFIX)).select("file_path", "text")
+        sidecars = contents.select("file_path", "text")
     docs, state = store.documents(), store.state()
-    run = ingest(listing, contents, docs, state, folders, run_ts, options, sidecars, registry)
+    run = ingest(listing, contents, docs, state, folders, run_ts, options, sidecars, registry, existing=present)
     runs = stage(run.runs)
     store.merge(run.converted, run_ts, state=merge_state(state, runs))
     return IngestRun(run.converted, run.outcomes, runs)

@@ -37,8 +37,10 @@ class DocumentStore:
     def _commits(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(_COMMITS).json(f"{self.root}/commits")
-        except AnalysisException:
-            return None
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None  # an empty store
 
     def _head(self):
         commits = self._commits()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,15 +12,20 @@ from sparkdocs.functions import paths as P
 from sparkdocs.functions.text import decode_utf8
 
 
-def _files(spark: SparkSession, root: str, recursive: bool, modified_after: str | None = None) -> DataFrame:
+def _files(spark: SparkSession, root: str, recursive: bool, names: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
+    if names:
+        reader = reader.option("pathGlobFilter", names)
     return reader.load(root)
 
 
-def _local_path(path):
-    return F.regexp_replace(path, r"^file:(?://)?(?=/)", "")
+def type_glob(types: str | None) -> str | None:
+    """File name pattern of comma separated types in either case, for the reader."""
+    if not types:
+        return None
+    letters = lambda t: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() and c.isascii() else c for c in t)
+    found = [t.strip() for t in types.split(",")]
+    return None if any(re.search(r"[^\w.+-]", t) or not t.isascii() for t in found) else "*.{" + ",".join(map(letters, found)) + "}"
 
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -30,7 +37,7 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
     found = _files(spark, root, recursive).select("path", "modificationTime", "length")
     return as_listing(
         found.select(
-            _local_path(F.col("path")).alias("file_path"),
+            P.named_below(F.col("path"), root).alias("file_path"),
             F.col("length").alias("file_size"),
             F.col("modificationTime").alias("file_created_at"),
             F.col("modificationTime").alias("file_modified_time"),
@@ -57,7 +64,7 @@ def scan_listing(
     date_to: str | None = None,
 ) -> DataFrame:
     """Files of a listing that a scan of `root` takes."""
-    path = F.col("file_path")
+    path, root = F.col("file_path"), P.normalize_root(root)
     rel = P.relative(path, root)
     found = listing.filter(P.under(path, root) & ~P.excluded(rel))
     if not recursive:
@@ -68,17 +75,38 @@ def scan_listing(
 
 
 def read_contents(
-    spark: SparkSession, root: str, recursive: bool = True, modified_after: str | None = None
+    spark: SparkSession,
+    root: str,
+    recursive: bool = True,
+    modified_from: str | None = None,
+    types: str | None = None,
+    most_bytes: int | None = None,
 ) -> DataFrame:
-    """(file_path, content, text) of a folder. `modified_after` drops old files before they are read."""
-    found = _files(spark, root, recursive, modified_after)
+    """(file_path, content, text) of a folder.
+
+    Only files of the `types`, changed at `modified_from` (UTC) or later, of at most `most_bytes` bytes
+    are opened: names are filtered by the reader, time and length by filters it takes over.
+    """
+    found = _files(spark, root, recursive, type_glob(types))
+    if modified_from:
+        found = found.filter(F.col("modificationTime") >= F.lit(modified_from).cast("timestamp"))
+    if most_bytes is not None:
+        found = found.filter(F.col("length") <= most_bytes)
+    # Paths of most folders are ASCII; the bytes then stay clear of the Arrow step for NFC.
     return found.select(
-        P.normalize_path(_local_path(F.col("path"))).alias("file_path"),
+        P.normalize_path(P.named_below(F.col("path"), root)).alias("file_path"),
         "content",
         decode_utf8(F.col("content")).alias("text"),
     )
 
 
+def read_sidecars(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """(file_path, text) of all sidecar files of a folder, however old."""
+    found = _files(spark, root, recursive, "*" + S.SIDECAR_SUFFIX)
+    path = P.normalize_path(P.named_below(F.col("path"), root))
+    return found.select(path.alias("file_path"), decode_utf8(F.col("content")).alias("text"))
+
+
 def sidecar_urls(sidecars: DataFrame) -> DataFrame:
     """(file_path, source_url) from sidecar files (file_path, text); unreadable JSON gives null."""
     url = F.try_variant_get(F.try_parse_json(F.col("text")), "$.source_url", "string")

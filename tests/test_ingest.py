@@ -92,6 +92,83 @@ def test_missing_folder_is_reported(spark, folder, tmp_path):
     assert "critical_error" in {r.stage for r in out.events(T0).collect()}
 
 
+def test_folders_by_uri(spark, folder, tmp_path):
+    store = DocumentStore(spark, str(tmp_path / "store"), buckets=2)
+    out = ingest_folders(spark, store, [f"file://{folder}/"], T0, IngestOptions(file_types="md,html"))
+    assert {r.file_path for r in store.documents().collect()} == {str(folder / "note.md"), str(folder / "sub dir" / "页.html")}
+    row = out.runs.collect()[0]
+    assert (row.scope_key, row.processed, row.last_error_message) == (str(folder), 2, None)
+
+
+def test_changed_file_keeps_an_old_sidecar(spark, folder, tmp_path):
+    import os
+
+    store = DocumentStore(spark, str(tmp_path / "store"), buckets=2)
+    run(spark, store, folder, T0)
+    # Changed at the very second of the cursor; the sidecar is older.
+    os.utime(folder / "plain.txt", (T0.timestamp(), T0.timestamp()))
+    (folder / "plain.txt.meta.json").touch()
+    os.utime(folder / "plain.txt.meta.json", (1, 1))
+    exact = T0.replace(microsecond=0)
+    os.utime(folder / "plain.txt", (exact.timestamp(), exact.timestamp()))
+    store = DocumentStore(spark, str(tmp_path / "second"), buckets=2)
+    os.utime(folder / "note.md", (1, 1))
+    run(spark, store, folder, exact)
+    (folder / "plain.txt").write_text("newer")
+    os.utime(folder / "plain.txt", (exact.timestamp(), exact.timestamp()))
+    out = run(spark, store, folder, exact + timedelta(hours=1))
+    docs = {r.file_name: r for r in store.documents().collect()}
+    assert docs["plain.txt"].source_url == "https://example.org/p" and docs["plain.txt"].status == "completed"
+    assert out.runs.collect()[0].total_files == 1 and out.runs.collect()[0].errors == 0
+
+
+def test_excluded_and_oversized_files(spark, folder, tmp_path):
+    (folder / "node_modules").mkdir()
+    (folder / "node_modules" / "big.js").write_text("x" * 5000)
+    (folder / "huge.md").write_text("x" * 5000)
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "4000")
+    try:
+        store = DocumentStore(spark, str(tmp_path / "store"), buckets=2)
+        run(spark, store, folder, T0, types="md")
+        docs = {r.file_name: r.status for r in store.documents().collect()}
+    finally:
+        spark.conf.set(limit, before)
+    assert docs == {"note.md": "completed", "huge.md": "failed"}
+
+
+def test_emptied_folder(spark, folder, tmp_path):
+    import shutil
+
+    store = DocumentStore(spark, str(tmp_path / "store"), buckets=2)
+    run(spark, store, folder, T0)
+    shutil.rmtree(folder)
+    folder.mkdir()
+    out = run(spark, store, folder, T0 + timedelta(hours=1))
+    row = out.runs.collect()[0]
+    assert row.last_error_message is None and row.cursor_updated_at == (T0 + timedelta(hours=1)).replace(tzinfo=None)
+    listing = list_files(spark, str(folder))
+    docs = store.documents()
+    assert orphans(docs, listing, str(folder), folder_exists=True).count() == docs.count() == 5
+    assert orphans(docs, listing, str(folder)).count() == 0
+    assert orphans(docs, listing, str(folder), folder_exists=False).count() == 0
+
+
+def test_stream_state_of_several_folders(spark, tmp_path):
+    rows = tmp_path / "rows"
+    for k, paths in enumerate([["/r/a.md", "/r/b.md"], ["/q/c.md"], ["/r/d.md"]]):
+        spark.createDataFrame([listing_row(p, 1) for p in paths], LISTING).coalesce(1).write.mode("append").parquet(str(rows))
+    store = DocumentStore(spark, str(tmp_path / "store"), buckets=2)
+    stream = spark.readStream.schema(LISTING).option("maxFilesPerTrigger", 1).parquet(str(rows))
+    text = lambda batch: batch.select("file_path", F.lit("text").alias("text"))
+    start_ingest_stream(stream, text, store, ["/r", "/q", "/none"], "s", str(tmp_path / "o")).awaitTermination()
+    state = {r.scope_key: r for r in store.state().collect()}
+    assert store.version() == 3 and set(state) == {"/r", "/q"}
+    assert (state["/r"].total_files, state["/r"].processed, state["/q"].processed) == (3, 3, 1)
+    assert all(r.last_error_message is None for r in state.values())
+
+
 def test_scan_depth(spark, folder):
     assert {r.file_name for r in list_files(spark, str(folder), recursive=False).collect()} == {
         "note.md", "plain.txt", "code.py", "raw.xyz", "plain.txt.meta.json", "code.py.meta.json",
@@ -127,20 +204,31 @@ def test_stream_replays_do_no_harm(spark, tmp_path):
     def contents(batch):
         return batch.select("file_path", F.concat(F.lit("text of "), "file_name").alias("text")).distinct()
 
-    def go(offsets):
+    def go(offsets, hour):
         stream = spark.readStream.schema(LISTING).parquet(str(rows))
-        start_ingest_stream(stream, contents, store, ["/r"], "s", str(tmp_path / offsets), clock=lambda: T0).awaitTermination()
+        at = T0 + timedelta(hours=hour)
+        start_ingest_stream(stream, contents, store, ["/r"], "s", str(tmp_path / offsets), clock=lambda: at).awaitTermination()
 
-    go("o1")
+    go("o1", 0)
     assert store.version() == 1 and store.documents().count() == 2
-    go("o2")  # the same batch number comes again
+    # The last batch comes again after a failure: its commit mark is gone, its number is known.
+    for mark in (tmp_path / "o1" / "commits").iterdir():
+        mark.unlink()
+    go("o1", 1)
     assert store.version() == 1
+    # A new checkpoint folder numbers its batches from 0 again and loses nothing.
+    spark.createDataFrame([listing_row("/r/NEW.md", 2)], LISTING).coalesce(1).write.mode("append").parquet(str(rows))
+    go("o2", 2)
+    assert {r.file_name for r in store.documents().collect()} == {"a.md", "b.txt", "NEW.md"}
+    assert store.version() == 2
+    go("o1", 3)
+    assert store.version() == 3
     # A later batch changes one file.
     spark.createDataFrame([listing_row("/r/a.md", 5), listing_row("/r/b.txt", 1)], LISTING).coalesce(1).write.mode("append").parquet(str(rows))
-    go("o1")
-    assert store.version() == 2
+    go("o1", 4)
+    assert store.version() == 4
     times = {r.file_name: r.file_modified_time.hour for r in store.documents().collect()}
-    assert times == {"a.md": 5, "b.txt": 1}
+    assert times == {"a.md": 5, "b.txt": 1, "NEW.md": 2}
     state = store.state().collect()[0]
     assert (state.processed, state.skipped) == (1, 1)
 

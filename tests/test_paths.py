@@ -48,3 +48,19 @@ def test_excluded(spark):
     # A root that lies in a folder of such a name is scanned.
     under_build = spark.createDataFrame([("/build/r/a.md",)], "p string")
     assert under_build.select(P.excluded(P.relative(F.col("p"), "/build/r"))).first()[0] is False
+
+
+def test_store_of_a_path_is_kept(spark):
+    cases = {
+        "hdfs://nn:8020/in/../in/a.md": "hdfs://nn:8020/in/a.md", "s3a://b/in//a.md": "s3a://b/in/a.md", "hdfs:///in/a.md": "hdfs:///in/a.md",
+        "file:///t/./a.md": "/t/a.md", "file:/t/a.md": "/t/a.md", "/plain/a:b/c.md": "/plain/a:b/c.md", "x:/y.md": "/x:/y.md",
+        "abfss://c@acc.host/é/a.md": "abfss://c@acc.host/é/a.md",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "p string")
+    got = {r.p: r.n for r in df.select("p", P.normalize_path(F.col("p")).alias("n")).collect()}
+    assert got == cases
+    for root, want in [("hdfs:///in/", "hdfs:///in"), ("file:///t//x/", "/t/x"), ("s3a://b/a/../c", "s3a://b/c"), ("/a/./b/", "/a/b"), ("/", "/")]:
+        assert P.normalize_root(root) == want
+    listed = spark.createDataFrame([("hdfs://nn:8020/in/a.md",)], "p string")
+    for root, want in [("/in", "/in/a.md"), ("hdfs:///in", "hdfs:///in/a.md"), ("hdfs://nn:8020/in", "hdfs://nn:8020/in/a.md")]:
+        assert listed.select(P.named_below(F.col("p"), root)).first()[0] == want
