@@ -290,7 +290,7 @@ def _(t):
     "front_matter",
     f"""
     SELECT o_orderkey, '---' || e || e || 'source_file: ' || o || '.png' || e || 'provider: local-ocr' || e || 'hash_sha256: None' || e
-           || 'file_size: ' || o || e || 'exif:' || e || '  Model: ' || o_orderpriority || e || '  DateTime: 2024' || e || '  Make: ' || {_MAKE}
+           || 'file_size: ' || o || e || 'exif:' || e || '  DateTime: 2024' || e || '  Model: ' || o_orderpriority || e || '  Make: ' || {_MAKE}
            || e || '  GPSInfo: ' || {_GPS} || e || 'ocr_lang: eng' || e || e || '---' AS head
     FROM (SELECT *, CAST(o_orderkey AS VARCHAR) AS o, chr(10) AS e FROM {{orders}}) x
     """,

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from checks.scan import _KEPT
 from checks.tables import query
 from sparkdocs import schemas as S
+from sparkdocs.functions import paths as P
 from sparkdocs.functions.text import iso_time
 from sparkdocs.operators.changes import (
     NOTE_COLUMNS, detect_changes, latest_per_path, merge_documents, merge_state,
 )
 from sparkdocs.operators.events import ingest_summary
-from sparkdocs.plans.ingest import IngestOptions, ingest
+from sparkdocs.operators.maintain import orphans
+from sparkdocs.plans.ingest import IngestOptions, ingest, ingest_folders
 from sparkdocs.plans.notes_import import import_notes
 from sparkdocs.plans.reprocess import reprocess_html, retry_failed
 from sparkdocs.plans.store import DocumentStore
@@ -361,3 +363,77 @@ def _(t):
 def _(t):
     contents = t.docs.select("file_path", F.concat(F.lit("<b>bold</b> "), "markdown_content").alias("text"))
     return reprocess_html(t.docs, contents, RUN_TS).select("id", "status", "markdown_content")
+
+
+@query(
+    "orphans_emptied",
+    """
+    SELECT id, file_path FROM {docs} WHERE starts_with(file_path, '/corpus/src2/')
+    """,
+)
+def _(t):
+    nothing = t.listing.filter(F.lit(False))
+    return orphans(t.docs, nothing, "/corpus/src2/", folder_exists=True).select("id", "file_path")
+
+
+@query(
+    "uri_paths",
+    """
+    SELECT doc_id, 's3a://bucket/' || source || '/' || doc_id || '.md' AS remote, '/' || source || '/' || doc_id || '.md' AS local_file,
+           'hdfs://nn:8020/' || source || '/x.md' AS dotted
+    FROM {documents}
+    """,
+)
+def _(t):
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return t.documents.select(
+        "doc_id", P.normalize_path(F.concat(F.lit("s3a://bucket//./"), name)).alias("remote"),
+        P.normalize_path(F.concat(F.lit("file:///"), name)).alias("local_file"),
+        P.normalize_path(F.concat(F.lit("hdfs://nn:8020/a/../"), "source", F.lit("/x.md"))).alias("dotted"),
+    )
+
+
+_STREAMED = """
+    WITH l AS (SELECT split_part(file_path, '/', 3) AS scope, * FROM {listing})
+    SELECT '/corpus/' || scope AS scope_key, count(*) AS total_files, count(*) AS handled, NULL AS error
+    FROM l WHERE scope IN ('src1', 'src2') AND file_type = 'md' GROUP BY scope
+    """
+
+
+@query("ingest_stream_state", _STREAMED)
+def _(t):
+    # Two folders in one stream, cut into several batches; a third folder has no row and gets no state.
+    store = _new_store(t, "stream-state")
+    rows = f"{store.root}/listing"
+    t.listing.filter("file_type = 'md'").dropDuplicates(["file_path"]).repartition(3, "file_path").write.parquet(rows)
+    stream = t.spark.readStream.schema(t.listing.schema).option("maxFilesPerTrigger", 1).parquet(rows)
+    contents, sidecars = t.contents, t.sidecars
+    start_ingest_stream(
+        stream, lambda batch: contents, store, ["/corpus/src1", "/corpus/src2", "/corpus/none"], "state", f"{store.root}/offsets",
+        clock=lambda: RUN_TS, sidecars_of=lambda batch: sidecars,
+    ).awaitTermination()
+    handled = F.col("processed") + F.col("skipped") + F.col("errors")
+    return store.state().select("scope_key", "total_files", handled.alias("handled"), F.col("last_error_message").alias("error"))
+
+
+@query(
+    "ingest_folder_uri",
+    f"""
+    SELECT 'd-' || md5(text) AS name, min(md5(text)) AS text_md5, count(*) > 0 AS completed
+    FROM {{documents}} WHERE text IS NOT NULL AND text <> '' GROUP BY text
+    """,
+)
+def _(t):
+    # Each distinct text is written as a file of its own below a shared folder, which is then ingested by URI.
+    root = fresh_dir(t.spark, "uri-folder")
+    texts = t.documents.filter("text IS NOT NULL AND text <> ''").select("text").distinct()
+    named = texts.select(F.concat(F.lit("d-"), F.md5("text")).alias("name"), F.col("text").alias("value"))
+    named.repartition(4, "name").write.partitionBy("name").option("lineSep", "\u0000").text(root)
+    uri = root if ":" in root.split("/")[0] else f"file://{root}"
+    store = _new_store(t, "uri-store")
+    ingest_folders(t.spark, store, [uri + "/"], RUN_TS, IngestOptions(file_types="txt"))
+    body = F.regexp_replace(F.regexp_replace("markdown_content", r"^# [^\n]*\n\n", ""), "\u0000$", "")
+    return store.documents().select(
+        F.regexp_extract("file_path", "name=([^/]*)/", 1).alias("name"), F.md5(body).alias("text_md5"),
+        (F.col("status") == "completed").alias("completed"),
+    )

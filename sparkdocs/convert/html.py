@@ -24,19 +24,23 @@ _BLOCKS = {
     "pre", "section", "table", "ul", "li", "tr",
 }
 _DROPPED = {"script", "style", "head", "template", "noscript"}
+# What may stand in a head; any other tag ends it, as its end tag is optional.
+_IN_HEAD = {"title", "meta", "link", "base", "basefont", "bgsound", "style", "script", "noscript", "template"}
 _MARKS = {"b": "**", "strong": "**", "em": "*", "i": "*", "code": "`", "del": "~~", "s": "~~"}
 
 
 class _Markdown(HTMLParser):
     """Collects finished blocks; emphasis and links left open end with their block."""
 
-    def __init__(self) -> None:
+    def __init__(self, dropped: set[str] = _DROPPED) -> None:
         super().__init__(convert_charrefs=True)
+        self.dropped = dropped
+        self.inside: list[str] = []  # open elements whose content is left out
         self.blocks: list[str] = []
         self.line: list[str] = []
         self.open: list[tuple[str, int, str]] = []  # tag, where its text starts, link target
         self.lists: list[list] = []  # kind, items so far
-        self.dropped = self.quotes = 0
+        self.quotes = 0
         self.pre = False
         self.lead = ""
         self.row: list[str] | None = None
@@ -67,9 +71,11 @@ class _Markdown(HTMLParser):
 
     def handle_starttag(self, tag, attrs) -> None:
         attrs = dict(attrs)
-        if tag in _DROPPED:
-            self.dropped += 1
-        if self.dropped:
+        if self.inside == ["head"] and tag not in _IN_HEAD:
+            self.inside = []
+        if tag in self.dropped:
+            self.inside.append(tag)
+        if self.inside:
             return
         if tag in _BLOCKS and self.row is None:
             self._flush()
@@ -119,10 +125,12 @@ class _Markdown(HTMLParser):
             self.line[start:] = [before + made + after]
 
     def handle_endtag(self, tag) -> None:
-        if tag in _DROPPED:
-            self.dropped = max(self.dropped - 1, 0)
+        if tag in self.dropped:
+            while tag in self.inside:
+                if self.inside.pop() == tag:
+                    break
             return
-        if self.dropped:
+        if self.inside:
             return
         if any(name == tag for name, _, _ in self.open):
             while self.open[-1][0] != tag:
@@ -166,14 +174,18 @@ class _Markdown(HTMLParser):
         self.rows = []
 
     def handle_data(self, data) -> None:
-        if not self.dropped:
+        if not self.inside:
             self.line.append(data if self.pre else re.sub(r"[ \t\r\n\f\v]+", " ", data))
 
 
-def html_to_markdown(html: str) -> str:
-    parser = _Markdown()
+def html_to_markdown(html: str, dropped: set[str] = _DROPPED) -> str:
+    """Markdown of a page. An element left open to the end of the page is not taken for one that is dropped."""
+    parser = _Markdown(dropped)
     parser.feed(html)
     parser.close()
+    left_open = set(parser.inside) & {"noscript", "template"}
+    if left_open:
+        return html_to_markdown(html, dropped - left_open)
     if parser.row is not None or parser.rows:
         parser._table()
     parser._flush()

@@ -87,15 +87,16 @@ def media_frame(rows: DataFrame) -> DataFrame:
 def exif_keep(
     texts: Column, binaries: Column | None = None, lists: Column | None = None
 ) -> Column:
-    """The wanted EXIF entries as map<string,string>.
+    """The wanted EXIF entries as map<string,string>, in the order of EXIF_KEYS.
 
-    Up to 32 bytes are read as text, longer values are named by size; lists keep 20 entries.
+    Up to 32 bytes are read as text, longer values are named by size; lists keep 20 entries. A key in
+    several of the maps is read from the last one.
     """
 
     def wanted(entries: Column) -> Column:
         return F.map_filter(entries, lambda k, v: k.isin(EXIF_KEYS))
 
-    out = wanted(texts)
+    maps = [wanted(texts)]
     if binaries is not None:
         short = F.transform_values(
             wanted(binaries),
@@ -103,7 +104,7 @@ def exif_keep(
                 F.octet_length(v) <= 32, F.replace(F.make_valid_utf8(v.cast("string")), F.lit("�"), F.lit(""))
             ).otherwise(F.concat(F.lit("bytes["), F.octet_length(v).cast("string"), F.lit("]"))),
         )
-        out = F.map_concat(out, short)
+        maps.append(short)
     if lists is not None:
         shown = F.transform_values(
             wanted(lists),
@@ -115,8 +116,11 @@ def exif_keep(
                 F.lit("]"),
             ),
         )
-        out = F.map_concat(out, shown)
-    return out
+        maps.append(shown)
+    # Maps keep the order of their entries; a null value stands for a key that no map has.
+    entries = [F.struct(F.lit(k).alias("key"), F.coalesce(*[F.try_element_at(m, F.lit(k)) for m in reversed(maps)]).alias("value")) for k in EXIF_KEYS]
+    known = F.flatten(F.array(*[F.coalesce(F.map_keys(m), F.array().cast("array<string>")) for m in maps]))
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.array_contains(known, e["key"])))
 
 
 def image_markdown(images: DataFrame, ocr_lang: str, with_front_matter: bool = True) -> DataFrame:

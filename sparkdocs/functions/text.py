@@ -87,7 +87,7 @@ def front_matter(fields: list[tuple[str, Column]]) -> Column:
     for key, value in fields:
         if isinstance(value, MapField):
             entries = F.transform(
-                F.map_entries(value.column),
+                F.coalesce(F.map_entries(value.column), F.array()),
                 lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None"))),
             )
             body = F.array_join(entries, "\n")
