@@ -203,17 +203,17 @@ def _count_words(batches):
         )
 
 
+_TABLES = "lang string, n int, hashes binary, logp binary, contexts binary, rest binary"
+
+
 def _fit(alphabet: int):
+    """One row per order of a language's model, its arrays as bytes, sorted by hash."""
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[rows["word"].map(lambda w: any(c.isalpha() for c in w))]
-        parts = []
-        for n, h, p, ctx, rest in kneser_ney(rows["word"].tolist(), rows["n"].to_numpy(), alphabet) if len(rows) else []:
-            parts.append(pd.DataFrame({"n": n, "context": False, "hash": h.view(np.int64), "value": p}))
-            keys = ctx if n > 1 else np.zeros(1, np.uint64)
-            parts.append(pd.DataFrame({"n": n, "context": True, "hash": keys.view(np.int64), "value": rest}))
-        out = pd.concat(parts) if parts else pd.DataFrame({"n": [], "context": [], "hash": [], "value": []})
-        out.insert(0, "lang", key[0])
-        return out
+        tables = kneser_ney(rows["word"].tolist(), rows["n"].to_numpy(), alphabet) if len(rows) else []
+        out = [(key[0], n, h.tobytes(), p.tobytes(), ctx.tobytes(), rest.tobytes()) for n, h, p, ctx, rest in tables]
+        return pd.DataFrame(out, columns=[x.split(" ")[0] for x in _TABLES.split(", ")])
 
     return run
 
@@ -271,21 +271,11 @@ def learn(docs: DataFrame, held_out: Column) -> LanguageModel:
     )
     letters = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).agg(F.count_distinct("c")).first()[0]
     alphabet = int(letters or 0) + 2
-    rows = words.groupBy("lang").applyInPandas(
-        _fit(alphabet), "lang string, n int, context boolean, hash long, value double"
-    ).toPandas()
     models: dict[str, list] = {}
-    for lang, part in rows.groupby("lang"):
-        tables = []
-        for n in range(1, ORDER + 1):
-            both = []
-            for context in (False, True):
-                one = part[(part["n"] == n) & (part["context"] == context)]
-                keys = one["hash"].to_numpy().view(np.uint64)
-                order = np.argsort(keys)
-                both += [keys[order], one["value"].to_numpy(np.float64)[order]]
-            tables.append((n, *both))
-        models[str(lang)] = tables
+    # A few rows per language, of a size that the training rows bound.
+    for r in words.groupBy("lang").applyInPandas(_fit(alphabet), _TABLES).orderBy("lang", "n").collect():
+        hashes, contexts = (np.frombuffer(x, np.uint64) for x in (r.hashes, r.contexts))
+        models.setdefault(r.lang, []).append((r.n, hashes, np.frombuffer(r.logp), contexts, np.frombuffer(r.rest)))
     model = LanguageModel(models, alphabet)
     if models:
         _calibrate(spark, model, chosen.filter("use = 'calibrate'"))
@@ -320,15 +310,14 @@ def _calibrate(spark, model: LanguageModel, rows: DataFrame) -> None:
     shared = spark.sparkContext.broadcast(model)
     seen = rows.select("lang", "text").mapInArrow(_entropies(shared, ["lang"]), "lang string, " + _ADDED).filter(
         "n_letters > 0"
-    ).select("lang", "lang_pred", "n_letters", "cross_entropy", "entropies").toPandas()
-    if not len(seen):
-        return
+    ).select("lang", "lang_pred", "n_letters", "cross_entropy", "entropies").collect()
+    shared.destroy()
     langs = sorted(model.models)
-    known = seen[seen["lang"].isin(langs)]
-    if len(known):
-        entropy = np.array(known["entropies"].tolist())
-        truth = known["lang"].map(langs.index).to_numpy()
-        lift = np.sqrt(known["n_letters"].to_numpy())[:, None] * (entropy - entropy.min(axis=1, keepdims=True))
+    known = [r for r in seen if r.lang in model.models]
+    if known:
+        entropy = np.array([r.entropies for r in known])
+        truth = np.array([langs.index(r.lang) for r in known])
+        lift = np.sqrt([r.n_letters for r in known])[:, None] * (entropy - entropy.min(axis=1, keepdims=True))
         best = None
         for sharp in np.geomspace(0.05, 20, 40):
             logs = -sharp * lift
@@ -336,9 +325,11 @@ def _calibrate(spark, model: LanguageModel, rows: DataFrame) -> None:
             if best is None or loss < best[0]:
                 best = (loss, sharp)
         model.sharpness = float(best[1])
-    for lang, part in seen[seen["lang"] == seen["lang_pred"]].groupby("lang"):
-        high, mid = part["cross_entropy"].quantile(LIMIT_QUANTILE), part["cross_entropy"].median()
-        model.limits[str(lang)] = float(high + LIMIT_ROOM * max(high - mid, 0.1))
+    for lang in langs:
+        part = [r.cross_entropy for r in seen if r.lang == r.lang_pred == lang]
+        if part:
+            high, mid = np.quantile(part, LIMIT_QUANTILE), np.median(part)
+            model.limits[lang] = float(high + LIMIT_ROOM * max(high - mid, 0.1))
 
 
 def identify(docs: DataFrame, model: LanguageModel, name: str = "language", keep: list[str] | None = None) -> DataFrame:
