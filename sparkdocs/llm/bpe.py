@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from sparkdocs.llm.common import CACHE_WORDS
 from sparkdocs.llm.packing import _L, _N, _S, byte_letters
 from sparkdocs.llm.quality import free_name
 
 SUFFIX = "</w>"
+# Words whose ids a task remembers.
+KNOWN_WORDS = 150_000
 _BEYOND = re.compile("[^\\u0000-\\u052f]")
 # The pre-split of the tokenizer file, for lower-case texts of code points below U+0530.
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
@@ -27,18 +28,20 @@ WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 class Automaton:
     """Deterministic automaton over tokens. A state is the token read last; `allows` is the arc table.
 
-    Bit r of row t says that token t may follow the token of state r. Only tokens that do not end a word
-    have a state.
+    Bit r of a row says that its tokens may follow the token of state r; tokens with equal rows share one.
+    Only tokens that do not end a word have a state.
     """
 
     def __init__(self, labels: list[str], ids: list[int], state: np.ndarray, allows: np.ndarray):
         self.labels, self.ids, self.state = labels, ids, state.tolist()
         self.width = allows.shape[1]
-        self.packed = zlib.compress(allows.tobytes(), 1)
+        rows: dict[bytes, int] = {}
+        self.row = [rows.setdefault(r.tobytes(), len(rows) * self.width) for r in allows]
+        self.packed = zlib.compress(b"".join(rows), 1)
 
     def open(self) -> None:
         """Unpack the arc table and lay the labels out as a table of letter transitions."""
-        self.bits = zlib.decompress(self.packed)
+        self.bits, self.packed = zlib.decompress(self.packed), b""
         self.step: dict[tuple[int, str], int] = {}
         self.inner: list[int] = [-1]
         self.final: list[int] = [-1]
@@ -59,7 +62,7 @@ class Automaton:
         n = len(word)
         reached = [-1] * (n + 1)  # token that ends at each place on the way
         origin = [0] * (n + 1)
-        step, inner, final, bits, width, state = self.step, self.inner, self.final, self.bits, self.width, self.state
+        step, inner, final, bits, row, state = self.step, self.inner, self.final, self.bits, self.row, self.state
         for i in range(n):
             t = reached[i]
             if i and t < 0:
@@ -72,7 +75,7 @@ class Automaton:
                 if node is None:
                     break
                 u = final[node] if j == n - 1 else inner[node]
-                if u >= 0 and (not i or bits[u * width + at] & mask):
+                if u >= 0 and (not i or bits[row[u] + at] & mask):
                     reached[j + 1] = u
                     origin[j + 1] = i
         out = []
@@ -125,10 +128,11 @@ class WordEncoder:
     """Texts to token ids: special tokens cut out, text normalised and pre-split, words read by the automaton."""
 
     def __init__(self, model: str, automaton: Automaton):
-        self.library = tokenizers.Tokenizer.from_str(model)  # its normalizer and pre-split, for other scripts
+        self.model = model
+        self.library: tokenizers.Tokenizer | None = None  # its normalizer and pre-split, for other scripts
         self.automaton = automaton
         automaton.open()
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = {t["content"]: t["id"] for t in json.loads(model)["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.letters = byte_letters()
         self.known: dict[str, list[int]] = {}  # by byte letters
@@ -138,7 +142,7 @@ class WordEncoder:
         found = self.known.get(letters)
         if found is None:
             found = self.automaton.read(letters)
-            if len(self.known) < CACHE_WORDS:
+            if len(self.known) < KNOWN_WORDS:
                 self.known[letters] = found
         return found
 
@@ -151,6 +155,7 @@ class WordEncoder:
             # The library lowers letter by letter, so a final sigma is like any other.
             plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             if _BEYOND.search(plain) or _BEYOND.search(part):
+                self.library = self.library or tokenizers.Tokenizer.from_str(self.model)
                 normal = self.library.normalizer.normalize_str(part)
                 for letters, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):
                     out += self.spelled(letters)
@@ -159,7 +164,7 @@ class WordEncoder:
                 ids = self.words.get(w)
                 if ids is None:
                     ids = self.automaton.read("".join([self.letters[b] for b in w.encode()]))
-                    if len(self.words) < CACHE_WORDS:
+                    if len(self.words) < KNOWN_WORDS:
                         self.words[w] = ids
                 out += ids
         return out
