@@ -90,9 +90,9 @@ def _(t):
     return t.pages.select("page_id", X.clean_label(F.col("html")).alias("label"))
 
 
-# Diagrams of fifty events each: clicks on one page, errors on another, and an empty page.
+# Diagrams of fifty events each: a page per type of event, and an empty page.
 def _diagrams(t):
-    cells = t.events.filter(F.col("event_type").isin("click", "error")).select(
+    cells = t.events.select(
         F.floor(F.col("event_id") / 50).alias("no"), "event_type", "event_id",
         F.concat(
             F.lit('<mxCell id="c'), "event_id", F.lit('" value="&lt;b&gt;'), "event_type", F.lit("&lt;/b&gt;&amp;nbsp;"),
@@ -122,7 +122,7 @@ def _diagrams(t):
 @query(
     "diagram_labels",
     "SELECT '/d/u' || event_id // 50 || '.drawio' AS file, event_type AS page_name, event_type || ' ' || event_id AS label "
-    "FROM {events} WHERE event_type IN ('click', 'error')",
+    "FROM {events}",
 )
 def _(t):
     found = diagram.diagram_labels(_diagrams(t)).filter(F.col("item").isNotNull())
@@ -136,7 +136,7 @@ def _(t):
         SELECT event_id // 50 AS no, event_type, count(*) AS n,
                '## ' || event_type || chr(10) || chr(10)
                || string_agg('- ' || event_type || ' ' || event_id, chr(10) || chr(10) ORDER BY event_id) AS block
-        FROM {events} WHERE event_type IN ('click', 'error') GROUP BY event_id // 50, event_type
+        FROM {events} GROUP BY event_id // 50, event_type
     )
     SELECT '/d/u' || no || '.drawio' AS file, count(*) + 1 AS pages, sum(n)::BIGINT AS items,
            '# u' || no || '.drawio' || chr(10) || chr(10) || '总共 ' || (count(*) + 1) || ' 个页面，' || sum(n)::BIGINT || ' 个文本项目'

@@ -62,7 +62,7 @@ def _(t):
 @query(
     "normalize_paths",
     """
-    SELECT id, nfc_normalize(replace('/corpus/' || source || '/' || substr(markdown_content, 1, 20) || '\\' || file_name, '\\', '/')) AS path
+    SELECT id, nfc_normalize(replace('/corpus/' || source || '/' || markdown_content || '\\' || file_name, '\\', '/')) AS path
     FROM (SELECT id, source, file_name,
                  regexp_replace(markdown_content, '[^\\p{{L}}]+', '_', 'g') AS markdown_content FROM {docs}) d
     """,
@@ -71,7 +71,7 @@ def _(t):
     # Decomposed accents, dots, doubled and backward slashes that have to come out in normal form.
     words = F.regexp_replace("markdown_content", r"[^\p{L}]+", "_")
     raw = F.concat(
-        F.lit("corpus//./"), "source", F.lit("/x/../"), F.substring(words, 1, 20), F.lit("\\"), "file_name"
+        F.lit("corpus//./"), "source", F.lit("/x/../"), words, F.lit("\\"), "file_name"
     )
     return t.docs.select("id", P.normalize_path(raw, base="/").alias("path"))
 

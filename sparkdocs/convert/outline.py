@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdocs.operators.hierarchy import dotted_path, render_outlines
+from sparkdocs.session import stage
+
+# Fixed value: text stored with a failed file.
+XMIND_FAILED = "XMind conversion failed: "
 
 NODES = (
     "file string, sheet int, node_id string, parent_id string, ordinal int, title string, error_message string"
@@ -71,7 +75,7 @@ def _node_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if not rows:
                     raise ValueError("no sheet with a topic")
             except Exception as e:
-                rows = [(path, None, None, None, None, None, f"XMind conversion failed: {e}")]
+                rows = [(path, None, None, None, None, None, XMIND_FAILED + str(e))]
             yield pd.DataFrame(rows, columns=names).astype({"sheet": "Int32", "ordinal": "Int32"})
 
 
@@ -82,7 +86,7 @@ def outline_nodes(files: DataFrame) -> DataFrame:
 
 def outline_frame(rows: DataFrame) -> DataFrame:
     """Frame converter for mind-map files."""
-    nodes = outline_nodes(rows)
+    nodes = stage(outline_nodes(rows))  # read once for the topics and once for the errors
     topics = nodes.filter(F.col("error_message").isNull())
     texts = render_outlines(topics.select("file", "sheet", dotted_path(F.col("node_id")).alias("path"), "title"))
     failed = nodes.filter(F.col("error_message").isNotNull()).select(

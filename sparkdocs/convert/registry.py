@@ -16,6 +16,10 @@ ColumnConverter = Callable[[], Column]
 FrameConverter = Callable[[DataFrame], DataFrame]
 
 
+# Fixed value: text stored with a file of a type that no converter takes.
+UNSUPPORTED = "Unsupported file type: "
+
+
 class ConverterRegistry:
     """Converters by extension, looked up without regard to case.
 
@@ -66,7 +70,7 @@ class ConverterRegistry:
             code = F.when(mine, conversion_type).otherwise(code)
             error = F.when(mine, empty_error).otherwise(error)
         known = kind.isin(list(self._columns)) if self._columns else F.lit(False)
-        unknown = F.concat(F.lit("Unsupported file type: "), F.coalesce("file_type", F.lit("None")))
+        unknown = F.concat(F.lit(UNSUPPORTED), F.coalesce("file_type", F.lit("None")))
         out = rows.withColumn("_text", strip_nul(text))
         done = F.col("_text").isNotNull()
         return out.select(

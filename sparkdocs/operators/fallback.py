@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Fixed value: text stored with a failed image.
+ALL_FAILED = "Image OCR/caption extraction failed: "
+
+
 def provider_chain(primary: str, chain: list[str]) -> list[str]:
     """The chain, led by the primary provider if that is not part of it."""
     providers = [p.lower() for p in chain] or [primary.lower()]
@@ -40,7 +44,7 @@ def first_success(attempts: DataFrame, primary: str, chain: list[str]) -> DataFr
         ).alias("tried"),
     )
     failure = F.concat(
-        F.lit("Image OCR/caption extraction failed: "),
+        F.lit(ALL_FAILED),
         F.array_join(F.transform("tried", lambda t: t["text"]), "; "),
     )
     return per_path.select(

@@ -90,10 +90,12 @@ def query_clauses(keyword: str) -> list[tuple[str, bool, str]]:
     """(`and`/`or`, negated, term) in reading order; terms without a letter or digit are left out.
 
     Words are joined by AND, `OR` joins its two neighbours, `-` negates, quotes make a phrase, `*`
-    a prefix. For groups in parentheses combine `tokens.matches_term` columns with & and |.
+    a prefix. Groups in parentheses raise an error; combine `tokens.matches_term` columns with & and |.
     """
     clauses, joiner = [], "and"
     for quoted_sign, phrase, word in re.findall(r'(-?)"([^"]*)"|(\S+)', keyword):
+        if word.lstrip("-").startswith("(") or (word.endswith(")") and "(" not in word):
+            raise ValueError(f"groups in parentheses are not read: {keyword!r}")
         if word == "OR":
             joiner = "or"
             continue

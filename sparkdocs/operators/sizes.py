@@ -12,11 +12,20 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Count rows and text bytes, reading no more than `rows + 1` rows."""
+    """Count rows and bytes of their values, reading no more than `rows + 1` rows.
+
+    Each row is measured where it lies; only the sizes are brought together.
+    """
     width = F.lit(0).cast("long")
     for name, kind in df.dtypes:
-        width = width + (F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(16))
-    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("b")).first()
+        if kind in ("string", "binary"):
+            own = F.octet_length(F.col(f"`{name}`"))
+        elif kind.startswith(("array", "map", "struct", "variant")):
+            own = F.octet_length(F.to_json(F.struct(F.col(f"`{name}`"))))
+        else:
+            own = F.lit(16)
+        width = width + F.coalesce(own, F.lit(16))
+    seen = df.select(width.alias("w")).limit(rows + 1).agg(F.count("*").alias("n"), F.sum("w").alias("b")).first()
     return seen["n"] <= rows and (seen["b"] or 0) <= size
 
 

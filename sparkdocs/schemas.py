@@ -94,17 +94,12 @@ EXIF_KEYS = [
     "ISOSpeedRatings", "FocalLength", "Orientation", "Software", "GPSInfo",
 ]
 
-STAGES = [
-    "scan_start", "scan_complete", "file_processing", "file_skip", "file_success", "file_error",
-    "cancel_ack", "cancelled", "done", "critical_error",
-]
 HIDDEN_STAGE = "debug_state"
 EVENTS_KEPT_PER_SESSION = 1000
 DEFAULT_PER_PAGE = 20
 # --- end of fixed values ---
 
 EXTENSIONS = [ext for ext, _, _ in FILE_TYPES]
-EXTENSION_CONVERSION = {ext: CATEGORY_CONVERSION[cat] for ext, cat, _ in FILE_TYPES}
 
 
 def extensions_of(category: str) -> list[str]:
@@ -144,15 +139,6 @@ INGEST_STATE = T.StructType([
     T.StructField("updated_at", T.TimestampType()),
 ])
 
-INGEST_EVENTS = T.StructType([
-    T.StructField("session_id", T.StringType()),
-    T.StructField("event_no", T.LongType()),
-    T.StructField("level", T.StringType()),
-    T.StructField("stage", T.StringType()),
-    T.StructField("message", T.StringType()),
-    T.StructField("progress", T.IntegerType()),
-    T.StructField("current_file", T.StringType()),
-])
 
 NOTES = T.StructType([
     T.StructField("id", T.StringType()),

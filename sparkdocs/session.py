@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", "")
     if not found:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         found = tempfile.mkdtemp(prefix="sparkdocs-checkpoint-")
     if not sc.getCheckpointDir():
