@@ -35,14 +35,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similarity 0.8 or more) stays: the one with the smallest id.
 
-    Rows that repeat an id are one document; rows without an id link with nothing and stay.
+    Rows that repeat an id and its text are one document; rows without an id link with nothing and stay.
     """
     found = near_duplicates(docs, percent=80)
     keep = found.filter("kept").select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct()
     named = docs.join(keep, docs["doc_id"] == keep["_id"], "left_semi")
     ids = docs.filter("doc_id IS NOT NULL").select("doc_id")
     if not ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
+        named = named.dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
