@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.tables import query
 from sparkdocs.functions import present, tokens
+from sparkdocs.functions import tokens
 from sparkdocs.operators.fulltext import build_postings, search_batch, search_postings
 from sparkdocs.operators.search import SearchParams, matches, search, search_info
 from sparkdocs.session import stage
@@ -254,3 +255,20 @@ _BTOK = "string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')"
 def _(t):
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     return search_batch(stage(build_postings(t.docs)), queries)
+
+
+@query(
+    "search_batch_top",
+    f"""
+    WITH q AS (SELECT DISTINCT unnest({_BTOK}) AS term FROM {{benchmark}}),
+         tf AS (SELECT id, term, count(*) AS tf FROM {_WORDS} GROUP BY id, term),
+         r AS (SELECT term, id, tf, row_number() OVER (PARTITION BY term ORDER BY tf DESC, id) AS n
+               FROM (SELECT * FROM q WHERE term <> '') q JOIN tf USING (term))
+    SELECT term AS query_id, id, tf::DOUBLE AS score FROM r WHERE n <= 20
+    """,
+)
+def _(t):
+    # Every word of the passages, common ones too, as a query of its own; a page of documents each.
+    words = t.benchmark.select(F.explode(tokens.tokens(F.col("text"))).alias("text")).distinct()
+    queries = words.select(F.col("text").alias("query_id"), "text")
+    return search_batch(stage(build_postings(t.docs)), queries, top=20)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkdocs.functions import tokens
 from sparkdocs.operators.search import fold_clauses, query_clauses
-from sparkdocs.operators.sizes import keyed_join
-from sparkdocs.session import cut_lineage
+from sparkdocs.operators.sizes import keyed_join, top_per_group
+from sparkdocs.session import cut_lineage, stage
 
 
 def build_postings(docs: DataFrame) -> DataFrame:
@@ -97,15 +97,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
 
 
-def search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
+def search_batch(postings: DataFrame, queries: DataFrame, top: int | None = None) -> DataFrame:
     """(query_id, id, score): documents holding all words of each query, all queries in one job.
 
     Each query starts from the postings of its rarest word; only those documents are checked for its
-    other words, by an equi-join on (term, id).
+    other words, by an equi-join on (term, id). With `top` each query keeps its best documents, by score
+    and then by id; they are cut per salt before a query's documents meet. Without it queries of common
+    words give as many rows as they have documents.
     """
     terms = query_terms(queries)
     vocabulary = terms.select("term").distinct()
-    used = keyed_join(postings.select("term", "id", "tf"), vocabulary, ["term"])
+    # Read three times below, so the postings of the queries' words are picked once.
+    used = stage(keyed_join(postings.select("term", "id", "tf"), vocabulary, ["term"]))
     frequency = used.groupBy("term").agg(F.count("*").alias("df"))
     known = terms.join(frequency, "term")
     rarest = known.groupBy("query_id", "n_terms").agg(
@@ -115,10 +118,11 @@ def search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
     seeds = cut_lineage(rarest.filter(F.col("_known") == F.col("n_terms")).select("query_id", "term"))
     candidates = keyed_join(used.select("term", "id"), seeds, ["term"]).select("query_id", "id")
     checks = keyed_join(candidates, terms, ["query_id"])
-    return (
+    found = (
         checks.join(used, ["term", "id"])
         .groupBy("query_id", "id", "n_terms")
         .agg(F.count("*").alias("_held"), F.sum("tf").alias("_sum"))
         .filter(F.col("_held") == F.col("n_terms"))
         .select("query_id", "id", F.col("_sum").cast("double").alias("score"))
     )
+    return found if top is None else top_per_group(found, ["query_id"], [F.desc("score"), F.asc("id")], top, ["id"])
