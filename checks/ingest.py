@@ -16,7 +16,7 @@ from sparkdocs.operators.events import ingest_summary
 from sparkdocs.operators.maintain import orphans
 from sparkdocs.plans.ingest import IngestOptions, ingest, ingest_folders
 from sparkdocs.plans.notes_import import import_notes
-from sparkdocs.plans.reprocess import reprocess_html, retry_failed
+from sparkdocs.plans.reprocess import reprocess_html, retry_failed, retry_stored
 from sparkdocs.plans.store import DocumentStore
 from sparkdocs.session import fresh_dir
 from sparkdocs.streaming.ingest_stream import start_ingest_stream
@@ -332,9 +332,7 @@ def _(t):
     return both.groupBy("source").agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes"))
 
 
-@query(
-    "retry_failed",
-    """
+_RETRIED = """
     SELECT id, CASE WHEN status = 'failed' AND file_type NOT IN ('pdf', 'PDF') THEN 'completed' ELSE status END AS status,
            CASE WHEN status = 'failed' AND file_type = 'md' THEN 'again ' || markdown_content
                 WHEN status = 'failed' AND file_type = 'txt' THEN '# ' || file_name || chr(10) || chr(10) || 'again ' || markdown_content
@@ -343,8 +341,10 @@ def _(t):
                 ELSE markdown_content END AS markdown_content,
            CASE WHEN status = 'failed' AND lower(file_type) = 'pdf' THEN 'Unsupported file type: ' || file_type END AS error_message
     FROM {docs}
-    """,
-)
+    """
+
+
+@query("retry_failed", _RETRIED)
 def _(t):
     contents = t.docs.select("file_path", F.concat(F.lit("again "), "markdown_content").alias("text"))
     after, _ = retry_failed(t.docs, t.docs.select("id"), contents, RUN_TS)
@@ -437,3 +437,20 @@ def _(t):
         F.regexp_extract("file_path", "name=([^/]*)/", 1).alias("name"), F.md5(body).alias("text_md5"),
         (F.col("status") == "completed").alias("completed"),
     )
+
+
+@query("store_retry", _RETRIED)
+def _(t):
+    store = _new_store(t, "store-retry")
+    store.replace(t.docs, RUN_TS)
+    contents = t.docs.select("file_path", F.concat(F.lit("again "), "markdown_content").alias("text"))
+    retry_stored(store, t.docs.select("id"), contents, RUN_TS)
+    return store.documents().select("id", "status", "markdown_content", "error_message")
+
+
+@query("store_delete", "SELECT id, file_path, markdown_content FROM {docs} WHERE coalesce(status, '') <> 'failed'")
+def _(t):
+    store = _new_store(t, "store-delete")
+    store.replace(t.docs, RUN_TS)
+    store.delete(t.docs.filter("status = 'failed'").select("id"), RUN_TS)
+    return store.documents().select("id", "file_path", "markdown_content")

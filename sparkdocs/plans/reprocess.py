@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sparkdocs.convert.default import default_registry
 from sparkdocs.convert.registry import ConverterRegistry
 from sparkdocs.operators.maintain import apply_reconversion, html_to_reprocess, retry_outcomes
+from sparkdocs.plans.store import DocumentStore
+from sparkdocs.session import stage
 
 
 def _reconvert(rows: DataFrame, contents: DataFrame, registry: ConverterRegistry | None) -> DataFrame:
@@ -23,7 +25,7 @@ def retry_failed(
     """(documents, outcome per id); only failed documents are tried again."""
     outcomes = retry_outcomes(docs, ids)
     chosen = docs.join(outcomes.filter(F.col("outcome") == "retry").select("id"), "id", "left_semi")
-    converted = _reconvert(chosen, contents, registry)
+    converted = stage(_reconvert(chosen, contents, registry))  # read for the documents and for the outcomes
     result = converted.select("id", "success", "error_message")
     told = outcomes.join(result, "id", "left").withColumn(
         "outcome",
@@ -42,3 +44,18 @@ def reprocess_html(
     """Documents with HTML converted again; failures keep what they had."""
     converted = _reconvert(html_to_reprocess(docs, only_missing), contents, registry)
     return apply_reconversion(docs, converted, run_ts, mark_failures=False)
+
+
+def retry_stored(
+    store: DocumentStore, ids: DataFrame, contents: DataFrame, run_ts: datetime, registry: ConverterRegistry | None = None
+) -> int:
+    """Retry failed documents of a store and commit the buckets that hold them."""
+    return store.change(ids, lambda docs: retry_failed(docs, ids, contents, run_ts, registry)[0], run_ts)
+
+
+def reprocess_stored(
+    store: DocumentStore, contents: DataFrame, run_ts: datetime, only_missing: bool = False, registry: ConverterRegistry | None = None
+) -> int:
+    """Convert the HTML of a store again and commit the buckets that hold it."""
+    ids = html_to_reprocess(store.documents(), only_missing).select("id")
+    return store.change(ids, lambda docs: reprocess_html(docs, contents, run_ts, only_missing, registry), run_ts)

@@ -9,6 +9,7 @@ three methods.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkdocs.functions.paths import path_key
 from sparkdocs.operators.changes import SUCCESS_COLUMNS, merge_documents
+from sparkdocs.operators.maintain import delete_documents
 from sparkdocs.schemas import DOCUMENTS, INGEST_STATE
 
 _COMMITS = (
@@ -99,6 +101,22 @@ class DocumentStore:
         """Commit a whole new set of documents, for deletes and migrations."""
         return self._commit(documents, list(range(self.buckets)), run_ts, None, None, None)
 
+    def change(self, ids: DataFrame, apply: Callable[[DataFrame], DataFrame], run_ts: datetime) -> int:
+        """Commit `apply(documents)` for the buckets that hold some of `ids`; all others stay as they are.
+
+        `apply` may drop rows and set columns, but not paths. Finding the buckets reads id and path alone.
+        """
+        held = self.documents().select("id", "file_path").join(ids.select("id"), "id", "left_semi")
+        rows = held.select(self._bucket(F.col("file_path")).alias("b")).distinct().collect()
+        touched = [r["b"] for r in rows]  # at most one int per bucket
+        if not touched:
+            return self.version()
+        return self._commit(apply(self.documents(touched)), touched, run_ts, None, None, None)
+
+    def delete(self, ids: DataFrame, run_ts: datetime) -> int:
+        """Commit without the documents of `ids`."""
+        return self.change(ids, lambda docs: delete_documents(docs, ids)[0], run_ts)
+
     def _commit(self, documents, touched, run_ts, state, stream, batch_id) -> int:
         head = self._head()
         version = (head["version"] if head else 0) + 1

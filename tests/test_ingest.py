@@ -313,3 +313,20 @@ def test_export(spark, folder, tmp_path):
         "plain.md": "# plain.txt\n\nhello text",
     }
     assert not list(out.rglob("*.part"))
+
+
+def test_store_changes_touch_their_buckets_only(spark, tmp_path):
+    schema = f"{LISTING}, markdown_content string, conversion_type int, success boolean, error_message string, source string, source_url string"
+    rows = [(*listing_row(f"/r/{i}.md", 1), f"text {i}", 0, True, None, "local_fs", None) for i in range(60)]
+    store = DocumentStore(spark, str(tmp_path / "store"), buckets=16)
+    store.merge(spark.createDataFrame(rows, schema), T0)
+    docs = store.documents()
+    one = docs.filter("file_path = '/r/7.md'").select("id")
+    before = {f for f in docs.inputFiles()}
+    assert store.delete(one, T0) == 2
+    after = {f for f in store.documents().inputFiles()}
+    assert store.documents().count() == 59 and store.documents().join(one, "id", "left_semi").count() == 0
+    assert len(before - after) == 1 and len(before & after) == len(before) - 1
+    assert store.delete(one, T0) == 2  # nothing to do, nothing committed
+    store.change(docs.select("id").limit(1), lambda d: d.withColumn("status", F.lit("failed")), T0)
+    assert 1 <= store.documents().filter("status = 'failed'").count() < 59
