@@ -16,7 +16,7 @@ from sparkdocs.session import stage
 
 # Bytes of context, and text bytes that share one table of terms while they are scored.
 DEPTH = 5
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 32_000_000
 SLICE_ROWS = 400
 
 _END = b"\n"  # after every text, and before it as often as the context is deep
@@ -154,12 +154,12 @@ def _score(depth: int, unknown: float):
                 part = batch.slice(a, b - a)
                 if kinds[a] == 0:
                     keys.append(part.column(2).to_numpy())
-                    values.append(part.column(4).to_numpy())
+                    values.append(part.column(7).to_numpy())
                 elif kinds[a] == 1:
                     words.update(zip(part.column(3).to_pylist(), part.column(4).to_pylist()))
                 else:
                     if table is None:
-                        table = GramTable(np.concatenate(keys), np.concatenate(values))
+                        table = GramTable(np.concatenate(keys), np.concatenate(values).astype(np.float64))
                         keys, values = [], []
                     for at in range(0, part.num_rows, SLICE_ROWS):
                         yield score(part.slice(at, SLICE_ROWS), table, words)
@@ -236,7 +236,9 @@ def code_lengths(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
     return done.union(left.select("gram", F.col("logp") - F.log10(F.lit(256.0) - F.col("above_d"))))
 
 
-def score_texts(docs: DataFrame, held_out: Column, keep: list[str], depth: int = DEPTH) -> DataFrame:
+def score_texts(
+    docs: DataFrame, held_out: Column, keep: list[str], depth: int = DEPTH, plain_scan: bool = False
+) -> DataFrame:
     """`keep` columns of every row of `docs` with n_tokens, n_known, train_tokens, base_score and score.
 
     Words are split at ASCII white space with A-Z in lower case; a text is its words and one end, a null
@@ -248,7 +250,9 @@ def score_texts(docs: DataFrame, held_out: Column, keep: list[str], depth: int =
     The rows are cut into blocks of about BLOCK_BYTES. Each block gives its distinct grams and words with
     their counts; counts are added up over all blocks, each distinct gram is evaluated once, and every
     block gets back the values of its own terms, sorted before its texts. So no task holds the whole
-    model, and what moves grows with the input.
+    model, and what moves grows with the input. Blocks follow the place of a row, so the rows are written
+    once; with `plain_scan` they are read twice instead, which is right for rows that come straight from
+    files. A row that changed its block would raise an error.
     """
     text = F.col("text").cast("string")
     size = docs.agg(F.avg(F.octet_length(text)).alias("mean")).first()["mean"] or 1.0
@@ -256,12 +260,11 @@ def score_texts(docs: DataFrame, held_out: Column, keep: list[str], depth: int =
     row = F.monotonically_increasing_id()
     # Partition numbers stand above bit 33; rows of different partitions do not share a block.
     block = F.shiftright(row, 33) * F.lit((1 << 33) // per_block + 1) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / per_block)
-    source = stage(
-        docs.select(
-            block.cast("long").alias("block"), F.coalesce(~held_out, F.lit(True)).alias("train"), text.alias("text"),
-            F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
-        )
+    source = docs.select(
+        block.cast("long").alias("block"), F.coalesce(~held_out, F.lit(True)).alias("train"), text.alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
     )
+    source = source if plain_scan else stage(source)
     terms = stage(
         source.select("block", "train", "text").mapInArrow(_count(depth), "block long, gram long, word binary, n long")
     )
@@ -273,11 +276,11 @@ def score_texts(docs: DataFrame, held_out: Column, keep: list[str], depth: int =
     gram_rows = terms.filter("word IS NULL").select("block", "gram").join(code_lengths(counted, depth), "gram")
     word_rows = terms.filter("word IS NOT NULL").select("block", "word").join(words.select("word", value.alias("value")), "word")
     no_text, no_row = F.lit(None).cast("string"), F.lit(None).cast(source.schema["row"].dataType)
-    no_word, no_gram = F.lit(None).cast("binary"), F.lit(0).cast("long")
+    no_word, no_gram, no_logp = F.lit(None).cast("binary"), F.lit(0).cast("long"), F.lit(0).cast("float")
     both = (
-        gram_rows.select("block", F.lit(0).alias("kind"), "gram", no_word.alias("word"), F.col("logp").alias("value"), no_text.alias("text"), no_row.alias("row"))
-        .union(word_rows.select("block", F.lit(1), no_gram, "word", "value", no_text, no_row))
-        .union(source.select("block", F.lit(2), no_gram, no_word, F.lit(0.0), "text", "row"))
+        gram_rows.select("block", F.lit(0).alias("kind"), "gram", no_word.alias("word"), F.lit(0.0).alias("value"), no_text.alias("text"), no_row.alias("row"), F.col("logp").cast("float").alias("logp"))
+        .union(word_rows.select("block", F.lit(1), no_gram, "word", "value", no_text, no_row, no_logp))
+        .union(source.select("block", F.lit(2), no_gram, no_word, F.lit(0.0), "text", "row", no_logp))
     )
     out = StructType([
         StructField("row", source.schema["row"].dataType), StructField("n_tokens", LongType()),
