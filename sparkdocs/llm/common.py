@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Distinct words a task remembers; the frequent ones come early, later ones are computed again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class WordHashes(dict):

@@ -20,6 +20,7 @@ BANDS = 24
 # Bucket members and shingles that one task compares; larger groups are dealt to pairs of blocks.
 BLOCK_MEMBERS = 1024
 BLOCK_SHINGLES = 1_000_000
+SLICE_ROWS = 1000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _NIBBLES = np.uint64(0x1111111111111111)
@@ -107,7 +108,7 @@ def slack(similarity: float) -> float:
 
 def _sign(batches):
     cache = WordHashes()
-    for batch in batches:
+    for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
         sets = shingle_sets(batch.column(1).to_pylist(), cache)
         full = [i for i, s in enumerate(sets) if len(s)]
         bands: list = [None] * len(sets)
