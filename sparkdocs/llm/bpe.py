@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +42,20 @@ class Automaton:
 
     def open(self) -> None:
         """Unpack the arc table and lay the labels out as a table of letter transitions."""
-        self.bits, self.packed = zlib.decompress(self.packed), b""
-        self.step: dict[tuple[int, str], int] = {}
+        if self.packed is None:  # a later task of the same worker
+            return
+        self.bits, self.packed = zlib.decompress(self.packed), None
+        self.step: dict[int, int] = {}  # by node and letter
         self.inner: list[int] = [-1]
         self.final: list[int] = [-1]
         for t, label in enumerate(self.labels):
             last = label.endswith(SUFFIX)
             node = 0
             for c in label[: -len(SUFFIX)] if last else label:
-                nxt = self.step.get((node, c))
+                key = node << 9 | ord(c)
+                nxt = self.step.get(key)
                 if nxt is None:
-                    nxt = self.step[node, c] = len(self.inner)
+                    nxt = self.step[key] = len(self.inner)
                     self.inner.append(-1)
                     self.final.append(-1)
                 node = nxt
@@ -60,6 +64,7 @@ class Automaton:
     def read(self, word: str) -> list[int]:
         """Ids of the one path that spells `word` (byte letters, not empty) and ends a word."""
         n = len(word)
+        letters = list(map(ord, word))
         reached = [-1] * (n + 1)  # token that ends at each place on the way
         origin = [0] * (n + 1)
         step, inner, final, bits, row, state = self.step, self.inner, self.final, self.bits, self.row, self.state
@@ -71,7 +76,7 @@ class Automaton:
             at, mask = r >> 3, 1 << (r & 7)
             node = 0
             for j in range(i, n):
-                node = step.get((node, word[j]))
+                node = step.get(node << 9 | letters[j])
                 if node is None:
                     break
                 u = final[node] if j == n - 1 else inner[node]
@@ -124,33 +129,39 @@ def compile_merges(vocab: dict[str, int], merges: list) -> Automaton:
     return Automaton(labels, [vocab[t] for t in labels], state, allows)
 
 
+class WordIds(dict):
+    """Ids of a word as bytes, read by the automaton and remembered up to a bound."""
+
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+        self.letters = dict(enumerate(byte_letters()))
+
+    def __missing__(self, word: str) -> bytes:
+        spelled = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = np.array(self.automaton.read(spelled), np.int32).tobytes()
+        if len(self) < KNOWN_WORDS:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Texts to token ids: special tokens cut out, text normalised and pre-split, words read by the automaton."""
 
     def __init__(self, model: str, automaton: Automaton):
         self.model = model
         self.library: tokenizers.Tokenizer | None = None  # its normalizer and pre-split, for other scripts
-        self.automaton = automaton
         automaton.open()
+        self.automaton = automaton
+        self.words = WordIds(automaton)
         self.special = {t["content"]: t["id"] for t in json.loads(model)["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.letters = byte_letters()
-        self.known: dict[str, list[int]] = {}  # by byte letters
-        self.words: dict[str, list[int]] = {}  # by the word itself
-
-    def spelled(self, letters: str) -> list[int]:
-        found = self.known.get(letters)
-        if found is None:
-            found = self.automaton.read(letters)
-            if len(self.known) < KNOWN_WORDS:
-                self.known[letters] = found
-        return found
-
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text as int32 bytes."""
+        out = []
         for part in self.cut.split(text) if text and "<|" in text else [text or ""]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(np.int32(self.special[part]).tobytes())
                 continue
             # The library lowers letter by letter, so a final sigma is like any other.
             plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
@@ -158,16 +169,15 @@ class WordEncoder:
                 self.library = self.library or tokenizers.Tokenizer.from_str(self.model)
                 normal = self.library.normalizer.normalize_str(part)
                 for letters, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):
-                    out += self.spelled(letters)
-                continue
-            for w in WORD.findall(plain):
-                ids = self.words.get(w)
-                if ids is None:
-                    ids = self.automaton.read("".join([self.letters[b] for b in w.encode()]))
-                    if len(self.words) < KNOWN_WORDS:
-                        self.words[w] = ids
-                out += ids
-        return out
+                    out.append(np.array(self.automaton.read(letters), np.int32).tobytes())
+            else:
+                out.extend(map(self.words.__getitem__, WORD.findall(plain)))
+        return b"".join(out)
+
+
+def _lists(parts: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
 def _extended(df: DataFrame, name: str, kind) -> StructType:
@@ -190,8 +200,8 @@ def encode(docs: DataFrame, model: str, name: str = "ids") -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                found = [np.array(encoder.encode(t), np.int32) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["row", "out"])
+                found = _lists([encoder.encode(t) for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), found], ["row", "out"])
 
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text")
@@ -212,21 +222,23 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", name: str = "decoded")
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        table = shared.value
-        whole = None not in table
+        labels = pa.array(shared.value, pa.string())
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                texts = []
-                for cell in part.column(1):
-                    if not cell.is_valid:
-                        texts.append(None)
-                        continue
-                    values = cell.values.to_numpy(zero_copy_only=False)
-                    if not whole or (len(values) and not (values.min() >= 0 and values.max() < len(table))):
-                        values = np.array([v for v in values if 0 <= v < len(table) and table[int(v)] is not None], np.int64)
-                    texts.append(" ".join(map(table.__getitem__, values.tolist())))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["row", "out"])
+                cells = part.column(1).cast(pa.list_(pa.int64()))
+                ids = pc.list_flatten(cells)
+                known = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(labels)))
+                told = labels.take(pc.if_else(known, ids, None))
+                sizes = pc.fill_null(pc.list_value_length(cells), 0).to_numpy(zero_copy_only=False)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+                if told.null_count:  # ids out of the vocabulary
+                    lists = pa.ListArray.from_arrays(offsets, told).to_pylist()
+                    joined = pa.array([" ".join([x for x in cell if x is not None]) for cell in lists], pa.string())
+                else:
+                    joined = pc.binary_join(pa.ListArray.from_arrays(offsets, told), " ")
+                texts = pc.if_else(pc.is_valid(cells), joined, None)
+                yield pa.RecordBatch.from_arrays([part.column(0), texts], ["row", "out"])
 
     held = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(ids).alias("ids"))
     out = held.mapInArrow(run, _extended(held, "out", StringType()))
