@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Turns that share one row; a longer dialogue goes on in further parts.
+from sparkdocs.operators.sizes import number_rows
+
+# Turn numbers that share one part; a longer dialogue goes on in further parts.
 PART_TURNS = 256
+# Rows of a part that are gathered and rendered together.
+PIECE_ROWS = 256
 SYSTEM = "system"
 NOBODY = "unknown"
 
@@ -28,19 +32,11 @@ def segments(part: str, viewer: str):
     )
 
 
-def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """One row per dialogue, part and participant: conv_id, viewer, part, n_turns, text, mask, n_trained.
-
-    `turns` has conv_id, turn, role (the speaker) and text. For each speaker but `system` the dialogue is
-    rendered with their turns as assistant and all others as users under their names; system turns stay
-    system turns. mask is the rendered text as runs of struct(length, trained) in characters: the body of
-    the viewer's own turns is trained, with the end sign, all else is not. Runs cover the text.
+def rotate_pieces(turns: DataFrame, part_turns: int = PART_TURNS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Views as in `rotate`, but a part goes on in pieces of at most `piece_rows` rows by their position.
 
-    A part takes the turns whose number lies in the same `part_turns`, so a dialogue that holds most rows
-    is spread over many groups; participants are those of the whole dialogue. Turns are ordered by number,
-    speaker and text; repeated rows are rendered as often as they come; null turn numbers come first, in
-    a part numbered -1. A null or blank role is a speaker `unknown` who is rendered but gets no view.
-    A null text is empty. Rows without conv_id form one dialogue. Other columns are not looked at.
+    Further columns: piece (from 0) and pieces, their number in the part. Positions come from range slices,
+    so that a dialogue that holds most rows, with repeated or null turn numbers, is never in one task or row.
     """
     role = F.trim(F.col("role").cast("string"))
     said = turns.select(
@@ -51,15 +47,22 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     viewers = said.filter(~F.col("speaker").isin(SYSTEM, NOBODY)).groupBy("conv_id").agg(
         F.array_sort(F.collect_set("speaker")).alias("viewers")
     )
-    parts = said.groupBy("conv_id", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("turn", "speaker", "said"))).alias("turns")
+    # Equal rows get a tie, for range slices cannot part them otherwise; their order does not show.
+    dealt = said.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1))).withColumn(
+        "tie", F.monotonically_increasing_id()
     )
+    order = [F.col("turn").asc_nulls_first(), F.col("speaker"), F.col("said"), F.col("tie")]
+    placed = number_rows(dealt, ["conv_id", "part"], order, "place", total="rows")
+    gathered = placed.groupBy(
+        "conv_id", "part", F.floor((F.col("place") - 1) / piece_rows).alias("piece"),
+        F.ceil(F.col("rows") / piece_rows).alias("pieces"),
+    ).agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "said"))).alias("turns"))
     named = viewers.withColumnRenamed("conv_id", "viewers_of")
-    views = parts.join(named, F.col("conv_id").eqNullSafe(F.col("viewers_of"))).select(
-        "conv_id", "part", "turns", F.explode("viewers").alias("viewer")
+    views = gathered.join(named, F.col("conv_id").eqNullSafe(F.col("viewers_of"))).select(
+        "conv_id", "part", "piece", "pieces", "turns", F.explode("viewers").alias("viewer")
     )
     runs = F.flatten(F.transform(
-        "pieces",
+        "said",
         lambda p: F.when(
             p["own"],
             F.array(
@@ -69,15 +72,42 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         ).otherwise(F.array(F.struct((F.length(p["head"]) + F.length(p["body"])).alias("length"), F.lit(False).alias("trained")))),
     ))
     trained = F.aggregate(
-        F.filter("pieces", lambda p: p["own"]), F.lit(0).cast("long"), lambda x, p: x + F.length(p["body"])
+        F.filter("said", lambda p: p["own"]), F.lit(0).cast("long"), lambda x, p: x + F.length(p["body"])
     )
-    return views.withColumn("pieces", segments("turns", "viewer")).select(
-        "conv_id", "viewer", "part", F.size("turns").cast("long").alias("n_turns"),
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
+    return views.withColumn("said", segments("turns", "viewer")).select(
+        "conv_id", "viewer", "part", "piece", "pieces", F.size("turns").cast("long").alias("n_turns"),
+        F.array_join(F.transform("said", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
         runs.alias("mask"), trained.alias("n_trained"),
     )
 
 
+def rotate(turns: DataFrame, part_turns: int = PART_TURNS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """One row per dialogue, part and participant: conv_id, viewer, part, n_turns, text, mask, n_trained.
+
+    `turns` has conv_id, turn, role (the speaker) and text. For each speaker but `system` the dialogue is
+    rendered with their turns as assistant and all others as users under their names; system turns stay
+    system turns. mask is the rendered text as runs of struct(length, trained) in characters: the body of
+    the viewer's own turns is trained, with the end sign, all else is not. Runs cover the text.
+
+    A part takes the turns whose number lies in the same `part_turns`; participants are those of the whole
+    dialogue. Turns are ordered by number, speaker and text; repeated rows are rendered as often as they
+    come; null turn numbers come first, in a part numbered -1. A null or blank role is a speaker `unknown`
+    who is rendered but gets no view. A null text is empty. Rows without conv_id form one dialogue. Other
+    columns are not looked at.
+
+    A part of more than `piece_rows` rows is rendered in pieces and its texts and masks are joined at the
+    end, per viewer: one part of one viewer must fit in a row. `rotate_pieces` has no such bound.
+    """
+    found = rotate_pieces(turns, part_turns, piece_rows)
+    columns = ["conv_id", "viewer", "part", "n_turns", "text", "mask", "n_trained"]
+    split = found.filter("pieces > 1").groupBy("conv_id", "viewer", "part").agg(
+        F.sort_array(F.collect_list(F.struct("piece", "n_turns", "text", "mask", "n_trained"))).alias("p"),
+        F.sum("n_turns").alias("n_turns"), F.sum("n_trained").alias("n_trained"),
+    )
+    joined = split.withColumn("text", F.array_join("p.text", "")).withColumn("mask", F.flatten("p.mask"))
+    return found.filter("pieces = 1").select(*columns).unionByName(joined.select(*columns))
+
+
 ROTATION_SQL = """
 WITH said AS (
   SELECT conv_id, turn, CASE WHEN role IS NULL OR trim(role) = '' THEN 'unknown' ELSE trim(role) END AS speaker,

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from checks.compare import _rows, connect
-from sparkdocs.llm import registry, warc
+from sparkdocs.llm import chat, registry, warc
 from sparkdocs.llm.chat import rotate
 
 FOLDER = "/root/testdata/sf0.001"
@@ -119,6 +119,19 @@ def test_rotation_equals_rendering_by_hand(spark):
     assert rotate(frame.limit(0)).collect() == []
 
 
+def test_rotation_of_a_hot_dialogue(spark):
+    draw = random.Random(10)
+    for hot in (None, 5):
+        rows = [(hot, draw.choice([0, 1, 2, None]), draw.choice(["ann", "bob", "system", None]), f"said {draw.randrange(40)}") for _ in range(600)]
+        rows += [(hot, 3, "ann", "again")] * 200 + [(6, 0, "cy", "hi"), (6, 1, "dan", "ho")]
+        frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        got = [(*r[:5], [tuple(x) for x in r.mask], r.n_trained) for r in chat.rotate(frame, piece_rows=16).collect()]
+        assert sorted(got, key=str) == rotated_by_hand(rows, 256)
+        pieces = chat.rotate_pieces(frame, piece_rows=16).collect()
+        assert max(r.n_turns for r in pieces) == 16 and sum(r.n_turns for r in pieces if r.viewer == "ann") == 800
+        assert {r.pieces for r in pieces if r.conv_id == 6} == {1}
+
+
 def pipeline_documents(spark, tmp_path):
     draw = random.Random(11)
     words = {x: ["".join(draw.choice(a) for _ in range(draw.randint(2, 8))) for _ in range(150)] for x, a in (("aa", "etaoinsh"), ("bb", "ükjzqwyxv"))}
