@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdocs.llm.langid import identify, learn
-from sparkdocs.llm.minhash import near_duplicates
+from sparkdocs.llm.minhash import linked, text_hash
 from sparkdocs.llm.packing import pack_documents, tokenizer_text
 from sparkdocs.llm.quality import free_name, judged
 from sparkdocs.session import fresh_dir
@@ -35,11 +35,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similarity 0.8 or more) stays: the one with the smallest id.
 
-    Rows that repeat an id and its text are one document; rows without an id link with nothing and stay.
+    Rows that repeat an id and its text are one document, rows that share an id alone are several; of near
+    copies that share the smallest id one stays. Rows without an id link with nothing and stay.
     """
-    found = near_duplicates(docs, percent=80)
-    keep = found.filter("kept").select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct()
-    named = docs.join(keep, docs["doc_id"] == keep["_id"], "left_semi")
+    found = linked(docs, percent=80).filter("kept AND doc_id IS NOT NULL")
+    first = found.filter("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    empty = found.filter("group IS NULL").select("doc_id", "text_hash").distinct()
+    keep = first.select("first.*").unionByName(empty).toDF("_id", "_hash")
+    named = docs.join(
+        keep, (docs["doc_id"] == keep["_id"]) & (text_hash(docs["text"]) == keep["_hash"]), "left_semi"
+    )
     ids = docs.filter("doc_id IS NOT NULL").select("doc_id")
     if not ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
         named = named.dropDuplicates(["doc_id", "text"])

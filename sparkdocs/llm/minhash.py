@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdocs.llm.common import WordHashes, ascii_words, block_pairs, groups_of, task_count
@@ -132,10 +132,10 @@ def _sign(batches):
                 h1[i], h2[i] = np.frombuffer(digest, np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2),
+                batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2),
                 pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()),
             ],
-            ["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
+            ["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands", "sig"],
         )
 
 
@@ -220,32 +220,30 @@ def _sorted_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(task_count(df), *keys).sortWithinPartitions(*keys)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
+def text_hash(text: Column) -> Column:
+    """64-bit hash that tells apart the texts of a reused doc_id."""
+    return F.xxhash64(text.cast("string"))
 
-    Documents with 100 * |A & B| >= percent * |A | B| over distinct five-word shingles are linked, and
-    component_id is the smallest doc_id reachable. Steps: minima and their packed low bits per document;
-    documents with the same set become one class; classes that share a band bucket and whose corrected
-    estimate is not five deviations too low form loose clusters; inside a cluster all links are checked on
-    full sets and only a spanning forest leaves the task. A true pair misses every band with probability
-    8e-7 at the threshold, and the estimate drops it with 3e-7. Hashes of words and sets have 64 and 128
-    bits. Large buckets and clusters are dealt to pairs of blocks.
 
-    A null or empty text has n_shingles 0 and links with nothing. A row without doc_id links with nothing,
-    has a null component_id and is kept. Rows that repeat a doc_id keep one row each. Other columns are
-    not looked at.
+def linked(docs: DataFrame, percent: int) -> DataFrame:
+    """`near_duplicates` with text_hash and group as well: group is null or the same for all rows of a component.
+
+    A component is known by its set of texts, not by an id: two components may share their smallest doc_id.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        text_hash(F.col("text")).alias("text_hash"),
+    )
     signed = stage(
         source.mapInArrow(
-            _sign, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"
+            _sign, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"
         )
     )
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    one = F.struct("doc_id", "text_hash", "n_shingles", "bands", "sig")
     classes = stage(
-        usable.groupBy("h1", "h2").agg(
-            F.min_by(F.struct(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig"), "doc_id").alias("c")
-        ).select("h1", "h2", "c.*")
+        usable.groupBy("h1", "h2").agg(F.min_by(one, F.struct("doc_id", "text_hash")).alias("c"))
+        .select("h1", "h2", "c.*", F.monotonically_increasing_id().alias("rep"))
     )
     spread = classes.select("rep", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -260,21 +258,43 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
     counts = sized.groupBy("cluster").agg(blocks.alias("blocks"))
     checked = block_pairs(cluster.join(counts, "cluster"), "blocks", "rep")
-    texts = source.join(checked, source["doc_id"] == checked["rep"]).select("cluster", "blk_i", "blk_j", "rep", "text")
+    checked = checked.join(classes.select("rep", "doc_id", "text_hash"), "rep")
+    texts = source.join(checked, ["doc_id", "text_hash"]).select("cluster", "blk_i", "blk_j", "rep", "text")
     links = _sorted_groups(texts, ["cluster", "blk_i", "blk_j"]).mapInArrow(
         _cluster_links(percent, WORDS), "a long, b long"
     )
-    found = connected_components(links)
-    named = classes.join(found, classes["rep"] == found["node"], "left").select(
-        "h1", "h2", F.coalesce("component", "rep").alias("class_component")
+    found = connected_components(links).join(
+        classes.select(F.col("rep").alias("node"), "doc_id"), "node"
     )
-    linked = F.when(F.col("n_shingles") > 0, F.col("class_component"))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("least_id"))
+    found = found.join(least, "component").select(F.col("node").alias("rep"), "component", "least_id")
+    named = classes.join(found, "rep", "left").select(
+        "h1", "h2", F.coalesce("component", "rep").alias("group"), F.coalesce("least_id", "doc_id").alias("class_component")
+    )
+    in_class = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return (
-        signed.select("doc_id", "n_shingles", "h1", "h2")
+        signed.select("doc_id", "text_hash", "n_shingles", "h1", "h2")
         .join(named, ["h1", "h2"], "left")
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(linked, F.col("doc_id"))))
-        .select(
-            "doc_id", "n_shingles", "component_id",
-            F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
-        )
+        .withColumn("group", F.when(in_class, F.col("group")))
+        .withColumn("component_id", F.when(in_class, F.col("class_component")).otherwise(F.col("doc_id")))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .select("doc_id", "text_hash", "n_shingles", "group", "component_id", "kept")
     )
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
+
+    Documents with 100 * |A & B| >= percent * |A | B| over distinct five-word shingles are linked, and
+    component_id is the smallest doc_id reachable. Steps: minima and their packed low bits per document;
+    documents with the same set become one class; classes that share a band bucket and whose corrected
+    estimate is not five deviations too low form loose clusters; inside a cluster all links are checked on
+    full sets and only a spanning forest leaves the task. A true pair misses every band with probability
+    8e-7 at the threshold, and the estimate drops it with 3e-7. Hashes of words and sets have 64 and 128
+    bits. Large buckets and clusters are dealt to pairs of blocks.
+
+    A null or empty text has n_shingles 0 and links with nothing. A row without doc_id links with nothing,
+    has a null component_id and is kept. Rows that repeat a doc_id keep one row each; if their texts differ
+    they are documents of their own, which a shared doc_id does not link. Other columns are not looked at.
+    """
+    return linked(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")

@@ -1,5 +1,6 @@
 """Near-duplicate operators against brute force on small tables."""
 
+import collections
 import random
 
 import numpy as np
@@ -87,6 +88,33 @@ def test_one_large_group_is_dealt_to_blocks(spark, monkeypatch):
     assert {r[2] for r in got} == {0}
 
 
+def test_texts_that_share_an_id_are_linked_each(spark):
+    draw = random.Random(8)
+    texts = [[f"w{draw.randrange(10**6)}" for _ in range(80)] for _ in range(6)]
+    copies = [[*t[:-1], "other"] for t in texts]
+    rows = [(10, " ".join(t)) for t in texts]  # six texts of one id
+    rows += [(20 + k, " ".join(c)) for k, c in enumerate(copies[:5])] + [(3, " ".join(copies[5])), (10, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(tuple(r) for r in near_duplicates(docs).collect())
+    want = collections.Counter({(10, 76, 10, True): 5, (10, 76, 3, False): 1, (3, 76, 3, True): 1, (10, 0, 10, True): 1})
+    want.update({(20 + k, 76, 10, False): 1 for k in range(5)})
+    assert got == want
+
+
+def test_pipeline_keeps_rows_by_id_and_text(spark):
+    import corpus_pipeline
+
+    draw = random.Random(9)
+    a, b, c = ([f"w{draw.randrange(10**6)}" for _ in range(80)] for _ in range(3))
+    near = lambda t: " ".join([*t[:-1], "other"])
+    a, b, c, a2, b2, c2 = *(" ".join(t) for t in (a, b, c)), near(a), near(b), near(c)
+    rows = [(3, a), (10, a2), (10, b), (10, b), (11, b2), (12, c), (12, c2), (13, None), (13, ""), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted((r for r in got if r[0] != 12), key=str) == sorted([(3, a), (10, b), (13, None), (13, ""), (None, a)], key=str)
+    assert len(got) == 6 and {r for r in got if r[0] == 12} < {(12, c), (12, c2)}
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).collect() == []
