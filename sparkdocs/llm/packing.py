@@ -246,7 +246,10 @@ def _pack_group(capacity: int, round_no: int, last: bool):
             hand_on = np.zeros(len(bins), bool)
             if not last:
                 low = np.argsort(fill, kind="stable")[:HANDED_ON]
-                hand_on[low[fill[low] < capacity]] = True
+                low = low[fill[low] < capacity]
+                # No more than half of the pieces, or short ones would all go on for ever.
+                held = np.cumsum([len(bins[k]) for k in low])
+                hand_on[low[held <= len(sizes) // 2]] = True
             group = table.column("pack_group")[0].as_py()
             order = np.concatenate([np.array(b) for b in bins])
             which = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
@@ -268,7 +271,8 @@ def assign(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP
 
     Items are spread evenly over groups of about `group_pieces`; a task packs a group by best fit and
     local search. The HANDED_ON emptiest sequences of every group are opened again and packed in the next
-    round, which has about a hundredth of the items, until one group is left. Every item is placed.
+    round, which has about a hundredth of the items, until one group is left. With very short items it is
+    more, but at most half of each group, so the rounds end. Every item is placed.
     """
     held = items.select("item", F.col("length").cast("long").alias("length"))
     out, round_no = None, 0

@@ -205,6 +205,21 @@ def test_assignment_over_several_rounds(spark):
     assert len(places) <= 1.02 * sum(size.values()) / 1024 + 1
 
 
+def test_assignment_of_short_items_ends(spark, monkeypatch):
+    real, rounds = packing._pack_group, []
+
+    def counted(capacity, round_no, last):
+        assert round_no < 20, "the rounds do not shrink"
+        rounds.append(round_no)
+        return real(capacity, round_no, last)
+
+    monkeypatch.setattr(packing, "_pack_group", counted)
+    items = spark.range(30_000).selectExpr("id AS item", "3L AS length")
+    got = packing.assign(items).collect()
+    assert sorted(r.item for r in got) == list(range(30_000)) and len(rounds) > 1
+    assert len({r.sequence_id for r in got}) <= -(-30_000 // 341) + 2
+
+
 def test_local_search_empties_bins():
     # Best fit leaves three bins where two are enough.
     sizes = np.array([6, 5, 5, 4, 7, 3])
