@@ -160,7 +160,8 @@ def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> lis
 
     The emptiest bin gives: an item moves to another bin, or is exchanged for a smaller one, for two that
     are smaller together, or two of its items for one smaller one; each time the change with the largest
-    gain is made. A bin that can give nothing more is passed. The sum of squares is a rising integer, so
+    gain is made. Of two for one, pairs close together in a bin's list come first, all others only where no
+    change is found. A bin that can give nothing more is passed. The sum of squares is a rising integer, so
     the search ends; it stops early when all room left is less than one bin.
     """
     fill = np.array([int(sizes[b].sum()) for b in bins], np.int64)
@@ -210,6 +211,21 @@ def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> lis
             for p in range(len(mine)):
                 for q in range(p):
                     weigh(size[mine[p]] + size[mine[q]] - size[theirs], home[theirs], ("for", mine[p], mine[q]))
+        if best[1] is None:
+            # All pairs of a bin, two items of each size being enough; further apart until no bin has such a pair.
+            key = home[theirs] * (capacity + 1) + size[theirs]
+            by_size = np.argsort(key, kind="stable")
+            order, key = theirs[by_size], key[by_size]
+            order = order[np.concatenate((np.ones(min(2, len(key)), bool), key[2:] != key[:-2]))]
+            kinds = mine[np.unique(size[mine], return_index=True)[1]]
+            for gap in range(1, len(order)):
+                a, b = order[:-gap], order[gap:]
+                same = home[a] == home[b]
+                if not same.any():
+                    break
+                a, b = a[same], b[same]
+                for x in kinds:
+                    weigh(size[x] - size[a] - size[b], home[a], ("two", x, a, b))
         if best[1] is None:
             passed[giver] = True
             continue

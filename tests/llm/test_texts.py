@@ -236,6 +236,14 @@ def test_local_search_empties_bins():
         assert all(sizes[b].sum() <= 100 for b in better) and len(better) <= len(first)
 
 
+def test_local_search_tries_all_pairs_of_a_bin():
+    # Only 30 and 19, the ends of a bin of five, can be exchanged for 50.
+    sizes = np.array([50, 30, 18, 16, 16, 19, 80, 70])
+    out = packing.local_search(sizes, [[0], [1, 2, 3, 4, 5], [6], [7]], 100)
+    assert sorted(i for b in out for i in b) == list(range(8))
+    assert all(sizes[b].sum() <= 100 for b in out) and len(out) == 3
+
+
 def test_packing_nothing(spark):
     assert packing.pack_documents(docs_of(spark, []), model("byte_bpe_50k.json")).collect() == []
 
