@@ -31,7 +31,16 @@ LICENSES: dict[str, list[str]] = {
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "CC-BY-NC-4.0 long": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-4.0 short": ["Licensed under CC BY 4.0."],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-SA-4.0 short": ["Licensed under CC BY-SA 4.0."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "AGPL-3.0-or-later": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "GPL-2.0-only": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+    ],
     "GPL-2.0-or-later": [
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
@@ -42,6 +51,12 @@ LICENSES: dict[str, list[str]] = {
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
+    "LGPL-2.1-or-later": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0-or-later": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "MIT": ["Released under the MIT License."],
     "MIT text": [
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
@@ -49,9 +64,14 @@ LICENSES: dict[str, list[str]] = {
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Zlib": [
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+        "This notice may not be removed or altered from any source distribution.",
+    ],
 }
-# Every sentence above holds one of these in lower case.
-ANCHORS = ("licens", "copyright", "permission", "redistribut", "public domain")
+# A word of every sentence above holds one of these in lower case.
+ANCHORS = ("licens", "copyright", "permission", "redistribut", "domain", "misrepresented", "altered")
 
 _WORD = re.compile(r"[^\W_]+")
 _BORDER = re.compile(r"(?<=[.!?;:])\s+|\n\s*")
@@ -62,6 +82,18 @@ def normal_words(sentence: str) -> list[str]:
     return _WORD.findall(sentence.lower())
 
 
+def anchors_of(licenses: dict[str, list[str]]) -> set[str] | None:
+    """For each sentence a piece of one of its words, so that white space does not matter; None if one has none."""
+    out = set()
+    for words in (normal_words(x) for sentences in licenses.values() for x in sentences):
+        plain = [w for w in words if w.isascii()]
+        known = [a for a in ANCHORS if any(a in w for w in plain)]
+        if not plain:
+            return None
+        out.add(known[0] if known else max(plain, key=len))
+    return out
+
+
 class Rules:
     """Word trie of the known sentences, and the identifier sequence of every licence."""
 
@@ -129,12 +161,13 @@ def recognise(docs: DataFrame, licenses: dict[str, list[str]] = LICENSES) -> Dat
     A text is cut into sentences at end marks and line ends; a sentence may run over lines. Sentences are
     compared by their lower-case words. Known ones become identifiers, and where identifiers follow each
     other with nothing between as a licence's rule asks, the licence is reported, the longest rule first.
-    Texts without any anchor word cannot hold a known sentence and stay in the JVM. Null and empty texts
+    Texts without any of the rules' anchors cannot hold a known sentence and stay in the JVM. Null and empty texts
     and texts without a licence give no row; a licence that comes twice gives two.
     """
     lower = F.lower(F.col("text").cast("string"))
-    hit = F.lit(False)
-    for anchor in ANCHORS:
+    anchors = anchors_of(licenses)
+    hit = F.lit(anchors is None)
+    for anchor in sorted(anchors or ()):
         hit = hit | F.contains(lower, F.lit(anchor))
 
     def run(batches):

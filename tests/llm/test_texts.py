@@ -372,6 +372,17 @@ def test_every_licence_text_is_recognised(spark):
         assert license.normal_words(part) == license.normal_words(" ".join(list(license.LICENSES.values())[r.doc_id]))
 
 
+def test_licence_sentences_over_lines_and_of_the_caller(spark):
+    docs = spark.createDataFrame(
+        [(1, "This is free and unencumbered software released into the public\ndomain."), (2, "Free for all\nuses."), (3, "Licensed under CC BY-SA 4.0."), (4, "für Größen")],
+        "doc_id long, text string",
+    )
+    assert [(r.doc_id, r.license) for r in license.recognise(docs).collect()] == [(1, "Unlicense"), (3, "CC-BY-SA-4.0")]
+    own = license.recognise(docs, {"Own": ["Free for all uses."]}).collect()
+    assert [(r.doc_id, r.license) for r in own] == [(2, "Own")]
+    assert [r.doc_id for r in license.recognise(docs, {"Own": ["für Größen"]}).collect()] == [4]
+
+
 def test_licence_rules_need_their_order(spark):
     one, two, three = license.LICENSES["BSD-2-Clause"]
     clause = license.LICENSES["BSD-3-Clause"][3]
