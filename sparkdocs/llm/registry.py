@@ -13,10 +13,12 @@ from sparkdocs.llm.chat import ROTATION_SQL, rotate
 from sparkdocs.llm.embed_dedup import near_vectors
 from sparkdocs.llm.langid import identify, learn
 from sparkdocs.llm.license import recognise
+from sparkdocs.llm.manifest import MANIFEST_SQL, lower_ascii, manifest
 from sparkdocs.llm.minhash import near_duplicates
 from sparkdocs.llm.packing import pack_documents, tokenizer_text
 from sparkdocs.llm.ppm import score_texts
 from sparkdocs.llm.quality import judged
+from sparkdocs.llm.ranked import RANKED_SQL, rank_documents
 from sparkdocs.llm.warc import MERKLE_SQL, archive, audit, damaged, leaves
 
 
@@ -85,6 +87,15 @@ def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "found.lang_pred", "found.score", "found.rejected", "found.cross_entropy")
 
 
+def op12_term_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_bitmap_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = {"text": lower_ascii(F.col("text"))}
+    return manifest(_table(spark, folder, "documents"), tampered=tampered, changed=crc32_rest("doc_id", 5) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rotation": op1_rotation,
     "op2_merkle": op2_merkle,
@@ -96,6 +107,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_automaton": op8_automaton,
     "op9_bbit_minhash": op9_bbit_minhash,
     "op10_kneser_ney": op10_kneser_ney,
+    "op12_term_pipeline": op12_term_pipeline,
+    "op13_bitmap_manifest": op13_bitmap_manifest,
 }
 
-ORACLES: dict[str, str] = {"op1_rotation": ROTATION_SQL, "op2_merkle": MERKLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_rotation": ROTATION_SQL, "op2_merkle": MERKLE_SQL, "op12_term_pipeline": RANKED_SQL, "op13_bitmap_manifest": MANIFEST_SQL,
+}
