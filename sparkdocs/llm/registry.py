@@ -19,6 +19,7 @@ from sparkdocs.llm.packing import pack_documents, tokenizer_text
 from sparkdocs.llm.ppm import score_texts
 from sparkdocs.llm.quality import judged
 from sparkdocs.llm.ranked import RANKED_SQL, rank_documents
+from sparkdocs.llm.suffix import REPEATS_SQL, remove_repeats
 from sparkdocs.llm.warc import MERKLE_SQL, archive, audit, damaged, leaves
 
 
@@ -87,6 +88,17 @@ def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "found.lang_pred", "found.score", "found.rejected", "found.cross_entropy")
 
 
+def op11_index_family(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = remove_repeats(docs, ["doc_id", "text"])
+    zero = F.lit(0).cast("long")
+    removed = F.aggregate("spans", zero, lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", F.coalesce(F.octet_length("text").cast("long"), zero).alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op12_term_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -107,10 +119,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_automaton": op8_automaton,
     "op9_bbit_minhash": op9_bbit_minhash,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_index_family": op11_index_family,
     "op12_term_pipeline": op12_term_pipeline,
     "op13_bitmap_manifest": op13_bitmap_manifest,
 }
 
 ORACLES: dict[str, str] = {
-    "op1_rotation": ROTATION_SQL, "op2_merkle": MERKLE_SQL, "op12_term_pipeline": RANKED_SQL, "op13_bitmap_manifest": MANIFEST_SQL,
+    "op1_rotation": ROTATION_SQL, "op2_merkle": MERKLE_SQL, "op11_index_family": REPEATS_SQL,
+    "op12_term_pipeline": RANKED_SQL, "op13_bitmap_manifest": MANIFEST_SQL,
 }
