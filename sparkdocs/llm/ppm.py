@@ -7,17 +7,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from sparkdocs.llm.common import ascii_words, task_count
+from sparkdocs.llm.common import ascii_words
 from sparkdocs.session import stage
 
-# Bytes of context, and text bytes that share one table of terms while they are scored.
+# Bytes of context, text bytes that share one table of terms while they are scored, and text bytes whose
+# grams a task spells out at a time (a single longer text goes alone).
 DEPTH = 5
-BLOCK_BYTES = 32_000_000
-SLICE_ROWS = 400
+BLOCK_BYTES = 16_000_000
+SLICE_BYTES = 2_000_000
+ROW_BYTES = 64
 
 _END = b"\n"  # after every text, and before it as often as the context is deep
 
@@ -89,83 +93,103 @@ class _Block:
         ).to_batches(max_chunksize=100_000)
 
 
-def _runs(columns) -> list[tuple[int, int]]:
-    """Start and end of each run of equal values."""
-    change = np.zeros(len(columns[0]), bool)
-    for c in columns:
-        change[1:] |= c[1:] != c[:-1]
-    cuts = np.flatnonzero(change).tolist()
-    return list(zip([0, *cuts], [*cuts, len(change)])) if len(change) else []
+def _slices(table: pa.Table):
+    """Parts of a table whose texts have at most SLICE_BYTES together, or a single text."""
+    start = held = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(table.column("text")), 0).to_pylist()):
+        if i > start and held + size > SLICE_BYTES:
+            yield table.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    yield table.slice(start)
+
+
+def _blocks(batches):
+    """(block, part) of a partition's rows in order: a new block begins where BLOCK_BYTES would be passed.
+
+    Every row counts some bytes besides its text. Blocks follow the rows alone, however they are batched;
+    the number holds the partition, so rows of different partitions do not share a block.
+    """
+    block, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        start = part = 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
+            full = held and held + size + ROW_BYTES > BLOCK_BYTES
+            if i > start and (full or part + size > SLICE_BYTES):
+                yield block, batch.slice(start, i - start)
+                start, part = i, 0
+            if full:
+                block, held = block + 1, 0
+            held += size + ROW_BYTES
+            part += size
+        if start < batch.num_rows:
+            yield block, batch.slice(start)
 
 
 def _count(depth: int):
     def run(batches):
         block = None
-        for batch in batches:
-            numbers = batch.column(0).to_numpy()
-            for a, b in _runs([numbers]):
-                if block is None or numbers[a] != block.number:
-                    if block is not None:
-                        yield from block.rows()
-                    block = _Block(int(numbers[a]), depth)
-                for at in range(a, b, SLICE_ROWS):
-                    part = batch.slice(at, min(SLICE_ROWS, b - at))
-                    block.add(part.column(1).to_pylist(), part.column(2).to_pylist())
+        for number, part in _blocks(batches):
+            if block is None or number != block.number:
+                if block is not None:
+                    yield from block.rows()
+                block = _Block(number, depth)
+            block.add(part.column("train").to_pylist(), part.column("text").to_pylist())
         if block is not None:
             yield from block.rows()
 
     return run
 
 
+def _dealt(batches):
+    """Texts with the block that `_count` gave their terms to."""
+    for number, part in _blocks(batches):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(part.num_rows, number)), part.column("text"), part.column("row")], ["block", "text", "row"]
+        )
+
+
 class GramTable:
     """Values by gram: one probe into a hashed table, a search for the few that share a slot."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
+        if not len(keys):
+            self.keys, self.values = np.full(1, -1, np.int64), np.zeros(1)
         self.shift = np.uint64(64 - max(8, len(keys).bit_length() + 2))
         slot = self._slot(self.keys)
         size = 1 << (64 - int(self.shift))
         self.slots = np.full(size, -1, np.int32)
-        self.slots[slot] = np.arange(len(keys), dtype=np.int32)
+        self.slots[slot] = np.arange(len(self.keys), dtype=np.int32)
         self.slots[np.bincount(slot, minlength=size) > 1] = -1
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of grams that are all in the table; another one is an error."""
         at = self.slots[self._slot(keys)]
         miss = np.flatnonzero(at < 0)
         if len(miss):
-            at[miss] = np.searchsorted(self.keys, keys[miss])
+            at[miss] = np.minimum(np.searchsorted(self.keys, keys[miss]), len(self.keys) - 1)
+        if not np.array_equal(self.keys[at], keys):
+            raise KeyError("a gram is not among the terms of its block")
         return self.values[at]
 
 
 def _score(depth: int, unknown: float):
-    """Terms of a block come first (kind 0 grams, 1 words), then its texts (2)."""
+    """Texts of a block with the values of the block's grams and words."""
 
-    def run(batches):
-        block, table, words, keys, values = None, None, {}, [], []
-        for batch in batches:
-            numbers, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b in _runs([numbers, kinds]):
-                if numbers[a] != block:
-                    block, table, words, keys, values = numbers[a], None, {}, [], []
-                part = batch.slice(a, b - a)
-                if kinds[a] == 0:
-                    keys.append(part.column(2).to_numpy())
-                    values.append(part.column(7).to_numpy())
-                elif kinds[a] == 1:
-                    words.update(zip(part.column(3).to_pylist(), part.column(4).to_pylist()))
-                else:
-                    if table is None:
-                        table = GramTable(np.concatenate(keys), np.concatenate(values).astype(np.float64))
-                        keys, values = [], []
-                    for at in range(0, part.num_rows, SLICE_ROWS):
-                        yield score(part.slice(at, SLICE_ROWS), table, words)
+    def run(terms: pa.Table, docs: pa.Table) -> pa.Table:
+        is_word = pc.is_valid(terms.column("word"))
+        grams_of, words_of = terms.filter(pc.invert(is_word)), terms.filter(is_word)
+        table = GramTable(grams_of.column("gram").to_numpy(), grams_of.column("value").to_numpy())
+        words = dict(zip(words_of.column("word").to_pylist(), words_of.column("value").to_pylist()))
+        return pa.concat_tables(score(part, table, words) for part in _slices(docs))
 
     def score(docs, table, value_of):
-        texts = [ascii_words(t) for t in docs.column(5).to_pylist()]
+        texts = [ascii_words(t) for t in docs.column("text").to_pylist()]
         found, sizes = grams(texts, depth)
         model = np.add.reduceat(table.get(found), np.cumsum(sizes) - sizes)
         base, known = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
@@ -174,8 +198,8 @@ def _score(depth: int, unknown: float):
             each = np.fromiter(map(value_of.__getitem__, words), np.float64, len(words))
             base[i] = each.sum()
             known[i] = (each > unknown).sum()
-        return pa.RecordBatch.from_arrays(
-            [docs.column(6), pa.array([len(w) for w in texts], pa.int64()), pa.array(known), pa.array(base), pa.array(model)],
+        return pa.table(
+            [docs.column("row"), pa.array([len(w) for w in texts], pa.int64()), pa.array(known), pa.array(base), pa.array(model)],
             ["row", "n_tokens", "n_known", "base_score", "score"],
         )
 
@@ -247,48 +271,44 @@ def score_texts(
     `code_lengths`; base_score sums log10((c + 1) / (N + V + 1)) over the tokens, with c, N and V from the
     training tokens.
 
-    The rows are cut into blocks of about BLOCK_BYTES. Each block gives its distinct grams and words with
-    their counts; counts are added up over all blocks, each distinct gram is evaluated once, and every
-    block gets back the values of its own terms, sorted before its texts. So no task holds the whole
-    model, and what moves grows with the input. Blocks follow the place of a row, so the rows are written
-    once; with `plain_scan` they are read twice instead, which is right for rows that come straight from
-    files. A row that changed its block would raise an error.
+    Repeated rows are counted and scored each. The id is not looked at, so it may be null or repeat; an
+    empty table gives no rows. Extra columns may have any name.
+
+    The rows of a partition are cut into blocks of BLOCK_BYTES. Each block gives its distinct grams and
+    words with their counts; counts are added up over all blocks, each distinct gram is evaluated once, and
+    every block meets the values of its own terms in a co-group. So no task holds the whole model, and what
+    moves grows with the input. Blocks follow the place of a row, so the rows are written once; with
+    `plain_scan` they are read twice instead, which is right for rows that come straight from files. A row
+    that changed its block raises an error, for a word as for a gram.
     """
     text = F.col("text").cast("string")
-    size = docs.agg(F.avg(F.octet_length(text)).alias("mean")).first()["mean"] or 1.0
-    per_block = max(1, int(BLOCK_BYTES / max(size, 1.0)))
-    row = F.monotonically_increasing_id()
-    # Partition numbers stand above bit 33; rows of different partitions do not share a block.
-    block = F.shiftright(row, 33) * F.lit((1 << 33) // per_block + 1) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / per_block)
     source = docs.select(
-        block.cast("long").alias("block"), F.coalesce(~held_out, F.lit(True)).alias("train"), text.alias("text"),
+        F.coalesce(~held_out, F.lit(True)).alias("train"), text.alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
     )
     source = source if plain_scan else stage(source)
-    terms = stage(
-        source.select("block", "train", "text").mapInArrow(_count(depth), "block long, gram long, word binary, n long")
-    )
+    terms = stage(source.select("train", "text").mapInArrow(_count(depth), "block long, gram long, word binary, n long"))
     counted = stage(terms.filter("word IS NULL").groupBy("gram").agg(F.sum("n").alias("n")))
     words = stage(terms.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"] or 0)
     value = F.log10(F.col("n") + 1.0) - F.log10(F.lit(float(n + v + 1)))
-    gram_rows = terms.filter("word IS NULL").select("block", "gram").join(code_lengths(counted, depth), "gram")
+    logp = code_lengths(counted, depth).withColumnRenamed("logp", "value")
+    gram_rows = terms.filter("word IS NULL").select("block", "gram").join(logp, "gram")
     word_rows = terms.filter("word IS NOT NULL").select("block", "word").join(words.select("word", value.alias("value")), "word")
-    no_text, no_row = F.lit(None).cast("string"), F.lit(None).cast(source.schema["row"].dataType)
-    no_word, no_gram, no_logp = F.lit(None).cast("binary"), F.lit(0).cast("long"), F.lit(0).cast("float")
-    both = (
-        gram_rows.select("block", F.lit(0).alias("kind"), "gram", no_word.alias("word"), F.lit(0.0).alias("value"), no_text.alias("text"), no_row.alias("row"), F.col("logp").cast("float").alias("logp"))
-        .union(word_rows.select("block", F.lit(1), no_gram, "word", "value", no_text, no_row, no_logp))
-        .union(source.select("block", F.lit(2), no_gram, no_word, F.lit(0.0), "text", "row", no_logp))
+    values = gram_rows.select("block", "gram", F.lit(None).cast("binary").alias("word"), "value").union(
+        word_rows.select("block", F.lit(None).cast("long"), "word", "value")
+    )
+    row = StructField("row", source.schema["row"].dataType)
+    dealt = source.select("text", "row").mapInArrow(
+        _dealt, StructType([StructField("block", LongType()), StructField("text", StringType()), row])
     )
     out = StructType([
-        StructField("row", source.schema["row"].dataType), StructField("n_tokens", LongType()),
-        StructField("n_known", LongType()), StructField("base_score", DoubleType()), StructField("score", DoubleType()),
+        row, StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base_score", DoubleType()), StructField("score", DoubleType()),
     ])
     # Half a count above the value of an unknown word parts it from the rarest known one.
     unknown = math.log10(1.5) - math.log10(n + v + 1)
-    scored = both.repartition(task_count(both), "block").sortWithinPartitions("block", "kind").mapInArrow(_score(depth, unknown), out)
+    scored = values.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_score(depth, unknown), out)
     return scored.select(
         *[F.col("row").getField(c).alias(c) for c in keep], "n_tokens", "n_known",
         F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",

@@ -294,6 +294,17 @@ def test_merge_gadgets_on_all_short_words():
             assert machine.read("".join(w)) == by_hand("".join(w))
 
 
+def test_gram_table_refuses_absent_grams():
+    keys = np.array([5, 1 << 40, 77], np.int64)
+    table = ppm.GramTable(keys, np.array([0.5, 1.5, 2.5]))
+    assert table.get(np.array([77, 5, 77])).tolist() == [2.5, 0.5, 2.5]
+    for absent in (6, 78, -1, 1 << 62):
+        with pytest.raises(KeyError):
+            table.get(np.array([5, absent]))
+    with pytest.raises(KeyError):
+        ppm.GramTable(np.zeros(0, np.int64), np.zeros(0)).get(np.array([3]))
+
+
 def ppm_by_hand(train, text, depth):
     """Method D with exclusion over contexts of a padded byte string."""
     counts = collections.defaultdict(collections.Counter)
