@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from sparkdocs.llm.common import CACHE_WORDS
 from sparkdocs.llm.quality import free_name
+from sparkdocs.operators.sizes import keyed_join
 from sparkdocs.session import stage
 
 ORDER = 5
@@ -24,8 +26,12 @@ LIMIT_QUANTILE = 0.995
 LIMIT_ROOM = 1.5
 LIMIT_SHORT = 4.0
 LEAST_SCORE = 0.5
-# Texts whose words a task holds at a time.
-SLICE_ROWS = 500
+# Text bytes whose words a task holds at a time (a longer text goes alone).
+SLICE_BYTES = 2_000_000
+# Calibration texts are also scored as far as these many characters, so that scores fit short texts too.
+CUTS = [20, 60, 200]
+# A language with fewer labelled rows is learned from all of them and not calibrated.
+LEAST_ROWS = 10
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -224,7 +230,12 @@ def _share(held: Column, salt: int) -> Column:
 
 
 class LanguageModel:
-    """Models of all learned languages with the calibration of scores and of the rejection."""
+    """Models of all learned languages with the calibration of scores and of the rejection.
+
+    The score is the share of the best language in a softmax over the languages and one class more, "none
+    of them", whose cross-entropy is the best language's limit. So it falls where two languages are close
+    and where a text is unlike its language, to a half at the limit and to 0 beyond.
+    """
 
     def __init__(self, models, alphabet: int, sharpness: float = 1.0, limits: dict[str, float] | None = None):
         self.models, self.alphabet, self.sharpness, self.limits = models, alphabet, sharpness, limits or {}
@@ -236,11 +247,14 @@ class LanguageModel:
             return [UNKNOWN] * len(n), np.zeros(len(n)), np.ones(len(n), bool)
         best = entropy.argmin(axis=1)
         low = entropy[np.arange(len(n)), best]
-        odds = np.exp(-self.sharpness * np.sqrt(n)[:, None] * (entropy - low[:, None]))
-        score = np.where(n > 0, 1 / odds.sum(axis=1), 0.0)
         limit = np.array([self.limits.get(x, np.inf) for x in langs])[best]
-        room = LIMIT_SHORT / np.sqrt(np.maximum(n, 1))  # a short text says less
-        rejected = (n == 0) | (low > limit + room) | (score < LEAST_SCORE)
+        bound = limit + LIMIT_SHORT / np.sqrt(np.maximum(n, 1))  # a short text says less
+        lift = self.sharpness * np.sqrt(n)
+        odds = np.exp(-lift[:, None] * (entropy - low[:, None])).sum(axis=1)
+        with np.errstate(over="ignore"):
+            none = np.where(np.isfinite(bound), np.exp(np.minimum(-lift * (bound - low), 700.0)), 0.0)
+        score = np.where(n > 0, 1 / (odds + none), 0.0)
+        rejected = (n == 0) | (low > bound) | (score < LEAST_SCORE)
         return [langs[b] if k else UNKNOWN for b, k in zip(best, n)], score, rejected
 
 
@@ -254,16 +268,16 @@ def learn(docs: DataFrame, held_out: Column) -> LanguageModel:
     labelled = docs.filter(~held_out & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
         F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return LanguageModel({}, 1)
-    rate = F.element_at(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(1.0 / v))]), F.col("lang"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     share = _share(F.col("id"), 1)
-    # Small languages give a fifth of their rows to the calibration.
-    mark = F.when(share < F.least(F.lit(0.2), CALIBRATION_ROWS * rate), "calibrate").when(
-        share > 1 - F.least(F.lit(0.8), TRAIN_ROWS * rate), "train"
-    )
-    picked = labelled.withColumn("use", mark).filter("use IS NOT NULL")
+    # Small languages give a fifth of their rows to the calibration, very small ones none.
+    few = F.col("n") < LEAST_ROWS
+    calibrated = F.when(few, 0.0).otherwise(F.least(F.lit(0.2), CALIBRATION_ROWS / F.col("n")))
+    trained = F.when(few, 1.0).otherwise(F.least(F.lit(0.8), TRAIN_ROWS / F.col("n")))
+    mark = F.when(share < calibrated, "calibrate").when(share >= 1 - trained, "train")
+    # The pick goes by id and text, so of rows that repeat both one is enough; repeats would break the bound.
+    rated = keyed_join(labelled, sizes, ["lang"])
+    picked = rated.withColumn("use", mark).filter("use IS NOT NULL").dropDuplicates(["use", "lang", "id", "text"])
     chosen = stage(picked.select("use", "lang", "text"))
     words = stage(
         chosen.filter("use = 'train'").select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
@@ -282,75 +296,107 @@ def learn(docs: DataFrame, held_out: Column) -> LanguageModel:
     return model
 
 
-def _entropies(shared, columns: list[str]):
+def _slices(texts: pa.Array):
+    """Lists of texts with at most SLICE_BYTES together, or a single longer one."""
+    start = held = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > start and held + size > SLICE_BYTES:
+            yield texts.slice(start, i - start).to_pylist()
+            start, held = i, 0
+        held += size
+    yield texts.slice(start).to_pylist()
+
+
+def _entropies(shared):
+    """(lang, n_letters, entropies) of calibration texts."""
+
     def run(batches):
         model = shared.value
         scorer = Scorer(model.models, model.alphabet)
-        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
-            entropy, n = scorer.texts(batch.column(batch.schema.get_field_index("text")).to_pylist())
-            lang, score, rejected = model.judge(entropy, n)
-            low = entropy.min(axis=1) if entropy.shape[1] else np.zeros(len(n))
+        for batch in batches:
+            found = [scorer.texts(part) for part in _slices(batch.column(1))]
+            entropy, n = (np.concatenate(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(batch.schema.get_field_index(c)) for c in columns],
-                    pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected),
-                    pa.array(low), pa.array(n), pa.array(list(entropy), pa.list_(pa.float64())),
-                ],
-                [*columns, "lang_pred", "score", "rejected", "cross_entropy", "n_letters", "entropies"],
+                [batch.column(0), batch.column(2), pa.array(n), pa.array(list(entropy), pa.list_(pa.float64()))],
+                ["lang", "whole", "n_letters", "entropies"],
             )
 
     return run
 
 
-_ADDED = "lang_pred string, score double, rejected boolean, cross_entropy double, n_letters long, entropies array<double>"
+def fit_sharpness(entropy: np.ndarray, n: np.ndarray, truth: np.ndarray) -> float:
+    """Sharpness with the least log loss over a grid; one imagined wrong text in hundred keeps it finite."""
+    lift = np.sqrt(n)[:, None] * (entropy - entropy.min(axis=1, keepdims=True))
+    best = None
+    for sharp in np.geomspace(0.05, 20, 40):
+        odds = np.exp(-sharp * lift)
+        share = odds / odds.sum(axis=1, keepdims=True)
+        right = share[np.arange(len(truth)), truth]
+        other = (1 - right) / max(1, entropy.shape[1] - 1)
+        loss = -(0.99 * np.log(np.maximum(right, 1e-12)) + 0.01 * np.log(np.maximum(other, 1e-12))).mean()
+        if best is None or loss < best[0]:
+            best = (loss, sharp)
+    return float(best[1])
 
 
 def _calibrate(spark, model: LanguageModel, rows: DataFrame) -> None:
-    """Sharpness with the least log loss over a grid, and a limit of cross-entropy per language."""
+    """Sharpness from whole and cut texts, and a limit of cross-entropy per language from whole ones."""
     shared = spark.sparkContext.broadcast(model)
-    seen = rows.select("lang", "text").mapInArrow(_entropies(shared, ["lang"]), "lang string, " + _ADDED).filter(
-        "n_letters > 0"
-    ).select("lang", "lang_pred", "n_letters", "cross_entropy", "entropies").collect()
+    text = F.col("text")
+    cuts = F.array(*[F.struct(F.substring(text, 1, k).alias("text"), F.lit(False).alias("whole")) for k in CUTS], F.struct(text, F.lit(True).alias("whole")))
+    every = rows.select("lang", F.explode(cuts).alias("c")).select("lang", "c.text", "c.whole")
+    kinds = "lang string, whole boolean, n_letters long, entropies array<double>"
+    seen = every.mapInArrow(_entropies(shared), kinds).filter("n_letters > 0").collect()
     shared.destroy()
     langs = sorted(model.models)
     known = [r for r in seen if r.lang in model.models]
     if known:
-        entropy = np.array([r.entropies for r in known])
-        truth = np.array([langs.index(r.lang) for r in known])
-        lift = np.sqrt([r.n_letters for r in known])[:, None] * (entropy - entropy.min(axis=1, keepdims=True))
-        best = None
-        for sharp in np.geomspace(0.05, 20, 40):
-            logs = -sharp * lift
-            loss = -(logs[np.arange(len(truth)), truth] - np.log(np.exp(logs).sum(axis=1))).mean()
-            if best is None or loss < best[0]:
-                best = (loss, sharp)
-        model.sharpness = float(best[1])
-    for lang in langs:
-        part = [r.cross_entropy for r in seen if r.lang == r.lang_pred == lang]
+        entropy, n = np.array([r.entropies for r in known]), np.array([r.n_letters for r in known])
+        model.sharpness = fit_sharpness(entropy, n, np.array([langs.index(r.lang) for r in known]))
+    for k, lang in enumerate(langs):
+        part = [min(r.entropies) for r in known if r.whole and r.lang == lang and int(np.argmin(r.entropies)) == k]
         if part:
             high, mid = np.quantile(part, LIMIT_QUANTILE), np.median(part)
             model.limits[lang] = float(high + LIMIT_ROOM * max(high - mid, 0.1))
 
 
+_FOUND = "lang_pred string, score double, rejected boolean, cross_entropy double, n_letters long"
+
+
 def identify(docs: DataFrame, model: LanguageModel, name: str = "language", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` (all) of `docs` with a struct `name`: lang_pred, score, rejected, cross_entropy, n_letters.
 
     lang_pred is the language of the lowest cross-entropy per character over the whole text, or `und`
     for a null text and for one without a letter (score 0). Only the text is looked at. `rejected` holds
     for those, for a cross-entropy above the language's calibrated limit, and for a score below
-    LEAST_SCORE. Ties go to the first language by name. The models are broadcast; their size is bounded
-    by the rows they were learned from.
+    LEAST_SCORE. Ties go to the first language by name. Every row is judged for itself, repeated ones too;
+    an empty table gives no rows. The models are broadcast; their size is bounded by the rows they were
+    learned from.
+
+    The text alone goes to Python, once; all other columns stay where they are.
     """
     name = free_name(docs, name)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text"))
-    kept = StructType([StructField("row", rows.schema["row"].dataType)])
-    for field in spark.createDataFrame([], _ADDED).schema:
-        kept.add(field)
-    out = rows.mapInArrow(_entropies(shared, ["row"]), kept)
-    return out.select(
-        *[F.col("row").getField(c).alias(c) for c in keep],
-        F.struct("lang_pred", "score", "rejected", "cross_entropy", "n_letters").alias(name),
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf(_FOUND)
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
+        scorer = Scorer(model.models, model.alphabet)
+        for texts in batches:
+            parts = []
+            for part in _slices(texts):
+                entropy, n = scorer.texts(part)
+                lang, score, rejected = model.judge(entropy, n)
+                low = entropy.min(axis=1) if entropy.shape[1] else np.zeros(len(n))
+                parts.append(
+                    pa.StructArray.from_arrays(
+                        [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected), pa.array(low), pa.array(n)],
+                        [x.split(" ")[0] for x in _FOUND.split(", ")],
+                    )
+                )
+            yield pa.concat_arrays(parts)
+            del parts, texts
+            pa.default_memory_pool().release_unused()
+
+    columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
+    return docs.select(*columns, judged(F.col("text").cast("string")).alias(name))

@@ -1,6 +1,7 @@
 """Quality, language, packing, tokenizing, scoring and licence operators against brute force."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -154,6 +155,98 @@ def test_kneser_ney_is_a_distribution():
     assert 0.9 < total <= 1.0 + 1e-9
 
 
+def kneser_ney_by_hand(words, counts, alphabet, order):
+    """Probability of every character of a word, from counts in dictionaries."""
+    raw, before = collections.Counter(), collections.defaultdict(set)
+    for word, count in zip(words, counts):
+        signs = "<" + word + ">"
+        for end in range(1, len(signs)):
+            for n in range(1, min(order + 1, end + 1) + 1):
+                gram = signs[end - n + 1 : end + 1]
+                raw[gram] += int(count)
+                before[gram[1:]].add(gram[0])
+    levels = {}
+    for n in range(1, order + 1):
+        c = {g: k if n == order or g[0] == "<" else max(1, len(before[g])) for g, k in raw.items() if len(g) == n}
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.05), 0.95)
+        total, kinds = collections.Counter(), collections.Counter()
+        for g, k in c.items():
+            total[g[:-1]] += k
+            kinds[g[:-1]] += 1
+        levels[n] = c, discount, total, kinds
+
+    def chance(context, sign):
+        n = len(context) + 1
+        c, discount, total, kinds = levels[n]
+        below = chance(context[1:], sign) if n > 1 else 1 / alphabet
+        if not total[context]:
+            return below
+        rest = discount * kinds[context] / total[context] * below
+        return max(c.get(context + sign, discount) - discount, 0) / total[context] + rest
+
+    def score(word):
+        signs = "<" + word + ">"
+        return sum(math.log(chance(signs[max(0, i - order + 1) : i], signs[i])) for i in range(1, len(signs)))
+
+    return score
+
+
+@pytest.mark.parametrize("order", [2, 5])
+def test_kneser_ney_equals_counts_by_hand(order, monkeypatch):
+    draw = random.Random(12)
+    words = sorted({"".join(draw.choices("abcde", weights=[5, 4, 3, 2, 1], k=draw.randint(1, 9))) for _ in range(120)})
+    counts = np.array([draw.choice([1, 1, 1, 2, 3, 9]) for _ in words])
+    monkeypatch.setattr(langid, "gram_hashes", functools.partial(langid.gram_hashes, order=order))
+    tables = kneser_ney_tables(words, counts, 7, order)
+    scorer = langid.Scorer({"x": tables}, 7)
+    by_hand = kneser_ney_by_hand(words, counts, 7, order)
+    for word in [*words[:40], "abcabc", "eee", "zzz", "a", "edcba" * 4, "az"]:
+        assert scorer.words([word])[0][0, 0] == pytest.approx(by_hand(word))
+
+
+def kneser_ney_tables(words, counts, alphabet, order):
+    plain = langid.gram_hashes
+    langid.gram_hashes = getattr(plain, "func", plain)
+    try:
+        return langid.kneser_ney(words, counts, alphabet, order)
+    finally:
+        langid.gram_hashes = plain
+
+
+def test_scores_follow_accuracy_and_distance():
+    """Close languages on short texts: the score tells how often the best one is right; odd texts get little."""
+    draw = np.random.default_rng(1)
+    n = draw.choice([9, 25, 100], 6000)
+    truth = draw.integers(0, 2, 6000)
+    entropy = 2.0 + draw.normal(0, 1, (6000, 2)) / np.sqrt(n)[:, None]
+    entropy[np.arange(6000), 1 - truth] += 0.15
+    sharp = langid.fit_sharpness(entropy[:3000], n[:3000], truth[:3000])
+    model = langid.LanguageModel({"a": [], "b": []}, 10, sharp, {"a": 4.0, "b": 4.0})
+    lang, score, _ = model.judge(entropy[3000:], n[3000:])
+    right = np.array([x == "ab"[t] for x, t in zip(lang, truth[3000:])])
+    for low, high in ((0.5, 0.7), (0.7, 0.85), (0.85, 1.0)):
+        part = (score >= low) & (score < high)
+        assert abs(right[part].mean() - score[part].mean()) < 0.06
+    _, score, rejected = model.judge(np.array([[2.0, 5.0], [4.6, 7.0], [9.0, 12.0]]), np.array([100, 100, 100]))
+    assert score[0] > 0.9 > 0.5 > score[1] > score[2] and rejected.tolist() == [False, True, True]
+
+
+def test_languages_with_few_rows_long_and_repeated_texts(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(r[0], r[1], r[2]) for r in language_rows()] + [(2001, "ghtry qwerp zxcvb " * 3, "dd")]
+    rows += [(3000, "bado luma kiro " * 200_000, None)] + [(3001, "vrong skelt plast", "bb")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, F.lit(False))
+    assert set(model.models) == {"aa", "bb", "cc", "dd"}
+    found = langid.identify(docs, model, "found", keep=["doc_id"]).select("doc_id", "found.*").collect()
+    assert len(found) == len(rows)
+    assert {r.lang_pred for r in found if r.doc_id == 2001} == {"dd"}
+    assert {r.lang_pred for r in found if r.doc_id == 3000} == {"aa"}
+    assert len({(r.score, r.lang_pred) for r in found if r.doc_id == 3001}) == 1
+
+
 def model(name):
     return packing.tokenizer_text(public_tokenizers.path(name))
 
