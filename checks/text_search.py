@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from checks.tables import query
 from sparkdocs.functions import present, tokens
-from sparkdocs.functions import tokens
 from sparkdocs.operators.fulltext import build_postings, search_batch, search_postings
+from sparkdocs.operators.indexed import (
+    CorpusIndex, build_trigrams, indexed_matches, search_indexed, search_info_indexed,
+)
 from sparkdocs.operators.search import SearchParams, matches, search, search_info
 from sparkdocs.session import stage
 
@@ -148,6 +150,20 @@ def _(t):
     return _found(t, '"of the" OR und -with e*')
 
 
+_GROUPS = "(the OR (und -que)) -(with OR \"of the\") (e* OR -(in der))"
+_GROUPS_SQL = _bool(
+    "(contains(tok, ' the ') OR (contains(tok, ' und ') AND NOT contains(tok, ' que '))) "
+    "AND NOT (contains(tok, ' with ') OR contains(tok, ' of  the ')) "
+    "AND (contains(tok, ' e') OR NOT (contains(tok, ' in ') AND contains(tok, ' der ')))",
+    " the ", " und ", " e",
+)
+
+
+@query("search_groups", _GROUPS_SQL)
+def _(t):
+    return _found(t, _GROUPS)
+
+
 @query(
     "search_substring",
     "SELECT id FROM {docs} WHERE status = 'completed' AND (contains(lower(markdown_content), 'in it') OR contains(lower(file_name), 'in it'))",
@@ -272,3 +288,91 @@ def _(t):
     words = t.benchmark.select(F.explode(tokens.tokens(F.col("text"))).alias("text")).distinct()
     queries = words.select(F.col("text").alias("query_id"), "text")
     return search_batch(stage(build_postings(t.docs)), queries, top=20)
+
+
+@query("postings_groups", _GROUPS_SQL)
+def _(t):
+    return search_postings(stage(build_postings(t.docs, positions=True)), _GROUPS, t.docs)
+
+
+@query(
+    "postings_phrase",
+    f"SELECT id, count(*)::DOUBLE AS score FROM (SELECT id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM "
+    f"(SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT id, string_split(trim(tok), '  ') AS w FROM {_T}) x) y) z "
+    "WHERE a = 'of' AND b = 'the' AND starts_with(c, 'th') GROUP BY id",
+)
+def _(t):
+    # No documents are given: places alone tell phrases.
+    return search_postings(stage(build_postings(t.docs, positions=True)), '"of the th*"')
+
+
+# Requests over an index: full text with filters, every order, a first and a deep page; similarity.
+_REQUESTS = [
+    (SearchParams(keyword="the with"), _result(
+        f"(SELECT * FROM {_T} WHERE contains(tok, ' the ') AND contains(tok, ' with ')) m",
+        ["the", "with"], f"{_occ(' the ')} + {_occ(' with ')}", "score DESC, id", "LIMIT 20")),
+    (SearchParams(keyword="que", sort_by="filename", sort_order="asc", page=3, per_page=10), _result(
+        f"(SELECT * FROM {_T} WHERE contains(tok, ' que ')) m", ["que"], _occ(" que "), "file_name ASC NULLS LAST, id", "LIMIT 10 OFFSET 20")),
+    (SearchParams(keyword="the", sort_by="filename", sort_order="desc", page=7, per_page=15), _result(
+        f"(SELECT * FROM {_T} WHERE contains(tok, ' the ')) m", ["the"], _occ(" the "), "file_name DESC NULLS FIRST, id", "LIMIT 15 OFFSET 90")),
+    (SearchParams(keyword="the", source="src7", conversion_types=[1, 3, 8], sort_by="mtime", sort_order="asc"), _result(
+        f"(SELECT * FROM {_T} WHERE contains(tok, ' the ') AND source = 'src7' AND conversion_type IN (1, 3, 8)) m",
+        ["the"], _occ(" the "), "file_modified_time ASC NULLS LAST, id", "LIMIT 20")),
+    (SearchParams(keyword="und", file_types=["PDF", "md"], date_from="2024-01-01 00:30:00", sort_by="mtime"), _result(
+        f"(SELECT * FROM {_T} WHERE contains(tok, ' und ') AND lower(file_type) IN ('pdf', 'md') "
+        "AND file_modified_time >= TIMESTAMP '2024-01-01 00:30:00') m",
+        ["und"], _occ(" und "), "file_modified_time DESC NULLS FIRST, id", "LIMIT 20")),
+    (SearchParams(keyword="ation", search_type="trigram", page=2), _result(
+        _trigram("ation"), ["ation"], "sim", "round(score, 9) DESC, id", "LIMIT 20 OFFSET 20")),
+]
+
+
+def _indexed(t):
+    docs = stage(t.docs.repartitionByRange("id").sortWithinPartitions("id"))
+    return CorpusIndex(stage(build_postings(docs, positions=True)), stage(build_trigrams(docs))), docs
+
+
+@query("search_page_indexed", " UNION ALL ".join(f"SELECT {i} AS request, * FROM ({sql}) r{i}" for i, (_, sql) in enumerate(_REQUESTS)))
+def _(t):
+    index, docs = _indexed(t)
+    pages = [search_indexed(index, docs, p).select(F.lit(i).alias("request"), "*") for i, (p, _) in enumerate(_REQUESTS)]
+    found = pages[0]
+    for page in pages[1:]:
+        found = found.unionByName(page)
+    return found
+
+
+@query(
+    "search_info_indexed",
+    "SELECT 3 AS page, 10 AS per_page, ceil(count(*) / 10.0)::BIGINT AS total_pages, 3 < ceil(count(*) / 10.0) AS has_next, "
+    f"true AS has_prev, count(*) AS total_results FROM {_T} WHERE contains(tok, ' que ')",
+)
+def _(t):
+    return search_info_indexed(CorpusIndex(stage(build_postings(t.docs))), t.docs, SearchParams(keyword="que", page=3, per_page=10))
+
+
+_SUBSTRINGS = ["in it", "and th", ". The", "hand", "e", "erheth"]
+
+
+@query(
+    "substring_indexed",
+    " UNION ALL ".join(
+        f"SELECT '{k}' AS keyword, id FROM {{docs}} WHERE status = 'completed' AND (contains(lower(markdown_content), lower('{k}')) "
+        f"OR contains(lower(file_name), lower('{k}')))"
+        for k in _SUBSTRINGS
+    ),
+)
+def _(t):
+    index = CorpusIndex(trigrams=stage(build_trigrams(t.docs)))
+    found = None
+    for k in _SUBSTRINGS:  # the single letter has no trigram and is looked for in all texts
+        ids = indexed_matches(index, t.docs, SearchParams(keyword=k, search_type="trigram")).select(F.lit(k).alias("keyword"), "id")
+        found = ids if found is None else found.unionByName(ids)
+    return found
+
+
+@query("trigram_indexed", f"SELECT id, round(sim, 6) AS score FROM {_trigram('hand')}")
+def _(t):
+    index = CorpusIndex(trigrams=stage(build_trigrams(t.docs)))
+    found = indexed_matches(index, t.docs, SearchParams(keyword="hand", search_type="trigram"))
+    return found.select("id", F.round("score", 6).alias("score"))

@@ -48,6 +48,18 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.trim(token_string(text)), "  "), "")
 
 
+# Stands before the tokens of a CJK run; no lower-cased text holds it.
+RUN_START = "S"
+
+
+def placed_tokens(text: Column) -> Column:
+    """Tokens with RUN_START before each CJK run, so that places tell bigrams of one run from those of two."""
+    low = F.lower(text)
+    marked = F.regexp_replace(low, rf"(?<![{_CJK}])(?=[{_CJK}])", f" {RUN_START} ")
+    padded = _padded(F.when(low.rlike(f"[{_CJK}]"), F.regexp_replace(marked, _BIGRAMS, " $1$2$3 ")).otherwise(low))
+    return F.array_remove(F.split(F.trim(padded), "  "), "")
+
+
 def term_pattern(term: str) -> tuple[str, str]:
     """Pattern of a word, phrase or `prefix*` in lower-cased text, and a substring every match holds.
 
@@ -100,10 +112,14 @@ def phrase_occurrences(token_str: Column, needle: Column) -> Column:
     return F.regexp_count(token_str, F.concat(F.lit("(?="), needle, F.lit(")"))).cast("long")
 
 
+def trigram_set(text: Column) -> Column:
+    """Distinct trigrams of a text's words, each padded with two blanks before and one after."""
+    return F.array_distinct(F.regexp_extract_all(word_string(text), F.lit(_WINDOWS), F.lit(1)))
+
+
 def trigram_count(text: Column) -> Column:
     """Number of distinct trigrams of a text."""
-    windows = F.regexp_extract_all(word_string(text), F.lit(_WINDOWS), F.lit(1))
-    return F.size(F.array_distinct(windows))
+    return F.size(trigram_set(text))
 
 
 def keyword_trigrams(keyword: str) -> list[str]:

@@ -6,21 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdocs.functions import tokens
-from sparkdocs.operators.search import fold_clauses, query_clauses
+from sparkdocs.operators.search import fold_clauses, query_clauses, query_leaves
 from sparkdocs.operators.sizes import keyed_join, top_per_group
 from sparkdocs.session import cut_lineage, stage
 
 
-def build_postings(docs: DataFrame) -> DataFrame:
-    """(term, id, tf) of completed documents.
+def build_postings(docs: DataFrame, positions: bool = False) -> DataFrame:
+    """(term, id, tf) of completed documents; with `positions` also the sorted places of the term.
 
     A document's tokens leave its row in one task, so the map-side half of the count already brings
-    them together and the shuffle moves one row per document and term.
+    them together and the shuffle moves one row per document and term. Places count the start of a CJK
+    run as one, so that two terms are neighbours in the text if their places are.
     """
-    words = docs.filter(F.col("status") == "completed").select(
-        "id", F.explode(tokens.tokens(F.col("markdown_content"))).alias("term")
-    )
-    return words.groupBy("term", "id").agg(F.count("*").alias("tf"))
+    done = docs.filter(F.col("status") == "completed")
+    if not positions:
+        words = done.select("id", F.explode(tokens.tokens(F.col("markdown_content"))).alias("term"))
+        return words.groupBy("term", "id").agg(F.count("*").alias("tf"))
+    words = done.select("id", F.posexplode(tokens.placed_tokens(F.col("markdown_content"))).alias("place", "term"))
+    placed = words.filter(F.col("term") != tokens.RUN_START).groupBy("term", "id")
+    return placed.agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("positions"))
 
 
 def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -33,64 +37,100 @@ def write_postings(postings: DataFrame, path: str, partitions: int | None = None
     ranged.write.mode("errorifexists").parquet(path)
 
 
-def _token_lists(spark: SparkSession, terms: list[str]) -> list[list[str]]:
-    """Tokens of a query's few terms, by the same expression that cut the texts."""
-    row = spark.range(1).select(*[tokens.tokens(F.lit(t)).alias(f"t{i}") for i, t in enumerate(terms)])
-    return [list(cell) for cell in row.first()]
+def _token_lists(spark: SparkSession, terms: list[str]) -> list[list[tuple[int, str]]]:
+    """(offset, token) of a query's few terms, by the same expression that cut the texts."""
+    row = spark.range(1).select(*[tokens.placed_tokens(F.lit(t)).alias(f"t{i}") for i, t in enumerate(terms)])
+    lists = []
+    for cell in row.first():
+        # A phrase may begin inside a CJK run.
+        words = list(cell)[1:] if cell[0] == tokens.RUN_START else list(cell)
+        lists.append([(i, w) for i, w in enumerate(words) if w != tokens.RUN_START])
+    return lists
+
 
+def searchable_ids(docs: DataFrame) -> DataFrame:
+    """Ids of completed documents with a text: those that a line of negated terms may accept."""
+    done = docs.filter(F.col("status") == "completed")
+    return (done.filter(F.col("markdown_content").isNotNull()) if "markdown_content" in docs.columns else done).select("id")
 
-def search_postings(postings: DataFrame, keyword: str, docs: DataFrame | None = None) -> DataFrame:
+
+def search_postings(
+    postings: DataFrame, keyword: str, docs: DataFrame | None = None, ids: DataFrame | None = None
+) -> DataFrame:
     """(id, score) of the documents a keyword line selects; see `query_clauses` for its form.
 
-    Only postings of the line's terms are read. A term of several tokens is checked in the texts of
-    those documents that hold all of them, and a line that accepts documents without any of its terms
-    needs all ids: both need `docs`, the documents the postings were built from.
+    Only postings of the line's terms are read. A term of several tokens needs them at neighbouring
+    places: postings with `positions` tell that by themselves; without, the texts of those documents
+    that hold all of them are read. A line that accepts documents without any of its terms needs all ids.
+    The first needs `docs`, the documents the postings were built from, the second those or their
+    `ids` (see `searchable_ids`).
     """
     clauses = query_clauses(keyword)
     if not clauses:
         return postings.select("id", F.lit(0.0).alias("score")).limit(0)
-    lists = _token_lists(postings.sparkSession, [term for _, _, term in clauses])
+    leaves = query_leaves(clauses)
+    lists = _token_lists(postings.sparkSession, [term for _, term in leaves])
     phrases = {i for i, words in enumerate(lists) if len(words) > 1}
-    negative = fold_clauses([False] * len(clauses), clauses)
-    if docs is None and (phrases or negative):
-        raise ValueError("phrases, and lines that accept documents without their terms, need the documents")
+    placed = "positions" in postings.columns
+    negative = fold_clauses([False] * len(leaves), clauses)
+    if docs is None and ((negative and ids is None) or (phrases and not placed)):
+        raise ValueError("phrases without positions, and lines that accept documents without their terms, need the documents")
 
     def hit(word: str, prefix: bool) -> Column:
         return F.col("term").startswith(word) if prefix else F.col("term") == word
 
-    wanted, aggregates = F.lit(False), []
-    for i, ((_, _, term), words) in enumerate(zip(clauses, lists)):
-        hits = [hit(w, term.endswith("*") and k == len(words) - 1) for k, w in enumerate(words)]
+    wanted, aggregates, counts = F.lit(False), [], []
+    for i, ((_, term), words) in enumerate(zip(leaves, lists)):
+        hits = [hit(w, term.endswith("*") and k == len(words) - 1) for k, (_, w) in enumerate(words)]
         for h in hits:
             wanted = wanted | h
+        if placed and i in phrases:
+            for k, h in enumerate(hits):
+                aggregates.append(F.flatten(F.collect_list(F.when(h, F.col("positions")))).alias(f"n{i}_{k}"))
+            counts.append(_neighbours([f"n{i}_{k}" for k in range(len(hits))], [at for at, _ in words]))
+            continue
         # For a phrase: the least count of its tokens, an upper bound.
         sums = [F.coalesce(F.sum(F.when(h, F.col("tf"))), F.lit(0)) for h in hits]
         aggregates.append((sums[0] if len(sums) == 1 else F.least(*sums)).alias(f"n{i}"))
+        counts.append(F.col(f"n{i}"))
     per_doc = postings.filter(wanted).groupBy("id").agg(*aggregates)
+    per_doc = per_doc.select("id", *[c.cast("long").alias(f"n{i}") for i, c in enumerate(counts)])
     if docs is not None:
         docs = docs.filter(F.col("status") == "completed")
     if negative:
-        per_doc = docs.select("id").join(per_doc, "id", "left").fillna(0)
-    counts = [F.col(f"n{i}") for i in range(len(clauses))]
-    if phrases:
+        per_doc = (searchable_ids(docs) if ids is None else ids).join(per_doc, "id", "left").fillna(0)
+    counts = [F.col(f"n{i}") for i in range(len(leaves))]
+    if phrases and not placed:
         # A phrase that must be absent cannot rule out a document yet.
-        bounds = [F.lit(False) if i in phrases and clauses[i][1] else n > 0 for i, n in enumerate(counts)]
+        bounds = [F.lit(False) if i in phrases and leaves[i][0] else n > 0 for i, n in enumerate(counts)]
         per_doc = cut_lineage(per_doc.filter(fold_clauses(bounds, clauses)))
         held = per_doc.filter(F.greatest(F.lit(0), *[counts[i] for i in phrases]) > 0).select("id")
         texts = keyed_join(docs.select("id", "markdown_content"), held, ["id"])
         exact = texts.select(
-            "id", *[tokens.count_term(F.col("markdown_content"), clauses[i][2]).alias(f"p{i}") for i in phrases]
+            "id", *[tokens.count_term(F.col("markdown_content"), leaves[i][1]).alias(f"p{i}") for i in phrases]
         )
         per_doc = per_doc.join(exact, "id", "left")
         counts = [F.coalesce(f"p{i}", F.lit(0)) if i in phrases else n for i, n in enumerate(counts)]
     score = F.lit(0).cast("long")
-    for (_, negated, _), n in zip(clauses, counts):
+    for (negated, _), n in zip(leaves, counts):
         if not negated:
             score = score + n
     found = per_doc.filter(fold_clauses([n > 0 for n in counts], clauses))
     return found.select("id", score.cast("double").alias("score"))
 
 
+def _shifted(places: str, by: int) -> Column:
+    return F.transform(places, lambda p: p - F.lit(by))
+
+
+def _neighbours(columns: list[str], offsets: list[int]) -> Column:
+    """How many places hold the first token with all others at their offsets from it."""
+    starts = F.col(columns[0])
+    for name, at in zip(columns[1:], offsets[1:]):
+        starts = F.array_intersect(starts, _shifted(name, at - offsets[0]))
+    return F.size(starts)
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct (query_id, term, n_terms) of queries (query_id, text)."""
     words = queries.select("query_id", F.array_distinct(tokens.tokens(F.col("text"))).alias("terms"))

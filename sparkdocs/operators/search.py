@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
@@ -86,25 +85,66 @@ def substring_match(text: Column, keyword: str, like_wildcards: bool = False) ->
     return F.contains(F.lower(text), F.lower(F.lit(keyword)))
 
 
-def query_clauses(keyword: str) -> list[tuple[str, bool, str]]:
-    """(`and`/`or`, negated, term) in reading order; terms without a letter or digit are left out.
+def _word(line: str, at: int) -> tuple[str, int]:
+    """Characters up to a blank or a bracket that closes a group; brackets inside a word belong to it."""
+    end, opened = at, 0
+    while end < len(line) and not line[end].isspace():
+        if line[end] == ")" and not opened:
+            break
+        opened += {"(": 1, ")": -1}.get(line[end], 0)
+        end += 1
+    return line[at:end], end
 
-    Words are joined by AND, `OR` joins its two neighbours, `-` negates, quotes make a phrase, `*`
-    a prefix. Groups in parentheses raise an error; combine `tokens.matches_term` columns with & and |.
-    """
+
+def _read_group(line: str, at: int, inside: bool) -> tuple[list, int]:
+    """Clauses from `at` to the end of the line or of the group, and the place behind it."""
     clauses, joiner = [], "and"
-    for quoted_sign, phrase, word in re.findall(r'(-?)"([^"]*)"|(\S+)', keyword):
-        if word.lstrip("-").startswith("(") or (word.endswith(")") and "(" not in word):
-            raise ValueError(f"groups in parentheses are not read: {keyword!r}")
-        if word == "OR":
-            joiner = "or"
-            continue
-        negated = bool(quoted_sign) or (word.startswith("-") and len(word) > 1)
-        term = phrase or (word[1:] if negated else word)
-        if tokens.has_tokens(term):
-            clauses.append((joiner, negated, term))
+    while True:
+        while at < len(line) and line[at].isspace():
+            at += 1
+        if at == len(line) or line[at] == ")":
+            if inside != (at < len(line)):
+                raise ValueError(f"unbalanced parentheses: {line!r}")
+            return clauses, at + 1
+        minus = line[at] == "-" and line[at + 1 : at + 2] in ("(", '"')
+        start = at + minus
+        if line[start] == "(":
+            item, at = _read_group(line, start + 1, True)
+            negated, useful = minus, bool(item)
+        elif line[start] == '"' and '"' in line[start + 1 :]:
+            end = line.index('"', start + 1)
+            negated, item, at = minus, line[start + 1 : end], end + 1
+            useful = tokens.has_tokens(item)
+        else:
+            item, at = _word(line, at)
+            if item == "OR":
+                joiner = "or"
+                continue
+            negated = item.startswith("-") and len(item) > 1
+            item = item[1:] if negated else item
+            useful = tokens.has_tokens(item)
+        if useful:
+            clauses.append((joiner, negated, item))
             joiner = "and"
-    return clauses
+
+
+def query_clauses(keyword: str) -> list[tuple]:
+    """(`and`/`or`, negated, term or clauses of a group) in reading order.
+
+    Words are joined by AND, `OR` joins its two neighbours, `-` negates, quotes make a phrase, `*` a
+    prefix, parentheses a group, which may be nested and negated. Terms without a letter or digit and
+    groups without a term are left out. Unbalanced parentheses raise an error.
+    """
+    return _read_group(keyword, 0, False)[0]
+
+
+def query_leaves(clauses: list[tuple], negated: bool = False) -> list[tuple[bool, str]]:
+    """(negated, term) of all terms in reading order; a minus on a group counts for all in it."""
+    found = []
+    for _, minus, item in clauses:
+        sign = negated != minus
+        found += query_leaves(item, sign) if isinstance(item, list) else [(sign, item)]
+    return found
 
 
 def _needle(term: str) -> Column:
@@ -129,10 +169,11 @@ def _count(text: Column, token_str: Column | None, term: str) -> Column:
     ).otherwise(tokens.occurrences(token_str, needle))
 
 
-def fold_clauses(tests: list, clauses: list[tuple[str, bool, str]]):
-    """Join the tests of all clauses from left to right; columns or plain truth values."""
-    found = None
-    for (joiner, negated, _), test in zip(clauses, tests):
+def fold_clauses(tests, clauses: list[tuple]):
+    """Join the tests of all terms from left to right, group by group; columns or plain truth values."""
+    left, found = iter(tests), None
+    for joiner, negated, item in clauses:
+        test = fold_clauses(left, item) if isinstance(item, list) else next(left)
         if negated:
             test = (not test) if isinstance(test, bool) else ~test
         if found is None:
@@ -147,13 +188,13 @@ def boolean_match(text: Column, keyword: str, token_str: Column | None = None) -
     clauses = query_clauses(keyword)
     if not clauses:
         return F.lit(False)
-    return fold_clauses([_holds(text, token_str, term) for _, _, term in clauses], clauses)
+    return fold_clauses([_holds(text, token_str, term) for _, term in query_leaves(clauses)], clauses)
 
 
 def term_score(text: Column, keyword: str, token_str: Column | None = None) -> Column:
     """Occurrences of all terms that are not negated."""
     score = F.lit(0).cast("long")
-    for _, negated, term in query_clauses(keyword):
+    for negated, term in query_leaves(query_clauses(keyword)):
         if not negated:
             score = score + _count(text, token_str, term)
     return score.cast("double")
@@ -252,10 +293,9 @@ def search(docs: DataFrame, params: SearchParams) -> DataFrame:
     return result_rows(page_of(found, sort_keys(p), p.page, p.per_page), p.keyword)
 
 
-def search_info(docs: DataFrame, params: SearchParams) -> DataFrame:
-    """Pagination of a search as one row."""
-    p = params.normalized()
-    counted = matches(docs, p).agg(F.count("*").alias("total_results"))
+def page_info(found: DataFrame, p: SearchParams) -> DataFrame:
+    """Pagination of matching documents as one row."""
+    counted = found.agg(F.count("*").alias("total_results"))
     pages = F.ceil(F.col("total_results") / p.per_page)
     return counted.select(
         F.lit(p.page).cast("long").alias("page"),
@@ -265,3 +305,9 @@ def search_info(docs: DataFrame, params: SearchParams) -> DataFrame:
         F.lit(p.page > 1).alias("has_prev"),
         "total_results",
     )
+
+
+def search_info(docs: DataFrame, params: SearchParams) -> DataFrame:
+    """Pagination of a search as one row."""
+    p = params.normalized()
+    return page_info(matches(docs, p), p)

@@ -1,11 +1,12 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkdocs.functions import tokens as T
 from sparkdocs.operators.fulltext import build_postings, search_batch, search_postings
-from sparkdocs.operators.search import SearchParams, matches, query_clauses, with_search_columns
+from sparkdocs.operators.search import SearchParams, matches, query_clauses, query_leaves, with_search_columns
 
 PIECES = ["the", "of", "thé", "x1", "中", "文", "搜索", "ひ", "に", " ", "  ", "-", "_", "'", "中文", "\n", "Of", "THE"]
 QUERIES = [
@@ -13,6 +14,8 @@ QUERIES = [
     '"of 中"', "搜索", "ひに", '"the the"', "搜", '-"the of" the',
 ]
 
+GROUPS = ["(the OR 中文) x1", "-(the of) x1", 'the -(x1 OR "of the")', "((the) OR (of -(x1 OR th*))) -文*", "-(-(the))", "() the", "-(... of)"]
+
 
 def corpus(spark, n=400):
     rng = random.Random(7)
@@ -40,16 +43,34 @@ def brute_count(text, term):
     return hits
 
 
-def brute_search(text, keyword):
-    found, score = None, 0
-    for joiner, negated, term in query_clauses(keyword):
-        n = brute_count(text, term)
-        test = (n > 0) != negated
+def brute_clauses(text, clauses):
+    found = None
+    for joiner, negated, item in clauses:
+        held = brute_clauses(text, item) if isinstance(item, list) else brute_count(text, item) > 0
+        test = held != negated
         found = test if found is None else (found or test if joiner == "or" else found and test)
-        score += 0 if negated else n
+    return found
+
+
+def brute_search(text, keyword):
+    clauses = query_clauses(keyword)
+    found = brute_clauses(text, clauses)
+    score = sum(brute_count(text, term) for negated, term in query_leaves(clauses) if not negated)
     return score if found else None
 
 
+def test_groups_are_read():
+    assert query_clauses("a (b OR -c) -(d)") == [
+        ("and", False, "a"), ("and", False, [("and", False, "b"), ("or", True, "c")]), ("and", True, [("and", False, "d")]),
+    ]
+    assert query_leaves(query_clauses("a -(b -c -(d))")) == [(False, "a"), (True, "b"), (False, "c"), (False, "d")]
+    assert query_clauses("f(x) ( ) -( ... ) OR") == [("and", False, "f(x)")]
+    assert query_clauses('"a (b" (c)') == [("and", False, "a (b"), ("and", False, [("and", False, "c")])]
+    for bad in ("(a", "a)", "a (b OR (c)", "(a))", "a)b", "f(x y)"):
+        with pytest.raises(ValueError):
+            query_clauses(bad)
+
+
 def test_tokens(spark):
     df = corpus(spark)
     for row in df.select("markdown_content", T.tokens(F.col("markdown_content")).alias("t")).collect():
@@ -61,13 +82,15 @@ def test_three_ways_to_search_agree_with_brute_force(spark):
     texts = {r.id: r.markdown_content for r in df.collect()}
     stored = with_search_columns(df).cache()
     postings = build_postings(df).cache()
-    for keyword in QUERIES:
+    placed = build_postings(df, positions=True).cache()
+    for keyword in QUERIES + GROUPS:
         want = {i: float(s) for i, t in texts.items() if (s := brute_search(t, keyword)) is not None}
         p = SearchParams(keyword=keyword)
         for way, found in {
             "text": matches(df, p).select("id", "score"),
             "stored": matches(stored, p).select("id", "score"),
             "postings": search_postings(postings, keyword, df),
+            "positions": search_postings(placed, keyword, df.drop("markdown_content")),
         }.items():
             assert {r.id: r.score for r in found.collect()} == want, (keyword, way)
 
