@@ -95,7 +95,7 @@ VIEWS = {
                CASE WHEN lower(l.file_type) = 'pdf' THEN 'Unsupported file type: ' || l.file_type END AS error_message,
                'local_fs' AS source, CAST(NULL AS VARCHAR(10)) AS source_url
         FROM {listing} l JOIN {docs} d ON lower(d.file_path) = lower(l.file_path)
-        WHERE d.source <> 'src6'
+        WHERE l.file_path NOT LIKE '%/Doc_%'
         UNION ALL
         SELECT l.file_name, l.file_type, l.file_size, l.file_created_at, l.file_modified_time, l.file_path,
                d.id + 1000000000 AS id, '# ' || l.file_name || ' ' || d.markdown_content AS markdown_content, 1 AS conversion_type,

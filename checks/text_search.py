@@ -1,5 +1,7 @@
 """Full text, trigram and substring search; scores, snippets, highlights; batches over postings."""
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from checks.tables import query
@@ -9,7 +11,11 @@ from sparkdocs.operators.indexed import (
     CorpusIndex, build_trigrams, indexed_matches, search_indexed, search_info_indexed,
 )
 from sparkdocs.operators.search import SearchParams, matches, search, search_info
-from sparkdocs.session import stage
+from sparkdocs.operators.changes import merge_documents
+from sparkdocs.plans.index_store import IndexStore
+from sparkdocs.session import fresh_dir, stage
+
+RUN_TS = datetime(2024, 6, 1, tzinfo=timezone.utc)
 
 _TOK = (
     "CASE WHEN trim(regexp_replace(lower({0}), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+', '  ', 'g')) = '' THEN '' "
@@ -376,3 +382,46 @@ def _(t):
     index = CorpusIndex(trigrams=stage(build_trigrams(t.docs)))
     found = indexed_matches(index, t.docs, SearchParams(keyword="hand", search_type="trigram"))
     return found.select("id", F.round("score", 6).alias("score"))
+
+
+# Documents after a batch that adds, changes and fails some, and a delete.
+_LATER = f"""
+    (SELECT id, {_TOK} AS tok FROM (
+        SELECT d.id, CASE WHEN b.success THEN b.markdown_content ELSE d.markdown_content END AS markdown_content,
+               CASE WHEN b.success THEN 'completed' WHEN b.success IS NOT NULL THEN 'failed' ELSE d.status END AS status
+        FROM {{docs}} d LEFT JOIN {{batch}} b ON lower(b.file_path) = lower(d.file_path) WHERE d.source <> 'src2'
+        UNION ALL
+        SELECT b.id, b.markdown_content, CASE WHEN b.success THEN 'completed' ELSE 'failed' END
+        FROM {{batch}} b WHERE NOT EXISTS (SELECT 1 FROM {{docs}} d WHERE lower(d.file_path) = lower(b.file_path))
+    ) m WHERE status = 'completed') t"""
+
+
+def _followed(t):
+    """An index of the documents that has followed a merge and a delete."""
+    index = IndexStore(t.spark, fresh_dir(t.spark, "index"))
+    index.build(t.docs, RUN_TS)
+    merged = stage(merge_documents(t.docs, t.batch, RUN_TS))
+    index.update(merged, t.batch, RUN_TS)
+    gone = t.docs.filter(F.col("source") == "src2").select("id")
+    index.update(merged.join(gone, "id", "left_anti"), gone, RUN_TS)
+    return index
+
+
+@query(
+    "postings_after_merge",
+    f"SELECT term, count(DISTINCT id) AS df, count(*) AS total, sum(id)::BIGINT AS ids FROM "
+    f"(SELECT id, unnest(string_split(trim(tok), '  ')) AS term FROM {_LATER} WHERE tok <> '') w GROUP BY term",
+)
+def _(t):
+    index = _followed(t).index()
+    return index.postings.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("total"), F.sum(F.col("id") * F.col("tf")).alias("ids")
+    )
+
+
+@query("postings_compacted", f"SELECT id, {_occ(' the ')}::DOUBLE AS score FROM {_LATER} WHERE contains(tok, ' the ') AND NOT contains(tok, ' with ')")
+def _(t):
+    index = _followed(t)
+    index.compact(RUN_TS)
+    index.vacuum()
+    return search_postings(index.index().postings, "the -with")

@@ -3,6 +3,8 @@
 import contextlib
 import io
 import random
+from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,8 +15,11 @@ from sparkdocs.operators.indexed import (
     CorpusIndex, build_trigrams, indexed_matches, needed_trigrams, search_indexed, trigram_candidates, write_trigrams,
 )
 from sparkdocs.operators.search import SearchParams, matches, search
+from sparkdocs.plans.index_store import IndexStore
 from sparkdocs.session import fresh_dir, stage
 
+NOW = datetime(2025, 1, 1, tzinfo=timezone.utc)
+
 WORDS = ["alpha", "beta", "gamma", "delta", "Al", "x", "the", "中文搜索", "é1", "alphabet"]
 
 
@@ -93,3 +98,47 @@ def test_candidates_are_few_and_whole(spark, docs, index):
     stored = spark.read.parquet(path)
     assert stored.count() == index.trigrams.count()
     assert {r.id for r in trigram_candidates(stored, "ALPHAbet").collect()} == found
+
+
+def files_of(folder):
+    return sorted(str(p.relative_to(folder)) for p in Path(folder).rglob("*.parquet"))
+
+
+def test_segments_follow_the_documents(spark, docs, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    assert store.segments() == [] and store.index().postings.count() == 0 and store.compact(NOW) == 0
+
+    def same(current):
+        index = store.index()
+        fresh = CorpusIndex(build_postings(current, positions=True), build_trigrams(current), searchable_ids(current))
+        for name in ("postings", "trigrams", "ids"):
+            got, want = getattr(index, name), getattr(fresh, name)
+            assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())), name
+        for keyword in ("-the", '"alpha beta" OR x'):
+            p = SearchParams(keyword=keyword, per_page=200)
+            assert search_indexed(index, current, p).collect() == search(current, p).collect()
+
+    store.build(docs, NOW)
+    same(docs)
+    base = files_of(tmp_path)
+    changed = F.when(F.col("id") % 5 == 0, F.lit("the new alpha text")).otherwise(F.col("markdown_content"))
+    failed = F.when(F.col("id") % 7 == 0, "failed").otherwise(F.col("status"))
+    second = docs.withColumn("markdown_content", changed).withColumn("status", failed)
+    second = stage(second.unionByName(second.limit(3).withColumn("id", F.col("id") + 1000).withColumn("status", F.lit("completed"))))
+    store.update(second, second.filter("id % 5 = 0 OR id % 7 = 0 OR id >= 1000"), NOW)
+    same(second)
+    assert store.segments() == [1, 2] and set(base) <= set(files_of(tmp_path))
+    third = second.filter("id % 3 <> 0")
+    store.update(third, second.filter("id % 3 = 0"), NOW)
+    same(third)
+    again = stage(docs.filter("id IN (0, 3, 5)").withColumn("status", F.lit("completed")))
+    fourth = third.filter("id NOT IN (0, 3, 5)").unionByName(again)
+    store.update(fourth, again, NOW)
+    same(fourth)
+    store.compact(NOW)
+    same(fourth)
+    assert store.segments() == [5] and store.vacuum() == [1, 2, 3, 4] and store.vacuum() == []
+    same(fourth)
+    store.build(docs, NOW)
+    same(docs)
+    assert len(store.segments()) == 1
