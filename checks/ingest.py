@@ -19,6 +19,9 @@ from sparkdocs.plans.notes_import import import_notes
 from sparkdocs.plans.reprocess import reprocess_html, retry_failed, retry_stored
 from sparkdocs.plans.store import DocumentStore
 from sparkdocs.session import fresh_dir
+from sparkdocs.plans.export import export_markdown
+from sparkdocs.sources.files import scan_listing
+from sparkdocs.sources.walk import storage_uri, walk_folder
 from sparkdocs.streaming.ingest_stream import start_ingest_stream
 
 RUN_TS = datetime(2024, 6, 1, tzinfo=timezone.utc)
@@ -454,3 +457,86 @@ def _(t):
     store.replace(t.docs, RUN_TS)
     store.delete(t.docs.filter("status = 'failed'").select("id"), RUN_TS)
     return store.documents().select("id", "file_path", "markdown_content")
+
+
+# Names below a tree written from the documents: hidden ones, deep and wide folders, some that a scan shuts out.
+_TREE = (
+    "CASE doc_id % 7 WHEN 0 THEN '.hidden/.' || doc_id || '.md' WHEN 1 THEN '_private/_' || doc_id || '.txt' "
+    "WHEN 2 THEN 'deep/' || substr(md5(text), 1, 1) || '/' || substr(md5(text), 2, 1) || '/' || lang || '/' || source || '/a/b/' || doc_id || '.html' "
+    "WHEN 3 THEN 'wide/' || doc_id || '.md' WHEN 4 THEN source || '/.git/' || doc_id || '.md' "
+    "WHEN 5 THEN 'pics ' || lang || '.Assets/' || doc_id || '.md' ELSE 'noext/' || doc_id END"
+)
+
+
+def _write_tree(t, name):
+    """A folder with the text of each document under its name."""
+    root = fresh_dir(t.spark, name)
+    rows = t.documents.select(F.expr(_TREE).alias("rel"), F.coalesce("text", F.lit("")).alias("text"))
+    uri = storage_uri(t.spark, root)
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for rel, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system.create_dir(f"{base}/{rel}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{base}/{rel}") as sink:
+                    sink.write(text.encode("utf-8"))
+            yield batch.select([0])
+
+    rows.mapInArrow(write, "rel string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query(
+    "scan_folder",
+    f"""
+    SELECT rel, regexp_extract(rel, '[^/]*$') AS file_name, size FROM (
+        SELECT {_TREE} AS rel, octet_length(encode(coalesce(text, ''))) AS size FROM {{documents}}) x
+    WHERE rel NOT LIKE '%/.git/%' AND rel NOT LIKE '%.Assets/%'
+    """,
+)
+def _(t):
+    root = _write_tree(t, "walk")
+    found = scan_listing(walk_folder(t.spark, root), P.normalize_root(root))
+    return found.select(P.relative(F.col("file_path"), P.normalize_root(root)).alias("rel"), "file_name", F.col("file_size").alias("size"))
+
+
+@query(
+    "scan_folder_all",
+    f"SELECT {_TREE} AS rel, CASE WHEN doc_id % 7 = 6 THEN '' ELSE split_part({_TREE}, '.', -1) END AS file_type FROM {{documents}}",
+)
+def _(t):
+    # As a check for orphans lists it: nothing is shut out.
+    root = _write_tree(t, "walk-all")
+    rel = P.relative(F.col("file_path"), P.normalize_root(root)).alias("rel")
+    return walk_folder(t.spark, root, exclude=False).select(rel, "file_type")
+
+
+@query(
+    "ingest_folder_hidden",
+    f"""
+    SELECT rel, octet_length(encode(text)) AS file_size, 'completed' AS status, md5(CASE WHEN rel LIKE '%.md' THEN text
+           ELSE '# ' || regexp_extract(rel, '[^/]*$') || chr(10) || chr(10) || text END) AS content
+    FROM (SELECT {_TREE} AS rel, coalesce(text, '') AS text FROM {{documents}}) x
+    WHERE rel NOT LIKE '%/.git/%' AND rel NOT LIKE '%.Assets/%' AND (rel LIKE '%.md' OR rel LIKE '%.txt')
+    """,
+)
+def _(t):
+    root = _write_tree(t, "hidden")
+    store = _new_store(t, "hidden-store")
+    ingest_folders(t.spark, store, [root], RUN_TS, IngestOptions(file_types="md,txt"))
+    rel = P.relative(F.col("file_path"), P.normalize_root(root)).alias("rel")
+    return store.documents().select(rel, "file_size", "status", F.md5("markdown_content").alias("content"))
+
+
+@query(
+    "export_counts",
+    "SELECT count(*) AS total, count(*) FILTER (WHERE lower(file_type) <> 'pdf') AS success, "
+    "count(*) FILTER (WHERE lower(file_type) = 'pdf') AS failed FROM {docs}",
+)
+def _(t):
+    out = fresh_dir(t.spark, "export")
+    contents = t.docs.select("file_path", F.col("markdown_content").alias("text"))
+    return export_markdown(t.docs, contents, "/corpus", storage_uri(t.spark, out))

@@ -9,6 +9,7 @@ from sparkdocs import schemas as S
 from sparkdocs.convert.default import default_registry
 from sparkdocs.convert.registry import ConverterRegistry
 from sparkdocs.functions import paths as P
+from sparkdocs.session import stage
 
 
 def select_for_export(
@@ -39,7 +40,8 @@ def export_markdown(
     Each file is written under a temporary name and then moved, so a repeated task does no harm.
     """
     rows = files.select("file_path", "file_name", "file_type").join(contents, "file_path", "left")
-    converted = (registry or default_registry()).convert(rows)
+    # Written once: the targets, their contents and the counts all read it.
+    converted = stage((registry or default_registry()).convert(rows))
     good = converted.filter("success")
     chosen = export_paths(good, root).join(good.select("file_path", "markdown_content"), "file_path")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -18,6 +20,7 @@ from sparkdocs.operators.events import ingest_summary, progress
 from sparkdocs.plans.store import DocumentStore
 from sparkdocs.session import stage
 from sparkdocs.sources.files import as_listing, join_sidecars, list_files, read_contents, read_sidecars
+from sparkdocs.sources.walk import can_walk, read_files, storage_uri, walk_folder
 
 
 @dataclass
@@ -72,7 +75,7 @@ def scan_scopes(listing: DataFrame, roots: list[str], options: IngestOptions, si
 
 def ingest(
     listing: DataFrame,
-    contents: DataFrame,
+    contents: DataFrame | Callable[[DataFrame], DataFrame],
     docs: DataFrame,
     state: DataFrame,
     roots: list[str],
@@ -89,7 +92,8 @@ def ingest(
     Folders may be URIs. `existing` names those known to be there: one without files is then done, not
     invalid. With `only_seen` folders without a listed file get no state row, as in a micro-batch.
 
-    Sidecars are joined before the change test, contents after it. With `staged` three steps are written
+    `contents` may be a function that reads those of given files. Sidecars are joined before the change
+    test, contents after it. With `staged` three steps are written
     once because later ones read them more than once: the change test, the changed files (parted by
     converter), and the outcome.
     """
@@ -107,7 +111,7 @@ def ingest(
         actions = stage(actions)
     changed = actions.filter(F.col("action") != "unchanged")
     # Contents of unchanged files end here, before they are moved.
-    wanted = contents.join(changed.select("file_path"), "file_path", "left_semi")
+    wanted = contents(changed) if callable(contents) else contents.join(changed.select("file_path"), "file_path", "left_semi")
     todo = changed.join(wanted, "file_path", "left")
     todo = todo.withColumn("converter", registry.converter_of(F.col("file_type")))
     converted = registry.convert(stage(todo, "converter") if staged else todo)
@@ -203,6 +207,29 @@ def run_events(outcomes: DataFrame, runs: DataFrame, run_ts: datetime) -> DataFr
     return per_run.unionByName(per_file)
 
 
+def _folder(spark: SparkSession, folder: str, options: IngestOptions, start: str | None, most: int):
+    """(listing, reader of the contents of changed files, sidecars) of one folder."""
+    uri = storage_uri(spark, folder)
+    if can_walk(uri):
+        listed = walk_folder(spark, folder, options.recursive)
+        beside = listed.filter(F.col("file_path").endswith(S.SIDECAR_SUFFIX))
+
+        def read(changed: DataFrame) -> DataFrame:
+            mine = listed.select("file_path", "file_size", "raw_path").join(changed.select("file_path"), "file_path", "left_semi")
+            return read_files(mine, uri, most)
+
+        return listed.drop("raw_path"), read, read_files(beside, uri).select("file_path", "text")
+    try:
+        listed = list_files(spark, folder, options.recursive)
+        found = read_contents(spark, folder, options.recursive, start, options.file_types, most)
+        beside = read_sidecars(spark, folder, options.recursive)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(folder) from missing
+    return listed, lambda changed: found.join(changed.select("file_path"), "file_path", "left_semi"), beside
+
+
 def ingest_folders(
     spark: SparkSession,
     store: DocumentStore,
@@ -213,34 +240,38 @@ def ingest_folders(
 ) -> IngestRun:
     """Ingest folders (paths or URIs) from storage into a store: the state is committed with the documents.
 
-    Of each folder only files of the wanted types that changed at its cursor or later are opened;
-    sidecars are read whatever their age. A file above the reader's size limit becomes a failed row. A
-    folder that is not there is reported, any other error is raised.
+    Folders are walked by tasks, names that begin with `.` or `_` included; of the files found only those
+    of the wanted types that a run takes and that changed are opened, and sidecars whatever their age. A
+    store that only Spark reads is listed by Spark's file index instead, without such names. A file above
+    the reader's size limit becomes a failed row. A folder that is not there is reported, any other error
+    is raised.
     """
-    present, listing, contents, sidecars = [], None, None, None
     since = cursors(store.state(), [P.normalize_root(f) for f in folders])
     most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+    present, listings, readers, sidecars = [], [], [], []
     for folder in folders:
         start = None if options.full or options.date_from else since.get(P.normalize_root(folder))
         try:
-            listed = list_files(spark, folder, options.recursive)
-            read = read_contents(spark, folder, options.recursive, start, options.file_types, most)
-            beside = read_sidecars(spark, folder, options.recursive)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
+            listed, read, beside = _folder(spark, folder, options, start, most)
+        except FileNotFoundError:
             continue  # reported by the run
         present.append(folder)
-        listing = listed if listing is None else listing.unionByName(listed)
-        contents = read if contents is None else contents.unionByName(read)
-        sidecars = beside if sidecars is None else sidecars.unionByName(beside)
-    if listing is None:
+        listings.append(listed)
+        readers.append(read)
+        sidecars.append(beside)
+    if not present:
         none = "file_path string, file_size long, file_created_at timestamp, file_modified_time timestamp"
-        listing = as_listing(spark.createDataFrame([], none))
-        contents = spark.createDataFrame([], "file_path string, content binary, text string")
-        sidecars = contents.select("file_path", "text")
+        listings = [as_listing(spark.createDataFrame([], none))]
+        sidecars = [spark.createDataFrame([], "file_path string, text string")]
+    listing, beside = (functools.reduce(DataFrame.unionByName, x) for x in (listings, sidecars))
+
+    def contents(changed: DataFrame) -> DataFrame:
+        if not readers:
+            return spark.createDataFrame([], "file_path string, content binary, text string")
+        return functools.reduce(DataFrame.unionByName, [read(changed) for read in readers])
+
     docs, state = store.documents(), store.state()
-    run = ingest(listing, contents, docs, state, folders, run_ts, options, sidecars, registry, existing=present)
+    run = ingest(listing, contents, docs, state, folders, run_ts, options, beside, registry, existing=present)
     runs = stage(run.runs)
     store.merge(run.converted, run_ts, state=merge_state(state, runs))
     return IngestRun(run.converted, run.outcomes, runs)

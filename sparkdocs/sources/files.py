@@ -29,10 +29,10 @@ def type_glob(types: str | None) -> str | None:
 
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """Listing of a folder without reading contents.
+    """Listing of a folder by Spark's file index, without reading contents.
 
-    Spark skips names that begin with `.` or `_`; pass a listing table where those matter. The file
-    source has no creation time, so the change time stands for it.
+    It goes through the driver and skips names that begin with `.` or `_`; see `walk.walk_folder` for a
+    listing without either. The file source has no creation time, so the change time stands for it.
     """
     found = _files(spark, root, recursive).select("path", "modificationTime", "length")
     return as_listing(
@@ -45,13 +45,13 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
     )
 
 
-def as_listing(files: DataFrame, base: str = "/") -> DataFrame:
-    """Listing columns from rows with file_path, file_size and times: normalized path, name, type."""
+def as_listing(files: DataFrame, base: str = "/", keep: list[str] | None = None) -> DataFrame:
+    """Listing columns from rows with file_path, file_size and times: normalized path, name, type; and `keep`."""
     path = P.normalize_path(F.col("file_path"), base)
     return files.withColumn("file_path", path).select(
         P.file_name(F.col("file_path")).alias("file_name"),
         P.extension(F.col("file_path")).alias("file_type"),
-        "file_size", "file_created_at", "file_modified_time", "file_path",
+        "file_size", "file_created_at", "file_modified_time", "file_path", *(keep or []),
     )
 
 
