@@ -19,6 +19,10 @@ from sparkdocs.plans.notes_import import import_notes
 from sparkdocs.plans.reprocess import reprocess_html, retry_failed, retry_stored
 from sparkdocs.plans.store import DocumentStore
 from sparkdocs.session import fresh_dir
+from sparkdocs.convert.default import default_registry
+from sparkdocs.convert.image import ImageSources
+from sparkdocs.plans.notes_job import moved_notes, run_notes_import
+from sparkdocs.plans.run_control import RunControl, ingest_cancellable
 from sparkdocs.plans.export import export_markdown
 from sparkdocs.sources.files import scan_listing
 from sparkdocs.sources.walk import storage_uri, walk_folder
@@ -540,3 +544,174 @@ def _(t):
     out = fresh_dir(t.spark, "export")
     contents = t.docs.select("file_path", F.col("markdown_content").alias("text"))
     return export_markdown(t.docs, contents, "/corpus", storage_uri(t.spark, out))
+
+
+# Images of the attempts: their paths as files, the provider `view` standing for local text recognition.
+_CHAIN_AT = "CASE provider WHEN 'purchase' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 END"
+_WON = f"""
+    a AS (SELECT *, {_CHAIN_AT} AS pos FROM {{attempts}}),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, provider ORDER BY attempt_no) AS r FROM a) x
+          WHERE r = 1 AND pos IS NOT NULL),
+    g AS (SELECT path, min(pos) FILTER (WHERE ok) AS won,
+                 string_agg('provider=' || CASE provider WHEN 'view' THEN 'local' ELSE provider END || ' error=' || coalesce(error, 'None'), '; ' ORDER BY pos) AS tried
+          FROM f GROUP BY path),
+    p AS (SELECT DISTINCT path FROM {{attempts}}),
+    w AS (SELECT p.path, won, tried, f.content FROM p LEFT JOIN g ON g.path = p.path LEFT JOIN f ON f.path = g.path AND f.pos = g.won)"""
+
+
+def _image_run(t, registry):
+    files = t.attempts.select("path").distinct()
+    listing = files.select(
+        F.concat("path", F.lit(".png")).alias("file_name"), F.lit("png").alias("file_type"), F.length("path").cast("long").alias("file_size"),
+        F.lit(RUN_TS).cast("timestamp").alias("file_created_at"), F.lit(RUN_TS).cast("timestamp").alias("file_modified_time"),
+        F.concat(F.lit("/img/"), "path", F.lit(".png")).alias("file_path"),
+    )
+    contents = listing.select("file_path", F.encode("file_name", "UTF-8").alias("content"), F.lit(None).cast("string").alias("text"))
+    none = t.spark.createDataFrame([], S.DOCUMENTS)
+    run = ingest(listing, contents, none, t.spark.createDataFrame([], S.INGEST_STATE), ["/img"], RUN_TS, registry=registry)
+    return merge_documents(none, run.converted, RUN_TS)
+
+
+def _image_sources(t):
+    path = F.concat(F.lit("/img/"), "path", F.lit(".png"))
+    provider = F.when(F.col("provider") == "view", "local").otherwise(F.col("provider"))
+    exif = t.attempts.select("path").distinct().select(
+        path.alias("file_path"), F.create_map(F.lit("Model"), F.substring("path", 1, 3), F.lit("Make"), F.lit("m")).alias("exif")
+    )
+    return ImageSources(t.attempts.withColumn("path", path).withColumn("provider", provider), "purchase", ["local", "click"], exif)
+
+
+@query(
+    "image_markdown",
+    f"""
+    WITH {_WON}
+    SELECT path || '.png' AS file_name, 5 AS conversion_type, CASE won WHEN 2 THEN
+        '---' || e || e || 'source_file: ' || path || '.png' || e || 'provider: local-ocr' || e || 'hash_sha256: ' || sha256(path || '.png') || e
+        || 'file_size: ' || length(path) || e || 'modified_time: 2024-06-01T00:00:00' || e || 'exif:' || e || '  Model: ' || substr(path, 1, 3) || e
+        || '  Make: m' || e || 'ocr_lang: eng' || e || e || '---' || e || e || '# ' || path || '.png' || e || e || content || e
+        ELSE content END AS markdown_content
+    FROM w, (SELECT chr(10) AS e) WHERE won IS NOT NULL
+    """,
+)
+def _(t):
+    made = _image_run(t, default_registry(images=_image_sources(t)))
+    return made.filter("status = 'completed'").select("file_name", "conversion_type", "markdown_content")
+
+
+@query(
+    "image_failed",
+    f"""
+    WITH {_WON}
+    SELECT path || '.png' AS file_name, 'Image OCR/caption extraction failed: ' || coalesce(tried, 'no providers attempted') AS error_message
+    FROM w WHERE won IS NULL
+    """,
+)
+def _(t):
+    made = _image_run(t, default_registry(images=_image_sources(t)))
+    return made.filter("status = 'failed'").select("file_name", "error_message")
+
+
+@query(
+    "image_off",
+    "SELECT DISTINCT path || '.png' AS file_name, 'completed' AS status, 5 AS conversion_type, '# ' || path || '.png' || chr(10) AS markdown_content FROM {attempts}",
+)
+def _(t):
+    return _image_run(t, default_registry()).select("file_name", "status", "conversion_type", "markdown_content")
+
+
+_YEAR_MS = 366 * 86_400_000
+
+
+@query(
+    "notes_job_state",
+    """
+    WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE markup_language = 2) AS u,
+                      count(*) FILTER (WHERE markup_language <> 2 AND id LIKE '%x1') AS c FROM {notes})
+    SELECT 1 AS run, n AS total_files, n AS processed, 0 AS skipped, 0 AS errors, '2024-06-01T00:00:00Z' AS cursor_at FROM n
+    UNION ALL SELECT 2, n, u, n - u, 0, '2024-08-01T00:00:00Z' FROM n
+    UNION ALL SELECT 3, n, 0, n, 0, '2025-06-01T00:00:00Z' FROM n
+    UNION ALL SELECT 4, c, c, 0, 0, '2025-07-01T00:00:00Z' FROM n
+    """,
+)
+def _(t):
+    # All notes; then those of users a year later; a full run that finds nothing new; chosen notes at last.
+    store = _new_store(t, "notes-store")
+    later = F.when(F.col("markup_language") == 2, F.col("updated_time") + _YEAR_MS).otherwise(F.col("updated_time"))
+    second = t.notes.withColumn("updated_time", later)
+    third = second.withColumn("updated_time", F.col("updated_time") + 1000 * _YEAR_MS)
+    chosen = t.notes.filter("markup_language <> 2 AND id LIKE '%x1'").select("id")
+    found = None
+    for no, (notes, at, how) in enumerate([
+        (t.notes, RUN_TS, {}), (second, datetime(2024, 8, 1, tzinfo=timezone.utc), {}),
+        (second, datetime(2025, 6, 1, tzinfo=timezone.utc), {"full_resync": True}),
+        (third, datetime(2025, 7, 1, tzinfo=timezone.utc), {"ids": chosen}),
+    ]):
+        run_notes_import(store, notes, t.folders, at, **how)
+        row = store.state().select(
+            F.lit(no + 1).alias("run"), "total_files", "processed", "skipped", "errors", iso_time(F.col("cursor_updated_at")).alias("cursor_at")
+        )
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query(
+    "notes_moved",
+    f"""
+    WITH RECURSIVE walk AS (
+        SELECT id, title AS p FROM {{folders}} WHERE parent_id = ''
+        UNION ALL SELECT f.id, w.p || '/' || f.title FROM {{folders}} f JOIN walk w ON f.parent_id = w.id
+    )
+    SELECT {_PATH} AS file_path, replace({_PATH}, '/' || n.title || '__', '/New ' || n.title || '__') AS new_path
+    FROM {{notes}} n LEFT JOIN walk w ON w.id = n.parent_id WHERE n.markup_language = 2
+    """,
+)
+def _(t):
+    store = _new_store(t, "moved-store")
+    run_notes_import(store, t.notes, t.folders, RUN_TS)
+    mine = F.col("markup_language") == 2
+    renamed = t.notes.withColumn("title", F.when(mine, F.concat(F.lit("New "), "title")).otherwise(F.col("title"))).withColumn(
+        "updated_time", F.when(mine, F.col("updated_time") + _YEAR_MS).otherwise(F.col("updated_time"))
+    )
+    run_notes_import(store, renamed, t.folders, datetime(2025, 6, 1, tzinfo=timezone.utc), full_resync=True)
+    return moved_notes(store.documents()).select("file_path", "new_path")
+
+
+_TAKEN = f"(SELECT count(*) AS n FROM (SELECT {_TREE} AS rel FROM {{documents}}) x WHERE rel LIKE 'wide/%' OR rel LIKE '.hidden/%')"
+
+
+@query(
+    "ingest_cancelled",
+    f"""
+    WITH c AS {_TAKEN}
+    SELECT 1 AS run, 0 AS event_no, 'info' AS level, 'scan_start' AS stage, 0 AS documents, 0 AS states
+    UNION ALL SELECT 1, 1, 'warning', 'cancelled', 0, 0 UNION ALL SELECT 1, 2, 'warning', 'done', 0, 0
+    UNION ALL SELECT 2, 0, 'info', 'scan_start', n, 1 FROM c UNION ALL SELECT 2, 1, 'info', 'scan_complete', n, 1 FROM c
+    UNION ALL SELECT 2, 2 * n + 2, 'info', 'done', n, 1 FROM c
+    """,
+)
+def _(t):
+    # A run that another thread stops while it plans its conversions, then the same run again.
+    import threading
+
+    root = _write_tree(t, "cancel")
+    store = _new_store(t, "cancel-store")
+    control = RunControl(t.spark, "cancel")
+
+    def stopping(rows):
+        other = threading.Thread(target=control.cancel)
+        other.start()
+        other.join()
+        return rows.select(*[c for c in rows.columns if c not in ("text", "content")], F.col("text").alias("markdown_content"), F.lit(None).cast("string").alias("error_message"))
+
+    registry = default_registry()
+    registry.register(["md"], 0, frame=stopping)
+    options = IngestOptions(file_types="md")
+    _, first = ingest_cancellable(control, store, [root], RUN_TS, options, registry=registry)
+    held = store.documents().count(), store.state().count()
+    told = first.select(F.lit(1).alias("run"), "event_no", "level", "stage", F.lit(held[0]).alias("documents"), F.lit(held[1]).alias("states"))
+    _, second = ingest_cancellable(RunControl(t.spark, "again"), store, [root], RUN_TS, options)
+    held = store.documents().count(), store.state().count()
+    again = second.filter("stage IN ('scan_start', 'scan_complete', 'done')").select(
+        F.lit(2).alias("run"), "event_no", "level", "stage", F.lit(held[0]).alias("documents"), F.lit(held[1]).alias("states")
+    )
+    return told.unionByName(again)

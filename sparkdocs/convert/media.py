@@ -123,9 +123,9 @@ def exif_keep(
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.array_contains(known, e["key"])))
 
 
-def image_markdown(images: DataFrame, ocr_lang: str, with_front_matter: bool = True) -> DataFrame:
-    """(file_path, markdown_content) of images with file_name, sha256, file_size, file_modified_time,
-    `exif` (map) and recognized `text`."""
+def image_text(ocr_lang: str, with_front_matter: bool = True) -> Column:
+    """Markdown of an image row with file_name, sha256, file_size, file_modified_time, `exif` (map) and
+    recognized `text`."""
     header = front_matter([
         ("source_file", F.col("file_name")),
         ("provider", F.lit("local-ocr")),
@@ -137,5 +137,9 @@ def image_markdown(images: DataFrame, ocr_lang: str, with_front_matter: bool = T
     ])
     body = F.nullif(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""), F.lit(""))
     parts = [header] if with_front_matter else []
-    text = F.concat_ws("\n\n", *parts, F.concat(F.lit("# "), "file_name"), body)
-    return images.select("file_path", F.concat(text, F.lit("\n")).alias("markdown_content"))
+    return F.concat(F.concat_ws("\n\n", *parts, F.concat(F.lit("# "), "file_name"), body), F.lit("\n"))
+
+
+def image_markdown(images: DataFrame, ocr_lang: str, with_front_matter: bool = True) -> DataFrame:
+    """(file_path, markdown_content) of images with the columns of `image_text`."""
+    return images.select("file_path", image_text(ocr_lang, with_front_matter).alias("markdown_content"))

@@ -157,9 +157,14 @@ def _runs(
     )
 
 
+def session_of(run_ts: datetime) -> Column:
+    """Session of a folder's run, from `scope_key`."""
+    return F.sha2(F.concat_ws("|", "scope_key", F.lit(run_ts.isoformat())), 256).substr(1, 32)
+
+
 def run_events(outcomes: DataFrame, runs: DataFrame, run_ts: datetime) -> DataFrame:
     """Progress events of a run: two per file between those of its scan and its end."""
-    session = F.sha2(F.concat_ws("|", "scope_key", F.lit(run_ts.isoformat())), 256).substr(1, 32)
+    session = session_of(run_ts)
     files = progress(outcomes, "scope_key", "file_path")
     level = F.when(F.col("outcome") == "error", "error").otherwise("info")
     stage_of = (
@@ -237,9 +242,12 @@ def ingest_folders(
     run_ts: datetime,
     options: IngestOptions = IngestOptions(),
     registry: ConverterRegistry | None = None,
+    check: Callable[[], None] = lambda: None,
 ) -> IngestRun:
     """Ingest folders (paths or URIs) from storage into a store: the state is committed with the documents.
 
+    `check` is called between steps, last before the commit; it may raise to stop the run.
+
     Folders are walked by tasks, names that begin with `.` or `_` included; of the files found only those
     of the wanted types that a run takes and that changed are opened, and sidecars whatever their age. A
     store that only Spark reads is listed by Spark's file index instead, without such names. A file above
@@ -255,6 +263,7 @@ def ingest_folders(
             listed, read, beside = _folder(spark, folder, options, start, most)
         except FileNotFoundError:
             continue  # reported by the run
+        check()
         present.append(folder)
         listings.append(listed)
         readers.append(read)
@@ -272,7 +281,9 @@ def ingest_folders(
 
     docs, state = store.documents(), store.state()
     run = ingest(listing, contents, docs, state, folders, run_ts, options, beside, registry, existing=present)
+    check()
     runs = stage(run.runs)
+    check()
     store.merge(run.converted, run_ts, state=merge_state(state, runs))
     return IngestRun(run.converted, run.outcomes, runs)
 

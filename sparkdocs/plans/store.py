@@ -97,6 +97,10 @@ class DocumentStore:
         merged = merge_documents(self.documents(touched), batch, run_ts, replaced)
         return self._commit(merged if touched else None, touched, run_ts, state, stream, batch_id)
 
+    def set_state(self, state: DataFrame, run_ts: datetime) -> int:
+        """Commit a new state with the documents as they are."""
+        return self._commit(None, [], run_ts, state, None, None)
+
     def replace(self, documents: DataFrame, run_ts: datetime) -> int:
         """Commit a whole new set of documents, for deletes and migrations."""
         return self._commit(documents, list(range(self.buckets)), run_ts, None, None, None)

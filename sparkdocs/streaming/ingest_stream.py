@@ -42,13 +42,15 @@ def start_ingest_stream(
     registry: ConverterRegistry | None = None,
     sidecars_of: Callable[[DataFrame], DataFrame] | None = None,
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
+    check: Callable[[], None] = lambda: None,
 ) -> StreamingQuery:
     """Merge each micro-batch of listing rows into the store; stops when the input is used up.
 
     `contents_of` gives (file_path, content, text), and `sidecars_of` (file_path, text), for the rows of
     a batch. A batch may be delivered again after a failure: the commit records its number with the id
     that the checkpoint folder holds, and a recorded batch is passed over; a new checkpoint folder has an
-    id of its own and starts anew. The state is part of that same commit, so a stream stopped between
+    id of its own and starts anew. `check` is called before and after each batch and may raise to stop the
+    stream between batches: what is merged stays, and a restart goes on behind it. The state is part of that same commit, so a stream stopped between
     batches leaves it whole. Folders seen in a batch get a state row; its counts add up over this run.
     """
     began = clock()
@@ -56,6 +58,7 @@ def start_ingest_stream(
     def merge(batch: DataFrame, batch_id: int) -> None:
         query = batch.sparkSession.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
         stream = f"{name}/{query}"
+        check()
         if store.has_batch(stream, batch_id):
             return
         run_ts = clock()
@@ -68,6 +71,7 @@ def start_ingest_stream(
         )
         runs = stage(_added_up(run.runs, state, began))
         store.merge(run.converted, run_ts, state=merge_state(state, runs), stream=stream, batch_id=batch_id)
+        check()
 
     return (
         listing.writeStream.queryName(name)
