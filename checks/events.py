@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from checks.tables import query
 from sparkdocs.operators import events as E
 from sparkdocs.session import fresh_dir
-from sparkdocs.streaming.event_feed import current_counts, current_history, start_history, start_stage_counts
+from sparkdocs.streaming.event_feed import (
+    current_counts, current_history, final_counts, start_final_counts, start_history, start_history_state, start_stage_counts,
+    state_history,
+)
 
 
 @query(
@@ -85,3 +88,39 @@ def _(t):
     base, stream = _event_stream(t)
     start_history(stream, f"{base}/feed", f"{base}/offsets", keep=10, whole_every=2).awaitTermination()
     return current_history(t.spark, f"{base}/feed", whole_every=2).select("session_id", "event_no", "stage", "message")
+
+
+@query("event_history_state", _HISTORY + "10")
+def _(t):
+    # Files come in any order of time, so no event may count as late here.
+    base, stream = _event_stream(t)
+    start_history_state(stream, f"{base}/feed", f"{base}/offsets", keep=10, late="9999 days").awaitTermination()
+    return state_history(t.spark, f"{base}/feed").select("session_id", "event_no", "stage", "message")
+
+
+@query(
+    "event_counts_final",
+    """
+    SELECT session_id, stage, count(*) AS n_events, strftime(min(min(ts)) OVER (PARTITION BY session_id), '%Y-%m-%dT%H:%M:%SZ') AS started
+    FROM {ingest_events} GROUP BY session_id, stage
+    """,
+)
+def _(t):
+    # Errors come twice, in another batch; an event far ahead closes all sessions.
+    base = fresh_dir(t.spark, "final")
+    t.ingest_events.repartition(3).write.parquet(f"{base}/in")
+    t.ingest_events.filter("stage = 'file_error'").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    ahead = t.ingest_events.limit(1).select(
+        *[(F.lit("~ahead") if c == "session_id" else F.col("ts") + F.expr("INTERVAL '60' YEAR") if c == "ts" else F.col(c)).alias(c) for c in t.ingest_events.columns]
+    )
+    stream = t.spark.readStream.schema(t.ingest_events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false")
+    events = stream.parquet(f"{base}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def go():
+        start_final_counts(events, f"{base}/feed", f"{base}/offsets", late="9999 days", gap="3000 days").awaitTermination()
+
+    go()
+    ahead.write.mode("append").parquet(f"{base}/in")
+    go()
+    started = F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started")
+    return final_counts(t.spark, f"{base}/feed").select("session_id", "stage", "n_events", started)

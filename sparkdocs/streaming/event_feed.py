@@ -6,6 +6,9 @@ the last batch that touched a session.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,3 +99,116 @@ def start_history(
         .foreachBatch(write)
         .start()
     )
+
+
+# Stages that an ingest run reports.
+STAGES = [
+    "scan_start", "scan_complete", "file_processing", "file_success", "file_skip", "file_error", "cancelled", "done",
+    "critical_error", "debug_state",
+]
+
+
+def start_final_counts(
+    events: DataFrame, feed: str, checkpoint: str, late: str = "10 minutes", gap: str = "1 hour", stages: list[str] = STAGES
+) -> StreamingQuery:
+    """Counts per session and stage, written once when a session has ended.
+
+    A session has ended when it was silent for `gap` and the watermark, `late` behind the newest event, has
+    passed that. Events that come again within `late` count once; later ones are dropped. So the state
+    holds open sessions alone, and no row of the feed is ever replaced. Stages outside `stages` count as
+    `other`.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{feed}/batch={batch_id}")
+
+    known = F.col("stage").isin(stages)
+    counts = [F.count_if(F.col("stage") == s).alias(s) for s in stages] + [F.count_if(~F.coalesce(known, F.lit(False))).alias("other")]
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_id", "event_no"])
+    ended = once.groupBy("session_id", F.session_window("ts", gap).alias("open")).agg(*counts)
+    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("n_events")) for s in [*stages, "other"]]))
+    rows = ended.select("session_id", F.col("open.start").alias("started_at"), F.col("open.end").alias("ended_at"), pairs.alias("c"))
+    return (
+        rows.select("session_id", "started_at", "ended_at", "c.stage", "c.n_events").filter("n_events > 0")
+        .writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(write).start()
+    )
+
+
+def final_counts(spark: SparkSession, feed: str) -> DataFrame:
+    """(session_id, started_at, ended_at, stage, n_events) of ended sessions."""
+    kind = "session_id string, started_at timestamp, ended_at timestamp, stage string, n_events long"
+    try:
+        return spark.read.schema(kind).parquet(feed)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], kind)
+
+
+DONE = "done"  # the stage that ends a session
+
+
+def _bounded(keep: int, linger_ms: int):
+    """State of a session: its latest events as JSON, and when it is over."""
+
+    def update(key, frames, state):
+        session = key[0]
+        held, done_at = json.loads(state.get[0]) if state.exists else [], state.get[1] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        for frame in frames:  # a busy session comes in several frames; never more than `keep` events stay
+            done = frame.loc[frame["stage"] == DONE, "ms"]
+            if len(done):
+                done_at = max(int(done.max()), done_at or 0)
+            shown = frame[frame["stage"] != S.HIDDEN_STAGE]
+            # ts and number first, so lists compare by them
+            rows = zip(shown["ms"], shown["event_no"], shown["us"], shown["level"], shown["stage"], shown["message"])
+            held += [[int(m), int(n), int(u), lv, st, ms] for m, n, u, lv, st, ms in rows]
+            held.sort(key=lambda e: (e[2], e[1]), reverse=True)
+            held = held[:keep]
+        state.update((json.dumps(held), done_at))
+        # Over a while after `done`, once the watermark is there.
+        if done_at is not None:
+            state.setTimeoutTimestamp(max(done_at + linger_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(
+            {"session_id": [session] * len(held), "event_no": [e[1] for e in held], "us": [e[2] for e in held],
+             "level": [e[3] for e in held], "stage": [e[4] for e in held], "message": [e[5] for e in held]},
+        )
+
+    return update
+
+
+def start_history_state(
+    events: DataFrame, feed: str, checkpoint: str, keep: int = S.EVENTS_KEPT_PER_SESSION, late: str = "10 minutes", linger: float = 60.0
+) -> StreamingQuery:
+    """Keep the latest events per session in the stream's own state; `feed` gets the sessions of each batch.
+
+    The state of a session holds at most `keep` events. It is dropped `linger` seconds of event time after
+    a `done` event; what the feed has of the session stays. Events later than `late` are dropped. Unlike
+    `start_history` no batch reads what earlier ones wrote.
+    """
+    named = events.select(
+        "session_id", F.col("event_no").cast("long").alias("event_no"), "ts", F.unix_millis("ts").alias("ms"),
+        F.unix_micros("ts").alias("us"), "level", "stage", "message",
+    )
+    kept = named.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(
+        _bounded(keep, int(linger * 1000)), "session_id string, event_no long, us long, level string, stage string, message string",
+        "history string, done_at long", "update", "EventTimeTimeout",
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("session_id", "event_no", F.timestamp_micros("us").alias("ts"), "level", "stage", "message")
+        rows.write.mode("overwrite").parquet(f"{feed}/batch={batch_id}")
+
+    return kept.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def state_history(spark: SparkSession, feed: str) -> DataFrame:
+    """Kept events of every session, as of the last batch that touched it."""
+    kept = _kept(spark, feed)
+    if kept is None:
+        return spark.createDataFrame([], _EVENT)
+    last = kept.groupBy("session_id").agg(F.max("batch").alias("batch"))
+    return kept.join(last, ["session_id", "batch"]).drop("batch")

@@ -1,12 +1,15 @@
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
-from sparkdocs.streaming.event_feed import current_counts, current_history, start_history, start_stage_counts
+from sparkdocs.streaming.event_feed import (
+    current_counts, current_history, final_counts, start_final_counts, start_history, start_history_state, start_stage_counts,
+    state_history,
+)
 
 SCHEMA = "session_id string, event_no long, ts timestamp, level string, stage string, message string"
 
 
 def event(session, n, stage="file_success"):
-    return (session, n, datetime(2025, 1, 1, 0, n // 60, n % 60, tzinfo=timezone.utc), "info", stage, f"m{n}")
+    return (session, n, datetime(2025, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=n), "info", stage, f"m{n}")
 
 
 def feed_batches(spark, rows, batches):
@@ -43,3 +46,45 @@ def test_counts_follow_the_stream(spark, tmp_path):
         start_stage_counts(stream, feed, str(tmp_path / "offsets")).awaitTermination()
     got = {(r.session_id, r.stage): r.n_events for r in current_counts(spark, feed).collect()}
     assert got == {("a", "file_success"): 3, ("b", "done"): 1}
+
+
+def state_rows(spark, checkpoint):
+    return spark.read.format("statestore").load(checkpoint).count()
+
+
+def test_history_in_state_ends_with_the_session(spark, tmp_path):
+    rows, feed, offsets = (str(tmp_path / n) for n in ("rows", "feed", "offsets"))
+    batches = [
+        [event("a", 1), event("a", 2), event("b", 3), event("a", 4, "debug_state")],
+        [event("a", 6), event("a", 5), event("b", 7, "done")],
+        [event("a", 300), event("c", 301)],
+        [event("c", 900)],
+    ]
+    held = []
+    for batch in batches:
+        feed_batches(spark, rows, [batch])
+        stream = spark.readStream.schema(SCHEMA).parquet(rows)
+        start_history_state(stream, feed, offsets, keep=3, late="10 seconds", linger=60).awaitTermination()
+        held.append(state_rows(spark, offsets))
+    got = sorted((r.session_id, r.event_no) for r in state_history(spark, feed).collect())
+    assert got == [("a", 5), ("a", 6), ("a", 300), ("b", 3), ("b", 7), ("c", 301), ("c", 900)]
+    # The ended session leaves the state when the watermark has passed; its rows stay in the feed.
+    assert held[:2] == [2, 2] and held[-1] == 2
+
+
+def test_final_counts_come_once(spark, tmp_path):
+    rows, feed, offsets = (str(tmp_path / n) for n in ("rows", "feed", "offsets"))
+    batches = [
+        [event("a", 1), event("a", 2), event("a", 2), event("b", 3, "odd")],
+        [event("a", 1), event("a", 5, "done"), event("b", 6, "odd")],
+        [event("z", 3000)],
+        [event("a", 4), event("z", 3001)],  # too late
+        [event("y", 9000)],
+    ]
+    for batch in batches:
+        feed_batches(spark, rows, [batch])
+        stream = spark.readStream.schema(SCHEMA).parquet(rows)
+        start_final_counts(stream, feed, offsets, late="100 seconds", gap="60 seconds").awaitTermination()
+    got = sorted((r.session_id, r.stage, r.n_events) for r in final_counts(spark, feed).collect())
+    assert got == [("a", "done", 1), ("a", "file_success", 2), ("b", "other", 2), ("z", "file_success", 2)]
+    assert final_counts(spark, str(tmp_path / "none")).count() == 0
