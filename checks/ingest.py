@@ -17,6 +17,7 @@ from sparkdocs.operators.maintain import orphans
 from sparkdocs.plans.ingest import IngestOptions, ingest, ingest_folders
 from sparkdocs.plans.notes_import import import_notes
 from sparkdocs.plans.reprocess import reprocess_html, retry_failed, retry_stored
+from sparkdocs.plans.layered_store import LayeredStore
 from sparkdocs.plans.store import DocumentStore
 from sparkdocs.session import fresh_dir
 from sparkdocs.convert.default import default_registry
@@ -132,6 +133,26 @@ def _(t):
     return _show(store.documents())
 
 
+@query("store_layers", _MERGED)
+def _(t):
+    # The same merge as an appended layer that masks what it touched.
+    store = LayeredStore(t.spark, fresh_dir(t.spark, "layers"))
+    store.replace(t.docs, RUN_TS)
+    store.merge(t.batch, RUN_TS)
+    return _show(store.documents())
+
+
+@query("store_layers_compacted", f"SELECT * FROM ({_MERGED}) m WHERE file_path NOT LIKE '/corpus/src2/%'")
+def _(t):
+    store = LayeredStore(t.spark, fresh_dir(t.spark, "layers"))
+    store.replace(t.docs, RUN_TS)
+    store.merge(t.batch, RUN_TS)
+    store.delete(t.docs.filter("file_path LIKE '/corpus/src2/%'").select("id"), RUN_TS)
+    store.compact(RUN_TS)
+    store.vacuum()
+    return _show(store.documents())
+
+
 @query(
     "merge_state",
     """

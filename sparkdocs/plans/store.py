@@ -141,6 +141,9 @@ class DocumentStore:
         if state is not None:
             state.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/state/v={version}")
             state_version = version
-        row = [(version, run_ts, stream, batch_id, state_version, sorted(places.items()))]
+        return self._record(version, run_ts, stream, batch_id, state_version, sorted(places.items()))
+
+    def _record(self, version, run_ts, stream, batch_id, state_version, places) -> int:
+        row = [(version, run_ts, stream, batch_id, state_version, places)]
         self.spark.createDataFrame(row, _COMMITS).coalesce(1).write.mode("append").json(f"{self.root}/commits")
         return version

@@ -12,6 +12,8 @@ from sparkdocs import schemas as S
 from sparkdocs.convert.default import default_registry
 from sparkdocs.convert.image import ImageSources
 from sparkdocs.plans import notes_job
+from sparkdocs.plans.ingest import IngestOptions
+from sparkdocs.plans.layered_store import LayeredStore
 from sparkdocs.plans.notes_job import moved_notes, notes_cursor, run_notes_import
 from sparkdocs.plans.run_control import RunCancelled, RunControl, ingest_cancellable
 from sparkdocs.plans.store import DocumentStore
@@ -150,3 +152,62 @@ def test_images_by_provider(spark):
     assert got["e"].error_message == "Image OCR/caption extraction failed: no providers attempted" and not got["e"].success
     off = default_registry().convert(rows).collect()
     assert {r.markdown_content for r in off} == {f"# {n}.PNG\n" for n in "abcde"}
+
+
+def files_below(folder):
+    return {str(p): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_layers_equal_buckets(spark, store, tmp_path):
+    """The same merges, failures, changes and deletes in both kinds of store."""
+    layered = LayeredStore(spark, str(tmp_path / "layered"))
+    schema = "file_path string, file_name string, file_type string, file_size long, file_created_at timestamp, file_modified_time timestamp, " \
+             "markdown_content string, conversion_type int, success boolean, error_message string, source string, source_url string"
+
+    def batch(names, text, ok=True):
+        rows = [(f"/C/{n}", n, "md", 1, T0, T0, text if ok else None, 0, ok, None if ok else "bad", "local_fs", None) for n in names]
+        return spark.createDataFrame(rows, schema)
+
+    def same():
+        order = ["id", "file_path"]
+        assert layered.documents().orderBy(order).collect() == store.documents().orderBy(order).collect()
+
+    same()
+    steps = [
+        lambda s: s.merge(batch("abcdef", "one"), T0, stream="s/1", batch_id=0),
+        lambda s: s.merge(batch("bcx", "two"), T0 + timedelta(days=1)),
+        lambda s: s.merge(batch("cy", "three", ok=False), T0 + timedelta(days=2)),
+        lambda s: s.delete(s.documents().filter("file_name IN ('a', 'x')").select("id"), T0),
+        lambda s: s.merge(batch("a", "again"), T0 + timedelta(days=3)),
+        lambda s: s.merge(batch("", "none"), T0 + timedelta(days=4)),
+        lambda s: s.change(s.documents().filter("file_name = 'd'").select("id"), lambda d: d.withColumn("source", F.lit("z")), T0),
+    ]
+    for step in steps:
+        before = files_below(tmp_path / "layered")
+        step(store)
+        step(layered)
+        same()
+        after = files_below(tmp_path / "layered")
+        assert {k: after[k] for k in before} == before  # nothing is rewritten
+    assert layered.has_batch("s/1", 0) and not layered.has_batch("s/1", 1)
+    state = spark.createDataFrame([tuple("local_fs" if f.name == "source" else None for f in S.INGEST_STATE)], S.INGEST_STATE)
+    layered.set_state(state, T0)
+    assert layered.state().count() == 1
+    held = layered.layers()
+    layered.compact(T0)
+    same()
+    assert len(held) > 4 and len(layered.layers()) == 1 and layered.vacuum() == held and layered.vacuum() == []
+    same()
+    assert layered.compact(T0) == layered.version() and layered.state().count() == 1
+
+
+def test_folder_run_on_layers(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.md").write_text("one")
+    layered = LayeredStore(spark, str(tmp_path / "layered"))
+    for day, text in enumerate(["one", "two"]):
+        (folder / "a.md").write_text(text)
+        run, _ = ingest_cancellable(RunControl(spark, f"d{day}"), layered, [str(folder)], T0 + timedelta(days=day), IngestOptions(full=True))
+        assert run.outcomes.first().outcome == "processed"
+    assert [r.markdown_content for r in layered.documents().collect()] == ["two"] and layered.state().count() == 1
