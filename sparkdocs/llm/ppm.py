@@ -8,12 +8,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from sparkdocs.llm.common import ascii_words
+from sparkdocs.llm.common import ascii_words, task_count
 from sparkdocs.session import stage
 
 # Bytes of context, text bytes that share one table of terms while they are scored, and text bytes whose
@@ -93,8 +92,8 @@ class _Block:
         ).to_batches(max_chunksize=100_000)
 
 
-def _slices(table: pa.Table):
-    """Parts of a table whose texts have at most SLICE_BYTES together, or a single text."""
+def _slices(table: pa.RecordBatch):
+    """Parts of a batch whose texts have at most SLICE_BYTES together, or a single text."""
     start = held = 0
     for i, size in enumerate(pc.fill_null(pc.binary_length(table.column("text")), 0).to_pylist()):
         if i > start and held + size > SLICE_BYTES:
@@ -110,8 +109,10 @@ def _blocks(batches):
     Every row counts some bytes besides its text. Blocks follow the rows alone, however they are batched;
     the number holds the partition, so rows of different partitions do not share a block.
     """
-    block, held = TaskContext.get().partitionId() << 32, 0
+    block, held = None, 0
     for batch in batches:
+        if block is None and batch.num_rows:
+            block = batch.column("part")[0].as_py() << 32
         start = part = 0
         for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
             full = held and held + size + ROW_BYTES > BLOCK_BYTES
@@ -157,7 +158,7 @@ class GramTable:
         self.keys, self.values = keys[order], values[order]
         if not len(keys):
             self.keys, self.values = np.full(1, -1, np.int64), np.zeros(1)
-        self.shift = np.uint64(64 - max(8, len(keys).bit_length() + 2))
+        self.shift = np.uint64(64 - max(8, len(keys).bit_length() + 1))
         slot = self._slot(self.keys)
         size = 1 << (64 - int(self.shift))
         self.slots = np.full(size, -1, np.int32)
@@ -179,14 +180,32 @@ class GramTable:
 
 
 def _score(depth: int, unknown: float):
-    """Texts of a block with the values of the block's grams and words."""
+    """Rows sorted by block and kind: grams of a block (0), its words (1), then its texts (2) one slice after another."""
 
-    def run(terms: pa.Table, docs: pa.Table) -> pa.Table:
-        is_word = pc.is_valid(terms.column("word"))
-        grams_of, words_of = terms.filter(pc.invert(is_word)), terms.filter(is_word)
-        table = GramTable(grams_of.column("gram").to_numpy(), grams_of.column("value").to_numpy())
-        words = dict(zip(words_of.column("word").to_pylist(), words_of.column("value").to_pylist()))
-        return pa.concat_tables(score(part, table, words) for part in _slices(docs))
+    def run(batches):
+        block, table, words, keys, values = None, None, {}, [], []
+        for batch in batches:
+            numbers, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(kinds)]):
+                if a == b:
+                    continue
+                if numbers[a] != block:
+                    block, table, words, keys, values = numbers[a], None, {}, [], []
+                    pa.default_memory_pool().release_unused()
+                part = batch.slice(a, b - a)
+                if kinds[a] == 0:
+                    # Copies, so that the batch with its other columns can go.
+                    keys.append(part.column("gram").to_numpy().copy())
+                    values.append(part.column("value").to_numpy().copy())
+                elif kinds[a] == 1:
+                    words.update(zip(part.column("word").to_pylist(), part.column("value").to_pylist()))
+                else:
+                    if table is None:
+                        table = GramTable(np.concatenate(keys or [np.zeros(0, np.int64)]), np.concatenate(values or [np.zeros(0)]))
+                        keys, values = [], []
+                    for docs in _slices(part):
+                        yield score(docs, table, words)
 
     def score(docs, table, value_of):
         texts = [ascii_words(t) for t in docs.column("text").to_pylist()]
@@ -198,7 +217,7 @@ def _score(depth: int, unknown: float):
             each = np.fromiter(map(value_of.__getitem__, words), np.float64, len(words))
             base[i] = each.sum()
             known[i] = (each > unknown).sum()
-        return pa.table(
+        return pa.RecordBatch.from_arrays(
             [docs.column("row"), pa.array([len(w) for w in texts], pa.int64()), pa.array(known), pa.array(base), pa.array(model)],
             ["row", "n_tokens", "n_known", "base_score", "score"],
         )
@@ -276,7 +295,7 @@ def score_texts(
 
     The rows of a partition are cut into blocks of BLOCK_BYTES. Each block gives its distinct grams and
     words with their counts; counts are added up over all blocks, each distinct gram is evaluated once, and
-    every block meets the values of its own terms in a co-group. So no task holds the whole model, and what
+    every block gets back the values of its own terms, sorted before its texts. So no task holds the whole model, and what
     moves grows with the input. Blocks follow the place of a row, so the rows are written once; with
     `plain_scan` they are read twice instead, which is right for rows that come straight from files. A row
     that changed its block raises an error, for a word as for a gram.
@@ -286,8 +305,9 @@ def score_texts(
         F.coalesce(~held_out, F.lit(True)).alias("train"), text.alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
     )
-    source = source if plain_scan else stage(source)
-    terms = stage(source.select("train", "text").mapInArrow(_count(depth), "block long, gram long, word binary, n long"))
+    # The number of the scan's own partition, whatever plan the scan is part of.
+    source = (source if plain_scan else stage(source)).withColumn("part", F.spark_partition_id())
+    terms = stage(source.select("part", "train", "text").mapInArrow(_count(depth), "block long, gram long, word binary, n long"))
     counted = stage(terms.filter("word IS NULL").groupBy("gram").agg(F.sum("n").alias("n")))
     words = stage(terms.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
@@ -296,19 +316,23 @@ def score_texts(
     logp = code_lengths(counted, depth).withColumnRenamed("logp", "value")
     gram_rows = terms.filter("word IS NULL").select("block", "gram").join(logp, "gram")
     word_rows = terms.filter("word IS NOT NULL").select("block", "word").join(words.select("word", value.alias("value")), "word")
-    values = gram_rows.select("block", "gram", F.lit(None).cast("binary").alias("word"), "value").union(
-        word_rows.select("block", F.lit(None).cast("long"), "word", "value")
-    )
     row = StructField("row", source.schema["row"].dataType)
-    dealt = source.select("text", "row").mapInArrow(
+    dealt = source.select("part", "text", "row").mapInArrow(
         _dealt, StructType([StructField("block", LongType()), StructField("text", StringType()), row])
     )
+    zero, none = F.lit(0).cast("long"), F.lit(None)
+    both = (
+        gram_rows.select("block", F.lit(0).alias("kind"), "gram", none.cast("binary").alias("word"), "value", none.cast("string").alias("text"), none.cast(row.dataType).alias("row"))
+        .union(word_rows.select("block", F.lit(1), zero, "word", "value", none.cast("string"), none.cast(row.dataType)))
+        .union(dealt.select("block", F.lit(2), zero, none.cast("binary"), F.lit(0.0), "text", "row"))
+    )
     out = StructType([
         row, StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base_score", DoubleType()), StructField("score", DoubleType()),
     ])
     # Half a count above the value of an unknown word parts it from the rarest known one.
     unknown = math.log10(1.5) - math.log10(n + v + 1)
-    scored = values.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_score(depth, unknown), out)
+    sorted_rows = both.repartition(task_count(both), "block").sortWithinPartitions("block", "kind")
+    scored = sorted_rows.mapInArrow(_score(depth, unknown), out)
     return scored.select(
         *[F.col("row").getField(c).alias(c) for c in keep], "n_tokens", "n_known",
         F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
