@@ -16,7 +16,7 @@ from sparkdocs.operators.events import ingest_summary
 from sparkdocs.operators.maintain import orphans
 from sparkdocs.plans.ingest import IngestOptions, ingest, ingest_folders
 from sparkdocs.plans.notes_import import import_notes
-from sparkdocs.plans.reprocess import reprocess_html, retry_failed, retry_stored
+from sparkdocs.plans.reprocess import reprocess_html, reprocess_stored, retry_failed, retry_stored
 from sparkdocs.plans.layered_store import LayeredStore
 from sparkdocs.plans.store import DocumentStore
 from sparkdocs.session import fresh_dir
@@ -26,6 +26,7 @@ from sparkdocs.plans.notes_job import moved_notes, run_notes_import
 from sparkdocs.plans.run_control import RunControl, ingest_cancellable
 from sparkdocs.plans.export import export_markdown
 from sparkdocs.sources.files import scan_listing
+from sparkdocs.sources.notes import read_folders, read_notes
 from sparkdocs.sources.walk import storage_uri, walk_folder
 from sparkdocs.streaming.ingest_stream import start_ingest_stream
 
@@ -421,23 +422,24 @@ def _(t):
     )
 
 
-_STREAMED = """
-    WITH l AS (SELECT split_part(file_path, '/', 3) AS scope, * FROM {listing})
-    SELECT '/corpus/' || scope AS scope_key, count(*) AS total_files, count(*) AS handled, NULL AS error
-    FROM l WHERE scope IN ('src1', 'src2') AND file_type = 'md' GROUP BY scope
+_STREAM_ROOTS = [f"/corpus/src{i}" for i in range(20) if i != 5] + ["/corpus/new", "/corpus/none"]
+_STREAMED = f"""
+    WITH {_FOUND}
+    SELECT '/corpus/' || split_part(file_path, '/', 3) AS scope_key, count(*) AS total_files, count(*) AS handled, NULL AS error
+    FROM found WHERE '/corpus/' || split_part(file_path, '/', 3) IN ({", ".join(f"'{r}'" for r in _STREAM_ROOTS)}) GROUP BY ALL
     """
 
 
 @query("ingest_stream_state", _STREAMED)
 def _(t):
-    # Two folders in one stream, cut into several batches; a third folder has no row and gets no state.
+    # All files in one stream, cut into several batches; one source is not asked for, a folder without a row gets no state.
     store = _new_store(t, "stream-state")
     rows = f"{store.root}/listing"
-    t.listing.filter("file_type = 'md'").dropDuplicates(["file_path"]).repartition(3, "file_path").write.parquet(rows)
+    t.listing.repartition(3, F.lower("file_path")).write.parquet(rows)  # copies of a path stay in one batch
     stream = t.spark.readStream.schema(t.listing.schema).option("maxFilesPerTrigger", 1).parquet(rows)
     contents, sidecars = t.contents, t.sidecars
     start_ingest_stream(
-        stream, lambda batch: contents, store, ["/corpus/src1", "/corpus/src2", "/corpus/none"], "state", f"{store.root}/offsets",
+        stream, lambda batch: contents, store, _STREAM_ROOTS, "state", f"{store.root}/offsets",
         clock=lambda: RUN_TS, sidecars_of=lambda batch: sidecars,
     ).awaitTermination()
     handled = F.col("processed") + F.col("skipped") + F.col("errors")
@@ -476,6 +478,55 @@ def _(t):
     return store.documents().select("id", "status", "markdown_content", "error_message")
 
 
+@query(
+    "store_reprocess",
+    """
+    SELECT id, CASE WHEN file_type = 'html' THEN 'completed' ELSE status END AS status,
+           CASE WHEN file_type = 'html' THEN '**bold** ' || trim(regexp_replace(markdown_content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))
+                ELSE markdown_content END AS markdown_content
+    FROM {docs}
+    """,
+)
+def _(t):
+    store = _new_store(t, "store-reprocess")
+    store.replace(t.docs, RUN_TS)
+    reprocess_stored(store, t.docs.select("file_path", F.concat(F.lit("<b>bold</b> "), "markdown_content").alias("text")), RUN_TS)
+    return store.documents().select("id", "status", "markdown_content")
+
+
+@query("notes_from_json", _NOTES)
+def _(t):
+    # The same import from the JSON lines of an export.
+    root = fresh_dir(t.spark, "notes-json")
+    t.notes.write.json(f"{root}/notes")
+    t.folders.write.json(f"{root}/folders")
+    empty = t.spark.createDataFrame([], S.DOCUMENTS)
+    run = import_notes(read_notes(t.spark, f"{root}/notes"), read_folders(t.spark, f"{root}/folders"), empty)
+    return _note_rows(merge_documents(empty, run.converted, RUN_TS, NOTE_COLUMNS))
+
+
+_SECOND = "2024-01-01 02:00:00"
+
+
+@query(
+    "ingest_second_run",
+    f"""
+    WITH {_FOUND}, {_CONVERTED}
+    SELECT '/corpus' AS scope_key, count(*) AS total_files, count(*) FILTER (WHERE ok AND (doc_id IS NULL OR stored <> file_modified_time)) AS processed,
+           count(*) FILTER (WHERE doc_id IS NOT NULL AND stored = file_modified_time) AS skipped,
+           count(*) FILTER (WHERE NOT ok AND (doc_id IS NULL OR stored <> file_modified_time)) AS errors, '2024-06-01T00:00:00Z' AS cursor_at
+    FROM conv WHERE file_modified_time >= TIMESTAMP '{_SECOND}'
+    """,
+)
+def _(t):
+    # The state holds the cursor of an earlier run: older files are not looked at.
+    row = {"source": "local_fs", "scope_key": "/corpus", "cursor_updated_at": datetime.fromisoformat(_SECOND).replace(tzinfo=timezone.utc)}
+    state = t.spark.createDataFrame([tuple(row.get(f.name) for f in S.INGEST_STATE)], S.INGEST_STATE)
+    run = ingest(t.listing, t.contents, t.docs, state, ["/corpus"], RUN_TS, IngestOptions(), t.sidecars)
+    after = merge_state(state, run.runs)
+    return after.select("scope_key", "total_files", "processed", "skipped", "errors", iso_time(F.col("cursor_updated_at")).alias("cursor_at"))
+
+
 @query("store_delete", "SELECT id, file_path, markdown_content FROM {docs} WHERE coalesce(status, '') <> 'failed'")
 def _(t):
     store = _new_store(t, "store-delete")
