@@ -16,7 +16,11 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' posterior, or the length and repetition floor, rejects go."""
+    """Documents that the rules' posterior, or the length and repetition floor, rejects go.
+
+    A null or empty text has no words and goes; every row is judged by its own text, repeated ones and those
+    without an id too. An empty table stays empty.
+    """
     name = free_name(docs, "quality")
     return judged(docs, name).filter(F.col(name).getField("kept")).select(*docs.columns)
 
@@ -24,7 +28,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, above their language's calibrated cross-entropy or of unsure language go.
 
-    The models are learned from labelled rows that are still there.
+    The models are learned from labelled rows that are still there. A null text goes; of languages with
+    equal cross-entropy the first by name counts. Every row is judged by its own text, repeated ones and
+    those without an id too; null languages are not learned from. An empty table stays empty.
     """
     name = free_name(docs, "language")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -52,7 +58,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents left, each with its sequence and place in it."""
+    """Token pieces of all documents left, each with its sequence and place in it.
+
+    A null or empty text is the end token alone; repeated rows and rows without an id are documents of their
+    own. An empty table gives no rows.
+    """
     return pack_documents(docs, tokenizer_text(TOKENIZER))
 
 
