@@ -5,7 +5,7 @@ Only column expressions and aggregates; no Python runs on the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdocs.operators.sizes import number_rows
@@ -18,6 +18,11 @@ SYSTEM = "system"
 NOBODY = "unknown"
 
 
+def plain(text: Column) -> Column:
+    """A text without the marks of a turn: a blank parts the signs of `<|` and `|>`, so no turn can forge another."""
+    return F.replace(F.replace(text, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+
+
 def segments(part: str, viewer: str):
     """Per turn of the ordered array `part`: struct of head, body and whether the viewer speaks."""
     return F.transform(
@@ -38,11 +43,11 @@ def rotate_pieces(turns: DataFrame, part_turns: int = PART_TURNS, piece_rows: in
     Further columns: piece (from 0) and pieces, their number in the part. Positions come from range slices,
     so that a dialogue that holds most rows, with repeated or null turn numbers, is never in one task or row.
     """
-    role = F.trim(F.col("role").cast("string"))
+    role = F.replace(F.trim(F.col("role").cast("string")), F.lit("\n"), F.lit(" "))
     said = turns.select(
         F.col("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.when(role.isNull() | (role == ""), F.lit(NOBODY)).otherwise(role).alias("speaker"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("said"),
+        F.when(role.isNull() | (role == ""), F.lit(NOBODY)).otherwise(plain(role)).alias("speaker"),
+        plain(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("said"),
     )
     viewers = said.filter(~F.col("speaker").isin(SYSTEM, NOBODY)).groupBy("conv_id").agg(
         F.array_sort(F.collect_set("speaker")).alias("viewers")
@@ -92,7 +97,8 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, piece_rows: int = PIE
     A part takes the turns whose number lies in the same `part_turns`; participants are those of the whole
     dialogue. Turns are ordered by number, speaker and text; repeated rows are rendered as often as they
     come; null turn numbers come first, in a part numbered -1. A null or blank role is a speaker `unknown`
-    who is rendered but gets no view. A null text is empty. Rows without conv_id form one dialogue. Other
+    who is rendered but gets no view. A null text is empty. Marks of a turn inside names and texts are taken
+    apart by a blank, line ends in names become blanks. Rows without conv_id form one dialogue. Other
     columns are not looked at.
 
     A part of more than `piece_rows` rows is rendered in pieces and its texts and masks are joined at the
@@ -110,8 +116,9 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, piece_rows: int = PIE
 
 ROTATION_SQL = """
 WITH said AS (
-  SELECT conv_id, turn, CASE WHEN role IS NULL OR trim(role) = '' THEN 'unknown' ELSE trim(role) END AS speaker,
-    coalesce(text, '') AS said, coalesce(turn // 256, -1) AS part
+  SELECT conv_id, turn, CASE WHEN role IS NULL OR trim(role) = '' THEN 'unknown'
+      ELSE replace(replace(replace(trim(role), chr(10), ' '), '<|', '< |'), '|>', '| >') END AS speaker,
+    replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') AS said, coalesce(turn // 256, -1) AS part
   FROM conversations),
 viewers AS (SELECT DISTINCT conv_id, speaker AS viewer FROM said WHERE speaker NOT IN ('system', 'unknown')),
 pieces AS (
