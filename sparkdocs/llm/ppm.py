@@ -19,8 +19,11 @@ from sparkdocs.session import stage
 # grams a task spells out at a time (a single longer text goes alone).
 DEPTH = 5
 BLOCK_BYTES = 32_000_000
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 ROW_BYTES = 64
+# Distinct grams of slices that wait to be added to those of their block, and rows that a task sends on at a time.
+PENDING_GRAMS = 1_000_000
+SENT_ROWS = 100_000
 
 _END = b"\n"  # after every text, and before it as often as the context is deep
 
@@ -66,7 +69,7 @@ class _Block:
             if len(part):
                 uniq, n = np.unique(part, return_counts=True)
                 self.grams.append((uniq, n if counts else np.zeros(len(uniq), np.int64)))
-        if len(self.grams) > 24:
+        if sum(len(g[0]) for g in self.grams[1:]) > PENDING_GRAMS:
             self.grams = [self._merged()]
         for words, learned in zip(split, use):
             words.append(b"")
@@ -74,22 +77,32 @@ class _Block:
 
     def _merged(self) -> tuple[np.ndarray, np.ndarray]:
         keys = np.concatenate([g[0] for g in self.grams])
-        uniq, inverse = np.unique(keys, return_inverse=True)
-        return uniq, np.bincount(inverse, np.concatenate([g[1] for g in self.grams])).astype(np.int64)
+        n = np.concatenate([g[1] for g in self.grams])
+        self.grams = []
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+        return keys[first], np.add.reduceat(n, first) if len(first) else n
 
     def rows(self):
-        uniq, n = self._merged()
-        words = dict.fromkeys(self.other, 0) | self.train
-        total = len(uniq) + len(words)
-        yield from pa.table(
-            [
-                pa.array(np.full(total, self.number)),
-                pa.array(np.concatenate((uniq, np.zeros(len(words), np.int64)))),
-                pa.array([None] * len(uniq) + list(words), pa.binary()),
-                pa.array(np.concatenate((n, np.fromiter(words.values(), np.int64, len(words))))),
-            ],
-            ["block", "gram", "word", "n"],
-        ).to_batches(max_chunksize=100_000)
+        names = ["block", "gram", "word", "n"]
+        grams, n = self._merged()
+        for i in range(0, len(grams), SENT_ROWS):
+            part = grams[i : i + SENT_ROWS]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part), self.number)), pa.array(part), pa.nulls(len(part), pa.binary()), pa.array(n[i : i + SENT_ROWS])], names
+            )
+        del grams, n
+        words = list((dict.fromkeys(self.other, 0) | self.train).items())
+        for i in range(0, len(words), SENT_ROWS):
+            part = words[i : i + SENT_ROWS]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(part), self.number)), pa.array(np.zeros(len(part), np.int64)),
+                    pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64()),
+                ],
+                names,
+            )
 
 
 def _slices(table: pa.RecordBatch):
@@ -138,6 +151,7 @@ def _count(depth: int):
             block.add(part.column("train").to_pylist(), part.column("text").to_pylist())
         if block is not None:
             yield from block.rows()
+        pa.default_memory_pool().release_unused()
 
     return run
 
