@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from sparkdocs.llm.common import ascii_words, task_count
-from sparkdocs.session import stage
+from sparkdocs.session import fresh_dir
 
 # Bytes of context, text bytes that share one table of terms while they are scored, and text bytes whose
 # grams a task spells out at a time (a single longer text goes alone).
@@ -28,6 +28,13 @@ SENT_ROWS = 100_000
 _END = b"\n"  # after every text, and before it as often as the context is deep
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again; grams are many, so they are packed harder than by default."""
+    path = fresh_dir(df.sparkSession, "ppm")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _mask(size: int) -> int:
     return (1 << (8 * size)) - 1
 
