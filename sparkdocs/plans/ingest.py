@@ -104,14 +104,15 @@ def ingest(
     if sidecars is None:
         found = found.withColumn("source_url", F.lit(None).cast("string"))
     else:
-        found = join_sidecars(found, sidecars)
+        # Spark takes read files to be as small as their listing; a broadcast would bring them to the driver.
+        found = join_sidecars(found, sidecars.hint("merge") if callable(contents) else sidecars)
     found = found.withColumn("source", P.derive_source(F.col("file_path"), options.download_root))
     actions = detect_changes(found, docs)
     if staged:
         actions = stage(actions)
     changed = actions.filter(F.col("action") != "unchanged")
     # Contents of unchanged files end here, before they are moved.
-    wanted = contents(changed) if callable(contents) else contents.join(changed.select("file_path"), "file_path", "left_semi")
+    wanted = contents(changed).hint("merge") if callable(contents) else contents.join(changed.select("file_path"), "file_path", "left_semi")
     todo = changed.join(wanted, "file_path", "left")
     todo = todo.withColumn("converter", registry.converter_of(F.col("file_type")))
     converted = registry.convert(stage(todo, "converter") if staged else todo)
@@ -220,7 +221,7 @@ def _folder(spark: SparkSession, folder: str, options: IngestOptions, start: str
         beside = listed.filter(F.col("file_path").endswith(S.SIDECAR_SUFFIX))
 
         def read(changed: DataFrame) -> DataFrame:
-            mine = listed.select("file_path", "file_size", "raw_path").join(changed.select("file_path"), "file_path", "left_semi")
+            mine = listed.select("file_path", "file_size", "raw_path").join(changed.select("file_path").hint("merge"), "file_path", "left_semi")
             return read_files(mine, uri, most)
 
         return listed.drop("raw_path"), read, read_files(beside, uri).select("file_path", "text")

@@ -15,6 +15,7 @@ from sparkdocs.plans.reprocess import retry_failed
 from sparkdocs.plans.store import DocumentStore
 from sparkdocs.sources.files import list_files, read_contents
 from sparkdocs.sources.notes import read_folders, read_notes
+from sparkdocs.sources.walk import read_files, walk_folder
 from sparkdocs.streaming.ingest_stream import start_ingest_stream
 
 T0 = datetime.now(timezone.utc) + timedelta(hours=1)
@@ -330,3 +331,16 @@ def test_store_changes_touch_their_buckets_only(spark, tmp_path):
     assert store.delete(one, T0) == 2  # nothing to do, nothing committed
     store.change(docs.select("id").limit(1), lambda d: d.withColumn("status", F.lit("failed")), T0)
     assert 1 <= store.documents().filter("status = 'failed'").count() < 59
+
+
+def test_contents_of_files_are_not_broadcast(spark, folder):
+    # Spark sizes them by their listing, so a broadcast would bring all of them to the driver.
+    listed = walk_folder(spark, str(folder))
+    files = lambda some: read_files(listed.join(some.select("file_path"), "file_path", "left_semi"), f"file://{folder}")
+    beside = files(listed.filter("file_path LIKE '%.meta.json'")).select("file_path", "text")
+    none = spark.createDataFrame([], S.DOCUMENTS), spark.createDataFrame([], S.INGEST_STATE)
+    made = ingest(listed.drop("raw_path"), files, *none, [str(folder)], T0, IngestOptions(file_types="md,txt"), beside, staged=False)
+    plan = made.converted._jdf.queryExecution().sparkPlan().toString().splitlines()
+    joins = [line.split("Join")[0].split()[-1] for line in plan if "Join [file_path" in line and "LeftOuter" in line]
+    assert set(joins) == {"SortMerge"}
+    assert {(r.file_name, r.source_url) for r in made.converted.collect()} == {("note.md", None), ("plain.txt", "https://example.org/p")}
