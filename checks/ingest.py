@@ -446,6 +446,24 @@ def _(t):
     return store.state().select("scope_key", "total_files", handled.alias("handled"), F.col("last_error_message").alias("error"))
 
 
+def _write_files(rows, root):
+    """One file per row (rel, text) below `root`, written by the tasks that hold the rows."""
+    uri = storage_uri(rows.sparkSession, root)
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for rel, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system.create_dir(f"{base}/{rel}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{base}/{rel}") as sink:
+                    sink.write(text.encode("utf-8"))
+            yield batch.select([0])
+
+    rows.mapInArrow(write, "rel string").write.format("noop").mode("overwrite").save()
+
+
 @query(
     "ingest_folder_uri",
     f"""
@@ -457,8 +475,8 @@ def _(t):
     # Each distinct text is written as a file of its own below a shared folder, which is then ingested by URI.
     root = fresh_dir(t.spark, "uri-folder")
     texts = t.documents.filter("text IS NOT NULL AND text <> ''").select("text").distinct()
-    named = texts.select(F.concat(F.lit("d-"), F.md5("text")).alias("name"), F.col("text").alias("value"))
-    named.repartition(4, "name").write.partitionBy("name").option("lineSep", "\u0000").text(root)
+    rel = F.concat(F.lit("name=d-"), F.md5("text"), F.lit("/text.txt"))
+    _write_files(texts.select(rel.alias("rel"), F.concat("text", F.lit("\u0000")).alias("text")), root)
     uri = root if ":" in root.split("/")[0] else f"file://{root}"
     store = _new_store(t, "uri-store")
     ingest_folders(t.spark, store, [uri + "/"], RUN_TS, IngestOptions(file_types="txt"))
@@ -547,21 +565,7 @@ _TREE = (
 def _write_tree(t, name):
     """A folder with the text of each document under its name."""
     root = fresh_dir(t.spark, name)
-    rows = t.documents.select(F.expr(_TREE).alias("rel"), F.coalesce("text", F.lit("")).alias("text"))
-    uri = storage_uri(t.spark, root)
-
-    def write(batches):
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(uri)
-        for batch in batches:
-            for rel, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                system.create_dir(f"{base}/{rel}".rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(f"{base}/{rel}") as sink:
-                    sink.write(text.encode("utf-8"))
-            yield batch.select([0])
-
-    rows.mapInArrow(write, "rel string").write.format("noop").mode("overwrite").save()
+    _write_files(t.documents.select(F.expr(_TREE).alias("rel"), F.coalesce("text", F.lit("")).alias("text")), root)
     return root
 
 

@@ -344,3 +344,11 @@ def test_contents_of_files_are_not_broadcast(spark, folder):
     joins = [line.split("Join")[0].split()[-1] for line in plan if "Join [file_path" in line and "LeftOuter" in line]
     assert set(joins) == {"SortMerge"}
     assert {(r.file_name, r.source_url) for r in made.converted.collect()} == {("note.md", None), ("plain.txt", "https://example.org/p")}
+
+
+def test_files_of_a_check_are_written_by_tasks(spark, tmp_path):
+    from checks.ingest import _write_files
+
+    rows = spark.createDataFrame([(f"name=d-{i}/text.txt", f"text {i}") for i in range(5)], "rel string, text string")
+    _write_files(rows, str(tmp_path / "in"))
+    assert {(p.parent.name, p.read_text()) for p in (tmp_path / "in").rglob("*.txt")} == {(f"name=d-{i}", f"text {i}") for i in range(5)}
