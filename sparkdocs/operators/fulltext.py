@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,29 +14,56 @@ from sparkdocs.operators.sizes import keyed_join, top_per_group
 from sparkdocs.session import cut_lineage, stage
 
 
+# Documents that a task counts at a time.
+_DOCS = 500
+
+
+def _placed(batches):
+    """Postings of Arrow batches (id, words): a document's words are all in its row."""
+    for whole in batches:
+        for batch in (whole.slice(i, _DOCS) for i in range(0, whole.num_rows, _DOCS)):
+            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            coded = batch.column(1).flatten().dictionary_encode()
+            code, row = coded.indices.to_numpy(), np.repeat(np.arange(batch.num_rows), lengths)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            start = pc.index(coded.dictionary, tokens.RUN_START).as_py()
+            key = (row * max(1, len(coded.dictionary)) + code)[code != start]
+            place = place[code != start]
+            order = np.argsort(key, kind="stable")  # places stay ascending
+            key, first = np.unique(key[order], return_index=True)
+            bounds = np.append(first, len(order))
+            doc, term = np.divmod(key, max(1, len(coded.dictionary)))
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(term)), batch.column(0).take(pa.array(doc)), pa.array(np.diff(bounds), pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(place[order], pa.int32()))],
+                ["term", "id", "tf", "positions"],
+            )
+
+
 def build_postings(docs: DataFrame, positions: bool = False) -> DataFrame:
     """(term, id, tf) of completed documents; with `positions` also the sorted places of the term.
 
     A document's tokens leave its row in one task, so the map-side half of the count already brings
-    them together and the shuffle moves one row per document and term. Places count the start of a CJK
+    them together and the shuffle moves one row per document and term. With places the rows are made
+    in the task without a shuffle; ids are unique, as in a store. Places count the start of a CJK
     run as one, so that two terms are neighbours in the text if their places are.
     """
     done = docs.filter(F.col("status") == "completed")
     if not positions:
         words = done.select("id", F.explode(tokens.tokens(F.col("markdown_content"))).alias("term"))
         return words.groupBy("term", "id").agg(F.count("*").alias("tf"))
-    words = done.select("id", F.posexplode(tokens.placed_tokens(F.col("markdown_content"))).alias("place", "term"))
-    placed = words.filter(F.col("term") != tokens.RUN_START).groupBy("term", "id")
-    return placed.agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("positions"))
+    words = done.select(F.col("id").cast("long"), tokens.placed_tokens(F.col("markdown_content")).alias("words"))
+    return words.mapInArrow(_placed, "term string, id long, tf long, positions array<int>")
 
 
 def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> None:
     """Store postings ordered by term, so that a term filter skips files and row groups.
 
-    Ranges of (term, id) split a term that half of all documents hold over several files.
+    Ranges of (term, id) split a term that half of all documents hold over several files. The rows are
+    written first: finding the ranges reads them once more, and would make them twice.
     """
     n = partitions or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = postings.repartitionByRange(n, "term", "id").sortWithinPartitions("term", "id")
+    ranged = stage(postings).repartitionByRange(n, "term", "id").sortWithinPartitions("term", "id")
     ranged.write.mode("errorifexists").parquet(path)
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from sparkdocs.operators.search import (
     SearchParams, filters, matches, page_info, page_of, result_rows, sort_keys,
 )
 from sparkdocs.operators.sizes import keyed_join
+from sparkdocs.session import stage
 
 # Trigrams of a keyword that are read: the rarest ones.
 READ_TRIGRAMS = 4
@@ -37,16 +40,46 @@ class CorpusIndex:
     ids: DataFrame | None = None
 
 
+# Words whose trigrams a task remembers, and documents it sends on at a time.
+_WORDS, _DOCS = 200_000, 500
+
+
+def _word_trigrams(batches):
+    """Distinct trigrams of Arrow batches (id, padded words): those of a document's distinct words."""
+    known: dict[str, tuple] = {}
+    for whole in batches:
+        for batch in (whole.slice(i, _DOCS) for i in range(0, whole.num_rows, _DOCS)):
+            if len(known) > _WORDS:
+                known.clear()
+            grams, sizes = [], []
+            for padded in batch.column(1).to_pylist():
+                own: set[str] = set()
+                for word in set(padded.split(" ")) - {""}:
+                    found = known.get(word)
+                    if found is None:
+                        text = f"  {word} "
+                        found = known[word] = tuple(text[i : i + 3] for i in range(len(text) - 2))
+                    own.update(found)
+                grams += own
+                sizes.append(len(own))
+            doc = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), batch.column(0).take(doc)], ["gram", "id"])
+
+
 def build_trigrams(docs: DataFrame) -> DataFrame:
     """(gram, id): the distinct trigrams of text and file name of completed documents."""
-    grams = F.array_union(*[tokens.trigram_set(F.coalesce(F.col(c), F.lit(""))) for c in ("markdown_content", "file_name")])
-    return docs.filter(F.col("status") == "completed").select("id", F.explode(grams).alias("gram")).select("gram", "id")
+    both = F.concat(*[tokens.word_string(F.coalesce(F.col(c), F.lit(""))) for c in ("markdown_content", "file_name")])
+    done = docs.filter(F.col("status") == "completed").select(F.col("id").cast("long"), both.alias("words"))
+    return done.mapInArrow(_word_trigrams, "gram string, id long")
 
 
 def write_trigrams(trigrams: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Store trigrams in ranges of (gram, id), so that a gram filter skips files and row groups."""
+    """Store trigrams in ranges of (gram, id), so that a gram filter skips files and row groups.
+
+    The rows are written first, as finding the ranges would make them twice.
+    """
     n = partitions or int(trigrams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = trigrams.repartitionByRange(n, "gram", "id").sortWithinPartitions("gram", "id")
+    ranged = stage(trigrams).repartitionByRange(n, "gram", "id").sortWithinPartitions("gram", "id")
     ranged.write.mode("errorifexists").parquet(path)
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkdocs import schemas as S
+from sparkdocs.functions import tokens
 from sparkdocs.operators.fulltext import build_postings, searchable_ids
 from sparkdocs.operators.indexed import (
     CorpusIndex, build_trigrams, indexed_matches, needed_trigrams, search_indexed, trigram_candidates, write_trigrams,
@@ -142,3 +143,24 @@ def test_segments_follow_the_documents(spark, docs, tmp_path):
     store.build(docs, NOW)
     same(docs)
     assert len(store.segments()) == 1
+
+
+def test_placed_postings_and_trigrams_are_made_without_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    texts = {1: "a b a 日本語 b", 2: None, 3: "", 4: "Ab, a-b 東 x1", 5: "gone"}
+    rows = [(i, t, f"f{i}.md", "failed" if i == 5 else "completed") for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "id long, markdown_content string, file_name string, status string")
+    made, grams = build_postings(docs, positions=True), build_trigrams(docs)
+    for table in (made, grams):
+        assert "Exchange" not in table._jdf.queryExecution().sparkPlan().toString()
+    cut = docs.filter("status = 'completed'").select("id", tokens.placed_tokens(F.col("markdown_content")).alias("w")).collect()
+    want = {}
+    for r in cut:
+        for i, w in enumerate(r.w or []):
+            if w != tokens.RUN_START:
+                want.setdefault((w, r.id), []).append(i)
+    assert {(r.term, r.id): (r.tf, list(r.positions)) for r in made.collect()} == {k: (len(v), v) for k, v in want.items()}
+    sets = [tokens.trigram_set(F.coalesce(F.col(c), F.lit(""))) for c in ("markdown_content", "file_name")]
+    old = docs.filter("status = 'completed'").select("id", F.explode(F.array_union(*sets)).alias("gram"))
+    assert sorted((r.id, r.gram) for r in grams.collect()) == sorted((r.id, r.gram) for r in old.collect())
