@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkdocs import schemas as S
+from sparkdocs.convert.default import default_registry
 from sparkdocs.operators.changes import merge_documents
 from sparkdocs.operators.maintain import delete_documents, orphans
 from sparkdocs.operators.search import SearchParams, search
@@ -339,8 +340,18 @@ def test_contents_of_files_are_not_broadcast(spark, folder):
     files = lambda some: read_files(listed.join(some.select("file_path"), "file_path", "left_semi"), f"file://{folder}")
     beside = files(listed.filter("file_path LIKE '%.meta.json'")).select("file_path", "text")
     none = spark.createDataFrame([], S.DOCUMENTS), spark.createDataFrame([], S.INGEST_STATE)
-    made = ingest(listed.drop("raw_path"), files, *none, [str(folder)], T0, IngestOptions(file_types="md,txt"), beside, staged=False)
-    plan = made.converted._jdf.queryExecution().sparkPlan().toString().splitlines()
+
+    class Seen:
+        def converter_of(self, kind):
+            return F.lit("columns")
+
+        def convert(self, rows):
+            self.rows = rows
+            return default_registry().convert(rows)
+
+    seen, options = Seen(), IngestOptions(file_types="md,txt")
+    made = ingest(listed.drop("raw_path"), files, *none, [str(folder)], T0, options, beside, seen, staged=False)
+    plan = seen.rows._jdf.queryExecution().sparkPlan().toString().splitlines()
     joins = [line.split("Join")[0].split()[-1] for line in plan if "Join [file_path" in line and "LeftOuter" in line]
     assert set(joins) == {"SortMerge"}
     assert {(r.file_name, r.source_url) for r in made.converted.collect()} == {("note.md", None), ("plain.txt", "https://example.org/p")}
