@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,10 @@ from sparkdocs.session import fresh_dir
 # grams a task spells out at a time (a single longer text goes alone).
 DEPTH = 5
 BLOCK_BYTES = 32_000_000
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 250_000
 ROW_BYTES = 64
 # Distinct grams of slices that wait to be added to those of their block, and rows that a task sends on at a time.
-PENDING_GRAMS = 1_000_000
+PENDING_GRAMS = 300_000
 SENT_ROWS = 100_000
 
 _END = b"\n"  # after every text, and before it as often as the context is deep
@@ -65,7 +66,9 @@ class _Block:
 
     def __init__(self, number: int, depth: int):
         self.number, self.depth = number, depth
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        # Sorted grams with their counts, and those of slices that wait to be added; a block's counts fit 32 bits.
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
         self.train, self.other = Counter(), set()
 
     def add(self, use: list, texts: list) -> None:
@@ -75,34 +78,48 @@ class _Block:
         for part, counts in ((keys[train], True), (keys[~train], False)):
             if len(part):
                 uniq, n = np.unique(part, return_counts=True)
-                self.grams.append((uniq, n if counts else np.zeros(len(uniq), np.int64)))
-        if sum(len(g[0]) for g in self.grams[1:]) > PENDING_GRAMS:
-            self.grams = [self._merged()]
+                self.pending.append((uniq, n.astype(np.int32) if counts else np.zeros(len(uniq), np.int32)))
+        if sum(len(g[0]) for g in self.pending) > PENDING_GRAMS:
+            self._merge()
         for words, learned in zip(split, use):
             words.append(b"")
             self.train.update(words) if learned else self.other.update(words)
 
-    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([g[0] for g in self.grams])
-        n = np.concatenate([g[1] for g in self.grams])
-        self.grams = []
+    def _merge(self) -> None:
+        """Add what waits; only the waiting grams are sorted, the block's own are copied once."""
+        if not self.pending:
+            return
+        keys, n = (np.concatenate(x) for x in zip(*self.pending))
+        self.pending = []
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
-        return keys[first], np.add.reduceat(n, first) if len(first) else n
+        first = np.flatnonzero(np.concatenate((np.ones(1, bool), keys[1:] != keys[:-1])))
+        keys, n = keys[first], np.add.reduceat(n, first)
+        del order, first
+        at = np.searchsorted(self.keys, keys)
+        held = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        held[inside] = self.keys[at[inside]] == keys[inside]
+        self.n[at[held]] += n[held]
+        at = at[~held]
+        self.keys = np.insert(self.keys, at, keys[~held])
+        self.n = np.insert(self.n, at, n[~held])
 
     def rows(self):
         names = ["block", "gram", "word", "n"]
-        grams, n = self._merged()
-        for i in range(0, len(grams), SENT_ROWS):
-            part = grams[i : i + SENT_ROWS]
+        self._merge()
+        for i in range(0, len(self.keys), SENT_ROWS):
+            part = self.keys[i : i + SENT_ROWS]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), self.number)), pa.array(part), pa.nulls(len(part), pa.binary()), pa.array(n[i : i + SENT_ROWS])], names
+                [
+                    pa.array(np.full(len(part), self.number)), pa.array(part), pa.nulls(len(part), pa.binary()),
+                    pa.array(self.n[i : i + SENT_ROWS].astype(np.int64)),
+                ],
+                names,
             )
-        del grams, n
-        words = list((dict.fromkeys(self.other, 0) | self.train).items())
-        for i in range(0, len(words), SENT_ROWS):
-            part = words[i : i + SENT_ROWS]
+        self.keys, self.n = self.keys[:0].copy(), self.n[:0].copy()
+        words = chain(self.train.items(), ((w, 0) for w in self.other if w not in self.train))
+        while part := list(islice(words, SENT_ROWS)):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(part), self.number)), pa.array(np.zeros(len(part), np.int64)),
@@ -183,8 +200,10 @@ class GramTable:
         slot = self._slot(self.keys)
         size = 1 << (64 - int(self.shift))
         self.slots = np.full(size, -1, np.int32)
-        self.slots[slot] = np.arange(len(self.keys), dtype=np.int32)
-        self.slots[np.bincount(slot, minlength=size) > 1] = -1
+        own = np.arange(len(self.keys), dtype=np.int32)
+        self.slots[slot] = own
+        # Of the grams that share a slot all but one do not find themselves there.
+        self.slots[slot[self.slots[slot] != own]] = -1
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -223,7 +242,10 @@ def _score(depth: int, unknown: float):
                     words.update(zip(part.column("word").to_pylist(), part.column("value").to_pylist()))
                 else:
                     if table is None:
-                        table = GramTable(np.concatenate(keys or [np.zeros(0, np.int64)]), np.concatenate(values or [np.zeros(0)]))
+                        # Each list goes before the next copy is made.
+                        keys = np.concatenate(keys or [np.zeros(0, np.int64)])
+                        values = np.concatenate(values or [np.zeros(0)])
+                        table = GramTable(keys, values)
                         keys, values = [], []
                     for docs in _slices(part):
                         yield score(docs, table, words)

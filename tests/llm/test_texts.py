@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -389,6 +390,32 @@ def test_merge_gadgets_on_all_short_words():
             assert machine.read("".join(w)) == by_hand("".join(w))
 
 
+
+def test_ppm_blocks_add_slices_without_sorting_themselves(monkeypatch):
+    monkeypatch.setattr(ppm, "PENDING_GRAMS", 50_000)
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 40_000, np.uint8)).decode() for _ in range(30)]
+    texts[7] = texts[3]
+    use = [i % 5 != 4 for i in range(30)]
+    block = ppm._Block(3, 5)
+    tracemalloc.start()
+    for t, u in zip(texts, use):
+        block.add([u], [t])
+    rows = [b for b in block.rows() if b.column("word").null_count]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = collections.Counter()
+    for t, u in zip(texts, use):
+        found, _ = ppm.grams([[t.encode()]], 5)
+        want.update({g: 0 for g in set(found.tolist()) - want.keys()})
+        if u:
+            want.update(found.tolist())
+    got = {g: n for b in rows for g, n in zip(b.column("gram").to_pylist(), b.column("n").to_pylist())}
+    assert got == dict(want)
+    # Twelve bytes a gram are kept; one copy of them and one slice come on top, not four sorted ones.
+    assert peak < 48 * len(want), peak / len(want)
+
+
 def test_gram_table_refuses_absent_grams():
     keys = np.array([5, 1 << 40, 77], np.int64)
     table = ppm.GramTable(keys, np.array([0.5, 1.5, 2.5]))
