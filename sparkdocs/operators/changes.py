@@ -49,7 +49,7 @@ def detect_changes(listing: DataFrame, docs: DataFrame) -> DataFrame:
     ).drop("_key", "_stored")
 
 
-def _insert(batch: DataFrame, now: Column) -> DataFrame:
+def _insert(batch: DataFrame, now: Column, *more: Column) -> DataFrame:
     done = F.col("success")
     new_id = F.coalesce(F.col("id"), document_id(F.col("file_path"))) if "id" in batch.columns else (
         document_id(F.col("file_path"))
@@ -64,24 +64,33 @@ def _insert(batch: DataFrame, now: Column) -> DataFrame:
         "source", "source_url",
         now.alias("created_at"),
         now.alias("updated_at"),
+        *more,
     )
 
 
 def merge_documents(
-    docs: DataFrame, batch: DataFrame, run_ts: datetime, replaced: list[str] = SUCCESS_COLUMNS
+    docs: DataFrame, batch: DataFrame, run_ts: datetime, replaced: list[str] = SUCCESS_COLUMNS, one_join: str | None = None
 ) -> DataFrame:
     """Documents after a batch of conversions (unique paths, with a `success` flag).
 
     A success replaces the content and its metadata; a failure only marks the row, so the content of
     an earlier success stays. Written as left join plus anti join: unlike a full outer join this lets
     Spark broadcast a small batch and pass the documents through without a shuffle.
+
+    A batch that is too large for that would be computed and moved twice. With `one_join` it is so once:
+    `full` gives the same rows, `right` those of them whose paths are in the batch.
     """
     now = F.lit(run_ts).cast("timestamp")
     key = path_key(F.col("file_path")).alias("_key")
-    fresh = batch.select(
-        key, F.col("success").alias("_ok"), F.col("error_message").alias("_error"),
-        *[F.col(c).alias(f"_{c}") for c in replaced],
-    )
+    if one_join:
+        fresh = _insert(batch, now, F.col("success").alias("_ok")).select(
+            key, "_ok", *[F.col(f.name).alias(f"_{f.name}") for f in DOCUMENTS]
+        ).withColumn("_error", F.col("_error_message"))
+    else:
+        fresh = batch.select(
+            key, F.col("success").alias("_ok"), F.col("error_message").alias("_error"),
+            *[F.col(c).alias(f"_{c}") for c in replaced],
+        )
     touched, done = F.col("_ok").isNotNull(), F.col("_ok")
 
     def merged(name: str) -> Column:
@@ -98,6 +107,12 @@ def merge_documents(
             return F.when(touched, now).otherwise(old)
         return old
 
+    if one_join:
+        held = docs.withColumn("_held", F.lit(True))
+        added = F.col("_held").isNull()
+        return held.join(fresh, path_key(held["file_path"]) == F.col("_key"), one_join).select(
+            *[F.when(added, F.col(f"_{f.name}")).otherwise(merged(f.name)).cast(f.dataType).alias(f.name) for f in DOCUMENTS]
+        )
     kept = docs.join(fresh, path_key(docs["file_path"]) == F.col("_key"), "left").select(
         *[merged(f.name).cast(f.dataType).alias(f.name) for f in DOCUMENTS]
     )

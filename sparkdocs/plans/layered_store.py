@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sparkdocs.functions.paths import path_key
 from sparkdocs.operators.changes import SUCCESS_COLUMNS, merge_documents
 from sparkdocs.operators.sizes import keyed_join
-from sparkdocs.plans.store import DocumentStore
+from sparkdocs.plans.store import LARGE_BATCH, DocumentStore
 from sparkdocs.schemas import DOCUMENTS
 from sparkdocs.session import stage
 
@@ -70,7 +70,11 @@ class LayeredStore(DocumentStore):
         keys = stage(batch.select(path_key(F.col("file_path")).alias("key")).distinct())
         if keys.isEmpty():
             return self._append(None, None, run_ts, state, stream, batch_id)
-        merged = merge_documents(self.documents(keys), batch, run_ts, replaced)
+        if keys.count() > LARGE_BATCH:
+            # The join that merges also leaves out the documents of other paths, so that contents move once.
+            merged = merge_documents(self.documents(), batch, run_ts, replaced, "right")
+        else:
+            merged = merge_documents(self.documents(keys), batch, run_ts, replaced)
         return self._append(merged, keys, run_ts, state, stream, batch_id)
 
     def replace(self, documents: DataFrame, run_ts: datetime) -> int:

@@ -26,6 +26,11 @@ _COMMITS = (
     "buckets array<struct<bucket: int, version: long>>"
 )
 
+# Rows of a batch from which it is joined once instead of left to Spark to broadcast, and buckets up to which
+# tasks write a file for each as they are: a task's rows then still make files of some MB.
+LARGE_BATCH = 10_000
+FEW_BUCKETS = 16
+
 
 class DocumentStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
@@ -92,9 +97,10 @@ class DocumentStore:
         replaced: list[str] = SUCCESS_COLUMNS,
     ) -> int:
         """Merge converted rows (see `merge_documents`) and commit, with the state if given."""
-        rows = batch.select(self._bucket(F.col("file_path")).alias("b")).distinct().collect()
+        rows = batch.groupBy(self._bucket(F.col("file_path")).alias("b")).agg(F.count("*").alias("n")).collect()
         touched = [r["b"] for r in rows]  # at most one int per bucket
-        merged = merge_documents(self.documents(touched), batch, run_ts, replaced)
+        large = sum(r["n"] for r in rows) > LARGE_BATCH
+        merged = merge_documents(self.documents(touched), batch, run_ts, replaced, "full" if large else None)
         return self._commit(merged if touched else None, touched, run_ts, state, stream, batch_id)
 
     def set_state(self, state: DataFrame, run_ts: datetime) -> int:
@@ -129,8 +135,10 @@ class DocumentStore:
         if documents is not None:
             target = f"{self.root}/documents/v={version}"
             spread = documents.withColumn("bucket", self._bucket(F.col("file_path")))
-            # Brings a bucket's rows together, and splits a large bucket over several tasks and files.
-            spread.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(target)
+            if self.buckets > FEW_BUCKETS:
+                # Brings a bucket's rows together, and splits a large bucket over several tasks and files.
+                spread = spread.hint("rebalance", F.col("bucket"))
+            spread.write.mode("overwrite").partitionBy("bucket").parquet(target)
             written = self.spark.read.schema("file_path string, bucket int").parquet(target)
             present = {r["bucket"] for r in written.select("bucket").distinct().collect()}
             for bucket in touched:

@@ -211,3 +211,57 @@ def test_folder_run_on_layers(spark, tmp_path):
         run, _ = ingest_cancellable(RunControl(spark, f"d{day}"), layered, [str(folder)], T0 + timedelta(days=day), IngestOptions(full=True))
         assert run.outcomes.first().outcome == "processed"
     assert [r.markdown_content for r in layered.documents().collect()] == ["two"] and layered.state().count() == 1
+
+
+def test_large_batches_are_joined_once(spark, tmp_path, monkeypatch):
+    from sparkdocs.operators import changes
+    from sparkdocs.plans import layered_store, store as plain_store
+    from sparkdocs.plans.layered_store import LayeredStore
+
+    at, later = datetime(2025, 1, 1, tzinfo=timezone.utc), datetime(2025, 2, 1, tzinfo=timezone.utc)
+    held = [(i, f"n{i}", "md", 1, at, at, f"/a/n{i}", f"old {i}", 0, "completed", None, "s", None, at, at) for i in range(6)]
+    held.append((99, "none", "md", 1, at, at, None, "no path", 0, "completed", None, "s", None, at, at))
+    rows = [
+        (100, "N1", "md", 2, later, later, "/A/N1", "new 1", 1, True, None, "t", "u"),
+        (101, "n2", "md", 2, later, later, "/a/n2", None, None, False, "boom", "t", "u"),
+        (102, "n3", "md", 2, later, later, "/a/n3", "odd", 1, None, None, "t", "u"),
+        (103, "m1", "md", 2, later, later, "/a/m1", "added", 1, True, None, "t", "u"),
+        (104, "m2", "md", 2, later, later, "/a/m2", "x", 1, False, "boom", "t", "u"),
+        (105, "m3", "md", 2, later, later, None, "no path", 1, True, None, "t", "u"),
+    ]
+    schema = (
+        "id long, file_name string, file_type string, file_size long, file_created_at timestamp, file_modified_time timestamp, file_path string, "
+        "markdown_content string, conversion_type int, success boolean, error_message string, source string, source_url string"
+    )
+    docs = spark.createDataFrame(held, S.DOCUMENTS)
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.schema(schema).parquet(str(tmp_path / "batch"))
+
+    def shown(df):
+        return sorted(map(str, df.collect()))
+
+    want = changes.merge_documents(docs, batch, later)
+    once = changes.merge_documents(docs, batch, later, one_join="full")
+    assert shown(once) == shown(want) and len(shown(want)) == 10
+    scans = [df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for df in (want, once)]
+    assert scans == [2, 1]
+    paths = ("/a/n1", "/a/n2", "/a/n3", "/a/m1", "/a/m2")
+    right = shown(changes.merge_documents(docs, batch, later, one_join="right").filter(F.col("file_path").isin(*paths)))
+    assert right == shown(want.filter(F.col("file_path").isin(*paths)))
+    # Both stores take that join for a large batch.
+    monkeypatch.setattr(plain_store, "LARGE_BATCH", 2)
+    monkeypatch.setattr(layered_store, "LARGE_BATCH", 2)
+    used = []
+
+    def noted(docs, batch, run_ts, replaced, one_join=None):
+        used.append(one_join)
+        return changes.merge_documents(docs, batch, run_ts, replaced, one_join)
+
+    monkeypatch.setattr(plain_store, "merge_documents", noted)
+    monkeypatch.setattr(layered_store, "merge_documents", noted)
+    with_path = docs.filter("file_path IS NOT NULL")
+    for store in (plain_store.DocumentStore(spark, str(tmp_path / "s"), buckets=4), LayeredStore(spark, str(tmp_path / "l"))):
+        store.replace(with_path, at)
+        store.merge(batch.filter("file_path IS NOT NULL"), later)
+        assert shown(store.documents()) == shown(want.filter("file_path IS NOT NULL"))
+    assert used == ["full", "right"]
