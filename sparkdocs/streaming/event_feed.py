@@ -149,8 +149,17 @@ def final_counts(spark: SparkSession, feed: str) -> DataFrame:
 DONE = "done"  # the stage that ends a session
 
 
+def _age(event: list) -> tuple:
+    """Time, then number; unknown ones are oldest."""
+    return event[2] is not None, event[2] or 0, event[1] is not None, event[1] or 0
+
+
 def _bounded(keep: int, linger_ms: int):
-    """State of a session: its latest events as JSON, and when it is over."""
+    """State of a session: its latest events as JSON, and when it is over.
+
+    Events come as one column of JSON and a history goes out as one value: pandas takes its time for every
+    column of every session, so few columns and rows cross over.
+    """
 
     def update(key, frames, state):
         session = key[0]
@@ -159,23 +168,22 @@ def _bounded(keep: int, linger_ms: int):
             state.remove()
             return
         for frame in frames:  # a busy session comes in several frames; never more than `keep` events stay
-            done = frame.loc[frame["stage"] == DONE, "ms"]
-            if len(done):
-                done_at = max(int(done.max()), done_at or 0)
-            shown = frame[frame["stage"] != S.HIDDEN_STAGE]
-            # ts and number first, so lists compare by them
-            rows = zip(shown["ms"], shown["event_no"], shown["us"], shown["level"], shown["stage"], shown["message"])
-            held += [[int(m), int(n), int(u), lv, st, ms] for m, n, u, lv, st, ms in rows]
-            held.sort(key=lambda e: (e[2], e[1]), reverse=True)
+            for e in json.loads("[" + ",".join(frame["event"].tolist()) + "]"):
+                us, stage = e.get("us"), e.get("stage")
+                ms = None if us is None else us // 1000
+                if stage == DONE and ms is not None:
+                    done_at = max(ms, done_at or 0)
+                if stage != S.HIDDEN_STAGE:
+                    held.append([ms, e.get("event_no"), us, e.get("level"), stage, e.get("message")])
+            held.sort(key=_age, reverse=True)
             held = held[:keep]
-        state.update((json.dumps(held), done_at))
+        text = json.dumps(held)
+        state.update((text, done_at))
         # Over a while after `done`, once the watermark is there.
         if done_at is not None:
             state.setTimeoutTimestamp(max(done_at + linger_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {"session_id": [session] * len(held), "event_no": [e[1] for e in held], "us": [e[2] for e in held],
-             "level": [e[3] for e in held], "stage": [e[4] for e in held], "message": [e[5] for e in held]},
-        )
+        if held:
+            yield pd.DataFrame({"session_id": [session], "history": [text]})
 
     return update
 
@@ -189,17 +197,19 @@ def start_history_state(
     a `done` event; what the feed has of the session stays. Events later than `late` are dropped. Unlike
     `start_history` no batch reads what earlier ones wrote.
     """
-    named = events.select(
-        "session_id", F.col("event_no").cast("long").alias("event_no"), "ts", F.unix_millis("ts").alias("ms"),
-        F.unix_micros("ts").alias("us"), "level", "stage", "message",
-    )
+    event = F.struct(F.col("event_no").cast("long").alias("event_no"), F.unix_micros("ts").alias("us"), "level", "stage", "message")
+    named = events.select("session_id", "ts", F.to_json(event).alias("event"))
     kept = named.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(
-        _bounded(keep, int(linger * 1000)), "session_id string, event_no long, us long, level string, stage string, message string",
-        "history string, done_at long", "update", "EventTimeTimeout",
+        _bounded(keep, int(linger * 1000)), "session_id string, history string", "history string, done_at long", "update", "EventTimeTimeout",
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("session_id", "event_no", F.timestamp_micros("us").alias("ts"), "level", "stage", "message")
+        # A history lists (ms, event_no, us, level, stage, message).
+        held = F.explode(F.from_json("history", "array<array<string>>", {"mode": "FAILFAST"})).alias("e")
+        rows = batch.select("session_id", held).select(
+            "session_id", F.col("e")[1].cast("long").alias("event_no"), F.timestamp_micros(F.col("e")[2].cast("long")).alias("ts"),
+            F.col("e")[3].alias("level"), F.col("e")[4].alias("stage"), F.col("e")[5].alias("message"),
+        )
         rows.write.mode("overwrite").parquet(f"{feed}/batch={batch_id}")
 
     return kept.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

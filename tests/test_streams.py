@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
+
 from sparkdocs.streaming.event_feed import (
     current_counts, current_history, final_counts, start_final_counts, start_history, start_history_state, start_stage_counts,
     state_history,
@@ -88,3 +90,39 @@ def test_final_counts_come_once(spark, tmp_path):
     got = sorted((r.session_id, r.stage, r.n_events) for r in final_counts(spark, feed).collect())
     assert got == [("a", "done", 1), ("a", "file_success", 2), ("b", "other", 2), ("z", "file_success", 2)]
     assert final_counts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_history_crosses_to_pandas_as_one_value(spark, tmp_path):
+    import json
+
+    import pandas as pd
+
+    from sparkdocs.streaming import event_feed
+
+    class State:
+        exists = hasTimedOut = False
+        got = None
+
+        def update(self, value):
+            self.got = value
+
+    sent = [{"event_no": n, "us": 10**6 * n, "level": "info", "stage": "file_success", "message": f"m{n}"} for n in range(9)]
+    frames = [pd.DataFrame({"session_id": "a", "event": [json.dumps(e) for e in part]}) for part in (sent[:5], sent[5:])]
+    state = State()
+    out = list(event_feed._bounded(3, 1000)(("a",), frames, state))
+    assert [list(f.columns) for f in out] == [["session_id", "history"]] and [len(f) for f in out] == [1]
+    assert [e[1] for e in json.loads(out[0]["history"][0])] == [8, 7, 6] and state.got == (out[0]["history"][0], None)
+    # Odd values come back as they were.
+    rows, feed, offsets = (str(tmp_path / n) for n in ("rows", "feed", "offsets"))
+    odd = 'a "quoted" \\ line\n\t\u0001 end, [1] {"x": null} 页 😀'
+    early = datetime(2024, 1, 1, 0, 0, 0, 123457, tzinfo=timezone.utc)
+    batch = [
+        ("a", 1, early, None, None, odd), ("a", None, early, "info", "file_error", None), ("a", 2**53 + 1, early, "", "file_skip", ""),
+        ("a", 4, early, "info", "debug_state", "hidden"),
+    ]
+    feed_batches(spark, rows, [batch])
+    start_history_state(spark.readStream.schema(SCHEMA).parquet(rows), feed, offsets, keep=3, late="10 seconds").awaitTermination()
+    got = [tuple(r) for r in state_history(spark, feed).withColumn("ts", F.unix_micros("ts")).select(
+        "session_id", "event_no", "ts", "level", "stage", "message").collect()]
+    us = int(early.timestamp()) * 10**6 + 123457
+    assert set(got) == {(s, n, us, lv, st, m) for s, n, _, lv, st, m in batch[:3]} and len(got) == 3
