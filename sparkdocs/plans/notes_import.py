@@ -14,6 +14,7 @@ from sparkdocs.functions.text import from_epoch_ms, strip_nul
 from sparkdocs.operators.changes import detect_changes
 from sparkdocs.operators.hierarchy import folder_paths
 from sparkdocs.operators.sizes import keyed_join
+from sparkdocs.session import stage
 
 _OUT = [
     "file_path", "file_name", "file_type", "file_size", "file_created_at", "file_modified_time", "source",
@@ -52,16 +53,19 @@ def note_rows(notes: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def import_notes(
-    notes: DataFrame, folders: DataFrame, docs: DataFrame, cursor: datetime | None = None
+    notes: DataFrame, folders: DataFrame, docs: DataFrame, cursor: datetime | None = None, staged: bool = False
 ) -> NotesRun:
     """New and changed notes as rows to merge (with `NOTE_COLUMNS`), and an outcome for each note.
 
-    Notes updated before the cursor are skipped before their folder chain is looked up.
+    Notes updated before the cursor are skipped before their folder chain is looked up. With `staged` the
+    change test and the converted notes are written once, because later steps read them more than once.
     """
     stamp = from_epoch_ms(F.col("updated_time"))
     old = F.lit(False) if cursor is None else F.coalesce(stamp < F.lit(cursor), F.lit(False))
     rows = note_rows(notes.filter(~old), folders)
     actions = detect_changes(rows, docs)
+    if staged:
+        actions = stage(actions)
     todo = actions.filter(F.col("action") != "unchanged")
     empty = todo.filter(F.col("body") == "").select(
         *_OUT, F.lit("").alias("markdown_content"), F.lit(S.DIRECT).alias("conversion_type"),
@@ -76,6 +80,8 @@ def import_notes(
         F.coalesce(~failed, F.lit(True)).alias("success"), "error_message",
     )
     both = empty.unionByName(full)
+    if staged:
+        both = stage(both)
     before = notes.filter(old).select(F.lit("skipped").alias("outcome"))
     same = actions.filter(F.col("action") == "unchanged").select(F.lit("skipped").alias("outcome"))
     done = both.select(F.when(F.col("success"), "processed").otherwise("error").alias("outcome"))

@@ -48,10 +48,9 @@ def run_notes_import(
     cursor = None if full_resync else notes_cursor(state)
     chosen = notes if ids is None else notes.join(ids.select("id").distinct(), "id", "left_semi")
     try:
-        run = import_notes(chosen, folders, store.documents(), cursor)
         # The bodies are converted once, for the merge and for the counts.
-        converted = stage(run.converted)
-        outcomes = stage(run.outcomes)
+        run = import_notes(chosen, folders, store.documents(), cursor, True)
+        converted, outcomes = run.converted, stage(run.outcomes)
         row = stage(_state_row(ingest_summary(outcomes), run_ts, None))
         store.merge(converted, run_ts, state=merge_state(state, row), replaced=NOTE_COLUMNS)
     except Exception as failure:

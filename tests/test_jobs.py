@@ -265,3 +265,23 @@ def test_large_batches_are_joined_once(spark, tmp_path, monkeypatch):
         store.merge(batch.filter("file_path IS NOT NULL"), later)
         assert shown(store.documents()) == shown(want.filter("file_path IS NOT NULL"))
     assert used == ["full", "right"]
+
+
+def test_notes_job_converts_each_body_once(spark, store, monkeypatch):
+    from sparkdocs.plans import notes_import
+
+    seen, plain = spark.sparkContext.accumulator(0), notes_import.convert_html
+
+    def counting(rows, column):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return plain(rows.mapInArrow(count, rows.schema), column)
+
+    monkeypatch.setattr(notes_import, "convert_html", counting)
+    folders = spark.createDataFrame([("f", "", "Folder")], S.FOLDERS)
+    run_notes_import(store, notes_of(spark, [(f"n{i}", f"T{i}", f"<p>{i}</p>", 1000) for i in range(5)]), folders, T0)
+    row = store.state().first()
+    assert (row.total_files, row.processed, seen.value) == (5, 5, 5)
