@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from sparkdocs.llm.common import ascii_words, task_count
 from sparkdocs.session import fresh_dir
@@ -22,9 +22,11 @@ DEPTH = 5
 BLOCK_BYTES = 32_000_000
 SLICE_BYTES = 250_000
 ROW_BYTES = 64
-# Distinct grams of slices that wait to be added to those of their block, and rows that a task sends on at a time.
+# Distinct grams of slices that wait to be added to those of their block, rows that a task sends on at a time, and
+# terms with values that a task holds to pack them by block.
 PENDING_GRAMS = 300_000
 SENT_ROWS = 100_000
+PACKED_TERMS = 500_000
 
 _END = b"\n"  # after every text, and before it as often as the context is deep
 
@@ -129,17 +131,6 @@ class _Block:
             )
 
 
-def _slices(table: pa.RecordBatch):
-    """Parts of a batch whose texts have at most SLICE_BYTES together, or a single text."""
-    start = held = 0
-    for i, size in enumerate(pc.fill_null(pc.binary_length(table.column("text")), 0).to_pylist()):
-        if i > start and held + size > SLICE_BYTES:
-            yield table.slice(start, i - start)
-            start, held = i, 0
-        held += size
-    yield table.slice(start)
-
-
 def _blocks(batches):
     """(block, part) of a partition's rows in order: a new block begins where BLOCK_BYTES would be passed.
 
@@ -180,12 +171,66 @@ def _count(depth: int):
     return run
 
 
-def _dealt(batches):
-    """Texts with the block that `_count` gave their terms to."""
+_PACKED = ["block", "kind", "n", "size", "data"]
+
+
+def _pack(numbers: np.ndarray, rest: bytes) -> tuple[int, int, bytes]:
+    """(n, size, data): n numbers of 8 bytes and the bytes behind them, compressed from `size` bytes."""
+    raw = numbers.tobytes() + rest
+    return len(numbers), len(raw), pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(n: int, size: int, data: bytes, dtype) -> tuple[np.ndarray, bytes]:
+    raw = pa.decompress(data, size, "zstd", asbytes=True)
+    return np.frombuffer(raw, dtype, n), raw[8 * n :]
+
+
+def _packed_rows(rows: list) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], _PACKED)
+
+
+def _packed_terms(batches):
+    """Terms with values, packed by block: grams (kind 0) as steps from one to the next, words (1) with spaces between."""
+
+    def pack(held):
+        table = pa.Table.from_batches(held)
+        name = "gram" if "gram" in table.column_names else "word"
+        blocks, values = table.column("block").to_numpy(), table.column("value").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        cuts = np.flatnonzero(np.diff(blocks[order])) + 1
+        terms = table.column(name).to_numpy() if name == "gram" else table.column(name).combine_chunks()
+        rows = []
+        for group in np.split(order, cuts):
+            for i in range(0, len(group), SENT_ROWS):
+                at = group[i : i + SENT_ROWS]
+                if name == "gram":
+                    kind, rest = 0, np.diff(terms[at], prepend=0).tobytes()
+                else:
+                    kind, rest = 1, b" ".join(terms.take(pa.array(at)).to_pylist())
+                rows.append((int(blocks[at[0]]), kind, *_pack(values[at], rest)))
+        return _packed_rows(rows)
+
+    held, count = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+        if count >= PACKED_TERMS:
+            yield pack(held)
+            held, count = [], 0
+    if held:
+        yield pack(held)
+
+
+def _packed_texts(batches):
+    """Texts (kind 2) with the block that `_count` gave their terms to, a slice packed as one, with its `rows`."""
     for number, part in _blocks(batches):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(part.num_rows, number)), part.column("text"), part.column("row")], ["block", "text", "row"]
-        )
+        texts = part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+        packed = _packed_rows([(number, 2, *_pack(np.array([len(t) for t in texts], np.int64), b"".join(texts)))])
+        row = part.column("row")
+        rows = pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), row)
+        yield pa.RecordBatch.from_arrays([*packed.columns, rows], [*_PACKED, "rows"])
 
 
 class GramTable:
@@ -220,26 +265,24 @@ class GramTable:
 
 
 def _score(depth: int, unknown: float):
-    """Rows sorted by block and kind: grams of a block (0), its words (1), then its texts (2) one slice after another."""
+    """Packed rows sorted by block and kind: grams of a block (0), its words (1), then its texts (2) one slice after another."""
 
     def run(batches):
         block, table, words, keys, values = None, None, {}, [], []
         for batch in batches:
-            numbers, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-            cuts = np.flatnonzero((numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(kinds)]):
-                if a == b:
-                    continue
-                if numbers[a] != block:
-                    block, table, words, keys, values = numbers[a], None, {}, [], []
+            columns = [batch.column(c) for c in _PACKED]
+            for i in range(batch.num_rows):
+                number, kind, n, size, data = (c[i].as_py() for c in columns)
+                if number != block:
+                    block, table, words, keys, values = number, None, {}, [], []
                     pa.default_memory_pool().release_unused()
-                part = batch.slice(a, b - a)
-                if kinds[a] == 0:
-                    # Copies, so that the batch with its other columns can go.
-                    keys.append(part.column("gram").to_numpy().copy())
-                    values.append(part.column("value").to_numpy().copy())
-                elif kinds[a] == 1:
-                    words.update(zip(part.column("word").to_pylist(), part.column("value").to_pylist()))
+                if kind == 0:
+                    value, steps = _unpack(n, size, data, np.float64)
+                    keys.append(np.cumsum(np.frombuffer(steps, np.int64)))
+                    values.append(value)
+                elif kind == 1:
+                    value, joined = _unpack(n, size, data, np.float64)
+                    words.update(zip(joined.split(b" "), value.tolist()))
                 else:
                     if table is None:
                         # Each list goes before the next copy is made.
@@ -247,11 +290,12 @@ def _score(depth: int, unknown: float):
                         values = np.concatenate(values or [np.zeros(0)])
                         table = GramTable(keys, values)
                         keys, values = [], []
-                    for docs in _slices(part):
-                        yield score(docs, table, words)
+                    sizes, joined = _unpack(n, size, data, np.int64)
+                    ends = np.cumsum(sizes)
+                    texts = [joined[e - k : e].lower().split() for e, k in zip(ends.tolist(), sizes.tolist())]
+                    yield score(batch.column("rows").slice(i, 1).flatten(), texts, table, words)
 
-    def score(docs, table, value_of):
-        texts = [ascii_words(t) for t in docs.column("text").to_pylist()]
+    def score(rows, texts, table, value_of):
         found, sizes = grams(texts, depth)
         model = np.add.reduceat(table.get(found), np.cumsum(sizes) - sizes)
         base, known = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
@@ -261,7 +305,7 @@ def _score(depth: int, unknown: float):
             base[i] = each.sum()
             known[i] = (each > unknown).sum()
         return pa.RecordBatch.from_arrays(
-            [docs.column("row"), pa.array([len(w) for w in texts], pa.int64()), pa.array(known), pa.array(base), pa.array(model)],
+            [rows, pa.array([len(w) for w in texts], pa.int64()), pa.array(known), pa.array(base), pa.array(model)],
             ["row", "n_tokens", "n_known", "base_score", "score"],
         )
 
@@ -338,8 +382,8 @@ def score_texts(
 
     The rows of a partition are cut into blocks of BLOCK_BYTES. Each block gives its distinct grams and
     words with their counts; counts are added up over all blocks, each distinct gram is evaluated once, and
-    every block gets back the values of its own terms, sorted before its texts. So no task holds the whole model, and what
-    moves grows with the input. Blocks follow the place of a row, so the rows are written once; with
+    every block gets back the values of its own terms, packed and sorted before its texts. So no task holds the whole model,
+    and what moves grows with the input. Blocks follow the place of a row, so the rows are written once; with
     `plain_scan` they are read twice instead, which is right for rows that come straight from files. A row
     that changed its block raises an error, for a word as for a gram.
     """
@@ -360,15 +404,13 @@ def score_texts(
     gram_rows = terms.filter("word IS NULL").select("block", "gram").join(logp, "gram")
     word_rows = terms.filter("word IS NOT NULL").select("block", "word").join(words.select("word", value.alias("value")), "word")
     row = StructField("row", source.schema["row"].dataType)
-    dealt = source.select("part", "text", "row").mapInArrow(
-        _dealt, StructType([StructField("block", LongType()), StructField("text", StringType()), row])
-    )
-    zero, none = F.lit(0).cast("long"), F.lit(None)
-    both = (
-        gram_rows.select("block", F.lit(0).alias("kind"), "gram", none.cast("binary").alias("word"), "value", none.cast("string").alias("text"), none.cast(row.dataType).alias("row"))
-        .union(word_rows.select("block", F.lit(1), zero, "word", "value", none.cast("string"), none.cast(row.dataType)))
-        .union(dealt.select("block", F.lit(2), zero, none.cast("binary"), F.lit(0.0), "text", "row"))
-    )
+    # What goes to a block is packed in the tasks that make it: a row per term would take several times its bytes.
+    packed = "block long, kind int, n long, size long, data binary"
+    rows = StructField("rows", ArrayType(row.dataType))
+    texts = source.select("part", "text", "row").mapInArrow(_packed_texts, StructType([*StructType.fromDDL(packed), rows]))
+    both = texts
+    for each in (gram_rows.select("block", "gram", "value"), word_rows.select("block", "word", "value")):
+        both = both.union(each.mapInArrow(_packed_terms, packed).withColumn("rows", F.lit(None).cast(rows.dataType)))
     out = StructType([
         row, StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base_score", DoubleType()), StructField("score", DoubleType()),
     ])

@@ -8,6 +8,7 @@ import math
 import random
 import re
 import tracemalloc
+import uuid
 import zlib
 from pathlib import Path
 
@@ -479,6 +480,41 @@ def test_scores_equal_a_trie_by_hand(spark, depth, monkeypatch):
         assert r.score == pytest.approx(ppm_by_hand(train, texts[r.doc_id], depth))
 
 
+def test_ppm_moves_terms_and_texts_packed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 400_000)
+    scored = ppm._score
+
+    def weighed(depth, unknown):
+        run = scored(depth, unknown)
+
+        def each(batches, got):
+            for b in batches:
+                got[0] += b.num_rows
+                got[1] += b.nbytes
+                yield b
+
+        def weigh(batches):
+            got = [0, 0]
+            yield from run(each(batches, got))
+            (tmp_path / uuid.uuid4().hex).write_text(f"{got[0]} {got[1]}")
+
+        return weigh
+
+    monkeypatch.setattr(ppm, "_score", weighed)
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefgh", k=draw.choice([3, 6, 9]))) for _ in range(20_000)]
+    texts = [" ".join(draw.choices(words, k=500)) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    got = ppm.score_texts(docs, F.col("doc_id") % 7 == 2, ["doc_id"]).collect()
+    assert sorted(r.doc_id for r in got) == list(range(600)) and all(r.n_tokens == 501 for r in got)
+    rows, size = map(sum, zip(*(map(int, f.read_text().split()) for f in tmp_path.iterdir())))
+    # Not a row for each gram, word and text, and fewer bytes than two numbers a gram take without the texts.
+    grams = sum(len(set(ppm.grams([t.encode().split() for t in texts[i : i + 100]], 5)[0].tolist())) for i in range(0, 600, 100))
+    assert rows < 600 and size < 16 * grams, (rows, size, grams)
+
+
 def test_scores_without_training_or_rows(spark):
     from pyspark.sql import functions as F
 
