@@ -207,7 +207,8 @@ def _packed_terms(batches):
                 if name == "gram":
                     kind, rest = 0, np.diff(terms[at], prepend=0).tobytes()
                 else:
-                    kind, rest = 1, b" ".join(terms.take(pa.array(at)).to_pylist())
+                    listed = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), terms.take(pa.array(at)))
+                    kind, rest = 1, pc.binary_join(listed, b" ")[0].as_py()
                 rows.append((int(blocks[at[0]]), kind, *_pack(values[at], rest)))
         return _packed_rows(rows)
 
@@ -234,21 +235,20 @@ def _packed_texts(batches):
 
 
 class GramTable:
-    """Values by gram: one probe into a hashed table, a search for the few that share a slot."""
+    """Values by gram: one probe into a hashed table, a search among the few whose slot another gram took."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
         if not len(keys):
-            self.keys, self.values = np.full(1, -1, np.int64), np.zeros(1)
+            keys, values = np.full(1, -1, np.int64), np.zeros(1)
+        self.keys, self.values = keys, values
         self.shift = np.uint64(64 - max(8, len(keys).bit_length() + 1))
-        slot = self._slot(self.keys)
-        size = 1 << (64 - int(self.shift))
-        self.slots = np.full(size, -1, np.int32)
-        own = np.arange(len(self.keys), dtype=np.int32)
+        slot = self._slot(keys)
+        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        own = np.arange(len(keys), dtype=np.int32)
         self.slots[slot] = own
-        # Of the grams that share a slot all but one do not find themselves there.
-        self.slots[slot[self.slots[slot] != own]] = -1
+        lost = np.flatnonzero(self.slots[slot] != own)
+        self.lost = lost[np.argsort(keys[lost])].astype(np.int32)
+        self.lost_keys = keys[self.lost]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -256,11 +256,12 @@ class GramTable:
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values of grams that are all in the table; another one is an error."""
         at = self.slots[self._slot(keys)]
-        miss = np.flatnonzero(at < 0)
+        miss = np.flatnonzero(self.keys[at] != keys)
         if len(miss):
-            at[miss] = np.minimum(np.searchsorted(self.keys, keys[miss]), len(self.keys) - 1)
-        if not np.array_equal(self.keys[at], keys):
-            raise KeyError("a gram is not among the terms of its block")
+            place = np.searchsorted(self.lost_keys, keys[miss])
+            if not len(self.lost) or not np.array_equal(self.lost_keys.take(place, mode="clip"), keys[miss]):
+                raise KeyError("a gram is not among the terms of its block")
+            at[miss] = self.lost[place]
         return self.values[at]
 
 

@@ -428,6 +428,19 @@ def test_gram_table_refuses_absent_grams():
         ppm.GramTable(np.zeros(0, np.int64), np.zeros(0)).get(np.array([3]))
 
 
+def test_gram_table_searches_only_grams_that_lost_their_slot():
+    rng = np.random.default_rng(6)
+    keys = rng.permutation(np.unique(rng.integers(0, 1 << 48, 100_000)))
+    values = rng.random(len(keys))
+    table = ppm.GramTable(keys, values)
+    asked = rng.integers(0, len(keys), 300_000)
+    assert np.array_equal(table.get(keys[asked]), values[asked])
+    assert 0 < len(table.lost) < 0.25 * len(keys)
+    for absent in (-1, 1 << 48, (1 << 63) - 1):
+        with pytest.raises(KeyError):
+            table.get(np.array([keys[0], absent]))
+
+
 def ppm_by_hand(train, text, depth):
     """Method D with exclusion over contexts of a padded byte string."""
     counts = collections.defaultdict(collections.Counter)
