@@ -8,7 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparkdocs.operators.sizes import IdSet
 from sparkdocs.session import prepare, stage
 
 BASE = {
@@ -171,11 +173,21 @@ class Tables:
             if name in BASE:
                 self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             else:
-                inputs = {n: getattr(self, n) for n in _names(VIEWS[name])}
-                made = self.spark.sql(VIEWS[name], **inputs)
+                made = self._batch() if name == "batch" else self._view(VIEWS[name])
                 self._made[name] = stage(made) if name in STAGED else made
         return self._made[name]
 
+    def _view(self, sql: str, **other: DataFrame) -> DataFrame:
+        return self.spark.sql(sql, **{n: getattr(self, n) for n in _names(sql)} | other)
+
+    def _batch(self) -> DataFrame:
+        """Both halves of the view. Documents without a listed name have no row in the second: their texts stay out of its join."""
+        first, second = VIEWS["batch"].split("UNION ALL")
+        name = F.xxhash64("file_name").alias("id")
+        listed = IdSet(self.listing.filter(F.col("file_path").startswith("/corpus/new/")).select(name))
+        named = listed.join(self.docs.withColumn("_id", F.col("id")).withColumn("id", name), "left_semi")
+        return self._view(first).unionByName(self._view(second, docs=named.withColumn("id", F.col("_id")).drop("_id")))
+
 
 def _view_order(sql: str) -> list[str]:
     order: list[str] = []

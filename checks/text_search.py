@@ -12,8 +12,9 @@ from sparkdocs.operators.indexed import (
 )
 from sparkdocs.operators.search import SearchParams, matches, search, search_info
 from sparkdocs.operators.changes import merge_documents
+from sparkdocs.operators.sizes import IdSet
 from sparkdocs.plans.index_store import IndexStore
-from sparkdocs.session import fresh_dir, stage
+from sparkdocs.session import fresh_dir, stage, staged
 
 RUN_TS = datetime(2024, 6, 1, tzinfo=timezone.utc)
 
@@ -399,11 +400,12 @@ _LATER = f"""
 def _followed(t):
     """An index of the documents that has followed a merge and a delete."""
     index = IndexStore(t.spark, fresh_dir(t.spark, "index"))
-    index.build(t.docs, RUN_TS)
-    merged = stage(merge_documents(t.docs, t.batch, RUN_TS))
-    index.update(merged, t.batch, RUN_TS)
-    gone = t.docs.filter(F.col("source") == "src2").select("id")
-    index.update(merged.join(gone, "id", "left_anti"), gone, RUN_TS)
+    # The batch is most of the corpus, so it is joined once; before there is an index, as the join takes most disk.
+    with staged(merge_documents(t.docs, t.batch, RUN_TS, one_join="full"), compression="zstd") as merged:
+        index.build(t.docs, RUN_TS)
+        index.update(merged, t.batch, RUN_TS)
+        gone = t.docs.filter(F.col("source") == "src2").select("id")
+        index.update(IdSet(gone).join(merged, "left_anti"), gone, RUN_TS)
     return index
 
 

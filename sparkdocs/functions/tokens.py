@@ -38,6 +38,11 @@ def word_string(text: Column) -> Column:
     return _padded(F.lower(text))
 
 
+def has_cjk(text: Column) -> Column:
+    """True if the tokens of a text are not just its words."""
+    return F.lower(text).rlike(f"[{_CJK}]")
+
+
 def token_string(text: Column) -> Column:
     low = F.lower(text)
     cjk = F.regexp_replace(low, _BIGRAMS, " $1$2$3 ")

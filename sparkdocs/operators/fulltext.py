@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdocs.functions import tokens
+from sparkdocs.operators.blocks import Rows, row_batches, write_sorted
 from sparkdocs.operators.search import fold_clauses, query_clauses, query_leaves
 from sparkdocs.operators.sizes import keyed_join, top_per_group
 from sparkdocs.session import cut_lineage, stage
@@ -18,26 +19,37 @@ from sparkdocs.session import cut_lineage, stage
 _DOCS = 500
 
 
+def placed_rows(ids: np.ndarray, words: pa.ListArray) -> Rows:
+    """Postings of documents by (term, id); a document's words are all in its cell."""
+    n = max(1, len(ids))
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    coded = words.flatten().dictionary_encode()
+    terms = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(terms), np.int64)
+    rank[terms] = np.arange(len(terms))
+    code, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(ids)), lengths)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    kept = ~pc.is_in(coded.dictionary, pa.array([tokens.RUN_START, ""])).to_numpy(zero_copy_only=False)[code]
+    by = np.argsort(ids, kind="stable")
+    turn = np.empty(len(ids), np.int64)
+    turn[by] = np.arange(len(ids))
+    key = (rank[code] * n + turn[doc])[kept]
+    order = np.argsort(key, kind="stable")  # places stay ascending
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    term, doc = np.divmod(key[first], n)
+    tf, sizes = np.diff(np.append(first, len(order))), np.bincount(term, minlength=len(terms))
+    held = np.flatnonzero(sizes)
+    return Rows(coded.dictionary.take(pa.array(terms[held])), sizes[held], ids[by][doc], tf, tf, place[kept][order].astype(np.int32))
+
+
 def _placed(batches):
-    """Postings of Arrow batches (id, words): a document's words are all in its row."""
+    """Postings of Arrow batches (id, words)."""
     for whole in batches:
         for batch in (whole.slice(i, _DOCS) for i in range(0, whole.num_rows, _DOCS)):
-            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            coded = batch.column(1).flatten().dictionary_encode()
-            code, row = coded.indices.to_numpy(), np.repeat(np.arange(batch.num_rows), lengths)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            start = pc.index(coded.dictionary, tokens.RUN_START).as_py()
-            key = (row * max(1, len(coded.dictionary)) + code)[code != start]
-            place = place[code != start]
-            order = np.argsort(key, kind="stable")  # places stay ascending
-            key, first = np.unique(key[order], return_index=True)
-            bounds = np.append(first, len(order))
-            doc, term = np.divmod(key, max(1, len(coded.dictionary)))
-            yield pa.RecordBatch.from_arrays(
-                [coded.dictionary.take(pa.array(term)), batch.column(0).take(pa.array(doc)), pa.array(np.diff(bounds), pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(place[order], pa.int32()))],
-                ["term", "id", "tf", "positions"],
-            )
+            rows = placed_rows(np.arange(batch.num_rows), batch.column(1))
+            for made in row_batches(rows, ["term", "id", "tf", "positions"]):
+                yield made.set_column(1, "id", batch.column(0).take(made.column(1)))
 
 
 def build_postings(docs: DataFrame, positions: bool = False) -> DataFrame:
@@ -59,12 +71,10 @@ def build_postings(docs: DataFrame, positions: bool = False) -> DataFrame:
 def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> None:
     """Store postings ordered by term, so that a term filter skips files and row groups.
 
-    Ranges of (term, id) split a term that half of all documents hold over several files. The rows are
-    written first: finding the ranges reads them once more, and would make them twice.
+    Ranges of (term, id) split a term that half of all documents hold over several files. The rows travel
+    as sorted blocks; `partitions` asks for at least so many ranges if there are rows for them.
     """
-    n = partitions or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stage(postings).repartitionByRange(n, "term", "id").sortWithinPartitions("term", "id")
-    ranged.write.mode("errorifexists").parquet(path)
+    write_sorted(postings.select("term", "id", *[c for c in ("tf", "positions") if c in postings.columns]), path, partitions)
 
 
 def _token_lists(spark: SparkSession, terms: list[str]) -> list[list[tuple[int, str]]]:

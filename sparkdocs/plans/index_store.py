@@ -14,9 +14,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdocs.operators.fulltext import build_postings, write_postings
-from sparkdocs.operators.indexed import CorpusIndex, build_trigrams, write_trigrams
-from sparkdocs.session import stage
+from sparkdocs.operators.blocks import write_ranges
+from sparkdocs.operators.fulltext import write_postings
+from sparkdocs.operators.indexed import CorpusIndex, index_blocks, write_trigrams
+from sparkdocs.operators.sizes import IdSet
+from sparkdocs.session import stage, staged
 
 _COMMITS = "generation long, committed_at timestamp, segments array<long>"
 _TABLES = {
@@ -57,10 +59,18 @@ class IndexStore:
     def _read(self, generation: int, table: str) -> DataFrame:
         return self.spark.read.schema(_TABLES[table]).parquet(self._path(generation, table))
 
-    def _write(self, generation: int, postings: DataFrame, trigrams: DataFrame, ids: DataFrame) -> None:
-        write_postings(postings.select("term", "id", "tf", "positions"), self._path(generation, "postings"))
-        write_trigrams(trigrams.select("gram", "id"), self._path(generation, "trigrams"))
-        ids.write.parquet(self._path(generation, "ids"))
+    def _index(self, generation: int, rows: DataFrame, touched: DataFrame) -> None:
+        """Write the segment of some touched documents; those that `rows` lacks or that are not completed are absent.
+
+        The texts are read once: their index rows are kept as packed blocks until all tables are written.
+        """
+        with staged(index_blocks(rows)) as made:
+            for table in ("postings", "trigrams"):
+                write_ranges(made.filter(F.col("kind") == table).select("n", "drawn", "block"), _TABLES[table], self._path(generation, table))
+            cells = made.filter(F.col("kind") == "ids").select(F.explode(F.arrays_zip("ids", "texts")).alias("d"))
+            known = cells.select(F.col("d.ids").alias("id"), F.lit(True).alias("live"), F.col("d.texts").alias("has_text"))
+            absent = touched.join(known.select("id"), "id", "left_anti").select("id", F.lit(False).alias("live"), F.lit(False).alias("has_text"))
+            known.unionByName(absent).write.parquet(self._path(generation, "ids"))
 
     def _next(self) -> int:
         head = self._head()
@@ -72,35 +82,43 @@ class IndexStore:
         Give the current documents and the ids that a merge, a retry or a delete touched.
         """
         generation = self._next()
-        touched = ids.select("id").distinct()
-        rows = documents.select("id", "status", "file_name", "markdown_content").join(touched, "id", "left_semi")
-        rows = stage(rows.filter(F.col("status") == "completed"))
-        known = rows.select("id", F.lit(True).alias("live"), F.col("markdown_content").isNotNull().alias("has_text"))
-        absent = touched.join(rows.select("id"), "id", "left_anti").select("id", F.lit(False).alias("live"), F.lit(False).alias("has_text"))
-        self._write(generation, build_postings(rows, positions=True), build_trigrams(rows), known.unionByName(absent))
+        touched = stage(ids.select(F.col("id").cast("long").alias("id")).distinct())
+        rows = documents.select("id", "status", "file_name", "markdown_content")
+        self._index(generation, IdSet(touched).join(rows, "left_semi"), touched)
         return self._commit(generation, [*self.segments(), generation], run_ts)
 
     def build(self, documents: DataFrame, run_ts: datetime) -> int:
         """Index all documents anew in one segment, in place of all there are."""
-        generation = self.update(documents, documents, run_ts)
-        return self._commit(generation + 1, [generation], run_ts) if len(self.segments()) > 1 else generation
+        generation = self._next()
+        touched = documents.select(F.col("id").cast("long").alias("id")).filter(F.col("id").isNotNull()).distinct()
+        self._index(generation, documents, touched)
+        return self._commit(generation, [generation], run_ts)
 
-    def _current(self, table: str) -> DataFrame:
-        """Rows of a table as the newest segments that touched their documents give them."""
-        found, later = None, None
+    def _masks(self) -> dict[int, IdSet]:
+        """What newer segments touched, for each segment but the newest."""
+        masks, later = {}, None
         for generation in reversed(self.segments()):
-            rows = self._read(generation, table)
             if later is not None:
-                rows = rows.join(later, "id", "left_anti")
-            found = rows if found is None else found.unionByName(rows)
+                masks[generation] = IdSet(later)
             own = self._read(generation, "ids").select("id")
             later = own if later is None else later.union(own)
+        return masks
+
+    def _current(self, table: str, masks: dict[int, IdSet]) -> DataFrame:
+        """Rows of a table as the newest segments that touched their documents give them."""
+        found = None
+        for generation in reversed(self.segments()):
+            rows = self._read(generation, table)
+            if generation in masks:
+                rows = masks[generation].join(rows, "left_anti")
+            found = rows if found is None else found.unionByName(rows)
         return found if found is not None else self.spark.createDataFrame([], _TABLES[table])
 
     def index(self) -> CorpusIndex:
         """Index tables for `search_indexed` and `search_postings`."""
-        ids = self._current("ids").filter("has_text").select("id")
-        return CorpusIndex(self._current("postings"), self._current("trigrams"), ids)
+        masks = self._masks()
+        ids = self._current("ids", masks).filter("has_text").select("id")
+        return CorpusIndex(self._current("postings", masks), self._current("trigrams", masks), ids)
 
     def compact(self, run_ts: datetime) -> int:
         """Bring all segments together in one; masked rows are gone from it."""
@@ -108,7 +126,10 @@ class IndexStore:
         if len(held) < 2:
             return held[-1] if held else 0
         generation = self._next()
-        self._write(generation, self._current("postings"), self._current("trigrams"), self._current("ids").filter("live"))
+        masks = self._masks()
+        write_postings(self._current("postings", masks), self._path(generation, "postings"))
+        write_trigrams(self._current("trigrams", masks), self._path(generation, "trigrams"))
+        self._current("ids", masks).filter("live").write.parquet(self._path(generation, "ids"))
         return self._commit(generation, [generation], run_ts)
 
     def vacuum(self) -> list[int]:
