@@ -123,3 +123,20 @@ def test_the_batch_is_that_of_its_sql(spark):
     want = spark.sql(VIEWS["batch"], docs=t.docs, listing=t.listing)
     assert t.batch.dtypes == want.dtypes
     assert sorted(map(str, t.batch.collect())) == sorted(map(str, want.collect()))
+
+
+def test_older_segments_are_masked_without_a_shuffle(spark, tmp_path):
+    docs = stage(spark.range(2000).select("id", F.lit("completed").alias("status"), F.lit("a.md").alias("file_name"), F.concat(F.lit("the w"), F.col("id") % 50).alias("markdown_content")))
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.build(docs, NOW)
+    store.update(docs.filter("id % 3 <> 0"), docs.filter("id % 3 = 0"), NOW)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for table in (store.index().postings, store.index().trigrams):
+            plan = table._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(id" not in plan
+        assert {r.id for r in store.index().postings.collect()} == {i for i in range(2000) if i % 3}
+        store.compact(NOW)
+        assert store.vacuum() == [1, 2] and store.index().postings.count() == 2 * sum(1 for i in range(2000) if i % 3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
