@@ -72,9 +72,10 @@ def write_postings(postings: DataFrame, path: str, partitions: int | None = None
     """Store postings ordered by term, so that a term filter skips files and row groups.
 
     Ranges of (term, id) split a term that half of all documents hold over several files. The rows travel
-    as sorted blocks; `partitions` asks for at least so many ranges if there are rows for them.
+    as sorted blocks; `partitions` asks for at least so many ranges if there are rows for them. Every row has an id.
     """
-    write_sorted(postings.select("term", "id", *[c for c in ("tf", "positions") if c in postings.columns]), path, partitions)
+    more = [F.col("tf").cast("long").alias("tf")] + [F.col(c) for c in postings.columns if c == "positions"]
+    write_sorted(postings.select("term", F.col("id").cast("long").alias("id"), *more), path, partitions)
 
 
 def _token_lists(spark: SparkSession, terms: list[str]) -> list[list[tuple[int, str]]]:

@@ -95,7 +95,7 @@ def build_trigrams(docs: DataFrame) -> DataFrame:
 
 def write_trigrams(trigrams: DataFrame, path: str, partitions: int | None = None) -> None:
     """Store trigrams in ranges of (gram, id), so that a gram filter skips files and row groups."""
-    write_sorted(trigrams.select("gram", "id"), path, partitions)
+    write_sorted(trigrams.select("gram", F.col("id").cast("long").alias("id")), path, partitions)
 
 
 def _index_blocks(batches):

@@ -66,6 +66,9 @@ def test_ranges_are_ordered_and_even(spark, tmp_path):
     read = [[tuple(r.values()) for r in pq.read_table(f).to_pylist()] for f in files]
     assert [r for part in read for r in part] == sorted(map(tuple, table.collect()))
     assert len(files) == 6 and max(map(len, read)) < 2 * 60_000 / 6
+    narrow = table.select("term", (F.col("tf") * 7).cast("int").alias("id"), F.col("tf").cast("int").alias("tf")).limit(50)
+    write_postings(stage(narrow), str(tmp_path / "n"))
+    assert spark.read.parquet(str(tmp_path / "n")).count() == 50
 
 
 def test_a_segment_is_made_of_packed_blocks_and_leaves_no_copies(spark, tmp_path):
